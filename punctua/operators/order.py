@@ -4,6 +4,9 @@ A rank over a whole table, or inside a hot group, must not send all its rows to
 Each operator here first takes a mergeable quantile sketch, counts rows between the sketched
 bounds, and sorts only inside a narrow slice. The sketch steers balance alone: counts are
 exact, so results are exact whatever the sketch error or the ties.
+
+A table of at most ``PLAIN_ROWS`` rows, which is counted first, fits one task, and there the
+plain window needs fewer jobs.
 """
 
 from __future__ import annotations
@@ -23,6 +26,12 @@ ACCURACY = 10_000
 BUCKETS = 256
 HASH_BUCKET_BITS = 12
 LAST_ID = 2**63 - 1
+PLAIN_ROWS = 200_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the table has at most ``PLAIN_ROWS`` rows."""
+    return df.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS
 
 
 def _constant(value, dtype: T.DataType) -> Column:
@@ -69,35 +78,39 @@ def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | Non
     row. Three column-pruned passes, no shuffle of the rows outside a slice of about n/GRID.
     """
     by = list(by or [])
+    keys = by or ["_one"]
     rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    quotas = quotas.select(*by, F.col("k").cast("bigint").alias("k")).distinct()
+    if is_small(rows):
+        return _plain_kth(rows, settle(quotas), by)
     grid = _grid([i / GRID for i in range(GRID + 1)])
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.expr(f"percentile_approx(_v, {grid}, {ACCURACY})").alias("_b"),
     )
-    wanted = quotas.join(sketch, by) if by else attach(quotas, settle(sketch), by)
+    if not by:
+        sketch = settle(sketch.withColumn("_one", F.lit(0)))
+        quotas = settle(quotas.withColumn("_one", F.lit(0)))
     at = F.floor(F.col("k") / F.col("_n") * GRID).cast("int")
-    wanted = settle(
-        wanted.where((F.col("k") >= 1) & (F.col("k") <= F.col("_n"))).select(
-            *by,
-            F.col("k").cast("bigint").alias("k"),
+    asked = quotas.join(sketch, keys).where((F.col("k") >= 1) & (F.col("k") <= F.col("_n")))
+    edges = settle(
+        asked.select(
+            *keys, "k",
             F.get("_b", F.greatest(at - 2, F.lit(0))).alias("_lo"),
             F.get("_b", F.least(at + 2, F.lit(GRID))).alias("_hi"),
-        )
-    )
-    edges = settle(
-        wanted.groupBy(*by).agg(
+        ).groupBy(*keys).agg(
             F.array_sort(
                 F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi"))))
-            ).alias("_e")
+            ).alias("_e"),
+            F.collect_list("k").alias("_ks"),
         )
     )
     width = edges.agg(F.max(F.size("_e"))).first()[0] or 1
-    zoned = locate(attach(rows, edges, by), "_e", "_v", "_z", width)
+    zoned = locate(attach(rows, edges.select(*by, "_e"), by), "_e", "_v", "_z", width)
     # Even zones are open intervals, odd zones hold the ties of one edge value.
     on_edge = F.coalesce(F.get("_e", F.col("_z")) == F.col("_v"), F.lit(False))
     zoned = zoned.select(*by, "_v", (F.col("_z") * 2 + on_edge.cast("int")).alias("_z"))
-    target = _slice_of(wanted.select(*by, "k"), zoned, by)
+    target = _slice_of(edges.select(*keys, F.explode("_ks").alias("k")), zoned, by)
     inside = zoned.join(target.select(*by, "_z").distinct(), [*by, "_z"])
     cells = inside.groupBy(*by, "_z", "_v").agg(F.count(F.lit(1)).alias("_c"))
     cells = cells.withColumn(
@@ -117,6 +130,17 @@ def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | Non
     )
 
 
+def _plain_kth(rows: DataFrame, quotas: DataFrame, by: list[str]) -> DataFrame:
+    cells = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("ties"))
+    cells = cells.withColumn(
+        "below", F.sum("ties").over(W.partitionBy(*by).orderBy("_v")) - F.col("ties")
+    )
+    inside = (F.col("below") < F.col("k")) & (F.col("k") <= F.col("below") + F.col("ties"))
+    asked = quotas.groupBy(*by).agg(F.collect_list("k").alias("_ks"))
+    found = attach(cells, asked, by).withColumn("k", F.explode("_ks")).where(inside)
+    return settle(found.select(*by, "k", F.col("_v").alias("cut_value"), "below", "ties"))
+
+
 def _slice_of(quotas: DataFrame, zoned: DataFrame, by: list[str]) -> DataFrame:
     """The zone ``_z`` that holds the k-th row, and the number of rows ``_before`` that zone.
 
@@ -128,11 +152,10 @@ def _slice_of(quotas: DataFrame, zoned: DataFrame, by: list[str]) -> DataFrame:
     spans = spans.withColumn(
         "_before", F.sum("_c").over(W.partitionBy(*keys).orderBy("_z")) - F.col("_c")
     ).groupBy(*keys).agg(F.collect_list(F.struct("_z", "_before", "_c")).alias("_s"))
-    asked = quotas if by else settle(quotas.withColumn("_one", F.lit(0)))
     inside = F.filter(
         "_s", lambda s: (s["_before"] < F.col("k")) & (F.col("k") <= s["_before"] + s["_c"])
     )
-    found = asked.join(spans, keys).withColumn("_hit", F.get(inside, F.lit(0)))
+    found = quotas.join(spans, keys).withColumn("_hit", F.get(inside, F.lit(0)))
     return settle(
         found.where(F.col("_hit").isNotNull()).select(
             *by, F.col("k").cast("bigint").alias("k"), "_hit._z", "_hit._before"
@@ -198,6 +221,12 @@ def top_k(df: DataFrame, score: str, id_col: str, quotas: DataFrame,
     row selects nothing.
     """
     by = list(by or [])
+    if is_small(df):
+        key = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+        place = F.row_number().over(W.partitionBy(*by).orderBy(key(score), key(id_col)))
+        marked = with_cuts(df, quotas.select(*by, F.col("k").alias("_k")), by)
+        chosen = F.coalesce(place <= F.col("_k"), F.lit(False))
+        return marked.withColumn(out, chosen).drop("_k")
     asked = F.col("k") if ascending else F.col("n") - F.col("k")
     cuts = cut_points(df, score, id_col, quotas.select(*by, asked.alias("k")), by)
     # One cut per group: several quotas of a group are separate calls.
@@ -211,6 +240,24 @@ def top_k(df: DataFrame, score: str, id_col: str, quotas: DataFrame,
     return marked.withColumn(out, chosen).drop("cut_value", "cut_id", "_asked")
 
 
+def first_by_hash(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
+                  by: list[str] | None = None, out: str = "drawn") -> DataFrame:
+    """Mark exactly k rows per group, drawn without replacement in seeded hash order.
+
+    ``quotas`` is small with (by..., k).
+    """
+    by = list(by or [])
+    hashed = df.withColumn("_h", seeded_hash(seed, id_col))
+    if is_small(df):
+        place = F.row_number().over(W.partitionBy(*by).orderBy("_h", id_col))
+        marked = with_cuts(hashed, quotas.select(*by, F.col("k").alias("_k")), by)
+        chosen = F.coalesce(place <= F.col("_k"), F.lit(False))
+        return marked.withColumn(out, chosen).drop("_k", "_h")
+    cuts = hash_cuts(df, id_col, seed, quotas, by).drop("k")
+    marked = with_cuts(hashed, cuts, by)
+    return marked.withColumn(out, up_to("_h", id_col)).drop("_h", "cut_value", "cut_id")
+
+
 def hash_cuts(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
               by: list[str] | None = None) -> DataFrame:
     """The k-th row per group in (seeded hash, id) order: (by..., k, cut_value, cut_id).
@@ -219,10 +266,14 @@ def hash_cuts(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
     map-side count, then a sort of the boundary bucket alone (n / 4096 rows).
     """
     by = list(by or [])
+    keys = by or ["_one"]
     shift = HASH_BITS - HASH_BUCKET_BITS
     rows = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(seed, id_col).alias("_h"))
     rows = rows.withColumn("_z", F.shiftright("_h", shift).cast("int"))
-    target = _slice_of(quotas.select(*by, "k"), rows, by)
+    asked = quotas.select(*by, "k") if by else settle(
+        quotas.select("k").withColumn("_one", F.lit(0))
+    )
+    target = _slice_of(asked.select(*keys, "k"), rows, by)
     place = F.row_number().over(W.partitionBy(*by, "_z").orderBy("_h", "_id"))
     inside = rows.join(target.select(*by, "_z").distinct(), [*by, "_z"]).withColumn("_r", place)
     return settle(
@@ -249,6 +300,10 @@ def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None
     runs inside buckets.
     """
     by = list(by or [])
+    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    if is_small(df):
+        place = F.row_number().over(W.partitionBy(*by).orderBy(order(value), order(id_col)))
+        return df.withColumn(out, place.cast("bigint"))
     bounded = attach(df, _bounds(df, value, by, buckets), by)
     bounded = locate(bounded, "_b", value, "_z", buckets - 1)
     tie = F.coalesce(F.get("_b", F.col("_z")) == F.col(value), F.lit(False))
@@ -256,7 +311,6 @@ def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None
     ids = attach(bounded, _bounds(df, id_col, [], buckets), [])
     ids = locate(ids, "_b", id_col, "_s", buckets - 1).drop("_b")
     split = ids.withColumn("_s", F.when(F.col("_z") % 2 == 1, F.col("_s")).otherwise(0))
-    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     running = W.partitionBy(*by).orderBy(order("_z"), order("_s"))
     counts = settle(split.groupBy(*by, "_z", "_s").agg(F.count(F.lit(1)).alias("_c")))
     offsets = counts.withColumn("_before", F.sum("_c").over(running) - F.col("_c")).drop("_c")
@@ -279,10 +333,13 @@ def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | N
     for all groups, for groups that spread alike such as bootstrap replicates.
     """
     by = list(by or [])
+    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    if is_small(cells):
+        running = W.partitionBy(*by).orderBy(order(value))
+        return cells.select("*", *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums])
     keys = [] if shared_bounds else by
     bounds = _bounds(cells, value, keys, buckets)
     rows = locate(attach(cells, bounds, keys), "_b", value, "_z", buckets - 1).drop("_b")
-    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     totals = settle(rows.groupBy(*by, "_z").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums]))
     running = W.partitionBy(*by).orderBy(order("_z"))
     totals = totals.select(
@@ -303,6 +360,9 @@ def dense_position(df: DataFrame, bucket: list[str], order: list[str], out: str)
     Buckets are counted first, so the sort runs per bucket; only the bucket counts (distinct
     bucket keys) are ordered as a whole.
     """
+    if is_small(df):
+        place = F.row_number().over(W.orderBy(*bucket, *order))
+        return df.withColumn(out, (place - 1).cast("bigint"))
     counts = settle(df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c")))
     offsets = counts.withColumn(
         "_before", F.sum("_c").over(W.orderBy(*bucket)) - F.col("_c")
@@ -313,3 +373,25 @@ def dense_position(df: DataFrame, bucket: list[str], order: list[str], out: str)
         .withColumn(out, (F.col("_before") + place - 1).cast("bigint"))
         .drop("_before")
     )
+
+
+def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None):
+    """Exact quantiles with linear interpolation per group: (by..., prob, quantile)."""
+    by = list(by or [])
+    counts = settle(
+        df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    )
+    asked = counts.where("_n > 0").withColumn(
+        "prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    ).withColumn("_at", F.col("prob") * (F.col("_n") - 1))
+    asked = asked.withColumn("_lo", F.floor("_at") + 1).withColumn("_hi", F.ceil("_at") + 1)
+    ranks = asked.select(*by, F.explode(F.array("_lo", "_hi")).alias("k")).distinct()
+    found = kth_values(df, value, ranks, by).select(*by, "k", "cut_value")
+    low = found.withColumnsRenamed({"k": "_lo", "cut_value": "_vlo"})
+    high = found.withColumnsRenamed({"k": "_hi", "cut_value": "_vhi"})
+    weight = F.col("_at") - (F.col("_lo") - 1)
+    return (
+        asked.join(low, [*by, "_lo"]).join(high, [*by, "_hi"])
+        .select(*by, "prob",
+                (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * weight).alias("quantile"))
+    )
