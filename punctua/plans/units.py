@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctua.operators import order, prepare, selection, split
-from punctua.session import stage
+from punctua.session import stage, work_path  # noqa: F401
 
 RULES = prepare.Rules(start=(1992, 1), end=(2025, 1))
 SPLIT_SEED, BALANCE_SEED, VALUE_SEED, MANDATORY_SEED = "split42", "under42", "value42", "mand42"
