@@ -1,9 +1,10 @@
 """Extremely randomised trees, grown level by level (M2).
 
-All trees grow together. One level is two passes over the training table: the range of each
-candidate feature in every open node, then class counts on both sides of the drawn thresholds.
-Tasks hold only the trees so far and return sums per (tree, node, feature); Spark adds these
-up, and the driver keeps the model, whose size is bounded by trees and depth, not by rows.
+All trees grow together. One level is one pass over the training table: class counts and
+feature ranges on both sides of the thresholds drawn for every open node. Tasks hold only the
+trees so far and return sums per (node, draw, side); Spark adds these up. The driver keeps the
+model: a fit whose trees outgrow ``MAX_NODES`` is refused and needs a lower depth or larger
+leaves.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MAX_NODES = 5_000_000
+
+
 @dataclass
 class Trees:
     """Nodes of all trees in flat arrays; ``left`` is -1 at a leaf, right is left + 1."""
@@ -60,127 +64,115 @@ def fit(df: DataFrame, columns: list[str], target: str, trees: int = 300, max_de
 
 def _grow(rows, columns, trees, max_depth, min_leaf, max_features, seed) -> Trees:
     rng = np.random.default_rng(seed)
-    n, positives = rows.agg(F.count(F.lit(1)), F.sum("_y")).first()
+    first = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p"),
+                     F.array(*[F.min(c) for c in columns]).alias("lo"),
+                     F.array(*[F.max(c) for c in columns]).alias("hi")).first()
+    share = first["p"] / first["n"]
     model = Trees(np.arange(trees), np.zeros(trees, int), np.zeros(trees),
-                  np.full(trees, -1), np.full(trees, positives / n))
-    count = {node: (n, positives) for node in range(trees)}
-    open_nodes = {node: node for node in range(trees)}  # node -> tree
+                  np.full(trees, -1), np.full(trees, share))
+    root = (first["n"], first["p"], np.array(first["lo"]), np.array(first["hi"]))
+    open_nodes = {node: (node, root) for node in range(trees)}  # node -> (tree, statistics)
     picked = _feature_count(max_features, len(columns))
     for _ in range(max_depth):
-        open_nodes = {v: t for v, t in open_nodes.items()
-                      if count[v][0] >= 2 * min_leaf and 0 < count[v][1] < count[v][0]}
-        if not open_nodes:
-            break
-        ranges = _ranges(rows, columns, model, open_nodes)
-        drawn = []
-        for node in sorted(open_nodes):
-            low, high = ranges[node]
+        draws, live = {}, set()
+        for node, (tree, (n, p, low, high)) in sorted(open_nodes.items()):
             varied = np.flatnonzero(high > low)
-            for f in rng.permutation(varied)[:picked]:
-                drawn.append((node, int(f), float(rng.uniform(low[f], high[f]))))
-        best = _best_splits(rows, columns, model, open_nodes, drawn, count, min_leaf)
-        opened = {}
-        for node, (f, cut, left_n, left_p) in sorted(best.items()):
-            at = len(model.left)
-            all_n, all_p = count[node]
+            if n < 2 * min_leaf or not 0 < p < n or not len(varied):
+                continue
+            draws[node] = [(int(f), float(rng.uniform(low[f], high[f])))
+                           for f in rng.permutation(varied)[:picked]]
+            live.add(tree)
+        best = _best_splits(rows, columns, model, draws, sorted(live), min_leaf) if draws else {}
+        if not best:
+            break
+        opened, values = {}, []
+        for node, (f, cut, sides) in sorted(best.items()):
+            at = len(model.left) + len(values)
             model.feature[node], model.threshold[node], model.left[node] = f, cut, at
-            sides = [(left_n, left_p), (all_n - left_n, all_p - left_p)]
-            for i, (side_n, side_p) in enumerate(sides):
-                count[at + i] = (side_n, side_p)
-                opened[at + i] = open_nodes[node]
-            model.feature = np.append(model.feature, [0, 0])
-            model.threshold = np.append(model.threshold, [0.0, 0.0])
-            model.left = np.append(model.left, [-1, -1])
-            model.value = np.append(model.value, [p / m for m, p in sides])
+            for i, side in enumerate(sides):
+                opened[at + i] = (open_nodes[node][0], side)
+                values.append(side[1] / side[0])
+        if len(model.left) + len(values) > MAX_NODES:
+            raise ValueError("The trees outgrow the driver: lower max_depth or raise min_leaf.")
+        more = len(values)
+        model.feature = np.append(model.feature, np.zeros(more, int))
+        model.threshold = np.append(model.threshold, np.zeros(more))
+        model.left = np.append(model.left, np.full(more, -1))
+        model.value = np.append(model.value, values)
         open_nodes = opened
     return model
 
 
-def _batches(batches, columns, model, open_nodes):
-    """(tree, open nodes' mask, node per row, x, y) for every batch and tree."""
-    wanted = np.zeros(len(model.left), bool)
-    wanted[list(open_nodes)] = True
-    live = sorted(set(open_nodes.values()))
-    for batch in batches:
-        x, y = batch[columns].to_numpy(float), batch["_y"].to_numpy(float)
-        for tree in live:
-            at = model.leaves(x, tree)
-            keep = wanted[at]
-            if keep.any():
-                yield at[keep], x[keep], y[keep]
+def _impurity(n, p):
+    return 2 * p * (n - p) / n
 
 
-def _ranges(rows, columns, model, open_nodes) -> dict:
-    """Minimum and maximum of every feature in every open node."""
-    size = len(columns)
-
-    def scan(batches):
-        low, high = {}, {}
-        for at, x, _ in _batches(batches, columns, model, open_nodes):
-            order = np.argsort(at, kind="stable")
-            nodes, start = np.unique(at[order], return_index=True)
-            lows = np.minimum.reduceat(x[order], start, axis=0)
-            highs = np.maximum.reduceat(x[order], start, axis=0)
-            for node, a, b in zip(nodes, lows, highs):
-                low[node] = np.minimum(low[node], a) if node in low else a
-                high[node] = np.maximum(high[node], b) if node in high else b
-        if low:
-            yield pd.DataFrame({"node": list(low), "lo": [v.tolist() for v in low.values()],
-                                "hi": [high[k].tolist() for k in low]})
-
-    found = rows.mapInPandas(scan, "node long, lo array<double>, hi array<double>")
-    aggs = [f(F.col(side)[i]).alias(f"{side}{i}") for i in range(size)
-            for side, f in (("lo", F.min), ("hi", F.max))]
-    out = {}
-    for row in found.groupBy("node").agg(*aggs).toLocalIterator():
-        out[row["node"]] = (np.array([row[f"lo{i}"] for i in range(size)]),
-                            np.array([row[f"hi{i}"] for i in range(size)]))
-    return out
-
-
-def _best_splits(rows, columns, model, open_nodes, drawn, count, min_leaf) -> dict:
-    """The drawn split of largest Gini gain per node: (feature, cut, left rows, left positives)."""
-    by_node: dict = {}
-    for i, (node, f, cut) in enumerate(drawn):
-        by_node.setdefault(node, []).append((i, f, cut))
-    width = max((len(v) for v in by_node.values()), default=0)
-    if not width:
-        return {}
+def _best_splits(rows, columns, model, draws, live, min_leaf) -> dict:
+    """Per node the draw of largest Gini gain: (feature, cut, (left, right) statistics)."""
+    width = max(len(v) for v in draws.values())
     feature = np.zeros((len(model.left), width), int)
     cuts = np.full((len(model.left), width), np.nan)
-    for node, entries in by_node.items():
-        for j, (_, f, cut) in enumerate(entries):
+    for node, entries in draws.items():
+        for j, (f, cut) in enumerate(entries):
             feature[node, j], cuts[node, j] = f, cut
 
     def scan(batches):
-        rows_left = np.zeros(cuts.shape)
-        hits_left = np.zeros(cuts.shape)
-        for at, x, y in _batches(batches, columns, model, open_nodes):
-            for j in range(width):
-                low = x[np.arange(len(x)), feature[at, j]] <= cuts[at, j]
-                rows_left[:, j] += np.bincount(at[low], minlength=len(cuts))
-                hits_left[:, j] += np.bincount(at[low], weights=y[low], minlength=len(cuts))
-        node, j = np.nonzero(rows_left)
-        if len(node):
-            yield pd.DataFrame({"node": node, "j": j, "n": rows_left[node, j],
-                                "p": hits_left[node, j]})
-
-    def impurity(n, p):
-        return 2 * p * (n - p) / n
-
+        sums: dict = {}
+        for batch in batches:
+            x, y = batch[columns].to_numpy(float), batch["_y"].to_numpy(float)
+            for tree in live:
+                at = model.leaves(x, tree)
+                for j in range(width):
+                    cut = cuts[at, j]
+                    drawn = np.flatnonzero(~np.isnan(cut))
+                    node = at[drawn]
+                    right = x[drawn, feature[node, j]] > cut[drawn]
+                    key = node * 2 + right
+                    order = np.argsort(key, kind="stable")
+                    keys, start = np.unique(key[order], return_index=True)
+                    if not len(keys):
+                        continue
+                    picked = drawn[order]
+                    size = np.diff(np.append(start, len(order)))
+                    hits = np.add.reduceat(y[picked], start)
+                    low = np.minimum.reduceat(x[picked], start, axis=0)
+                    high = np.maximum.reduceat(x[picked], start, axis=0)
+                    for i, k in enumerate(keys):
+                        old = sums.get((int(k), j))
+                        new = (size[i], hits[i], low[i], high[i])
+                        sums[int(k), j] = new if old is None else (
+                            old[0] + new[0], old[1] + new[1],
+                            np.minimum(old[2], new[2]), np.maximum(old[3], new[3]))
+        if sums:
+            yield pd.DataFrame({
+                "side": [k for k, _ in sums], "j": [j for _, j in sums],
+                "n": [float(v[0]) for v in sums.values()],
+                "p": [float(v[1]) for v in sums.values()],
+                "lo": [v[2].tolist() for v in sums.values()],
+                "hi": [v[3].tolist() for v in sums.values()],
+            })
+
+    found = rows.mapInPandas(
+        scan, "side long, j int, n double, p double, lo array<double>, hi array<double>")
+    size = range(len(columns))
+    table = found.groupBy("side", "j").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"),
+        F.array(*[F.min(F.col("lo")[i]) for i in size]).alias("lo"),
+        F.array(*[F.max(F.col("hi")[i]) for i in size]).alias("hi"),
+    ).toPandas()
+    sides: dict = {}
+    for row in table.itertuples(index=False):
+        sides.setdefault((row.side // 2, row.j), {})[row.side % 2] = (
+            row.n, row.p, np.asarray(row.lo, float), np.asarray(row.hi, float))
     best: dict = {}
-    found = rows.mapInPandas(scan, "node long, j int, n double, p double")
-    sums = found.groupBy("node", "j").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    for row in sums.orderBy("node", "j").toLocalIterator():
-        node, left_n, left_p = row["node"], row["n"], row["p"]
-        all_n, all_p = count[node]
-        right_n, right_p = all_n - left_n, all_p - left_p
-        if min(left_n, right_n) < min_leaf:
+    for (node, j), pair in sorted(sides.items()):
+        if len(pair) < 2 or min(pair[0][0], pair[1][0]) < min_leaf:
             continue
-        gain = impurity(all_n, all_p) - impurity(left_n, left_p) - impurity(right_n, right_p)
+        n, p = pair[0][0] + pair[1][0], pair[0][1] + pair[1][1]
+        gain = _impurity(n, p) - sum(_impurity(*pair[i][:2]) for i in (0, 1))
         if node not in best or gain > best[node][0]:
-            split = (int(feature[node, row["j"]]), float(cuts[node, row["j"]]), left_n, left_p)
-            best[node] = (gain, split)
+            best[node] = (gain, (int(feature[node, j]), float(cuts[node, j]),
+                                 (pair[0], pair[1])))
     return {node: split for node, (_, split) in best.items()}
 
 

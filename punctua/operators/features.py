@@ -19,10 +19,9 @@ SCALED = [f"z_{c}" for c in CATEGORICAL + NUMERIC]
 
 def category_codes(train: DataFrame, column: str) -> DataFrame:
     """Sorted dictionary (column, rows, code): one row per category, codes from 0."""
-    counts = train.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    counts = counts.withColumn("_p", F.substring(column, 1, 3))
+    counts = settle(train.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.count(F.lit(1)).alias("rows"), F.first(F.substring(column, 1, 3)).alias("_p")
+    ))
     return settle(order.dense_position(counts, ["_p"], [column], "code").drop("_p"))
 
 

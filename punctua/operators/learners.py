@@ -61,9 +61,23 @@ def _ordinal(train: DataFrame, scaled: bool = False):
     return lambda df: features.assemble(encoding.transform(df), columns)
 
 
-def _fit_on(estimator, vectors: DataFrame):
-    """Fit with the encoded training table held for the passes of the fit."""
-    held = vectors.select("features", F.col("target").cast("double").alias("label")).persist()
+ROWS_PER_TASK = 20_000
+
+
+def _vectors(encoded: DataFrame) -> DataFrame:
+    """Feature vectors and labels, held for the many passes of a fit.
+
+    A small table is put into few partitions, for which a pass costs less than its tasks.
+    """
+    rows = encoded.select("features", F.col("target").cast("double").alias("label"))
+    count = rows.limit(ROWS_PER_TASK * 8 + 1).count()
+    if count <= ROWS_PER_TASK * 8:
+        rows = rows.coalesce(max(1, ceil(count / ROWS_PER_TASK)))
+    return rows.persist()
+
+
+def _fit_on(estimator, encoded: DataFrame):
+    held = _vectors(encoded)
     try:
         return estimator.setParams(featuresCol="features", labelCol="label").fit(held)
     finally:
@@ -131,8 +145,9 @@ def _gbt(name: str, params: dict, seed: int, rounds: int) -> GBTClassifier:
 
 
 def boosting(name: str) -> Callable:
-    def fit(train: DataFrame, params: dict, seed: int, iterations: int | None = None) -> Scorer:
-        transform = _ordinal(train)
+    def fit(train: DataFrame, params: dict, seed: int, iterations: int | None = None,
+            transform=None) -> Scorer:
+        transform = transform or _ordinal(train)
         rounds = int(iterations or params.get("n_estimators") or 300)
         model = _fit_on(_gbt(name, params, seed, rounds), transform(train))
         return _spark_scorer(name, transform, model, {"iterations": rounds})
@@ -168,10 +183,8 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
     marked = stage(split.holdout(train, f"stop{seed}", id_col), "holdout")
     inner = marked.where(~F.col("is_validation"))
     transform = _ordinal(inner)
-    fit_rows = transform(inner).select(
-        "features", F.col("target").cast("double").alias("label")).persist()
-    check = transform(marked.where("is_validation")).select(
-        "features", F.col("target").cast("double").alias("label")).persist()
+    fit_rows = _vectors(transform(inner))
+    check = _vectors(transform(marked.where("is_validation")))
     rounds = min(max_rounds, max(2 * patience, 10))
     while True:
         model = _gbt(name, params, seed, rounds).fit(fit_rows)
@@ -279,6 +292,7 @@ def platt(margins: DataFrame) -> tuple[float, float]:
     The soft target t of a row is entered as two weighted rows: class 1 with weight t and
     class 0 with weight 1 - t.
     """
+    margins = stage(margins, "margins")
     p, n = margins.agg(F.sum("target"), F.sum(1 - F.col("target"))).first()
     soft = F.when(F.col("target") == 1, F.lit((p + 1) / (p + 2))).otherwise(F.lit(1 / (n + 2)))
     twice = F.explode(F.array(
@@ -288,8 +302,7 @@ def platt(margins: DataFrame) -> tuple[float, float]:
     rows = VectorAssembler(inputCols=["margin"], outputCol="features").transform(
         margins.select("margin", twice.alias("t")).select("margin", "t.*")
     ).persist()
-    fitted = LogisticRegression(weightCol="w", regParam=0.0, maxIter=200, tol=1e-10,
-                                standardization=True).fit(rows)
+    fitted = LogisticRegression(weightCol="w", regParam=0.0, maxIter=100, tol=1e-9).fit(rows)
     rows.unpersist()
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
@@ -301,19 +314,18 @@ def linear_svm(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id
     folded = stage(
         split.stratified_folds(train, folds, f"svm{seed}", id_col), "svm"
     )
-    vectors = encoding.transform(folded).select(
-        "fold", "target", F.col("target").cast("double").alias("label"), "features").persist()
+    encoded = encoding.transform(folded).select("fold", "target", "features")
     members = []
     for fold in range(folds):
-        inner = vectors.where(F.col("fold") != fold)
+        inner = encoded.where(F.col("fold") != fold)
         settings = _ridge(inner.count(), params.get("C", 1.0))
-        svc = LinearSVC(regParam=settings["regParam"], standardization=False, maxIter=200)
-        model = svc.fit(inner)
+        model = _fit_on(
+            LinearSVC(regParam=settings["regParam"], standardization=False, maxIter=100), inner
+        )
         margin = vector_to_array("rawPrediction")[1]
-        held = model.transform(vectors.where(F.col("fold") == fold)).select(
+        held = model.transform(encoded.where(F.col("fold") == fold)).select(
             margin.alias("margin"), "target")
         members.append((model, *platt(held)))
-    vectors.unpersist()
 
     def score(df):
         wide = encoding.transform(df)
@@ -337,10 +349,11 @@ def out_of_fold(folded: DataFrame, specs: dict[str, dict], folds: int, seed: int
     for fold in range(folds):
         inner = folded.where(F.col("fold") != fold)
         held = folded.where(F.col("fold") == fold)
+        transform = _ordinal(inner)
         for name in BOOSTING:
             spec = specs[name]
-            fitted = fit(name, inner, spec["params"], seed + fold, id_col,
-                         spec.get("iterations"))
+            fitted = boosting(name)(inner, spec["params"], seed + fold,
+                                    spec.get("iterations"), transform)
             parts.append(fitted.score(held).select(
                 id_col, "target", "fold", F.lit(name).alias("model"), "probability"))
     out = parts[0]
@@ -378,8 +391,9 @@ def stacking(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id",
     long = out_of_fold(folded, specs, folds, seed, id_col)
     table = stage(meta_features(long, [id_col, "target", "fold"]), "oof")
     meta = fit_meta(table, params.get("C", 1.0))
-    bases = {n: fit(n, train, specs[n]["params"], seed, id_col, specs[n].get("iterations"))
-             for n in BOOSTING}
+    transform = _ordinal(train)
+    bases = {n: boosting(n)(train, specs[n]["params"], seed, specs[n].get("iterations"),
+                            transform) for n in BOOSTING}
 
     def score(df):
         wide = df

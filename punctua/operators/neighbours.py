@@ -121,17 +121,17 @@ def _node_boxes(nodes: list, boxes: pd.DataFrame, columns: list[str]):
     return low, high
 
 
-def _best(pairs_q, pairs_t, columns, scale, k, p):
-    """(test row, train row, distance) of the k nearest per test point of one block."""
+def _best(queries: pd.DataFrame, block: pd.DataFrame, columns, scale, k: int, p: int):
+    """Per block of test rows: (first row, positions of the k nearest, their distances).
+
+    The block is in id order, so a stable sort breaks ties by id.
+    """
     scale = np.asarray(scale)
-    a = pairs_q[columns].to_numpy(float)
-    b = pairs_t[columns].to_numpy(float)
-    ids = pairs_t["tid"].to_numpy()
+    a, b = queries[columns].to_numpy(float), block[columns].to_numpy(float)
     for start in range(0, len(a), 256):
         d = _distances(a[start:start + 256], b, scale, p)
-        for i in range(len(d)):
-            take = np.lexsort((ids, d[i]))[:k]
-            yield start + i, take, d[i][take]
+        take = np.argsort(d, axis=1, kind="stable")[:, :k]
+        yield start, take, np.take_along_axis(d, take, axis=1)
 
 
 def knn_probability(train: DataFrame, test: DataFrame, columns: list[str], scale: list[float],
@@ -183,8 +183,8 @@ def knn_probability(train: DataFrame, test: DataFrame, columns: list[str], scale
     def own_cell(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         reach = np.full(len(queries), np.inf)
         if len(block) >= k:
-            for i, _, d in _best(queries, block, columns, scale, k, p):
-                reach[i] = d[-1] + SLACK
+            for start, _, d in _best(queries, block, columns, scale, k, p):
+                reach[start:start + len(d)] = d[:, -1] + SLACK
         return queries[columns].assign(reach=reach)
 
     bounded = _per_cell(asked, points, own_cell, bound_schema)
@@ -206,15 +206,17 @@ def knn_probability(train: DataFrame, test: DataFrame, columns: list[str], scale
     )
 
     def nearest(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for i, take, d in _best(queries, block, columns, scale, k, p):
-            part = block.iloc[take][["tid", "y"]].assign(d=d)
-            for c in columns:
-                part[c] = queries[c].iloc[i]
-            parts.append(part)
-        if not parts:
+        if not len(block):
             return pd.DataFrame({f.name: [] for f in near_schema.fields})
-        return pd.concat(parts)[[f.name for f in near_schema.fields]]
+        block = block.sort_values("tid")
+        parts = []
+        for start, take, d in _best(queries, block, columns, scale, k, p):
+            near = block[["tid", "y"]].iloc[take.ravel()].assign(d=d.ravel())
+            who = queries[columns].iloc[start:start + len(d)]
+            who = who.iloc[np.repeat(np.arange(len(d)), take.shape[1])]
+            parts.append(pd.concat([who.reset_index(drop=True), near.reset_index(drop=True)],
+                                   axis=1))
+        return pd.concat(parts)
 
     merged = _per_cell(visits, points, nearest, near_schema).withColumn(
         "_r", F.row_number().over(W.partitionBy(*columns).orderBy("d", "tid"))

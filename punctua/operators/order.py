@@ -378,6 +378,13 @@ def dense_position(df: DataFrame, bucket: list[str], order: list[str], out: str)
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None):
     """Exact quantiles with linear interpolation per group: (by..., prob, quantile)."""
     by = list(by or [])
+    if is_small(df):
+        points = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+        found = df.groupBy(*by).agg(F.expr(f"percentile(`{value}`, {points})").alias("_q"))
+        pairs = F.explode(F.arrays_zip(F.expr(points).alias("prob"), F.col("_q")))
+        rows = found.where(F.col("_q").isNotNull()).select(*by, pairs.alias("_p"))
+        return settle(rows.select(*by, F.col("_p")["prob"].alias("prob"),
+                                  F.col("_p")["_q"].alias("quantile")))
     counts = settle(
         df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     )
