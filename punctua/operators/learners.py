@@ -280,7 +280,7 @@ def _ridge(rows: int, c: float) -> dict:
 
 def logistic_regression(train: DataFrame, params: dict, seed: int = 0) -> Scorer:
     encoding = features.fit_one_hot(train)
-    model = LogisticRegression(maxIter=1000, tol=1e-8,
+    model = LogisticRegression(maxIter=1000,
                                **_ridge(train.count(), params.get("C", 1.0)))
     fitted = _fit_on(model, encoding.transform(train))
     return _spark_scorer("logistic_regression", encoding.transform, fitted)
@@ -370,7 +370,7 @@ def meta_features(long: DataFrame, keys: list[str]) -> DataFrame:
 def fit_meta(rows: DataFrame, c: float):
     """Logistic regression on the three base probabilities."""
     vectors = VectorAssembler(inputCols=BOOSTING, outputCol="features").transform(rows)
-    model = LogisticRegression(maxIter=1000, tol=1e-8, **_ridge(rows.count(), c))
+    model = LogisticRegression(maxIter=1000, **_ridge(rows.count(), c))
     return _fit_on(model, vectors)
 
 

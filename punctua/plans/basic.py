@@ -266,14 +266,18 @@ def d3(spark, sf):
     return u.temporal_parts(spark, sf).select("unit_id", "year", "target", "part", "kept")
 
 
-FOLDS = SPLIT + f""",
+def folds_sql(seed: str, k: int) -> str:
+    return SPLIT + f""",
 classes as (select target, sum(count(*)) over (order by target) - count(*) as off
             from train group by target),
 folds as (select t.*, cast((off + row_number() over (partition by t.target
-            order by {h('fold42')}, unit_id) - 1) % 5 as int) as fold
+            order by {h(seed)}, unit_id) - 1) % {k} as int) as fold
           from train t join classes using (target))"""
 
 
+FOLDS = folds_sql("fold42", 5)
+
+
 @query("d4_stratified_folds", w(FOLDS, "select unit_id, target, fold from folds"))
 def d4(spark, sf):
     train = u.train_of(u.parts(spark, sf))

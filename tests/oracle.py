@@ -1,6 +1,8 @@
 """Run registered queries next to their SQL in DuckDB and compare whole results.
 
-Usage: python tests/oracle.py [sf_dir] [name prefix ...]
+Usage: python tests/oracle.py [--distributed] [sf_dir] [name prefix ...]
+
+``--distributed`` turns the plain paths for small tables off.
 """
 
 from __future__ import annotations
@@ -61,8 +63,14 @@ def main() -> int:
 
     import __spark_entry__ as e
 
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:]
+    args = sys.argv[1:]
+    if "--distributed" in args:
+        args.remove("--distributed")
+        from punctua.operators import order
+
+        order.PLAIN_ROWS = 0
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    wanted = args[1:]
     spark = build_session("oracle")
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(sf_dir), e.oracle_sql(), 0
