@@ -8,9 +8,9 @@ from punctua.functions.columns import seeded_hash
 from punctua.operators import order
 
 
-@pytest.fixture(params=[0, order.PLAIN_ROWS], ids=["distributed", "plain"], autouse=True)
-def path(request, monkeypatch):
-    monkeypatch.setattr(order, "PLAIN_ROWS", request.param)
+@pytest.fixture(autouse=True)
+def distributed(monkeypatch):
+    monkeypatch.setattr(order, "PLAIN_ROWS", 0)
 
 
 @pytest.fixture(scope="module")
@@ -33,10 +33,12 @@ def quotas(spark, rows, by, fraction):
     return spark.createDataFrame([(n, int(n * fraction))], "n bigint, k bigint")
 
 
-@pytest.mark.parametrize("by", [[], ["grp"]])
-@pytest.mark.parametrize("ascending", [True, False])
-@pytest.mark.parametrize("fraction", [0.0, 0.4, 1.0])
-def test_top_k_equals_window(spark, rows, by, ascending, fraction):
+@pytest.mark.parametrize("by, ascending, fraction, plain_rows", [
+    ([], True, 0.4, 0), ([], False, 0.4, 0), (["grp"], True, 0.4, 0), (["grp"], False, 0.4, 0),
+    ([], False, 0.0, 0), ([], False, 1.0, 0), (["grp"], False, 0.4, 10**6), ([], True, 0.4, 10**6),
+])
+def test_top_k_equals_window(spark, rows, by, ascending, fraction, plain_rows, monkeypatch):
+    monkeypatch.setattr(order, "PLAIN_ROWS", plain_rows)
     q = quotas(spark, rows, by, fraction)
     got = order.top_k(rows, "score", "id", q, by, ascending).where("selected")
     keys = [F.col(c) if ascending else F.col(c).desc() for c in ("score", "id")]
@@ -46,8 +48,7 @@ def test_top_k_equals_window(spark, rows, by, ascending, fraction):
     assert {r.id for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("by", [[], ["grp"]])
-@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("by, ascending", [([], True), (["grp"], False)])
 def test_rank_all_equals_window(rows, by, ascending):
     keys = [F.col(c) if ascending else F.col(c).desc() for c in ("score", "id")]
     both = order.rank_all(rows, "score", "id", by, ascending).withColumn(
@@ -74,8 +75,7 @@ def test_kth_values_many_ranks(spark, rows):
     assert got == {k: values[k - 1] for k in ranks}
 
 
-@pytest.mark.parametrize("shared", [True, False])
-@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("shared, ascending", [(True, False), (False, True)])
 def test_prefix_sums_equal_window(rows, shared, ascending):
     cells = rows.groupBy("grp", "score").agg(F.count("*").alias("c"))
     key = F.col("score") if ascending else F.col("score").desc()
@@ -89,3 +89,13 @@ def test_dense_position(rows):
     got = order.dense_position(rows, ["grp"], ["score", "id"], "pos").withColumn(
         "want", F.row_number().over(W.orderBy("grp", "score", "id")) - 1)
     assert got.where("pos <> want").count() == 0
+
+
+def test_quantiles_both_paths(rows, monkeypatch):
+    def read():
+        found = order.quantiles(rows, "score", [0.0, 0.3, 0.5, 1.0], ["grp"]).collect()
+        return {(r.grp, r.prob): round(r.quantile, 12) for r in found}
+
+    slow = read()
+    monkeypatch.setattr(order, "PLAIN_ROWS", 10**6)
+    assert slow == read()
