@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from punctua.functions.columns import seeded_hash
 from punctua.operators import order
-from punctua.session import settle
+from punctua.session import settle, small_table, stage
 
 METRICS = ["roc_auc", "pr_auc", "f1", "brier", "accuracy", "precision", "recall"]
 
@@ -106,12 +106,10 @@ def bootstrap_cells(scores: DataFrame, id_col: str, replicates: tuple[int, int],
     draws are made from the rows themselves, joined once on the row number, and combined to
     weights per distinct score before they are shuffled.
     """
-    rows = order.rank_all(
-        scores.select(id_col, F.col(probability).alias("probability"),
-                      F.col(target).alias("target")),
-        id_col, id_col, [], out="pos",
-    )
-    n = rows.agg(F.max("pos")).first()[0]
+    n = scores.count()
+    slim = scores.select(id_col, F.col(probability).alias("probability"),
+                         F.col(target).alias("target"))
+    rows = stage(order.rank_all(slim, id_col, id_col, [], out="pos", rows=n), "numbered")
     first, last = replicates
     draws = rows.select(
         (F.col("pos") - 1).alias("draw"),
@@ -181,7 +179,7 @@ def calibration(scores: DataFrame, bins: int, probability: str = "probability",
     probs = [i / bins for i in range(bins + 1)]
     edges = [r["quantile"] for r in
              order.quantiles(scores, probability, probs).orderBy("prob").collect()]
-    inner = settle(scores.sparkSession.createDataFrame([(edges[1:-1],)], "_e array<double>"))
+    inner = small_table(scores.sparkSession, [(edges[1:-1],)], "_e array<double>")
     rows = order.locate(order.attach(scores, inner, []), "_e", probability, "bin", bins - 1)
     return rows.groupBy("bin").agg(
         F.avg(probability).alias("mean_predicted"),

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from punctua.operators import extra_trees, features, neighbours, split
 from punctua.operators.prepare import FEATURES
-from punctua.session import settle, stage
+from punctua.session import settle, small_table, stage
 
 NAMES = [
     "random_forest", "extra_trees", "xgboost", "lightgbm", "catboost", "knn", "gaussian_nb",
@@ -70,7 +70,7 @@ def _vectors(encoded: DataFrame) -> DataFrame:
     A small table is put into few partitions, for which a pass costs less than its tasks.
     """
     rows = encoded.select("features", F.col("target").cast("double").alias("label"))
-    count = rows.limit(ROWS_PER_TASK * 8 + 1).count()
+    count = rows.count()
     if count <= ROWS_PER_TASK * 8:
         rows = rows.coalesce(max(1, ceil(count / ROWS_PER_TASK)))
     return rows.persist()
@@ -189,8 +189,9 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
     while True:
         model = _gbt(name, params, seed, rounds).fit(fit_rows)
         series = model.evaluateEachIteration(check)
-        losses = train.sparkSession.createDataFrame(
-            [(i + 1, float(x)) for i, x in enumerate(series)], "iteration int, loss double"
+        losses = small_table(
+            train.sparkSession, [(i + 1, float(x)) for i, x in enumerate(series)],
+            "iteration int, loss double",
         )
         best = max(patience_stop(losses, patience).first()["best_iteration"], 1)
         if rounds - best >= patience or rounds >= max_rounds:

@@ -23,15 +23,19 @@ from punctua.session import settle
 
 GRID = 1000
 ACCURACY = 10_000
-BUCKETS = 256
 HASH_BUCKET_BITS = 12
 LAST_ID = 2**63 - 1
 PLAIN_ROWS = 200_000
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the table has at most ``PLAIN_ROWS`` rows."""
-    return df.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether the table has at most ``PLAIN_ROWS`` rows; counted unless ``rows`` is known."""
+    return (df.count() if rows is None else rows) <= PLAIN_ROWS
+
+
+def bucket_count(rows: int) -> int:
+    """A power of two: about a million rows per bucket, from 256 to 4096 buckets."""
+    return 1 << min(12, max(8, ceil(log2(max(rows, 1) / 1_000_000))))
 
 
 def _constant(value, dtype: T.DataType) -> Column:
@@ -213,7 +217,8 @@ def with_cuts(df: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, score: str, id_col: str, quotas: DataFrame,
-          by: list[str] | None = None, ascending: bool = False, out: str = "selected"):
+          by: list[str] | None = None, ascending: bool = False, out: str = "selected",
+          rows: int | None = None):
     """Mark exactly k rows per group by score.
 
     ``quotas`` has (by..., n, k). Ascending order breaks ties by the lowest id; descending
@@ -221,12 +226,13 @@ def top_k(df: DataFrame, score: str, id_col: str, quotas: DataFrame,
     row selects nothing.
     """
     by = list(by or [])
-    if is_small(df):
+    if is_small(df, rows):
         key = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
         place = F.row_number().over(W.partitionBy(*by).orderBy(key(score), key(id_col)))
         marked = with_cuts(df, quotas.select(*by, F.col("k").alias("_k")), by)
         chosen = F.coalesce(place <= F.col("_k"), F.lit(False))
         return marked.withColumn(out, chosen).drop("_k")
+    quotas = settle(quotas)
     asked = F.col("k") if ascending else F.col("n") - F.col("k")
     cuts = cut_points(df, score, id_col, quotas.select(*by, asked.alias("k")), by)
     # One cut per group: several quotas of a group are separate calls.
@@ -241,14 +247,15 @@ def top_k(df: DataFrame, score: str, id_col: str, quotas: DataFrame,
 
 
 def first_by_hash(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
-                  by: list[str] | None = None, out: str = "drawn") -> DataFrame:
+                  by: list[str] | None = None, out: str = "drawn",
+                  rows: int | None = None) -> DataFrame:
     """Mark exactly k rows per group, drawn without replacement in seeded hash order.
 
     ``quotas`` is small with (by..., k).
     """
     by = list(by or [])
     hashed = df.withColumn("_h", seeded_hash(seed, id_col))
-    if is_small(df):
+    if is_small(df, rows):
         place = F.row_number().over(W.partitionBy(*by).orderBy("_h", id_col))
         marked = with_cuts(hashed, quotas.select(*by, F.col("k").alias("_k")), by)
         chosen = F.coalesce(place <= F.col("_k"), F.lit(False))
@@ -287,12 +294,12 @@ def _bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> DataFrame
     grid = _grid([i / buckets for i in range(1, buckets)])
     sketch = F.expr(f"percentile_approx(`{value}`, {grid}, {ACCURACY})")
     return settle(
-        df.where(F.col(value).isNotNull()).groupBy(*by).agg(sketch.alias("_b")), bound=2_000
+        df.where(F.col(value).isNotNull()).groupBy(*by).agg(sketch.alias("_b")), bound=500
     )
 
 
 def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None,
-             ascending: bool = True, out: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+             ascending: bool = True, out: str = "rank", rows: int | None = None) -> DataFrame:
     """1-based position of every row in (value, id) order, per group.
 
     Rows are bucketed by sketched bounds; a value that fills whole buckets (a hot tie) gets a
@@ -301,9 +308,11 @@ def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    if is_small(df):
+    rows = df.count() if rows is None else rows
+    if is_small(df, rows):
         place = F.row_number().over(W.partitionBy(*by).orderBy(order(value), order(id_col)))
         return df.withColumn(out, place.cast("bigint"))
+    buckets = bucket_count(rows)
     bounded = attach(df, _bounds(df, value, by, buckets), by)
     bounded = locate(bounded, "_b", value, "_z", buckets - 1)
     tie = F.coalesce(F.get("_b", F.col("_z")) == F.col(value), F.lit(False))
@@ -325,8 +334,7 @@ def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None
 
 
 def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | None = None,
-                ascending: bool = True, shared_bounds: bool = False,
-                buckets: int = BUCKETS) -> DataFrame:
+                ascending: bool = True, shared_bounds: bool = False) -> DataFrame:
     """Running totals of ``sums`` up to and including each row, as ``cum_<name>``.
 
     ``cells`` has one row per (group, value). ``shared_bounds`` takes one set of bucket bounds
@@ -334,9 +342,11 @@ def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | N
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    if is_small(cells):
+    size = cells.count()
+    if is_small(cells, size):
         running = W.partitionBy(*by).orderBy(order(value))
         return cells.select("*", *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums])
+    buckets = bucket_count(size)
     keys = [] if shared_bounds else by
     bounds = _bounds(cells, value, keys, buckets)
     rows = locate(attach(cells, bounds, keys), "_b", value, "_z", buckets - 1).drop("_b")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from punctua.functions.columns import seeded_hash
 from punctua.operators import order
-from punctua.session import settle
+from punctua.session import settle, small_table
 
 ID = "unit_id"
 POLICIES = ["random", "value_only", "risk_only", "net_score", "binary_label_policy"]
@@ -40,7 +40,7 @@ def net_score(penalty: float, risk: str = "probability") -> Column:
 
 
 def _one_quota(df: DataFrame, n: int, k: int) -> DataFrame:
-    return df.sparkSession.createDataFrame([(n, k)], "n bigint, k bigint")
+    return small_table(df.sparkSession, [(n, k)], "n bigint, k bigint")
 
 
 def policies(df: DataFrame, penalty: float, capacity: float, seed: str) -> DataFrame:
@@ -64,10 +64,12 @@ def policies(df: DataFrame, penalty: float, capacity: float, seed: str) -> DataF
         entry("net_score", net_score(penalty)),
         entry("binary_label_policy", net_score(penalty, "target")),
     ))).select(*df.columns, "_s.*")
-    quotas = df.sparkSession.createDataFrame(
-        [(name, n, k) for name in POLICIES], "strategy string, n bigint, k bigint"
+    quotas = small_table(
+        df.sparkSession, [(name, n, k) for name in POLICIES],
+        "strategy string, n bigint, k bigint",
     )
-    return order.top_k(long, "score", "tie", quotas, ["strategy"]).drop("score", "tie")
+    return order.top_k(long, "score", "tie", quotas, ["strategy"],
+                       rows=n * len(POLICIES)).drop("score", "tie")
 
 
 def capacity_optimum(df: DataFrame, penalty: float, capacity: float) -> DataFrame:
@@ -76,7 +78,7 @@ def capacity_optimum(df: DataFrame, penalty: float, capacity: float) -> DataFram
     sizes = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_net") > 0).alias("p"))
     n, positive = sizes.first()
     k = min(capacity_count(n, capacity), positive)
-    marked = order.top_k(scored, "_net", ID, _one_quota(df, n, k))
+    marked = order.top_k(scored, "_net", ID, _one_quota(df, n, k), rows=n)
     return marked.drop("_net").withColumn("strategy", F.lit("capacity_only_milp"))
 
 
@@ -84,9 +86,9 @@ def mandatory_units(df: DataFrame, fraction: float, seed: str) -> DataFrame:
     """Mark floor(n * fraction) seeded units as ``mandatory``."""
     if not 0 <= fraction <= 1:
         raise ValueError("The mandatory fraction must be in [0, 1].")
-    k = floor(df.count() * float(fraction))
-    quota = df.sparkSession.createDataFrame([(k,)], "k bigint")
-    return order.first_by_hash(df, ID, seed, quota, out="mandatory")
+    n = df.count()
+    quota = small_table(df.sparkSession, [(floor(n * float(fraction)),)], "k bigint")
+    return order.first_by_hash(df, ID, seed, quota, out="mandatory", rows=n)
 
 
 def require_known(df: DataFrame, wanted: DataFrame) -> None:
@@ -121,11 +123,13 @@ def structural_optimum(df: DataFrame, penalty: float, capacity: float, group: st
     if fixed + needed > cap:
         raise RuntimeError("No optimal solution: Infeasible")
     forced = scored.where("mandatory").withColumn("selected", F.lit(True))
-    second = order.top_k(scored.where("not mandatory"), "_net", ID, quotas, [group], out="_own")
+    second = order.top_k(scored.where("not mandatory"), "_net", ID, quotas, [group], out="_own",
+                         rows=total - fixed)
     rest = second.where(~F.col("_own")).drop("_own")
     sizes = rest.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_net") > 0).alias("p"))
     n, positive = sizes.first()
-    third = order.top_k(rest, "_net", ID, _one_quota(df, n, min(cap - fixed - needed, positive)))
+    k = min(cap - fixed - needed, positive)
+    third = order.top_k(rest, "_net", ID, _one_quota(df, n, k), rows=n)
     taken = second.where("_own").drop("_own").withColumn("selected", F.lit(True))
     marked = forced.unionByName(taken).unionByName(third)
     return marked.drop("_net").withColumn("strategy", F.lit("structural_milp"))
@@ -170,12 +174,13 @@ def scenarios(df: DataFrame, penalties: list[float], capacities: list[float]) ->
     long = df.withColumn(
         "penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties]))
     ).withColumn("_net", F.col("value") - F.col("penalty") * F.col("probability"))
-    if order.is_small(long):
-        ranked = order.rank_all(long, "_net", ID, ["penalty"], ascending=False)
+    total = n * len(penalties)
+    if order.is_small(long, total):
+        ranked = order.rank_all(long, "_net", ID, ["penalty"], ascending=False, rows=total)
         chosen = [F.col("rank") <= F.lit(k) for k in counts]
     else:
         asked = [(float(p), n - k) for p in penalties for k in sorted(set(counts))]
-        quotas = df.sparkSession.createDataFrame(asked, "penalty double, k bigint")
+        quotas = small_table(df.sparkSession, asked, "penalty double, k bigint")
         cuts = order.cut_points(long, "_net", ID, quotas, ["penalty"])
         ranked, chosen = long, []
         for i, k in enumerate(counts):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from punctua.functions.columns import seeded_hash
 from punctua.operators import order
 from punctua.operators.prepare import class_counts
-from punctua.session import settle
+from punctua.session import settle, small_table
 
 
 def _counts(df: DataFrame, target: str) -> dict:
@@ -38,8 +38,8 @@ def largest_remainder(counts: dict, total: int) -> dict:
 def _quota_table(df: DataFrame, target: str, quotas: dict, counts: dict | None = None):
     kind = df.schema[target].dataType
     fields = [T.StructField(target, kind), T.StructField("k", T.LongType())]
-    return df.sparkSession.createDataFrame(
-        [(c, int(k)) for c, k in quotas.items()], T.StructType(fields)
+    return small_table(
+        df.sparkSession, [(c, int(k)) for c, k in quotas.items()], T.StructType(fields)
     )
 
 
@@ -48,7 +48,7 @@ def stratified_draw(df: DataFrame, rows: int, seed: str, id_col: str, target: st
     """Mark exactly ``rows`` rows, spread over the classes by largest remainder."""
     counts = counts or _counts(df, target)
     quotas = _quota_table(df, target, largest_remainder(counts, rows))
-    return order.first_by_hash(df, id_col, seed, quotas, [target], out)
+    return order.first_by_hash(df, id_col, seed, quotas, [target], out, sum(counts.values()))
 
 
 def random_split(df: DataFrame, test_size: float, seed: str, id_col: str,
@@ -82,20 +82,22 @@ def undersample(df: DataFrame, seed: str, id_col: str, target: str = "target") -
     """Mark as many rows of each class as the smallest class has."""
     counts = _counts(df, target)
     quotas = _quota_table(df, target, {c: min(counts.values()) for c in counts})
-    return order.first_by_hash(df, id_col, seed, quotas, [target], "kept")
+    return order.first_by_hash(df, id_col, seed, quotas, [target], "kept", sum(counts.values()))
 
 
 def balance(df: DataFrame, seed: str, id_col: str, target: str = "target") -> DataFrame:
     """Undersample the training part only; every test row is kept."""
     train = F.col("part") == "train"
-    counts = _counts(df.where(train), target)
+    sizes = settle(df.groupBy("part", target).agg(F.count(F.lit(1)).alias("n"))).collect()
+    counts = {r[target]: r["n"] for r in sizes if r["part"] == "train"}
     kind = df.schema[target].dataType
     schema = T.StructType([T.StructField("part", T.StringType()), T.StructField(target, kind),
                            T.StructField("k", T.LongType())])
-    quotas = df.sparkSession.createDataFrame(
-        [("train", c, min(counts.values())) for c in counts], schema
+    quotas = small_table(
+        df.sparkSession, [("train", c, min(counts.values())) for c in counts], schema
     )
-    marked = order.first_by_hash(df, id_col, seed, quotas, ["part", target], "kept")
+    marked = order.first_by_hash(df, id_col, seed, quotas, ["part", target], "kept",
+                                 sum(r["n"] for r in sizes))
     return marked.withColumn("kept", F.col("kept") | ~train)
 
 
@@ -114,7 +116,8 @@ def stratified_folds(df: DataFrame, folds: int, seed: str, id_col: str,
         offset = F.when(F.col(target) == F.lit(label), F.lit(start)).otherwise(offset)
         start += rows
     ranked = order.rank_all(
-        df.withColumn("_h", seeded_hash(seed, id_col)), "_h", id_col, [target], out="_r"
+        df.withColumn("_h", seeded_hash(seed, id_col)), "_h", id_col, [target], out="_r",
+        rows=sum(counts.values()),
     )
     fold = ((offset + F.col("_r") - 1) % folds).cast("int")
     return ranked.withColumn(out, fold).drop("_h", "_r")
@@ -141,9 +144,10 @@ def holdout(df: DataFrame, seed: str, id_col: str, fraction: float = 0.10,
 def draw(df: DataFrame, seed: str, id_col: str, fraction: float | None = None,
          rows: int | None = None, out: str = "drawn") -> DataFrame:
     """Mark floor(n * fraction) or ``rows`` rows without replacement."""
+    size = df.count()
     if rows is None:
         if fraction is None or not 0 <= fraction <= 1:
             raise ValueError("The fraction lies in [0, 1].")
-        rows = floor(df.count() * float(fraction))
-    quotas = df.sparkSession.createDataFrame([(rows,)], "k bigint")
-    return order.first_by_hash(df, id_col, seed, quotas, [], out)
+        rows = floor(size * float(fraction))
+    quotas = small_table(df.sparkSession, [(rows,)], "k bigint")
+    return order.first_by_hash(df, id_col, seed, quotas, [], out, size)

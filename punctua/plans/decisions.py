@@ -26,8 +26,8 @@ models as (select unit_id, 'prior' as model, probability, target from scored
 def model_scores(spark, sf):
     """Long scores of two reference models (unit_id, model, probability, target)."""
     rows = u.parts(spark, sf)
-    rate = u.train_of(rows).groupBy("airport").agg(
-        ((F.sum("target") + F.lit(1.0)) / (F.count(F.lit(1)) + F.lit(2.0))).alias("_r"))
+    rate = u.settle(u.train_of(rows).groupBy("airport").agg(
+        ((F.sum("target") + F.lit(1.0)) / (F.count(F.lit(1)) + F.lit(2.0))).alias("_r")))
     second = u.test_of(rows).join(rate, "airport", "left").select(
         "unit_id", F.lit("airport_rate").alias("model"),
         F.coalesce("_r", F.lit(0.5)).alias("probability"), "target")
@@ -203,8 +203,8 @@ select unit_id,
 def w1(spark, sf):
     rows = u.scored(spark, sf)
     n = rows.count()
-    quota = spark.createDataFrame(
-        [(n, selection.capacity_count(n, u.CAPACITY))], "n bigint, k bigint")
+    quota = u.small_table(
+        spark, [(n, selection.capacity_count(n, u.CAPACITY))], "n bigint, k bigint")
     high = order.top_k(rows, "probability", "unit_id", quota, out="high")
     both = order.top_k(high, "probability", "unit_id", quota, ascending=True, out="low")
     return both.select("unit_id", "high", "low")

@@ -114,8 +114,7 @@ def run(spark: SparkSession, raw: DataFrame, settings: Settings, out: str) -> st
             write_report(prepare.validation_report(
                 prepare.summarize(raw, settings.rules), settings.expected), f"{here}/validation")
         parts = split.random_split(rows, settings.test_size, f"split{settings.seed}", "unit_id")
-        parts = stage(split.balance(stage(parts, "split"), f"under{settings.seed}", "unit_id"),
-                      "parts")
+        parts = stage(split.balance(parts, f"under{settings.seed}", "unit_id"), "parts")
         write_report(prepare.split_summary(parts), f"{here}/random_split_summary")
         columns = ["unit_id", *prepare.FEATURES, "target"]
         train = stage(parts.where("part = 'train' and kept").select(columns), "train")
@@ -172,8 +171,7 @@ def tune_run(spark: SparkSession, raw: DataFrame, settings: Settings, protocol:
         rows = integrity.read_table(spark, f"{out}/prepared")
         rows = _prepared(raw, settings, out) if rows is None else rows
         parts = split.random_split(rows, settings.test_size, f"split{settings.seed}", "unit_id")
-        parts = stage(split.balance(stage(parts, "split"), f"under{settings.seed}", "unit_id"),
-                      "parts")
+        parts = stage(split.balance(parts, f"under{settings.seed}", "unit_id"), "parts")
         columns = ["unit_id", *prepare.FEATURES, "target"]
         train = parts.where("part = 'train' and kept").select(columns)
         train = stage(split.subsample(train, protocol.sample_rows, f"sample{protocol.seed}",

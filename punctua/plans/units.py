@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from punctua.operators import order, prepare, selection, split
-from punctua.session import stage, work_path  # noqa: F401
+from punctua.session import settle, small_table, stage, work_path  # noqa: F401
 
 RULES = prepare.Rules(start=(1992, 1), end=(2025, 1))
 SPLIT_SEED, BALANCE_SEED, VALUE_SEED, MANDATORY_SEED = "split42", "under42", "value42", "mand42"
@@ -18,8 +19,15 @@ TRAIN_END, TEST_START = 1999, 2000
 KEY = ["year", "month", "carrier", "airport"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is inferred from the footers once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +93,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled units with ``part`` and ``kept`` (balanced training side), staged."""
     rows = split.random_split(labelled(spark, sf_dir), 0.2, SPLIT_SEED, "unit_id")
-    return stage(split.balance(stage(rows, "split"), BALANCE_SEED, "unit_id"), "parts")
+    return stage(split.balance(rows, BALANCE_SEED, "unit_id"), "parts")
 
 
 def temporal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +112,9 @@ def test_of(rows: DataFrame) -> DataFrame:
 
 def prior_scores(rows: DataFrame) -> DataFrame:
     """Test rows with the smoothed training rate of their (carrier, airport)."""
-    rate = train_of(rows).groupBy("carrier", "airport").agg(
+    rate = settle(train_of(rows).groupBy("carrier", "airport").agg(
         ((F.sum("target") + F.lit(1.0)) / (F.count(F.lit(1)) + F.lit(2.0))).alias("_rate")
-    )
+    ))
     return test_of(rows).join(rate, ["carrier", "airport"], "left").withColumn(
         "probability", F.coalesce("_rate", F.lit(0.5))
     ).drop("_rate")

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Tables up to this many rows may be collected and shipped with the plan; larger ones stay
 # distributed, so the bound never changes a result.
@@ -64,6 +67,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A driver-made table as part of the plan, so that Catalyst knows how small it is.
+
+    Made from a plain list it would have an unknown size, and a join would shuffle both sides.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    listed = [dict(zip(kind.names, row)) for row in rows]
+    table = pa.Table.from_pylist(listed, schema=to_arrow_schema(kind))
+    return spark.createDataFrame(table, schema=kind)
+
+
 def settle(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     """Evaluate a table that is expected to be small (statistics per group, cut points).
 
