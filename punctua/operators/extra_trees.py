@@ -9,16 +9,21 @@ leaves.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Task functions travel with the job, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_NODES = 5_000_000
 
 

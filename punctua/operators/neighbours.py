@@ -13,8 +13,11 @@ Order is by (squared or absolute distance rounded to 9 digits, id).
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,9 @@ from pyspark.sql.window import Window as W
 
 from punctua.session import settle, stage
 
+# Task functions travel with the job, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LEAF = 512
 MAX_CELLS = 65_536
 SAMPLE = 200_000

@@ -88,5 +88,6 @@ def settle(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     table = df.limit(bound + 1).toArrow()
     if table.num_rows <= bound:
         return spark.createDataFrame(table, schema=df.schema)
-    work_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(work_dir(spark))
     return df.checkpoint()

@@ -5,11 +5,13 @@ from __future__ import annotations
 import csv
 import io
 import re
+import sys
 import zipfile
 from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from pyspark.sql import types as T
 
 from punctua.functions.columns import NA_TOKENS, blank_to_null
 
+# Task functions travel with the job, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The 21 columns of the monthly carrier x airport table, in file order.
 CANONICAL = [
     "year", "month", "carrier", "carrier_name", "airport", "airport_name", "arr_flights",

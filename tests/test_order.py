@@ -99,3 +99,10 @@ def test_quantiles_both_paths(rows, monkeypatch):
     slow = read()
     monkeypatch.setattr(order, "PLAIN_ROWS", 10**6)
     assert slow == read()
+
+
+def test_settle_keeps_all_rows_beyond_its_bound(spark):
+    from punctua.session import settle
+
+    assert settle(spark.range(100), bound=10).count() == 100
+    assert settle(spark.range(10), bound=10).count() == 10
