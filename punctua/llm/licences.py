@@ -122,27 +122,40 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def oracle() -> str:
-    """The same rows in DuckDB: every start of every phrase, without an index."""
-    def starts(phrase: str) -> str:
-        words = phrase.split()
-        listed = ", ".join(f"'{w}'" for w in words)
-        return (f"list_filter(range(len(words) - {len(words) - 1}), "
-                f"lambda i: words[i + 1:i + {len(words)}] = [{listed}])")
-
-    found = [f"{starts(p)} AS s{k}" for k, p in enumerate([*BASE, *TEMPLATES])]
-    base = " || ".join(f"s{k}" for k in range(len(BASE)))
+    """The same rows in DuckDB, without an index: the text is cut at every phrase.
+
+    Words are joined by two spaces, so that neighbouring places share no character. No phrase
+    overlaps itself.
+    """
+    def parts(phrase: str) -> str:
+        return f"string_split(joined, ' {'  '.join(phrase.split())} ')"
+
+    def count(part: str) -> str:
+        return f"len(list_filter(string_split({part}, ' '), lambda x: x <> ''))"
+
+    cut = ", ".join(f"{parts(p)} AS p{k}" for k, p in enumerate([*BASE, *TEMPLATES]))
+    first = ", ".join(f"CASE WHEN len(p{k}) > 1 THEN {count(f'p{k}[1]')} END"
+                      for k in range(len(BASE)))
+    last = ", ".join(f"CASE WHEN len(p{k}) > 1 THEN n - {count(f'p{k}[-1]')} - {len(p.split())} END"
+                     for k, p in enumerate(BASE))
+    places = " + ".join(f"len(p{k}) - 1" for k in range(len(BASE)))
+
     def labels(n: int) -> str:
-        each = [label for label in [*BASE.values(), *TEMPLATES.values()][:n]]
-        some = ", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{x}' END" for k, x in enumerate(each))
+        some = ", ".join(f"CASE WHEN len(p{k}) > 1 THEN '{x}' END"
+                         for k, x in enumerate([*BASE.values(), *TEMPLATES.values()][:n]))
         return f"list_sort(list_distinct(list_filter([{some}], lambda x: x IS NOT NULL)))"
+
     return f"""
     WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
         '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') AS words FROM documents),
-    f AS (SELECT doc_id, len(words) AS n, {", ".join(found)} FROM w),
-    l AS (SELECT *, {base} AS places, {labels(len(BASE))} AS base,
-        {labels(len(BASE) + len(TEMPLATES))} AS every FROM f)
-    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
-        list_min(places) AS first_word, list_max(places) AS last_word,
+    j AS (SELECT doc_id, len(words) AS n, ' ' || array_to_string(words, '  ') || ' ' AS joined
+        FROM w),
+    f AS (SELECT doc_id, n, {cut} FROM j),
+    l AS (SELECT *, {labels(len(BASE))} AS base, {labels(len(BASE) + len(TEMPLATES))} AS every
+        FROM f)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST({places} AS BIGINT) AS n_base,
+        CAST(list_min([{first}]) AS BIGINT) AS first_word,
+        CAST(list_max([{last}]) AS BIGINT) AS last_word,
         array_to_string(base, ',') AS base_labels, array_to_string(every, ',') AS labels,
         len(every) / (len(every) + 1.0) AS score FROM l"""
 
