@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from punctua.llm import html, language, licences
+from punctua.llm import (
+    decontaminate, html, language, licences, neighbours, packing, quality, recompression, runs,
+    words,
+)
 
-for _module in (html, language, licences):
+for _module in (decontaminate, html, language, licences, neighbours, packing, quality,
+                recompression, runs, words):
     # Task functions travel with the job, so that workers need no copy of this package.
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
     "op3_language": language.op3_language,
     "op4_licences": licences.op4_licences,
+    "op5_recompression": recompression.op5_recompression,
+    "op6_neighbours": neighbours.op6_neighbours,
+    "op7_packing": packing.op7_packing,
+    "op8_quality": quality.op8_quality,
     "op9_html": html.op9_html,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLES = {
+    "op4_licences": licences.oracle(),
+    "op10_decontaminate": decontaminate.ORACLE,
 }
-ORACLES = {"op4_licences": licences.oracle()}
