@@ -6,15 +6,16 @@ from pyspark import cloudpickle
 
 from punctua.llm import (
     decontaminate, html, language, licences, neighbours, packing, quality, recompression, runs,
-    words,
+    suffixes, words,
 )
 
 for _module in (decontaminate, html, language, licences, neighbours, packing, quality,
-                recompression, runs, words):
+                recompression, runs, suffixes, words):
     # Task functions travel with the job, so that workers need no copy of this package.
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
+    "op1_suffixes": suffixes.op1_suffixes,
     "op3_language": language.op3_language,
     "op4_licences": licences.op4_licences,
     "op5_recompression": recompression.op5_recompression,
