@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark import cloudpickle
 
 from punctua.llm import (
-    decontaminate, html, language, licences, neighbours, packing, quality, recompression, runs,
+    decontaminate, html, jaccard, language, licences, neighbours, packing, quality, recompression, runs,
     suffixes, words,
 )
 
-for _module in (decontaminate, html, language, licences, neighbours, packing, quality,
+for _module in (decontaminate, html, jaccard, language, licences, neighbours, packing, quality,
                 recompression, runs, suffixes, words):
     # Task functions travel with the job, so that workers need no copy of this package.
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
     "op1_suffixes": suffixes.op1_suffixes,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_language": language.op3_language,
     "op4_licences": licences.op4_licences,
     "op5_recompression": recompression.op5_recompression,
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op2_jaccard": jaccard.ORACLE,
     "op4_licences": licences.oracle(),
     "op10_decontaminate": decontaminate.ORACLE,
 }

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctua.llm import runs as R
 from punctua.llm import words as W
 from punctua.llm.language import held_out
 
@@ -34,7 +35,6 @@ SHAPES = 1 << 12  # hashed n-grams of word shapes
 LEVELS = 16  # levels of each share
 SHARES = 6
 SIZE = GRAMS + SHAPES + SHARES * LEVELS
-SLICE = 4096
 
 # Kinds of bytes: 0 other symbol, 1 upper, 2 lower or above ASCII, 3 digit, 4 sentence mark.
 KIND = np.zeros(256, dtype=np.int64)
@@ -103,44 +103,13 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(texts per class, indicators per class) over all rows of (y, found).
+    """(texts per class, indicators per class) over all rows of (y, found)."""
+    def add(row: dict, counts: np.ndarray) -> None:
+        base = row["y"] * (SIZE + 1)
+        counts[base + unpack(row["found"])] += 1
+        counts[base + SIZE] += 1
 
-    Each task adds its rows up; slices of these sums are added per slice, and what reaches the
-    driver has a fixed size.
-    """
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros((2, SIZE + 1), dtype=np.int64), 0
-        for batch in batches:
-            for y, blob in zip(batch.column("y").to_pylist(), batch.column("found").to_pylist()):
-                counts[y, unpack(blob)] += 1
-                counts[y, SIZE] += 1
-                rows += 1
-        if rows:
-            cuts = list(range(0, SIZE + 1, SLICE))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(cuts)), pa.int32()),
-                 pa.array([counts[:, c:c + SLICE].tobytes() for c in cuts], pa.binary())],
-                names=["slice", "sums"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
-                part = np.frombuffer(blob, dtype=np.int64)
-                sums[k] = sums[k] + part if k in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()),
-                 pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-                names=["slice", "sums"])
-
-    schema = "slice int, sums binary"
-    rows = (labelled.select("y", "found").mapInArrow(partial, schema).repartition("slice")
-            .mapInArrow(total, schema).collect())
-    counts = np.zeros((2, SIZE + 1), dtype=np.int64)
-    for r in rows:
-        part = np.frombuffer(r["sums"], dtype=np.int64).reshape(2, -1)
-        counts[:, r["slice"] * SLICE:r["slice"] * SLICE + part.shape[1]] += part
+    counts = R.summed(labelled.select("y", "found"), 2 * (SIZE + 1), add).reshape(2, -1)
     return counts[:, SIZE], counts[:, :SIZE]
 
 

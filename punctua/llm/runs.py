@@ -135,6 +135,47 @@ def by_bucket(answers: list[dict] | None) -> dict[int, bytes]:
     return {a["bucket"]: a["asked"] for a in answers or ()}
 
 
+def summed(table: DataFrame, size: int, add: Callable[[dict, np.ndarray], None],
+           cut: int = 8192) -> np.ndarray:
+    """Sum of ``size`` counters over all rows; ``add(row, counters)`` counts one row.
+
+    Each task sums its rows; slices of these sums are added per slice, one batch at a time,
+    and what reaches the driver has a fixed size.
+    """
+    schema = "slice int, sums binary"
+
+    def batch_of(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(parts), pa.int32()),
+             pa.array([press(v.tobytes()) for v in parts.values()], pa.binary())],
+            names=["slice", "sums"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(size, dtype=np.int64), 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                add(batch.slice(k, 1).to_pylist()[0], counts)
+            rows += batch.num_rows
+        if rows:
+            yield batch_of({k: counts[c:c + cut] for k, c in enumerate(range(0, size, cut))})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
+                part = np.frombuffer(unpress(blob), dtype=np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield batch_of(sums)
+
+    counts = np.zeros(size, dtype=np.int64)
+    parts = table.mapInArrow(partial, schema).repartition("slice").mapInArrow(total, schema)
+    for r in parts.collect():
+        counts[r["slice"] * cut:(r["slice"] + 1) * cut] += np.frombuffer(
+            unpress(r["sums"]), dtype=np.int64)
+    return counts
+
+
 # --- Values that occur more than once -------------------------------------------------------
 
 class Values:
