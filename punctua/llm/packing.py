@@ -147,7 +147,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
                              T.StructField("position", T.IntegerType())])
     columns = [f.name for f in schema]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(n), None if pd.isna(d) else d, int(s), None if pd.isna(x) else x,
                  None if pd.isna(c) else c)
                 for n, d, s, x, c in zip(frame["n_words"], frame["doc_id"], frame["first_word"],
