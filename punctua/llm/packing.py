@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from punctua.llm import runs as R
 from punctua.llm import words as W
 
 
@@ -84,7 +85,7 @@ class Bins:
 def pack_shard(pieces: list[tuple], capacity: int, one_source: bool = True) -> list[tuple[int, int]]:
     """(bin, position) of every piece; a piece is (n_words, doc_id, start, source, cluster).
 
-    Order: longest first, then smallest id, then start.
+    Order: longest first, then smallest id, start, source and cluster.
     """
     clusters: dict[object, int] = {}
     for piece in pieces:
@@ -96,7 +97,7 @@ def pack_shard(pieces: list[tuple], capacity: int, one_source: bool = True) -> l
     bins = Bins(capacity)
     order = sorted(range(len(pieces)), key=lambda k: (
         -pieces[k][0], pieces[k][1] is None, pieces[k][1] if pieces[k][1] is not None else 0,
-        pieces[k][2], k))
+        pieces[k][2], str(pieces[k][3]), str(pieces[k][4])))
     for k in order:
         n, _, _, source, cluster = pieces[k]
         bit = 0
@@ -130,16 +131,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
     ``bin_id`` is shard x 2^32 + number, unique over the table.
     """
-    table = lengths(docs, doc_id, text, source)
+    table = R.staged(lengths(docs, doc_id, text, source), "lengths")
     cuts = F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)), F.lit(capacity))
     pieces = table.withColumn("first_word", F.explode(cuts)).select(
         "doc_id", (F.col("first_word") / capacity).cast("int").alias("piece"),
         F.col("first_word").cast("long").alias("first_word"),
         F.least(F.lit(capacity), F.col("n_words") - F.col("first_word")).alias("n_words"),
         "source", "cluster")
-    # A row count of the table without its texts; the shards follow from it.
-    n = docs.count()
-    shards = max(1, round(n / shard_pieces))
+    n = table.agg(F.sum(F.ceil(F.greatest(F.col("n_words"), F.lit(1)) / capacity))).first()[0]
+    shards = max(1, round((n or 0) / shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(
         F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("long"))
     schema = T.StructType([f for f in pieces.schema]
