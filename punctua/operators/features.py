@@ -20,18 +20,16 @@ SCALED = [f"z_{c}" for c in CATEGORICAL + NUMERIC]
 def category_codes(train: DataFrame, column: str) -> DataFrame:
     """Sorted dictionary (column, rows, code): one row per category, codes from 0."""
     counts = settle(train.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("rows"), F.first(F.substring(column, 1, 3)).alias("_p")
+        F.count(F.lit(1)).alias("rows")
     ))
-    return settle(order.dense_position(counts, ["_p"], [column], "code").drop("_p"))
+    return settle(order.dense_position(counts, [column], "code"))
 
 
 def category_slots(codes: DataFrame, column: str, min_rows: int = 2) -> DataFrame:
     """One-hot slots: frequent categories in sorted order, the rare ones share the last slot."""
     often = codes.where(F.col("rows") >= min_rows)
     rare = codes.where(F.col("rows") < min_rows)
-    ranked = order.dense_position(
-        often.withColumn("_p", F.substring(column, 1, 3)), ["_p"], [column], "slot"
-    ).select(column, "slot")
+    ranked = order.dense_position(often, [column], "slot").select(column, "slot")
     return settle(
         ranked.unionByName(rare.select(column, F.lit(often.count()).cast("bigint").alias("slot")))
     )

@@ -3,10 +3,12 @@
 A rank over a whole table, or inside a hot group, must not send all its rows to one task.
 Each operator here first takes a mergeable quantile sketch, counts rows between the sketched
 bounds, and sorts only inside a narrow slice. The sketch steers balance alone: counts are
-exact, so results are exact whatever the sketch error or the ties.
+exact, so results are exact whatever the sketch error or the ties. There is one path for tables
+of every size.
 
-A table of at most ``PLAIN_ROWS`` rows, which is counted first, fits one task, and there the
-plain window needs fewer jobs.
+Nulls: a null group key is a group of its own. A null value ranks as the lowest value there is
+(minus infinity for fractions), below all others but equal to these; quantiles leave nulls out.
+A quota below 0 counts as 0, one above the group's rows as all of them.
 """
 
 from __future__ import annotations
@@ -19,23 +21,32 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from punctua.functions.columns import HASH_BITS, seeded_hash
-from punctua.session import settle
+from punctua.session import settle, stage
 
 GRID = 1000
 ACCURACY = 10_000
 HASH_BUCKET_BITS = 12
 LAST_ID = 2**63 - 1
-PLAIN_ROWS = 200_000
 
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether the table has at most ``PLAIN_ROWS`` rows; counted unless ``rows`` is known."""
-    return (df.count() if rows is None else rows) <= PLAIN_ROWS
+def bucket_count(rows: int) -> int:
+    """A power of two: about a million rows per bucket, 256 buckets at least."""
+    return 1 << max(8, ceil(log2(max(rows, 1) / 1_000_000)))
 
 
-def bucket_count(rows: int) -> int:
-    """A power of two: about a million rows per bucket, from 256 to 4096 buckets."""
-    return 1 << min(12, max(8, ceil(log2(max(rows, 1) / 1_000_000))))
+def joined(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``by`` with null keys equal to each other; ``other`` adds its further columns."""
+    named = other.withColumnsRenamed({c: f"_on_{c}" for c in by})
+    on = [df[c].eqNullSafe(named[f"_on_{c}"]) for c in by]
+    return df.join(named, on, how).drop(*[f"_on_{c}" for c in by])
+
+
+def filled(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``value`` as ``out`` with nulls as the lowest value of its type."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return df.withColumn(out, F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
+    return df.withColumn(out, F.coalesce(F.col(value).cast("bigint"), F.lit(-(2**63))))
 
 
 def _constant(value, dtype: T.DataType) -> Column:
@@ -55,7 +66,7 @@ def attach(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     Inner semantics with groups. Without groups an empty table gives nulls.
     """
     if by:
-        return df.join(small, by)
+        return joined(df, small, by)
     row = small.first()
     return df.select("*", *[_constant(row[f.name] if row else None, f.dataType).alias(f.name)
                             for f in small.schema.fields])
@@ -74,19 +85,19 @@ def locate(df: DataFrame, bounds: str, value: str, out: str, size: int) -> DataF
     return df
 
 
-def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | None = None):
+def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | None = None,
+               clamp: bool = False):
     """The k-th smallest value per group, for every k asked for.
 
     ``quotas`` is small with columns (by..., k). Returns (by..., k, cut_value, below, ties):
-    ``below`` rows are strictly smaller and ``ties`` rows are equal. A k outside 1..n gives no
-    row. Three column-pruned passes, no shuffle of the rows outside a slice of about n/GRID.
+    ``below`` rows are strictly smaller and ``ties`` rows are equal. Null values are left out. A
+    k below 1 gives no row, nor does one above n, unless ``clamp`` takes it as n. Three
+    column-pruned passes, no shuffle of the rows outside a slice of about n/GRID.
     """
     by = list(by or [])
     keys = by or ["_one"]
     rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     quotas = quotas.select(*by, F.col("k").cast("bigint").alias("k")).distinct()
-    if is_small(rows):
-        return _plain_kth(rows, settle(quotas), by)
     grid = _grid([i / GRID for i in range(GRID + 1)])
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -96,7 +107,12 @@ def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | Non
         sketch = settle(sketch.withColumn("_one", F.lit(0)))
         quotas = settle(quotas.withColumn("_one", F.lit(0)))
     at = F.floor(F.col("k") / F.col("_n") * GRID).cast("int")
-    asked = quotas.join(sketch, keys).where((F.col("k") >= 1) & (F.col("k") <= F.col("_n")))
+    asked = joined(quotas, sketch, keys)
+    if clamp:
+        asked = asked.withColumn("_asked", F.col("k")).withColumn("k", F.least("k", "_n"))
+    asked = asked.where((F.col("k") >= 1) & (F.col("k") <= F.col("_n")))
+    if clamp:
+        asked = settle(asked)
     edges = settle(
         asked.select(
             *keys, "k",
@@ -106,7 +122,7 @@ def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | Non
             F.array_sort(
                 F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi"))))
             ).alias("_e"),
-            F.collect_list("k").alias("_ks"),
+            F.collect_set("k").alias("_ks"),
         )
     )
     width = edges.agg(F.max(F.size("_e"))).first()[0] or 1
@@ -115,14 +131,14 @@ def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | Non
     on_edge = F.coalesce(F.get("_e", F.col("_z")) == F.col("_v"), F.lit(False))
     zoned = zoned.select(*by, "_v", (F.col("_z") * 2 + on_edge.cast("int")).alias("_z"))
     target = _slice_of(edges.select(*keys, F.explode("_ks").alias("k")), zoned, by)
-    inside = zoned.join(target.select(*by, "_z").distinct(), [*by, "_z"])
+    inside = joined(zoned, target.select(*by, "_z").distinct(), [*by, "_z"])
     cells = inside.groupBy(*by, "_z", "_v").agg(F.count(F.lit(1)).alias("_c"))
     cells = cells.withColumn(
         "_cb", F.sum("_c").over(W.partitionBy(*by, "_z").orderBy("_v")) - F.col("_c")
     )
     need = F.col("k") - F.col("_before")
-    return settle(
-        cells.join(target, [*by, "_z"])
+    found = (
+        joined(cells, target, [*by, "_z"])
         .where((F.col("_cb") < need) & (need <= F.col("_cb") + F.col("_c")))
         .select(
             *by,
@@ -132,20 +148,14 @@ def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | Non
             F.col("_c").cast("bigint").alias("ties"),
         )
     )
+    if clamp:
+        asked = asked.select(*by, "k", "_asked").distinct()
+        found = joined(asked, found, [*by, "k"]).drop("k").withColumnRenamed("_asked", "k")
+    return settle(found)
 
 
-def _plain_kth(rows: DataFrame, quotas: DataFrame, by: list[str]) -> DataFrame:
-    cells = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("ties"))
-    cells = cells.withColumn(
-        "below", F.sum("ties").over(W.partitionBy(*by).orderBy("_v")) - F.col("ties")
-    )
-    inside = (F.col("below") < F.col("k")) & (F.col("k") <= F.col("below") + F.col("ties"))
-    asked = quotas.groupBy(*by).agg(F.collect_list("k").alias("_ks"))
-    found = attach(cells, asked, by).withColumn("k", F.explode("_ks")).where(inside)
-    return settle(found.select(*by, "k", F.col("_v").alias("cut_value"), "below", "ties"))
-
-
-def _slice_of(quotas: DataFrame, zoned: DataFrame, by: list[str]) -> DataFrame:
+def _slice_of(quotas: DataFrame, zoned: DataFrame, by: list[str], clamp: bool = False
+              ) -> DataFrame:
     """The zone ``_z`` that holds the k-th row, and the number of rows ``_before`` that zone.
 
     A group has few zones by construction, so their running counts are one array per group.
@@ -159,7 +169,11 @@ def _slice_of(quotas: DataFrame, zoned: DataFrame, by: list[str]) -> DataFrame:
     inside = F.filter(
         "_s", lambda s: (s["_before"] < F.col("k")) & (F.col("k") <= s["_before"] + s["_c"])
     )
-    found = quotas.join(spans, keys).withColumn("_hit", F.get(inside, F.lit(0)))
+    found = joined(quotas, spans, keys)
+    if clamp:
+        last = F.array_max("_s")
+        found = found.withColumn("k", F.least(F.col("k"), last["_before"] + last["_c"]))
+    found = found.withColumn("_hit", F.get(inside, F.lit(0)))
     return settle(
         found.where(F.col("_hit").isNotNull()).select(
             *by, F.col("k").cast("bigint").alias("k"), "_hit._z", "_hit._before"
@@ -171,19 +185,22 @@ def cut_points(df: DataFrame, value: str, id_col: str, quotas: DataFrame,
                by: list[str] | None = None) -> DataFrame:
     """The k-th row per group in ascending (value, id) order: (by..., k, cut_value, cut_id).
 
-    Ids are unique. Ties on the value are resolved by a second pass over the tied rows only,
-    and only if some cut falls inside a tie.
+    Ids are unique and not null; null values come first, ``cut_value`` has them filled. A k
+    above the group's rows is all of them, one below 1 gives no cut. Ties on the value are
+    resolved by a second pass over the tied rows only, and only if some cut falls inside a tie.
     """
     by = list(by or [])
-    hits = kth_values(df, value, quotas, by)
-    whole = F.col("below") + F.col("ties") == F.col("k")
+    df = filled(df.select(*by, value, id_col), value, "_filled").drop(value).withColumnRenamed(
+        "_filled", value)
+    hits = kth_values(df, value, quotas, by, clamp=True)
+    whole = F.col("below") + F.col("ties") <= F.col("k")
     done = hits.where(whole).select(*by, "k", "cut_value", F.lit(LAST_ID).alias("cut_id"))
     open_ = settle(hits.where(~whole).withColumn("_need", F.col("k") - F.col("below")))
     if open_.isEmpty():
         return settle(done)
     cuts = open_.select(*by, F.col("cut_value").alias(value)).distinct()
     # The joins are on the value, so ties of one value form one group of unique ids.
-    tied = df.select(*by, value, id_col).join(cuts, [*by, value])
+    tied = joined(df.select(*by, value, id_col), cuts, [*by, value])
     wanted = settle(
         open_.select(*by, F.col("cut_value").alias(value), F.col("_need").alias("k")).distinct()
     )
@@ -191,7 +208,7 @@ def cut_points(df: DataFrame, value: str, id_col: str, quotas: DataFrame,
         *by, F.col(value).alias("cut_value"), F.col("k").alias("_need"),
         F.col("cut_value").cast("bigint").alias("cut_id"),
     )
-    broken = open_.join(ids, [*by, "cut_value", "_need"]).select(
+    broken = joined(open_, ids, [*by, "cut_value", "_need"]).select(
         *by, "k", "cut_value", "cut_id"
     )
     return settle(done.unionByName(broken))
@@ -209,7 +226,7 @@ def up_to(value: str, id_col: str, cut_value: str = "cut_value", cut_id: str = "
 def with_cuts(df: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
     """Left-attach one cut per group; groups without a cut get nulls."""
     if by:
-        return df.join(cuts, by, "left")
+        return joined(df, cuts, by, "left")
     row = cuts.first()
     fields = cuts.schema.fields
     return df.select("*", *[F.lit(row[f.name] if row else None).cast(f.dataType).alias(f.name)
@@ -217,49 +234,37 @@ def with_cuts(df: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, score: str, id_col: str, quotas: DataFrame,
-          by: list[str] | None = None, ascending: bool = False, out: str = "selected",
-          rows: int | None = None):
+          by: list[str] | None = None, ascending: bool = False, out: str = "selected"):
     """Mark exactly k rows per group by score.
 
-    ``quotas`` has (by..., n, k). Ascending order breaks ties by the lowest id; descending
-    order is that order reversed, so it takes the highest id first. A group without a quota
-    row selects nothing.
+    ``quotas`` has (by..., n, k), n the group's rows. Ascending order breaks ties by the lowest
+    id; descending order is that order reversed, so it takes the highest id first. A group
+    without a quota row selects nothing; k is taken as 0 to n.
     """
     by = list(by or [])
-    if is_small(df, rows):
-        key = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-        place = F.row_number().over(W.partitionBy(*by).orderBy(key(score), key(id_col)))
-        marked = with_cuts(df, quotas.select(*by, F.col("k").alias("_k")), by)
-        chosen = F.coalesce(place <= F.col("_k"), F.lit(False))
-        return marked.withColumn(out, chosen).drop("_k")
     quotas = settle(quotas)
-    asked = F.col("k") if ascending else F.col("n") - F.col("k")
+    k = F.greatest(F.col("k").cast("bigint"), F.lit(0))
+    asked = k if ascending else F.greatest(F.col("n") - k, F.lit(0))
     cuts = cut_points(df, score, id_col, quotas.select(*by, asked.alias("k")), by)
     # One cut per group: several quotas of a group are separate calls.
-    marked = with_cuts(df, cuts.drop("k"), by)
-    before = up_to(score, id_col)
+    marked = with_cuts(filled(df, score, "_filled"), cuts.drop("k"), by)
+    before = up_to("_filled", id_col)
     if ascending:
         chosen = before
     else:
         marked = with_cuts(marked, quotas.select(*by, F.lit(True).alias("_asked")), by)
         chosen = ~before & F.coalesce("_asked", F.lit(False))
-    return marked.withColumn(out, chosen).drop("cut_value", "cut_id", "_asked")
+    return marked.withColumn(out, chosen).drop("cut_value", "cut_id", "_asked", "_filled")
 
 
 def first_by_hash(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
-                  by: list[str] | None = None, out: str = "drawn",
-                  rows: int | None = None) -> DataFrame:
+                  by: list[str] | None = None, out: str = "drawn") -> DataFrame:
     """Mark exactly k rows per group, drawn without replacement in seeded hash order.
 
-    ``quotas`` is small with (by..., k).
+    ``quotas`` is small with (by..., k); k is taken as 0 to the group's rows.
     """
     by = list(by or [])
     hashed = df.withColumn("_h", seeded_hash(seed, id_col))
-    if is_small(df, rows):
-        place = F.row_number().over(W.partitionBy(*by).orderBy("_h", id_col))
-        marked = with_cuts(hashed, quotas.select(*by, F.col("k").alias("_k")), by)
-        chosen = F.coalesce(place <= F.col("_k"), F.lit(False))
-        return marked.withColumn(out, chosen).drop("_k", "_h")
     cuts = hash_cuts(df, id_col, seed, quotas, by).drop("k")
     marked = with_cuts(hashed, cuts, by)
     return marked.withColumn(out, up_to("_h", id_col)).drop("_h", "cut_value", "cut_id")
@@ -280,11 +285,11 @@ def hash_cuts(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
     asked = quotas.select(*by, "k") if by else settle(
         quotas.select("k").withColumn("_one", F.lit(0))
     )
-    target = _slice_of(asked.select(*keys, "k"), rows, by)
+    target = _slice_of(asked.select(*keys, "k"), rows, by, clamp=True)
     place = F.row_number().over(W.partitionBy(*by, "_z").orderBy("_h", "_id"))
-    inside = rows.join(target.select(*by, "_z").distinct(), [*by, "_z"]).withColumn("_r", place)
+    inside = joined(rows, target.select(*by, "_z").distinct(), [*by, "_z"]).withColumn("_r", place)
     return settle(
-        inside.join(target, [*by, "_z"])
+        joined(inside, target, [*by, "_z"])
         .where(F.col("_r") == F.col("k") - F.col("_before"))
         .select(*by, "k", F.col("_h").alias("cut_value"), F.col("_id").alias("cut_id"))
     )
@@ -293,29 +298,24 @@ def hash_cuts(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
 def _bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> DataFrame:
     grid = _grid([i / buckets for i in range(1, buckets)])
     sketch = F.expr(f"percentile_approx(`{value}`, {grid}, {ACCURACY})")
-    return settle(
-        df.where(F.col(value).isNotNull()).groupBy(*by).agg(sketch.alias("_b")), bound=500
-    )
+    return settle(df.groupBy(*by).agg(sketch.alias("_b")), bound=500)
 
 
 def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None,
              ascending: bool = True, out: str = "rank", rows: int | None = None) -> DataFrame:
-    """1-based position of every row in (value, id) order, per group.
+    """1-based position of every row in (value, id) order, per group; ids are not null.
 
     Rows are bucketed by sketched bounds; a value that fills whole buckets (a hot tie) gets a
     bucket of its own and is split further by id. Bucket counts give the offsets, and the sort
-    runs inside buckets.
+    runs inside buckets. ``rows`` is the number of rows, if the caller knows it.
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    rows = df.count() if rows is None else rows
-    if is_small(df, rows):
-        place = F.row_number().over(W.partitionBy(*by).orderBy(order(value), order(id_col)))
-        return df.withColumn(out, place.cast("bigint"))
-    buckets = bucket_count(rows)
-    bounded = attach(df, _bounds(df, value, by, buckets), by)
-    bounded = locate(bounded, "_b", value, "_z", buckets - 1)
-    tie = F.coalesce(F.get("_b", F.col("_z")) == F.col(value), F.lit(False))
+    buckets = bucket_count(df.count() if rows is None else rows)
+    full = filled(df, value, "_v")
+    bounded = attach(full, _bounds(full, "_v", by, buckets), by)
+    bounded = locate(bounded, "_b", "_v", "_z", buckets - 1)
+    tie = F.coalesce(F.get("_b", F.col("_z")) == F.col("_v"), F.lit(False))
     bounded = bounded.withColumn("_z", F.col("_z") * 2 + tie.cast("int")).drop("_b")
     ids = attach(bounded, _bounds(df, id_col, [], buckets), [])
     ids = locate(ids, "_b", id_col, "_s", buckets - 1).drop("_b")
@@ -324,12 +324,12 @@ def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None
     counts = settle(split.groupBy(*by, "_z", "_s").agg(F.count(F.lit(1)).alias("_c")))
     offsets = counts.withColumn("_before", F.sum("_c").over(running) - F.col("_c")).drop("_c")
     place = F.row_number().over(
-        W.partitionBy(*by, "_z", "_s").orderBy(order(value), order(id_col))
+        W.partitionBy(*by, "_z", "_s").orderBy(order("_v"), order(id_col))
     )
     return (
-        split.join(offsets, [*by, "_z", "_s"])
+        joined(split, offsets, [*by, "_z", "_s"])
         .withColumn(out, (F.col("_before") + place).cast("bigint"))
-        .drop("_z", "_s", "_before")
+        .drop("_z", "_s", "_before", "_v")
     )
 
 
@@ -342,59 +342,51 @@ def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | N
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    size = cells.count()
-    if is_small(cells, size):
-        running = W.partitionBy(*by).orderBy(order(value))
-        return cells.select("*", *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums])
-    buckets = bucket_count(size)
+    buckets = bucket_count(cells.count())
     keys = [] if shared_bounds else by
-    bounds = _bounds(cells, value, keys, buckets)
-    rows = locate(attach(cells, bounds, keys), "_b", value, "_z", buckets - 1).drop("_b")
+    full = filled(cells, value, "_v")
+    bounds = _bounds(full, "_v", keys, buckets)
+    rows = locate(attach(full, bounds, keys), "_b", "_v", "_z", buckets - 1).drop("_b")
     totals = settle(rows.groupBy(*by, "_z").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums]))
     running = W.partitionBy(*by).orderBy(order("_z"))
     totals = totals.select(
         *by, "_z", *[(F.sum(f"_t_{s}").over(running) - F.col(f"_t_{s}")).alias(f"_o_{s}")
                      for s in sums]
     )
-    inner = W.partitionBy(*by, "_z").orderBy(order(value))
-    rows = rows.join(totals, [*by, "_z"])
+    inner = W.partitionBy(*by, "_z").orderBy(order("_v"))
+    rows = joined(rows, totals, [*by, "_z"])
     return rows.select(
         *cells.columns,
         *[(F.col(f"_o_{s}") + F.sum(s).over(inner)).alias(f"cum_{s}") for s in sums],
     )
 
 
-def dense_position(df: DataFrame, bucket: list[str], order: list[str], out: str) -> DataFrame:
-    """0-based position in the order of ``bucket`` + ``order``, a unique key.
+def dense_position(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """0-based position in the order of the unique key ``order``; nulls come first.
 
-    Buckets are counted first, so the sort runs per bucket; only the bucket counts (distinct
-    bucket keys) are ordered as a whole.
+    Rows are dealt by ranges of the key, which is unique, so no range is hot; the ranges are
+    staged, as a second evaluation could draw other bounds. Their counts give the offsets and
+    the sort runs inside ranges.
     """
-    if is_small(df):
-        place = F.row_number().over(W.orderBy(*bucket, *order))
-        return df.withColumn(out, (place - 1).cast("bigint"))
-    counts = settle(df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c")))
+    ranged = stage(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    counts = settle(ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")))
     offsets = counts.withColumn(
-        "_before", F.sum("_c").over(W.orderBy(*bucket)) - F.col("_c")
+        "_before", F.sum("_c").over(W.orderBy("_p")) - F.col("_c")
     ).drop("_c")
-    place = F.row_number().over(W.partitionBy(*bucket).orderBy(*order))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(*order))
     return (
-        df.join(offsets, bucket)
+        ranged.join(offsets, "_p")
         .withColumn(out, (F.col("_before") + place - 1).cast("bigint"))
-        .drop("_before")
+        .drop("_p", "_before")
     )
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None):
-    """Exact quantiles with linear interpolation per group: (by..., prob, quantile)."""
+    """Exact quantiles with linear interpolation per group: (by..., prob, quantile).
+
+    Nulls are left out; a group without values has no row.
+    """
     by = list(by or [])
-    if is_small(df):
-        points = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
-        found = df.groupBy(*by).agg(F.expr(f"percentile(`{value}`, {points})").alias("_q"))
-        pairs = F.explode(F.arrays_zip(F.expr(points).alias("prob"), F.col("_q")))
-        rows = found.where(F.col("_q").isNotNull()).select(*by, pairs.alias("_p"))
-        return settle(rows.select(*by, F.col("_p")["prob"].alias("prob"),
-                                  F.col("_p")["_q"].alias("quantile")))
     counts = settle(
         df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -408,7 +400,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     high = found.withColumnsRenamed({"k": "_hi", "cut_value": "_vhi"})
     weight = F.col("_at") - (F.col("_lo") - 1)
     return (
-        asked.join(low, [*by, "_lo"]).join(high, [*by, "_hi"])
+        joined(joined(asked, low, [*by, "_lo"]), high, [*by, "_hi"])
         .select(*by, "prob",
                 (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * weight).alias("quantile"))
     )

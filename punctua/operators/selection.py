@@ -68,8 +68,7 @@ def policies(df: DataFrame, penalty: float, capacity: float, seed: str) -> DataF
         df.sparkSession, [(name, n, k) for name in POLICIES],
         "strategy string, n bigint, k bigint",
     )
-    return order.top_k(long, "score", "tie", quotas, ["strategy"],
-                       rows=n * len(POLICIES)).drop("score", "tie")
+    return order.top_k(long, "score", "tie", quotas, ["strategy"]).drop("score", "tie")
 
 
 def capacity_optimum(df: DataFrame, penalty: float, capacity: float) -> DataFrame:
@@ -78,7 +77,7 @@ def capacity_optimum(df: DataFrame, penalty: float, capacity: float) -> DataFram
     sizes = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_net") > 0).alias("p"))
     n, positive = sizes.first()
     k = min(capacity_count(n, capacity), positive)
-    marked = order.top_k(scored, "_net", ID, _one_quota(df, n, k), rows=n)
+    marked = order.top_k(scored, "_net", ID, _one_quota(df, n, k))
     return marked.drop("_net").withColumn("strategy", F.lit("capacity_only_milp"))
 
 
@@ -88,7 +87,7 @@ def mandatory_units(df: DataFrame, fraction: float, seed: str) -> DataFrame:
         raise ValueError("The mandatory fraction must be in [0, 1].")
     n = df.count()
     quota = small_table(df.sparkSession, [(floor(n * float(fraction)),)], "k bigint")
-    return order.first_by_hash(df, ID, seed, quota, out="mandatory", rows=n)
+    return order.first_by_hash(df, ID, seed, quota, out="mandatory")
 
 
 def require_known(df: DataFrame, wanted: DataFrame) -> None:
@@ -123,13 +122,12 @@ def structural_optimum(df: DataFrame, penalty: float, capacity: float, group: st
     if fixed + needed > cap:
         raise RuntimeError("No optimal solution: Infeasible")
     forced = scored.where("mandatory").withColumn("selected", F.lit(True))
-    second = order.top_k(scored.where("not mandatory"), "_net", ID, quotas, [group], out="_own",
-                         rows=total - fixed)
+    second = order.top_k(scored.where("not mandatory"), "_net", ID, quotas, [group], out="_own")
     rest = second.where(~F.col("_own")).drop("_own")
     sizes = rest.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_net") > 0).alias("p"))
     n, positive = sizes.first()
     k = min(cap - fixed - needed, positive)
-    third = order.top_k(rest, "_net", ID, _one_quota(df, n, k), rows=n)
+    third = order.top_k(rest, "_net", ID, _one_quota(df, n, k))
     taken = second.where("_own").drop("_own").withColumn("selected", F.lit(True))
     marked = forced.unionByName(taken).unionByName(third)
     return marked.drop("_net").withColumn("strategy", F.lit("structural_milp"))
@@ -174,21 +172,17 @@ def scenarios(df: DataFrame, penalties: list[float], capacities: list[float]) ->
     long = df.withColumn(
         "penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties]))
     ).withColumn("_net", F.col("value") - F.col("penalty") * F.col("probability"))
-    total = n * len(penalties)
-    if order.is_small(long, total):
-        ranked = order.rank_all(long, "_net", ID, ["penalty"], ascending=False, rows=total)
-        chosen = [F.col("rank") <= F.lit(k) for k in counts]
-    else:
-        asked = [(float(p), n - k) for p in penalties for k in sorted(set(counts))]
-        quotas = small_table(df.sparkSession, asked, "penalty double, k bigint")
-        cuts = order.cut_points(long, "_net", ID, quotas, ["penalty"])
-        ranked, chosen = long, []
-        for i, k in enumerate(counts):
-            cut = cuts.where(F.col("k") == n - k).select(
-                "penalty", F.col("cut_value").alias(f"_v{i}"), F.col("cut_id").alias(f"_i{i}")
-            )
-            ranked = ranked.join(settle(cut), "penalty", "left")
-            chosen.append(~order.up_to("_net", ID, f"_v{i}", f"_i{i}"))
+    asked = [(float(p), n - k) for p in penalties for k in sorted(set(counts))]
+    quotas = small_table(df.sparkSession, asked, "penalty double, k bigint")
+    cuts = order.cut_points(long, "_net", ID, quotas, ["penalty"])
+    # All cuts of a penalty as one map, so that the units are joined once.
+    entry = F.struct("k", F.struct("cut_value", "cut_id"))
+    cuts = settle(cuts.groupBy("penalty").agg(F.map_from_entries(F.collect_list(entry)).alias("_c")))
+    ranked, chosen = long.join(cuts, "penalty", "left"), []
+    for i, k in enumerate(counts):
+        cut = F.col("_c")[F.lit(n - k).cast("bigint")]
+        ranked = ranked.withColumn(f"_v{i}", cut["cut_value"]).withColumn(f"_i{i}", cut["cut_id"])
+        chosen.append(~order.up_to("_net", ID, f"_v{i}", f"_i{i}"))
     aggs = []
     for i, yes in enumerate(chosen):
         aggs += [

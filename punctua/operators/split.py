@@ -48,7 +48,7 @@ def stratified_draw(df: DataFrame, rows: int, seed: str, id_col: str, target: st
     """Mark exactly ``rows`` rows, spread over the classes by largest remainder."""
     counts = counts or _counts(df, target)
     quotas = _quota_table(df, target, largest_remainder(counts, rows))
-    return order.first_by_hash(df, id_col, seed, quotas, [target], out, sum(counts.values()))
+    return order.first_by_hash(df, id_col, seed, quotas, [target], out)
 
 
 def random_split(df: DataFrame, test_size: float, seed: str, id_col: str,
@@ -82,7 +82,7 @@ def undersample(df: DataFrame, seed: str, id_col: str, target: str = "target") -
     """Mark as many rows of each class as the smallest class has."""
     counts = _counts(df, target)
     quotas = _quota_table(df, target, {c: min(counts.values()) for c in counts})
-    return order.first_by_hash(df, id_col, seed, quotas, [target], "kept", sum(counts.values()))
+    return order.first_by_hash(df, id_col, seed, quotas, [target], "kept")
 
 
 def balance(df: DataFrame, seed: str, id_col: str, target: str = "target") -> DataFrame:
@@ -96,8 +96,7 @@ def balance(df: DataFrame, seed: str, id_col: str, target: str = "target") -> Da
     quotas = small_table(
         df.sparkSession, [("train", c, min(counts.values())) for c in counts], schema
     )
-    marked = order.first_by_hash(df, id_col, seed, quotas, ["part", target], "kept",
-                                 sum(r["n"] for r in sizes))
+    marked = order.first_by_hash(df, id_col, seed, quotas, ["part", target], "kept")
     return marked.withColumn("kept", F.col("kept") | ~train)
 
 
@@ -143,11 +142,10 @@ def holdout(df: DataFrame, seed: str, id_col: str, fraction: float = 0.10,
 
 def draw(df: DataFrame, seed: str, id_col: str, fraction: float | None = None,
          rows: int | None = None, out: str = "drawn") -> DataFrame:
-    """Mark floor(n * fraction) or ``rows`` rows without replacement."""
-    size = df.count()
+    """Mark floor(n * fraction) or ``rows`` rows (all, if there are fewer), each once."""
     if rows is None:
         if fraction is None or not 0 <= fraction <= 1:
             raise ValueError("The fraction lies in [0, 1].")
-        rows = floor(size * float(fraction))
+        rows = floor(df.count() * float(fraction))
     quotas = small_table(df.sparkSession, [(rows,)], "k bigint")
-    return order.first_by_hash(df, id_col, seed, quotas, [], out, size)
+    return order.first_by_hash(df, id_col, seed, quotas, [], out)

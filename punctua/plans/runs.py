@@ -65,8 +65,7 @@ def _prepared(raw: DataFrame, settings: Settings, out: str) -> DataFrame:
     key = ["year", "month", "carrier", "airport"]
     rows = stage(prepare.prepare(raw, settings.rules), "prepared")
     # Rows of one key are told apart by their counts; rows equal in those are interchangeable.
-    numbered = order.dense_position(
-        rows, key[:3], [key[3], "arr_flights", "arr_del15"], "unit_id")
+    numbered = order.dense_position(rows, [*key, "arr_flights", "arr_del15"], "unit_id")
     write_rows(numbered, f"{out}/prepared", ["year"])
     return raw.sparkSession.read.parquet(f"{out}/prepared")
 

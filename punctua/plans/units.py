@@ -55,7 +55,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit table with ``unit_id``, the position in key order. The aggregate is staged, so the
     big join runs once however many passes follow."""
     staged = stage(raw_units(spark, sf_dir), "units")
-    return order.dense_position(staged, KEY[:3], KEY[3:], "unit_id")
+    return order.dense_position(staged, KEY, "unit_id")
 
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:

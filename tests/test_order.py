@@ -1,4 +1,4 @@
-"""Distributed order operators against plain windows, with a hot tie of a third of the rows."""
+"""Order operators against plain windows: a hot tie, null keys, null scores, quotas out of range."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +8,6 @@ from punctua.functions.columns import seeded_hash
 from punctua.operators import order
 
 
-@pytest.fixture(autouse=True)
-def distributed(monkeypatch):
-    monkeypatch.setattr(order, "PLAIN_ROWS", 0)
-
-
 @pytest.fixture(scope="module")
 def rows(spark):
     df = spark.range(9000).select(
@@ -33,19 +28,57 @@ def quotas(spark, rows, by, fraction):
     return spark.createDataFrame([(n, int(n * fraction))], "n bigint, k bigint")
 
 
-@pytest.mark.parametrize("by, ascending, fraction, plain_rows", [
-    ([], True, 0.4, 0), ([], False, 0.4, 0), (["grp"], True, 0.4, 0), (["grp"], False, 0.4, 0),
-    ([], False, 0.0, 0), ([], False, 1.0, 0), (["grp"], False, 0.4, 10**6), ([], True, 0.4, 10**6),
-])
-def test_top_k_equals_window(spark, rows, by, ascending, fraction, plain_rows, monkeypatch):
-    monkeypatch.setattr(order, "PLAIN_ROWS", plain_rows)
-    q = quotas(spark, rows, by, fraction)
-    got = order.top_k(rows, "score", "id", q, by, ascending).where("selected")
+@pytest.fixture(scope="module")
+def holes(spark, rows):
+    """Rows with null keys, null scores, a group of nulls alone."""
+    score = F.when(F.col("id") % 11 == 0, None).when(F.col("grp") == "g3", None).otherwise(
+        F.col("score"))
+    key = F.when(F.col("grp") == "g5", None).otherwise(F.col("grp"))
+    return rows.select("id", score.alias("score"), key.alias("grp")).persist()
+
+
+def taken(spark, table, by, ascending, k):
+    """Ids of the first k rows per group in a plain window; nulls are the lowest."""
     keys = [F.col(c) if ascending else F.col(c).desc() for c in ("score", "id")]
-    plain = rows.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(*keys)))
-    plain = plain.join(q, by) if by else plain.withColumn("k", F.lit(q.first()["k"]))
-    want = {r.id for r in plain.where("r <= k").collect()}
-    assert {r.id for r in got.collect()} == want
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*keys))
+    size = F.count("*").over(W.partitionBy(*by))
+    plain = table.withColumn("r", place).withColumn("n", size)
+    return {r.id for r in plain.where(F.col("r") <= k(F.col("n"))).collect()}
+
+
+@pytest.mark.parametrize("by", [[], ["grp"]])
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("table", ["rows", "holes"])
+@pytest.mark.parametrize("fraction", [0.4, 0.0, 1.0, 1.5, -0.1])
+def test_top_k_equals_window(spark, request, table, by, ascending, fraction):
+    df = request.getfixturevalue(table)
+    q = quotas(spark, df, by, fraction)
+    got = order.top_k(df, "score", "id", q, by, ascending)
+    assert got.count() == df.count()
+    want = taken(spark, df, by, ascending, lambda n: F.floor(n * fraction))
+    assert {r.id for r in got.where("selected").collect()} == want
+
+
+@pytest.mark.parametrize("by", [[], ["grp"]])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_ranks_and_sums_with_nulls(holes, by, ascending):
+    keys = [F.col(c) if ascending else F.col(c).desc() for c in ("score", "id")]
+    both = order.rank_all(holes, "score", "id", by, ascending).withColumn(
+        "want", F.row_number().over(W.partitionBy(*by).orderBy(*keys)))
+    assert both.count() == holes.count() and both.where("rank <> want").count() == 0
+    cells = holes.groupBy(*by, "score").agg(F.count("*").alias("c"))
+    got = order.prefix_sums(cells, "score", ["c"], by, ascending).withColumn(
+        "want", F.sum("c").over(W.partitionBy(*by).orderBy(keys[0])))
+    assert got.count() == cells.count() and got.where("cum_c <> want").count() == 0
+
+
+def test_draw_of_more_rows_than_there_are(spark, holes):
+    q = holes.groupBy("grp").agg((F.count("*") + 5).alias("k"))
+    assert order.first_by_hash(holes, "id", "s", q, ["grp"]).where("drawn").count() == 9000
+    all_ = spark.createDataFrame([(9005,)], "k bigint")
+    assert order.first_by_hash(holes, "id", "s", all_).where("drawn").count() == 9000
+    none = spark.createDataFrame([(-1,)], "k bigint")
+    assert order.first_by_hash(holes, "id", "s", none).where("drawn").count() == 0
 
 
 @pytest.mark.parametrize("by, ascending", [([], True), (["grp"], False)])
@@ -86,19 +119,27 @@ def test_prefix_sums_equal_window(rows, shared, ascending):
 
 
 def test_dense_position(rows):
-    got = order.dense_position(rows, ["grp"], ["score", "id"], "pos").withColumn(
+    got = order.dense_position(rows, ["grp", "score", "id"], "pos").withColumn(
         "want", F.row_number().over(W.orderBy("grp", "score", "id")) - 1)
     assert got.where("pos <> want").count() == 0
 
 
-def test_quantiles_both_paths(rows, monkeypatch):
-    def read():
-        found = order.quantiles(rows, "score", [0.0, 0.3, 0.5, 1.0], ["grp"]).collect()
-        return {(r.grp, r.prob): round(r.quantile, 12) for r in found}
+def test_quantiles_equal_percentile(holes):
+    probs = [0.0, 0.3, 0.5, 1.0]
+    got = {(r.grp, r.prob): r.quantile
+           for r in order.quantiles(holes, "score", probs, ["grp"]).collect()}
+    points = ", ".join(map(str, probs))
+    plain = holes.groupBy("grp").agg(F.expr(f"percentile(score, array({points}))").alias("q"))
+    want = {(r.grp, p): v for r in plain.collect() if r.q for p, v in zip(probs, r.q)}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
 
-    slow = read()
-    monkeypatch.setattr(order, "PLAIN_ROWS", 10**6)
-    assert slow == read()
+def test_positions_of_keys_with_nulls_and_one_prefix(spark):
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN NULL ELSE concat('same-prefix-', id) END AS a", "id")
+    got = order.dense_position(df, ["a", "id"], "pos").withColumn(
+        "want", F.row_number().over(W.orderBy("a", "id")) - 1)
+    assert got.count() == 3000 and got.where("pos <> want").count() == 0
 
 
 def test_settle_keeps_all_rows_beyond_its_bound(spark):

@@ -36,9 +36,7 @@ def test_negative_net_is_left_out_of_the_optimum_only(spark):
     assert taken(ranked) == {0, 1}
 
 
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_tie_order(spark, monkeypatch, plain_rows):
-    monkeypatch.setattr(order, "PLAIN_ROWS", plain_rows)
+def test_tie_order(spark):
     df = spark.createDataFrame(list(enumerate([5.0, 5.0, 5.0, 1.0])), "unit_id long, s double")
     quota = spark.createDataFrame([(4, 2)], "n long, k long")
     assert taken(order.top_k(df, "s", "unit_id", quota)) == {2, 1}
