@@ -6,8 +6,8 @@ Texts are rewritten in rounds. A round names each maximal run of one symbol, the
 Every symbol carries its support, the words on which its parse depends. A symbol whose support
 lies inside a window is interior to it: any other place of the same words parses to the same
 symbol. Each window of ``window`` words takes its interior symbol of the highest level (the
-smallest hash among these) as its anchor; single words are interior always, so every window has
-one, and equal windows have equal anchors at the same place.
+smallest hash among these) as its anchor, named with all words of its support; single words are
+interior always, so every window has one, and equal windows have equal anchors at the same place.
 
 Two Spark rounds follow. The first finds the anchor symbols that occur more than once in the
 corpus; a window without a shared anchor cannot repeat. The second compares 96-bit fingerprints of
@@ -92,17 +92,17 @@ def parse(names: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, ...
         yield names, low, high
 
 
-def anchors(names: np.ndarray, edge: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, anchor hashes) of all windows inside texts; at most ``PIECE`` words."""
+def anchors(names: np.ndarray, edge: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(starts, anchor hashes, anchor places) of all windows inside texts; at most ``PIECE`` words."""
     n = len(names)
     valid = np.ones(max(0, n - window + 1), dtype=bool)
     for e in edge[1:-1].tolist():  # no window crosses into the next text
         valid[max(0, e - window + 1):e] = False
     open_ = np.flatnonzero(valid)
-    starts, found = open_, np.zeros(n, dtype=np.uint64)
+    starts, found, place = open_, np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
     if not len(starts):
-        return starts, np.zeros(0, dtype=np.uint64)
-    levels = list(parse(names, edge))
+        return starts, found[:0], place[:0]
+    levels, sums = list(parse(names, edge)), W.prefix_sums(names)
     for level in range(len(levels) - 1, -1, -1):
         own, low, high = levels[level]
         a = np.searchsorted(low, open_, "left")
@@ -123,11 +123,13 @@ def anchors(names: np.ndarray, edge: np.ndarray, window: int) -> tuple[np.ndarra
                 of = power == k
                 if of.any():
                     best[of] = np.minimum(t[a[of]], t[b[of] - (1 << k)])
-            found[p] = hashed[(best & U((1 << 20) - 1)).astype(np.int64)]
+            k = (best & U((1 << 20) - 1)).astype(np.int64)
+            found[p] = W.mix(hashed[k] + W.spans(sums, low[k], high[k]))
+            place[p] = low[k]
             open_ = open_[~has]
         if not len(open_):
             break
-    return starts, found[starts]
+    return starts, found[starts], place[starts]
 
 
 class Parsed:
@@ -142,16 +144,21 @@ class Parsed:
             lanes.append(h)
         self.names = np.concatenate(lanes) if lanes else np.zeros(0, dtype=np.uint64)
         self.edge = np.concatenate([[0], np.cumsum(counts)])
-        starts, found = [], []
+        starts, found, first = [], [], []
         for a, b in self._pieces():
             inside = self.edge[(self.edge > a) & (self.edge < b)]
             edge = np.concatenate([[0], inside - a, [b - a]])
             edge = edge[np.diff(edge, prepend=-1) > 0]
-            s, f = anchors(self.names[a:b], edge, window)
+            s, f, p = anchors(self.names[a:b], edge, window)
             starts.append(s + a)
             found.append(f)
+            new = np.ones(len(s), dtype=bool)
+            new[1:] = (f[1:] != f[:-1]) | (p[1:] != p[:-1])
+            first.append(new)
         self.starts = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
         self.anchors = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+        # Neighbouring windows share an anchor; it counts once, at the first of them.
+        self.first = np.concatenate(first) if first else np.zeros(0, dtype=bool)
 
     def _pieces(self) -> Iterator[tuple[int, int]]:
         """Stretches of whole texts; a longer text in pieces that share window - 1 words."""
@@ -247,8 +254,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     id_kind = pa.int64() if kind.simpleString() == "bigint" else pa.int32()
 
     def first(row: dict) -> Iterator[pa.RecordBatch]:
-        values = R.Values(Parsed(R.opened(row)[1], window).anchors, n)
-        yield R.questions(row["run"], values.asked(values.counts > 1))
+        parsed = Parsed(R.opened(row)[1], window)
+        values = R.Values(parsed.anchors, n)
+        places = np.bincount(values.inverse[parsed.first], minlength=len(values.keys))
+        yield R.questions(row["run"], values.asked(places > 1))
 
     def candidates(row: dict) -> tuple[Parsed, np.ndarray, Windows]:
         parsed = Parsed(R.opened(row)[1], window)

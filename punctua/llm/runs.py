@@ -11,6 +11,7 @@ the values fits a task.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from punctua.llm import words as W
 from punctua.session import work_path
 
 RUN_BYTES = 8 << 20
+RUN_TEXTS = 1 << 20
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, after all others
 
 RUN = "run bigint, ids binary, sizes binary, texts binary"
@@ -39,13 +41,25 @@ def unpress(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; for rows of some MB."""
-    path = work_path(df.sparkSession, name)
-    (df.write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20)
-     .option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 4)
-     .parquet(path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, rows_of_mb: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    Rows of some MB are packed already; their row groups are kept small. What the write shuffled
+    is released, as Spark removes shuffle files only when the driver collects its garbage.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    writer = df.write.option("compression", "zstd")
+    if rows_of_mb:
+        writer = (df.write.option("compression", "uncompressed")
+                  .option("parquet.block.size", 16 << 20)
+                  .option("parquet.page.size.row.check.min", 1)
+                  .option("parquet.page.size.row.check.max", 4))
+    writer.parquet(path)
+    schema = df.schema
+    del df, writer
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -67,7 +81,7 @@ def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES)
 
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), W.as_bytes(batch.column("text"))):
-                if texts and total + len(t) > run_bytes:
+                if texts and (total + len(t) > run_bytes or len(texts) == RUN_TEXTS):
                     yield row()
                     number, ids, texts, total = number + 1, [], [], 0
                 ids.append(NO_ID if i is None else i)
@@ -76,7 +90,7 @@ def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES)
         if texts:
             yield row()
 
-    return staged(table.mapInArrow(run, RUN), "runs")
+    return staged(table.mapInArrow(run, RUN), "runs", rows_of_mb=True)
 
 
 def opened(row: dict) -> tuple[np.ndarray, list[bytes]]:

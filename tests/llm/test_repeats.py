@@ -34,10 +34,10 @@ def test_texts_longer_than_a_piece(monkeypatch):
     rng = np.random.default_rng(5)
     names = rng.integers(0, 6, 4000).astype(np.uint64)
     edge = np.array([0, 4000])
-    whole = dict(zip(*(x.tolist() for x in recompression.anchors(names, edge, 35))))
+    whole = dict(zip(*(x.tolist() for x in recompression.anchors(names, edge, 35)[:2])))
     for a in range(0, 4000 - 700, 500):  # a window's anchor does not depend on what is around it
         part = recompression.anchors(names[a:a + 700], np.array([0, 700]), 35)
-        assert all(whole[a + s] == f for s, f in zip(*(x.tolist() for x in part)))
+        assert all(whole[a + s] == f for s, f in zip(*(x.tolist() for x in part[:2])))
 
 
 def test_merge_orders_and_gives_common_prefixes():
