@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import ceil, log2
 
+import numpy as np
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from punctua.operators import extra_trees, features, neighbours, split
+from punctua.operators import extra_trees, features, neighbours, split, stored
 from punctua.operators.prepare import FEATURES
+from punctua.operators.stored import State
 from punctua.session import settle, small_table, stage
 
 NAMES = [
@@ -32,48 +34,88 @@ NAMES = [
     "mlp", "logistic_regression", "linear_svm", "stacking",
 ]
 BOOSTING = ["xgboost", "lightgbm", "catboost"]
-MAX_DEPTH = 30  # the deepest tree Spark grows
+MAX_DEPTH = 30  # the deepest tree Spark grows; None means this depth
+TREE_PARAMETERS = {"n_estimators", "max_depth", "min_samples_leaf", "max_features"}
+
+
+def _depth(params: dict) -> int:
+    depth = params.get("max_depth") or MAX_DEPTH
+    if depth > MAX_DEPTH:
+        raise ValueError(f"Trees are at most {MAX_DEPTH} levels deep.")
+    return depth
 
 
 @dataclass(frozen=True)
 class Scorer:
     """A fitted classifier: ``score`` adds ``probability``, P(target = 1)."""
 
-    name: str
+    state: State
     score: Callable[[DataFrame], DataFrame]
     info: dict = field(default_factory=dict)
 
+    @property
+    def name(self) -> str:
+        return self.state.name
+
+
+def scorer(state: State, info: dict | None = None) -> Scorer:
+    """The score function of a state, fitted or loaded."""
+    kind = "boosting" if state.name in BOOSTING else state.name
+    return Scorer(state, SCORES[kind](state), info or {})
+
+
+def save(spark: SparkSession, model: Scorer, path: str) -> None:
+    """Write a fitted model into a new folder (K6)."""
+    stored.save(spark, model.state, path)
+
+
+def load(spark: SparkSession, path: str) -> Scorer:
+    """A model as it was saved: scores are those of the fitted one."""
+    return scorer(stored.load(spark, path))
+
+
+def _classified(transform, model):
+    """Score by one Spark model on the vectors that ``transform`` makes."""
+    if model.numClasses != 2:
+        raise ValueError("A model of two classes is needed.")
 
-def _spark_scorer(name: str, transform, model, info: dict | None = None) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
-        wide = model.transform(transform(df))
-        if model.numClasses != 2:
-            raise ValueError("Expected a binary classifier with two probability columns.")
         p = vector_to_array("probability")[1]
-        return wide.withColumn("probability", p).select(*df.columns, "probability")
+        return model.transform(transform(df)).withColumn("probability", p).select(
+            *df.columns, "probability")
+
+    return score
+
+
+def _on_ordinal(state: State):
+    encoding = stored.ordinal(state)
+    columns = features.SCALED if encoding.scale else features.ORDINAL
+    return _classified(lambda df: features.assemble(encoding.transform(df), columns),
+                       state.models["model"])
 
-    return Scorer(name, score, {"model": model, **(info or {})})
+
+def _on_one_hot(state: State):
+    return _classified(stored.one_hot(state).transform, state.models["model"])
 
 
 def _ordinal(train: DataFrame, scaled: bool = False):
+    """(transform to vectors, numbers, tables) of an encoding fitted on ``train``."""
     encoding = features.fit_ordinal(train, scaled)
     columns = features.SCALED if scaled else features.ORDINAL
-    return lambda df: features.assemble(encoding.transform(df), columns)
+    return (lambda df: features.assemble(encoding.transform(df), columns),
+            *stored.of_ordinal(encoding))
 
 
-ROWS_PER_TASK = 20_000
+def _refuse(name: str, params: dict, known: set[str]) -> None:
+    """Every parameter must have an effect."""
+    unknown = sorted(set(params) - known)
+    if unknown:
+        raise ValueError(f"{name} has no parameter {', '.join(unknown)}.")
 
 
 def _vectors(encoded: DataFrame) -> DataFrame:
-    """Feature vectors and labels, held for the many passes of a fit.
-
-    A small table is put into few partitions, for which a pass costs less than its tasks.
-    """
-    rows = encoded.select("features", F.col("target").cast("double").alias("label"))
-    count = rows.count()
-    if count <= ROWS_PER_TASK * 8:
-        rows = rows.coalesce(max(1, ceil(count / ROWS_PER_TASK)))
-    return rows.persist()
+    """Feature vectors and labels, held for the many passes of a fit."""
+    return encoded.select("features", F.col("target").cast("double").alias("label")).persist()
 
 
 def _fit_on(estimator, encoded: DataFrame):
@@ -93,36 +135,62 @@ def _subset(fraction) -> str:
 
 
 def random_forest(train: DataFrame, params: dict, seed: int) -> Scorer:
-    transform = _ordinal(train)
+    _refuse("random_forest", params, TREE_PARAMETERS)
+    transform, numbers, tables = _ordinal(train)
     forest = RandomForestClassifier(
-        numTrees=params.get("n_estimators", 300),
-        maxDepth=min(params.get("max_depth") or MAX_DEPTH, MAX_DEPTH),
+        numTrees=params.get("n_estimators", 300), maxDepth=_depth(params),
         minInstancesPerNode=params.get("min_samples_leaf", 1),
         featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
         cacheNodeIds=True, seed=seed,
     )
-    return _spark_scorer("random_forest", transform, _fit_on(forest, transform(train)))
+    model = _fit_on(forest, transform(train))
+    return scorer(State("random_forest", numbers, tables, {"model": model}), {"model": model})
 
 
 def extra_trees_model(train: DataFrame, params: dict, seed: int) -> Scorer:
+    _refuse("extra_trees", params, TREE_PARAMETERS)
     encoding = features.fit_ordinal(train)
     trees = extra_trees.fit(
         encoding.transform(train), features.ORDINAL, "target",
-        trees=params.get("n_estimators", 300),
-        max_depth=min(params.get("max_depth") or MAX_DEPTH, MAX_DEPTH),
+        trees=params.get("n_estimators", 300), max_depth=_depth(params),
         min_leaf=params.get("min_samples_leaf", 1),
         max_features=params.get("max_features", "sqrt"), seed=seed,
     )
+    numbers, tables = stored.of_ordinal(encoding)
+    arrays = {k: (str(v.dtype), v.tobytes()) for k, v in vars(trees).items()}
+    tables["trees"] = small_table(train.sparkSession, [(k, *v) for k, v in arrays.items()],
+                                  "part string, kind string, content binary")
+    return scorer(State("extra_trees", numbers, tables))
+
+
+def _extra_trees_score(state: State):
+    encoding = stored.ordinal(state)
+    trees = extra_trees.Trees(**{r["part"]: np.frombuffer(r["content"], dtype=r["kind"])
+                                 for r in state.tables["trees"].collect()})
 
     def score(df):
         wide = extra_trees.predict(trees, encoding.transform(df), features.ORDINAL)
         return wide.select(*df.columns, "probability")
 
-    return Scorer("extra_trees", score, {"trees": trees})
+    return score
+
+
+SHARED = {"n_estimators", "learning_rate"}
+BOOSTING_PARAMETERS = {
+    "xgboost": SHARED | {"max_depth", "min_child_weight", "subsample", "colsample_bytree"},
+    "lightgbm": SHARED | {"num_leaves", "max_depth", "min_child_samples", "subsample",
+                          "colsample_bytree"},
+    "catboost": SHARED | {"depth"},
+}
 
 
 def boosting_settings(name: str, params: dict) -> dict:
-    """Spark settings for the three boosting flavours; all grow depth-limited trees here."""
+    """Spark settings for the three boosting models.
+
+    All three are Spark's gradient-boosted trees, grown level by level to a depth; they differ
+    in the names of their parameters only. A parameter without a counterpart is an error.
+    """
+    _refuse(name, params, BOOSTING_PARAMETERS[name])
     depth = {"xgboost": params.get("max_depth", 6), "catboost": params.get("depth", 6)}.get(name)
     if name == "lightgbm":
         depth = ceil(log2(params.get("num_leaves", 31)))
@@ -146,11 +214,13 @@ def _gbt(name: str, params: dict, seed: int, rounds: int) -> GBTClassifier:
 
 def boosting(name: str) -> Callable:
     def fit(train: DataFrame, params: dict, seed: int, iterations: int | None = None,
-            transform=None) -> Scorer:
-        transform = transform or _ordinal(train)
+            encoded=None) -> Scorer:
+        """``encoded`` is the encoding of ``train`` as ``_ordinal`` gives it, if it is known."""
+        transform, numbers, tables = encoded or _ordinal(train)
         rounds = int(iterations or params.get("n_estimators") or 300)
         model = _fit_on(_gbt(name, params, seed, rounds), transform(train))
-        return _spark_scorer(name, transform, model, {"iterations": rounds})
+        return scorer(State(name, numbers, tables, {"model": model}),
+                      {"model": model, "iterations": rounds})
 
     return fit
 
@@ -182,7 +252,7 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
     """
     marked = stage(split.holdout(train, f"stop{seed}", id_col), "holdout")
     inner = marked.where(~F.col("is_validation"))
-    transform = _ordinal(inner)
+    transform, numbers, tables = _ordinal(inner)
     fit_rows = _vectors(transform(inner))
     check = _vectors(transform(marked.where("is_validation")))
     rounds = min(max_rounds, max(2 * patience, 10))
@@ -201,25 +271,34 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
         model = _gbt(name, params, seed, best).fit(fit_rows)
     fit_rows.unpersist()
     check.unpersist()
-    return _spark_scorer(name, transform, model, {"best_iteration": best, "iterations": best})
+    return scorer(State(name, numbers, tables, {"model": model}),
+                  {"model": model, "best_iteration": best, "iterations": best})
 
 
 # -- neighbours, Bayes, networks ---------------------------------------------------------------
 
 def knn(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id") -> Scorer:
+    _refuse("knn", params, {"n_neighbors", "p", "weights"})
     encoding = features.fit_ordinal(train, scaled=True)
+    numbers, tables = stored.of_ordinal(encoding)
+    tables["train"] = stage(
+        encoding.transform(train).select(id_col, *features.ORDINAL, "target"), "knn")
+    return scorer(State("knn", {**numbers, "params": params, "id": id_col}, tables))
+
+
+def _knn_score(state: State):
+    encoding, params, id_col = stored.ordinal(state), state.numbers["params"], state.numbers["id"]
     stds = [encoding.scale[c][1] for c in features.ORDINAL]
-    held = stage(encoding.transform(train).select(id_col, *features.ORDINAL, "target"), "knn")
 
     def score(df):
         found = neighbours.knn_probability(
-            held, encoding.transform(df), features.ORDINAL, stds, id_col, "target",
+            state.tables["train"], encoding.transform(df), features.ORDINAL, stds, id_col, "target",
             k=params.get("n_neighbors", 15), p=params.get("p", 2),
             weights=params.get("weights", "uniform"),
         )
         return found.select(*df.columns, "probability")
 
-    return Scorer("knn", score)
+    return score
 
 
 def gaussian_stats(rows: DataFrame, columns: list[str], by: list[str] | None = None):
@@ -248,27 +327,37 @@ def gaussian_probability(classes: list, widest: float, smoothing: Column,
 
 
 def gaussian_nb(train: DataFrame, params: dict, seed: int = 0) -> Scorer:
+    _refuse("gaussian_nb", params, {"var_smoothing"})
     encoding = features.fit_ordinal(train, scaled=True)
     classes, widest = gaussian_stats(encoding.transform(train), features.SCALED)
-    p = gaussian_probability(
-        classes.collect(), widest.first()["widest"],
-        F.lit(float(params.get("var_smoothing", 1e-9))), features.SCALED,
-    )
+    numbers, tables = stored.of_ordinal(encoding)
+    numbers |= {"classes": [r.asDict() for r in classes.collect()],
+                "widest": widest.first()["widest"],
+                "smoothing": float(params.get("var_smoothing", 1e-9))}
+    return scorer(State("gaussian_nb", numbers, tables))
+
+
+def _gaussian_score(state: State):
+    encoding, numbers = stored.ordinal(state), state.numbers
+    p = gaussian_probability(numbers["classes"], numbers["widest"], F.lit(numbers["smoothing"]),
+                             features.SCALED)
 
     def score(df):
         return encoding.transform(df).withColumn("probability", p).select(
             *df.columns, "probability")
 
-    return Scorer("gaussian_nb", score)
+    return score
 
 
 def mlp(train: DataFrame, params: dict, seed: int) -> Scorer:
-    transform = _ordinal(train, scaled=True)
+    _refuse("mlp", params, {"hidden_layer_sizes", "max_iter"})
+    transform, numbers, tables = _ordinal(train, scaled=True)
     hidden = [int(n) for n in params.get("hidden_layer_sizes", (64, 32))]
     net = MultilayerPerceptronClassifier(
         layers=[len(FEATURES), *hidden, 2], maxIter=params.get("max_iter", 250), seed=seed
     )
-    return _spark_scorer("mlp", transform, _fit_on(net, transform(train)))
+    model = _fit_on(net, transform(train))
+    return scorer(State("mlp", numbers, tables, {"model": model}), {"model": model})
 
 
 # -- linear models -----------------------------------------------------------------------------
@@ -280,11 +369,13 @@ def _ridge(rows: int, c: float) -> dict:
 
 
 def logistic_regression(train: DataFrame, params: dict, seed: int = 0) -> Scorer:
+    _refuse("logistic_regression", params, {"C"})
     encoding = features.fit_one_hot(train)
-    model = LogisticRegression(maxIter=1000,
-                               **_ridge(train.count(), params.get("C", 1.0)))
-    fitted = _fit_on(model, encoding.transform(train))
-    return _spark_scorer("logistic_regression", encoding.transform, fitted)
+    estimator = LogisticRegression(maxIter=1000,
+                                   **_ridge(train.count(), params.get("C", 1.0)))
+    model = _fit_on(estimator, encoding.transform(train))
+    return scorer(State("logistic_regression", *stored.of_one_hot(encoding), {"model": model}),
+                  {"model": model})
 
 
 def platt(margins: DataFrame) -> tuple[float, float]:
@@ -310,13 +401,14 @@ def platt(margins: DataFrame) -> tuple[float, float]:
 
 def linear_svm(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id") -> Scorer:
     """Linear SVM with sigmoid calibration, averaged over cross-validation folds."""
+    _refuse("linear_svm", params, {"C", "cv"})
     encoding = features.fit_one_hot(train)
     folds = int(params.get("cv", 5))
     folded = stage(
         split.stratified_folds(train, folds, f"svm{seed}", id_col), "svm"
     )
     encoded = encoding.transform(folded).select("fold", "target", "features")
-    members = []
+    models, sigmoids = {}, []
     for fold in range(folds):
         inner = encoded.where(F.col("fold") != fold)
         settings = _ridge(inner.count(), params.get("C", 1.0))
@@ -326,19 +418,28 @@ def linear_svm(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id
         margin = vector_to_array("rawPrediction")[1]
         held = model.transform(encoded.where(F.col("fold") == fold)).select(
             margin.alias("margin"), "target")
-        members.append((model, *platt(held)))
+        models[f"fold{fold}"] = model
+        sigmoids.append(platt(held))
+    numbers, tables = stored.of_one_hot(encoding)
+    return scorer(State("linear_svm", {**numbers, "sigmoids": sigmoids}, tables, models),
+                  {"members": folds})
+
+
+def _svm_score(state: State):
+    encoding, sigmoids = stored.one_hot(state), state.numbers["sigmoids"]
 
     def score(df):
         wide = encoding.transform(df)
-        for i, (model, slope, intercept) in enumerate(members):
+        for i, (slope, intercept) in enumerate(sigmoids):
+            model = state.models[f"fold{i}"]
             scored = model.copy({model.rawPredictionCol: f"_raw{i}",
                                  model.predictionCol: f"_pred{i}"}).transform(wide)
             z = vector_to_array(f"_raw{i}")[1] * slope + intercept
             wide = scored.withColumn(f"_p{i}", 1 / (1 + F.exp(-z)))
-        mean = sum((F.col(f"_p{i}") for i in range(len(members))), F.lit(0.0)) / len(members)
+        mean = sum((F.col(f"_p{i}") for i in range(len(sigmoids))), F.lit(0.0)) / len(sigmoids)
         return wide.withColumn("probability", mean).select(*df.columns, "probability")
 
-    return Scorer("linear_svm", score, {"members": len(members)})
+    return score
 
 
 # -- stacking ----------------------------------------------------------------------------------
@@ -350,11 +451,11 @@ def out_of_fold(folded: DataFrame, specs: dict[str, dict], folds: int, seed: int
     for fold in range(folds):
         inner = folded.where(F.col("fold") != fold)
         held = folded.where(F.col("fold") == fold)
-        transform = _ordinal(inner)
+        encoded = _ordinal(inner)
         for name in BOOSTING:
             spec = specs[name]
             fitted = boosting(name)(inner, spec["params"], seed + fold,
-                                    spec.get("iterations"), transform)
+                                    spec.get("iterations"), encoded)
             parts.append(fitted.score(held).select(
                 id_col, "target", "fold", F.lit(name).alias("model"), "probability"))
     out = parts[0]
@@ -392,22 +493,35 @@ def stacking(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id",
     long = out_of_fold(folded, specs, folds, seed, id_col)
     table = stage(meta_features(long, [id_col, "target", "fold"]), "oof")
     meta = fit_meta(table, params.get("C", 1.0))
-    transform = _ordinal(train)
+    encoded = _ordinal(train)
     bases = {n: boosting(n)(train, specs[n]["params"], seed, specs[n].get("iterations"),
-                            transform) for n in BOOSTING}
+                            encoded).state for n in BOOSTING}
+    return scorer(State("stacking", models={"meta": meta}, parts=bases),
+                  {"oof": table, "meta": meta})
+
+
+def _stack_score(state: State):
+    bases = {name: scorer(part) for name, part in state.parts.items()}
 
     def score(df):
         wide = df
         for name in BOOSTING:
             wide = bases[name].score(wide).withColumnRenamed("probability", name)
-        return score_meta(meta, wide).drop(*BOOSTING)
+        return score_meta(state.models["meta"], wide).drop(*BOOSTING)
+
+    return score
 
-    return Scorer("stacking", score, {"oof": table, "meta": meta})
+
+SCORES = {
+    "random_forest": _on_ordinal, "boosting": _on_ordinal, "mlp": _on_ordinal,
+    "logistic_regression": _on_one_hot, "extra_trees": _extra_trees_score, "knn": _knn_score,
+    "gaussian_nb": _gaussian_score, "linear_svm": _svm_score, "stacking": _stack_score,
+}
 
 
 # -- registry ----------------------------------------------------------------------------------
 
-# Settings of the two profiles: the full ones are the defaults of the fits above.
+# Settings of the two profiles; the full ones are the defaults of the fits above.
 FAST = {
     "random_forest": {"n_estimators": 30},
     "extra_trees": {"n_estimators": 30},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from punctua.operators import evaluate, features, integrity, learners, prepare, split, tune
@@ -153,7 +155,7 @@ def m13_fit(spark, sf):
 def m14(spark, sf):
     train, test = train_test(spark, sf)
     spec = {"params": {"depth": 3, "learning_rate": 0.1}, "iterations": 4}
-    model = tune.fit_spec("catboost", train, spec, {}, tune.Protocol(), 42)
+    model = tune.fit_spec("catboost", train, spec, {}, tune.SMOKE_RUN, 42)
     return model.score(test).select("unit_id", "target", "probability")
 
 
@@ -197,24 +199,23 @@ cvj as (select candidate, cvz.f as fold, unit_id, cvz.target as actual, cvn.targ
 cvp as (select candidate * 10 + fold as cell, actual as target,
     1 / (1 + exp(max(case when target = 0 then lj end) - max(case when target = 1 then lj end)))
       as probability from cvj group by candidate, fold, unit_id, actual),
-""" + metrics("cvp", "cell").lstrip()
+""" + metrics("cvp", "cell", digits=None).lstrip()
 
 _CELL = "cast(cell // 10 as int) as candidate, cast(cell % 10 as int) as fold"
 
 
 def gaussian_cv(spark, sf):
-    """Fold metrics of every smoothing candidate, at the six digits that the check uses."""
+    """Fold metrics of every smoothing candidate, unrounded."""
     train, _ = train_test(spark, sf)
     folded = u.stage(split.stratified_folds(train, 2, "inner42", "unit_id"), "folded")
     params = [{"var_smoothing": s} for s in SMOOTHINGS]
-    table = tune.cross_validate("gaussian_nb", folded, params, tune.Protocol(), 42)
-    return table.select("candidate", "fold", *r6(*evaluate.METRICS))
+    return tune.cross_validate("gaussian_nb", folded, params, tune.SMOKE_RUN, 42)
 
 
-@query("h4_candidate_fold_metrics", w(CV_SQL, f"""
-select {_CELL}, roc_auc, pr_auc, f1, brier, accuracy, precision, recall from metrics"""))
+@query("h4_candidate_fold_metrics", w(CV_SQL, f"select {_CELL}, " + ", ".join(
+    f"round({c}, 6) as {c}" for c in evaluate.METRICS) + " from metrics"))
 def h4(spark, sf):
-    return gaussian_cv(spark, sf)
+    return gaussian_cv(spark, sf).select("candidate", "fold", *r6(*evaluate.METRICS))
 
 
 SUMMARY = f"""
@@ -245,7 +246,7 @@ def h5(spark, sf):
 mf as (select model, cast(month % 3 as int) as outer_fold, models.probability, models.target
        from models join test using (unit_id)),
 keyed as (select model || '/' || outer_fold as cell, probability, target from mf),
-""" + metrics("keyed", "cell").lstrip(), """
+""" + metrics("keyed", "cell", digits=None).lstrip(), """
 select split_part(cell, '/', 1) as model, round(avg(roc_auc), 5) as mean_roc_auc,
   round(stddev_samp(roc_auc), 5) as std_roc_auc, round(avg(pr_auc), 5) as mean_pr_auc,
   round(avg(brier), 5) as mean_brier, round(avg(f1), 5) as mean_f1
@@ -254,12 +255,11 @@ def a5(spark, sf):
     months = u.units(spark, sf).select("unit_id", (F.col("month") % 3).alias("outer_fold"))
     rows = model_scores(spark, sf).join(months, "unit_id")
     table = evaluate.metrics(rows, ["model", "outer_fold"])
-    table = table.select("model", "outer_fold", *r6(*evaluate.METRICS))
     summary = tune.nested_summary(table)
     return summary.select("model", *[F.round(c, 5).alias(c) for c in _SIX])
 
 
-GAUSS = tune.Protocol(names=("gaussian_nb",))
+GAUSS = replace(tune.SMOKE_RUN, names=("gaussian_nb",))
 
 
 @query("h7_nested_cv")
@@ -283,7 +283,7 @@ def h9(spark, sf):
 def h3(spark, sf):
     train, _ = train_test(spark, sf)
     folded = u.stage(split.stratified_folds(train, 2, "inner42", "unit_id"), "folded")
-    protocol = tune.Protocol(max_rounds=6, patience=3)
+    protocol = replace(tune.SMOKE_RUN, max_rounds=6, patience=3)
     return tune.cross_validate("catboost", folded, [{"depth": 3, "learning_rate": 0.1}],
                                protocol, 42)
 

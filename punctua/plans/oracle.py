@@ -21,6 +21,17 @@ raw_units as (
 units as (select *, row_number() over (order by year, month, carrier, airport) - 1 as unit_id
           from raw_units)"""
 
+LINE_UNITS = """
+line_rows as (
+  select l_orderkey, l_linenumber, min(l_shipdate) as day, min(l_returnflag) as carrier,
+         min(l_suppkey % 50) as place, sum(l_quantity) as arr_flights
+  from lineitem group by l_orderkey, l_linenumber),
+units as (select cast(year(day) as int) as year, cast(month(day) as int) as month, carrier,
+    's' || place as airport, arr_flights,
+    cast(floor(arr_flights * ((l_orderkey * 7 + l_linenumber * 13 + place) % 40) / 100) as double)
+      as arr_del15,
+    row_number() over (order by l_orderkey, l_linenumber) - 1 as unit_id from line_rows)"""
+
 PREPARED = UNITS + """,
 prepared as (select *, arr_del15 / arr_flights as delay_rate,
     cast(arr_del15 / arr_flights > cast(0.2 as double) as int) as target from units)"""
@@ -81,8 +92,20 @@ def w(ctes: str, final: str) -> str:
     return f"with {ctes}\n{final}"
 
 
-def metrics(source: str, by: str = "model", t: str = "0.5") -> str:
-    """CTE ``metrics``: the seven metrics of (by, probability, target) rows."""
+def metrics(source: str, by: str = "model", t: str = "0.5", digits: int | None = 6) -> str:
+    """CTE ``metrics``: the seven metrics of (by, probability, target) rows.
+
+    ``digits`` None leaves them unrounded, for sums and means that are rounded themselves.
+    """
+    columns = {
+        "roc_auc": "area / (pp * nn)", "pr_auc": "ap / pp",
+        "f1": "coalesce(2 * tp / nullif(2 * tp + fp + pp - tp, 0), 0)",
+        "brier": "se / (pp + nn)", "accuracy": "(tp + nn - fp) / (pp + nn)",
+        "precision": "coalesce(tp / nullif(tp + fp, 0), 0)",
+        "recall": "coalesce(tp / nullif(pp, 0), 0)",
+    }
+    shown = ", ".join(f"{x} as {name}" if digits is None else f"round({x}, {digits}) as {name}"
+                      for name, x in columns.items())
     return f"""
 cells as (select {by}, probability as p, sum(target) as pos, sum(1 - target) as neg
           from {source} group by {by}, probability),
@@ -94,11 +117,7 @@ sums as (select {by}, cast(sum(pos) as double) as pp, cast(sum(neg) as double) a
     cast(sum(case when p >= {t}::double then pos else 0 end) as double) as tp,
     cast(sum(case when p >= {t}::double then neg else 0 end) as double) as fp,
     sum(pos * (p - 1) * (p - 1) + neg * p * p) as se from runs group by {by}),
-metrics as (select {by}, round(area / (pp * nn), 6) as roc_auc, round(ap / pp, 6) as pr_auc,
-    round(coalesce(2 * tp / nullif(2 * tp + fp + pp - tp, 0), 0), 6) as f1,
-    round(se / (pp + nn), 6) as brier, round((tp + nn - fp) / (pp + nn), 6) as accuracy,
-    round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision,
-    round(coalesce(tp / nullif(pp, 0), 0), 6) as recall from sums)"""
+metrics as (select {by}, {shown} from sums)"""
 
 
 def decision(source: str, by: str = "strategy", penalty: str = "2000") -> str:

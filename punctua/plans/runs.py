@@ -18,12 +18,15 @@ from punctua.operators import (
     tune,
 )
 from punctua.session import stage
-from punctua.sinks import save_model, write_csv, write_predictions, write_report, write_rows
+from punctua.sinks import write_csv, write_predictions, write_report, write_rows
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Arguments of a run; the defaults are the published configuration."""
+    """Arguments of a run.
+
+    Fixed values: the defaults are the published configuration.
+    """
 
     seed: int = 42
     rules: prepare.Rules = prepare.Rules()
@@ -33,6 +36,7 @@ class Settings:
     test_start: int = 2024
     names: tuple[str, ...] = tuple(learners.NAMES)
     selected: str = "stacking"
+    save_all: bool = False
     fast: bool = False
     stack_folds: int = 5
     threshold: float = 0.5
@@ -96,9 +100,10 @@ def _fit(name: str, train: DataFrame, settings: Settings) -> learners.Scorer:
     return learners.fit(name, train, params, settings.seed)
 
 
-def _save(model: learners.Scorer, path: str) -> None:
-    if "model" in model.info:
-        save_model(model.info["model"], path)
+def _wide(scores: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One row per test unit with a probability column for each model."""
+    return scores.groupBy("unit_id", "target").pivot("model", list(names)).agg(
+        F.first("probability"))
 
 
 def run(spark: SparkSession, raw: DataFrame, settings: Settings, out: str) -> str:
@@ -106,12 +111,12 @@ def run(spark: SparkSession, raw: DataFrame, settings: Settings, out: str) -> st
     unknown = sorted(set(settings.names) - set(learners.NAMES))
     if unknown:
         raise ValueError(f"Unknown model names: {unknown}")
+    if settings.selected not in settings.names:
+        raise ValueError("The selected model must be one of the fitted ones.")
     with integrity.RunRecord(spark, f"{out}/runs", "run", settings.as_dict()) as record:
         here = f"{out}/{record.run_id}"
         rows = _prepared(raw, settings, here)
-        if settings.expected:
-            write_report(prepare.validation_report(
-                prepare.summarize(raw, settings.rules), settings.expected), f"{here}/validation")
+        _expected(raw, settings, f"{here}/validation")
         parts = split.random_split(rows, settings.test_size, f"split{settings.seed}", "unit_id")
         parts = stage(split.balance(parts, f"under{settings.seed}", "unit_id"), "parts")
         write_report(prepare.split_summary(parts), f"{here}/random_split_summary")
@@ -122,9 +127,10 @@ def run(spark: SparkSession, raw: DataFrame, settings: Settings, out: str) -> st
             model = _fit(name, train, settings)
             write_predictions(model.score(test).select("unit_id", "target", "probability"),
                               f"{here}/predictions", name)
-            if name == settings.selected:
-                _save(model, f"{here}/model_{name}")
+            if settings.save_all or name == settings.selected:
+                learners.save(spark, model, f"{here}/model_{name}")
         scores = spark.read.parquet(f"{here}/predictions")
+        write_csv(_wide(scores, settings.names), f"{here}/test_predictions", compress=True)
         table = evaluate.metrics(scores, ["model"], settings.threshold)
         write_csv(table.orderBy(F.desc("roc_auc")).coalesce(1), f"{here}/model_metrics")
         chosen = scores.where(F.col("model") == settings.selected).drop("model", "target")
@@ -144,6 +150,7 @@ def _temporal(rows: DataFrame, settings: Settings, here: str, fit=None) -> None:
     train = stage(parts.where("part = 'train' and kept").select(columns), "train")
     test = stage(parts.where("part = 'test'").select(columns), "test")
     model = fit(train) if fit else _fit(settings.selected, train, settings)
+    learners.save(rows.sparkSession, model, f"{here}/temporal_model_{settings.selected}")
     scored = stage(model.score(test), "scored")
     write_predictions(scored, f"{here}/temporal_predictions", settings.selected)
     write_csv(evaluate.bootstrap_intervals(
@@ -152,12 +159,37 @@ def _temporal(rows: DataFrame, settings: Settings, here: str, fit=None) -> None:
     select_units(scored, settings, f"{here}/temporal_split")
 
 
+def _expected(raw: DataFrame, settings: Settings, path: str) -> None:
+    if settings.expected:
+        write_report(prepare.validation_report(
+            prepare.summarize(raw, settings.rules), settings.expected), path)
+
+
+def _tuned_results(rows: DataFrame, test: DataFrame, specs: dict, settings: Settings,
+                   protocol: tune.Protocol, predictions: str, here: str) -> None:
+    """What follows the test: wide predictions, calibration, selection, the temporal arm."""
+    scores = rows.sparkSession.read.parquet(predictions)
+    write_csv(_wide(scores, protocol.names), f"{here}/test_predictions", compress=True)
+    chosen = scores.where(F.col("model") == settings.selected).drop("model", "target")
+    scored = chosen.join(test, "unit_id")
+    write_csv(evaluate.calibration(scored, settings.bins), f"{here}/calibration")
+    select_units(scored, settings, f"{here}/random_split")
+    if settings.temporal:
+        name = settings.selected
+        _temporal(rows, settings, here, lambda train: tune.fit_spec(
+            name, train, specs[name], specs, protocol, settings.seed))
+
+
 def tune_run(spark: SparkSession, raw: DataFrame, settings: Settings, protocol: tune.Protocol,
              out: str, unlock: bool = False) -> dict:
-    """Nested CV, final tuning, freeze and, if ``unlock``, the one test evaluation.
+    """Nested CV, final tuning, freeze and, if ``unlock``, the one test evaluation with
+    predictions, calibration, selection and the temporal arm of the tuned model.
 
-    ``out`` is the run folder: a second call with the same settings resumes it.
+    ``out`` is the run folder: a second call with the same settings resumes it, and repeats
+    nothing once it is finished. The result names the folder of its reports.
     """
+    if unlock and settings.selected not in protocol.names:
+        raise ValueError("The selected model must be one of the tuned ones.")
     config = {"settings": settings.as_dict(), "protocol": protocol.as_dict()}
     seen = integrity.read_table(spark, f"{out}/config")
     digest = integrity.parameters_hash(config)
@@ -165,8 +197,9 @@ def tune_run(spark: SparkSession, raw: DataFrame, settings: Settings, protocol:
         write_rows(spark.createDataFrame([(digest,)], "config_sha256 string").coalesce(1),
                    f"{out}/config")
     elif seen.first()["config_sha256"] != digest:
-        raise ValueError("The resume configuration differs from the recorded one.")
-    with integrity.RunRecord(spark, f"{out}/runs", "tune", config):
+        raise ValueError("The run has been started with another configuration.")
+    with integrity.RunRecord(spark, f"{out}/runs", "tune", config) as record:
+        here = f"{out}/reports-{record.run_id}"  # of this attempt; a broken-off one stays aside
         rows = integrity.read_table(spark, f"{out}/prepared")
         rows = _prepared(raw, settings, out) if rows is None else rows
         parts = split.random_split(rows, settings.test_size, f"split{settings.seed}", "unit_id")
@@ -185,4 +218,12 @@ def tune_run(spark: SparkSession, raw: DataFrame, settings: Settings, protocol:
             result["test"] = tune.evaluate_frozen(
                 train, test, specs, protocol, f"{out}/checkpoints", f"{out}/predictions",
                 f"{out}/freeze", not unlock)
+            done = integrity.read_table(spark, f"{out}/finished")
+            if done is None:
+                _expected(raw, settings, f"{here}/validation")
+                write_report(prepare.split_summary(parts), f"{here}/random_split_summary")
+                _tuned_results(rows, test, specs, settings, protocol, f"{out}/predictions", here)
+                marker = spark.createDataFrame([(here,)], "reports string")
+                write_rows(marker.coalesce(1), f"{out}/finished")
+            result["reports"] = here if done is None else done.first()["reports"]
     return result

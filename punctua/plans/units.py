@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,17 @@ KEY = ["year", "month", "carrier", "airport"]
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
+_PER_LINE = ContextVar("per_line", default=False)
+
+
+@contextmanager
+def per_line():
+    """Inside, a unit is an order line, so the unit table grows with the given tables."""
+    token = _PER_LINE.set(True)
+    try:
+        yield
+    finally:
+        _PER_LINE.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +65,27 @@ def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with a share of late pieces; lines of one number in an order are one unit."""
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_shipdate").alias("day"), F.min("l_returnflag").alias("carrier"),
+        F.min(F.col("l_suppkey") % 50).alias("place"), F.sum("l_quantity").alias("arr_flights"))
+    share = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("place")) % 40
+    return rows.select(
+        "l_orderkey", "l_linenumber", F.year("day").alias("year"), F.month("day").alias("month"),
+        "carrier", F.concat(F.lit("s"), F.col("place").cast("string")).alias("airport"),
+        "arr_flights", F.floor(F.col("arr_flights") * share / 100).cast("double").alias("arr_del15"))
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit table with ``unit_id``, the position in key order. The aggregate is staged, so the
-    big join runs once however many passes follow."""
-    staged = stage(raw_units(spark, sf_dir), "units")
-    return order.dense_position(staged, KEY, "unit_id")
+    """Unit table with ``unit_id``, the position in key order. Staged, so that the aggregate
+    runs once however many passes follow."""
+    if _PER_LINE.get():
+        key = ["l_orderkey", "l_linenumber"]
+        return stage(order.dense_position(line_units(spark, sf_dir), key, "unit_id").drop(*key),
+                     "units")
+    return stage(order.dense_position(raw_units(spark, sf_dir), KEY, "unit_id"), "units")
 
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Writers that never overwrite (K1-K3, K5, K6)."""
+"""Writers that never overwrite (K1-K3, K5); models are saved by operators.stored (K6)."""
 
 from __future__ import annotations
 
-from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame
 
 
@@ -31,8 +30,3 @@ def write_predictions(df: DataFrame, path: str, model: str) -> None:
     The committer moves the files in place at the end, so a reader sees all or nothing.
     """
     write_rows(df, f"{path}/model={model}")
-
-
-def save_model(model: MLWritable, path: str) -> None:
-    """Save a fitted Spark model; an existing path is an error."""
-    model.write().save(path)

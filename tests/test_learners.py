@@ -8,8 +8,8 @@ from punctua.operators import extra_trees, features, learners, neighbours
 from punctua.operators.prepare import FEATURES
 from punctua.session import stage
 
-BASE = {n: {"params": {"max_depth": 3, "depth": 3, "num_leaves": 8, "learning_rate": 0.2},
-            "iterations": 3} for n in learners.BOOSTING}
+BASE = {n: {"params": {key: size, "learning_rate": 0.2}, "iterations": 3} for n, key, size in (
+    ("xgboost", "max_depth", 3), ("lightgbm", "num_leaves", 8), ("catboost", "depth", 3))}
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,34 @@ def test_logistic_fit_is_the_ridge_optimum(units):
     assert abs(residual.sum()) < 0.5
 
 
+@pytest.mark.parametrize("name, params", [
+    ("random_forest", {"n_estimators": 3, "max_depth": 3}),
+    ("extra_trees", {"n_estimators": 3, "max_depth": 3}),
+    ("catboost", {"n_estimators": 2, "depth": 3}), ("knn", {"n_neighbors": 5}),
+    ("gaussian_nb", {}), ("mlp", {"hidden_layer_sizes": (4,), "max_iter": 5}),
+    ("logistic_regression", {}), ("linear_svm", {"cv": 2}), ("stacking", {"folds": 2}),
+])
+def test_loaded_model_scores_as_the_fitted_one(spark, units, tmp_path, name, params):
+    specs = BASE if name == "stacking" else None
+    model = learners.fit(name, units, params, 7, specs=specs)
+    learners.save(spark, model, str(tmp_path / "m"))
+    again = learners.load(spark, str(tmp_path / "m"))
+    assert again.name == name
+    new = units.withColumn("carrier", F.when(F.col("unit_id") % 50 == 0, "new").otherwise(
+        F.col("carrier")))
+    want = {r.unit_id: r.probability for r in model.score(new).collect()}
+    assert {r.unit_id: r.probability for r in again.score(new).collect()} == want
+    with pytest.raises(Exception):
+        learners.save(spark, model, str(tmp_path / "m"))
+
+
+def test_parameters_without_effect_are_refused(units):
+    for name, params in (("xgboost", {"reg_lambda": 1.0}), ("mlp", {"alpha": 0.1}),
+                         ("random_forest", {"max_depth": 40}), ("catboost", {"max_depth": 3})):
+        with pytest.raises(ValueError):
+            learners.fit(name, units, params, 7)
+
+
 def test_patience(spark):
     losses = [5, 4, 3, 3, 4, 5, 2, 1]
     df = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)],
