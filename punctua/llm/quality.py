@@ -35,6 +35,7 @@ SHAPES = 1 << 12  # hashed n-grams of word shapes
 LEVELS = 16  # levels of each share
 SHARES = 6
 SIZE = GRAMS + SHAPES + SHARES * LEVELS
+SENT = 1_000_000  # labels of 12 bytes that may be broadcast
 
 # Kinds of bytes: 0 other symbol, 1 upper, 2 lower or above ASCII, 3 digit, 4 sentence mark.
 KIND = np.zeros(256, dtype=np.int64)
@@ -86,20 +87,29 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(blob), dtype="<i4"))
 
 
-def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, indicators (packed) and a hash of the text."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    table = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"),
-                        F.col(text).alias("text"))
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+    """(y, h, text) of the rows with a label; h is a hash of the text.
+
+    Up to ``SENT`` labels are sent to the tasks; beyond that the rows are shuffled to them.
+    """
+    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).where(
+        "y IN (0, 1) AND __id IS NOT NULL")
+    known = F.broadcast(known) if known.count() <= SENT else known.hint("merge")
+    rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"))
+    return rows.join(known, F.col("__doc") == F.col("__id")).select(
+        "y", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text")
 
+
+def described(rows: DataFrame) -> DataFrame:
+    """(y, h, found) of (y, h, text); found is the packed indicators."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [pack(indicators(t)) for t in W.as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array(found, pa.binary())],
-                names=["doc_id", "h", "found"])
+                [batch.column("y"), batch.column("h"), pa.array(found, pa.binary())],
+                names=["y", "h", "found"])
 
-    return table.mapInArrow(run, f"doc_id {kind}, h bigint, found binary")
+    return rows.mapInArrow(run, "y int, h bigint, found binary")
 
 
 def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         label: str = "quality", sample_rows: int = 2000, cost: float = 1.0, epochs: int = 30,
         smoothing: float = 1.0) -> Model:
     """Fit on the rows of ``docs`` that have a label; ``sample_rows`` per class at most."""
-    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).where(
-        "y IN (0, 1) AND __id IS NOT NULL")
-    rows = described(docs, doc_id, text)
-    rows = rows.join(known, rows["doc_id"] == known["__id"]).select("y", "h", "found")
-    n, counts = class_counts(rows)
+    rows = labelled(docs, labels, doc_id, text, label)
+    n, counts = class_counts(described(rows))
     total = n.sum()
     prior = float(n[1] / total) if total else 0.5
     if not n.all():
@@ -188,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = F.when(F.col("y") == 1, F.lit(min(1.0, sample_rows / int(n[1])))).otherwise(
         F.lit(min(1.0, sample_rows / int(n[0]))))
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
-    sample = drawn.groupBy("h", "y").agg(F.first("found").alias("found")).orderBy("h", "y").collect()
+    sample = described(drawn.dropDuplicates(["h", "y"])).orderBy("h", "y").collect()
     found = [unpack(r["found"]) for r in sample]
     y = np.array([1.0 if r["y"] == 1 else -1.0 for r in sample])
     if len(set(y)) < 2:

@@ -54,13 +54,15 @@ def test_quality_defined_cases(spark):
     assert quality.accepted(docs, both).columns == docs.columns
 
 
-def test_counts_of_the_classifier_are_whole(spark):
+def test_counts_of_the_classifier_are_whole(spark, monkeypatch):
     docs = frame(spark, [(k, f"text {k} abc") for k in range(30)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, quality int")
-    rows = quality.described(docs, "doc_id", "text").join(labels, "doc_id").selectExpr(
-        "quality AS y", "found")
-    n, counts = quality.class_counts(rows)
+    rows = quality.labelled(docs, labels, "doc_id", "text", "quality")
+    n, counts = quality.class_counts(quality.described(rows))
     assert n.tolist() == [15, 15]
+    monkeypatch.setattr(quality, "SENT", 0)  # by shuffle
+    shuffled = quality.labelled(docs, labels, "doc_id", "text", "quality")
+    assert (quality.class_counts(quality.described(shuffled))[1] == counts).all()
     want = np.zeros(quality.SIZE, dtype=int)
     for k in range(1, 30, 2):
         want[quality.indicators(f"text {k} abc".encode())] += 1
