@@ -106,55 +106,89 @@ def masks(width: int) -> list[np.ndarray]:
                      dtype=np.int64) for r in range(width + 1)]
 
 
+def packed_words(parts: np.ndarray, width: int) -> np.ndarray:
+    """Codes as 64-bit words, one row for each word."""
+    each = 64 // width
+    out = []
+    for a in range(0, parts.shape[1], each):
+        word = np.zeros(len(parts), dtype=np.uint64)
+        for k, s in enumerate(range(a, min(a + each, parts.shape[1]))):
+            word |= parts[:, s].astype(np.uint64) << np.uint64(k * width)
+        out.append(word)
+    return np.stack(out)
+
+
 class Shard:
     """Substring indexes over the codes of some rows."""
 
     def __init__(self, code: Code, ids: np.ndarray, x: np.ndarray):
         self.code, self.ids, self.x = code, ids, x
-        self.parts = code.signs(code.lifted(x))
-        self.order = np.argsort(self.parts, axis=0, kind="stable")
+        parts = code.signs(code.lifted(x))
+        order = np.argsort(parts, axis=0, kind="stable")
         size = 1 << code.width
-        self.first = np.stack([np.searchsorted(self.parts[self.order[:, s], s], np.arange(size + 1))
-                               for s in range(code.substrings)])
+        # Rows of substring s with value v: rows[first[s, v]:first[s, v + 1]].
+        self.rows = order.T.ravel()
+        self.first = np.stack([
+            s * len(ids) + np.searchsorted(parts[order[:, s], s], np.arange(size + 1))
+            for s in range(code.substrings)])
+        self.parts = parts
+        self.words = packed_words(parts, code.width)
         self.masks = masks(code.width)
-        self.ones = np.array([bin(i).count("1") for i in range(size)], dtype=np.uint8)
+        self.some = np.unique(np.linspace(0, len(ids) - 1, 512).astype(np.int64))
+
+    def distances(self, rows: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
+        """Hamming distances of the rows' codes."""
+        own = packed_words(query[None, :], self.code.width)[:, 0]
+        return sum(np.bitwise_count(w[rows] ^ q).astype(np.int16) for w, q in zip(self.words, own))
+
+    def probed(self, query: np.ndarray, flipped: np.ndarray) -> np.ndarray:
+        """Rows of all substrings whose value is the query's under one of the masks."""
+        values = query[:, None] ^ flipped
+        part = np.arange(len(query))[:, None]
+        begin, end = self.first[part, values].ravel(), self.first[part, values + 1].ravel()
+        count = end - begin
+        before = np.cumsum(count) - count
+        return self.rows[np.repeat(begin - before, count) + np.arange(count.sum())]
 
     def within(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Rows within the smallest Hamming radius that holds ``least`` of them; else all."""
+        """Rows within the smallest Hamming radius that holds ``least`` of them; else all.
+
+        Some rows tell about how large that radius is. Where the probes for it would give more
+        than half of the rows, all codes are compared instead.
+        """
         m, n = self.code.substrings, len(self.ids)
-        far = np.full(n, 255, dtype=np.int64)
-        seen: list[np.ndarray] = []
+        least = min(least, n)
+        guess = np.quantile(self.distances(self.some, query), least / n)
+        rows = np.zeros(0, dtype=np.int64)
         for near in range(self.code.width + 1):  # radius of the substrings
-            for s in range(m):
-                for value in query[s] ^ self.masks[near]:
-                    a, b = self.first[s, value], self.first[s, value + 1]
-                    if a < b:
-                        rows = self.order[a:b, s]
-                        rows = rows[far[rows] == 255]
-                        if len(rows):
-                            far[rows] = self.ones[self.parts[rows] ^ query].sum(1)
-                            seen.append(rows)
-            # all rows within this radius have been seen
-            radius = m * (near + 1) - 1
-            if seen:
-                rows = np.concatenate(seen)
-                if (far[rows] <= radius).sum() >= min(least, n):
-                    need = np.partition(far[rows], min(least, len(rows)) - 1)[min(least, len(rows)) - 1]
-                    return rows[far[rows] <= min(need, radius)]
-        return np.arange(n)
+            radius = m * (near + 1) - 1  # all codes within it have been probed then
+            if m * len(self.masks[near]) >= n or guess > radius and self._many(query, near + 1):
+                break
+            rows = np.union1d(rows, self.probed(query, self.masks[near]))
+            far = self.distances(rows, query)
+            if np.count_nonzero(far <= radius) >= least:
+                return rows[far <= np.partition(far, least - 1)[least - 1]]
+        far = self.distances(slice(None), query)
+        return np.flatnonzero(far <= np.partition(far, least - 1)[least - 1])
+
+    def _many(self, query: np.ndarray, near: int) -> bool:
+        """Whether substrings within radius ``near`` hold more than half as many entries as rows."""
+        values = query[:, None] ^ np.concatenate(self.masks[:near + 1])
+        part = np.arange(len(query))[:, None]
+        return (self.first[part, values + 1] - self.first[part, values]).sum() > len(self.ids) // 2
 
     def best(self, q_id: int, q: np.ndarray, part: np.ndarray, k: int, least: int
              ) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows for one query."""
         rows = self.within(part, least + 1)
         rows = rows[self.ids[rows] != q_id]
-        scores = np.einsum("ij,j->i", self.x[rows], q)
+        scores = self.x[rows] @ q
         order = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows][order], scores[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id",
-           vector: str = "embedding", k: int = 20, rerank: int = 800, shard_rows: int = 16384,
+           vector: str = "embedding", k: int = 20, rerank: int = 2000, shard_rows: int = 16384,
            block_rows: int = 1024, **learned) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of ``vectors`` for each query."""
     schema = "query_id bigint, vec_id bigint, score double"
@@ -185,12 +219,12 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id",
             shard = Shard(code, own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()))
             q = np.stack(asking["v"].to_numpy())
             parts = code.signs(code.lifted(q))
-            for q_id, x, part in zip(asking["vec_id"], q, parts):
-                ids, scores = shard.best(q_id, x, part, k, rerank)
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {"query_id": [], "vec_id": [], "score": []}).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            out = [shard.best(*one, k, rerank) for one in zip(asking["vec_id"], q, parts)]
+        ids = np.concatenate([np.zeros(0, dtype=np.int64), *[i for i, _ in out]])
+        scores = np.concatenate([np.zeros(0), *[s for _, s in out]])
+        counts = [len(i) for i, _ in out]
+        return pd.DataFrame({"query_id": np.repeat(asking["vec_id"].to_numpy()[:len(out)], counts),
+                             "vec_id": ids, "score": scores})
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
         run, schema)
