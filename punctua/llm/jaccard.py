@@ -9,10 +9,11 @@ A first exchange drops postings that one set alone has. A list is then read in s
 
 * by size and position: from the places of a pair's shared prefix shingles follows the largest
   overlap it can have; lists are cut into size classes, and only neighbouring ones meet;
-* by answers: a list first meets one pivot, its most central set, and these overlaps are
-  computed. Sets of one component need no further answer. For the others the overlap with the
-  pivot bounds the overlap with each other, and pairs that cannot link are skipped. A second
-  pivot is taken from the sets that did not join the first. What is left meets pairwise.
+* by answers: some lists, one of LISTS by hash, first meet a pivot, their most central set, and
+  these overlaps are computed; a second pivot is taken from the sets that did not join the first.
+  Then all lists are read: sets of one component need no further answer, for the others the
+  overlap with the pivot bounds the overlap with each other, and pairs that cannot link are
+  skipped. What is left meets pairwise.
 
 So a list costs its length per pivot, not its square, and the pairs computed are exact. Overlaps
 are counted on whole sets of 64-bit shingle hashes.
@@ -29,6 +30,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,8 @@ from punctua.llm import words as W
 U = np.uint64
 SLOTS = 1 << 18  # counters of shingle frequencies
 GROUP = 256  # sets that meet a pivot in one task
+LISTS = 8  # one list of so many has pivots
+SENT = 1_000_000  # numbers of 8 bytes that may be broadcast
 
 
 def sets_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -77,65 +81,118 @@ def rarities(table: DataFrame, size: int) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
-def described(table: DataFrame, kind: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name, run, place of every row; postings of shingles that several sets have)."""
+def first_runs(asked: list[bytes]) -> list[bytes]:
+    """Answer of a bucket of names: whether the run is the first that holds the set."""
+    names = [np.frombuffer(b, dtype="V16", offset=1) for b in asked]
+    _, first = np.unique(np.concatenate(names), return_index=True)
+    own = np.zeros(sum(map(len, names)), dtype=bool)
+    own[first] = True
+    ends = np.cumsum([len(x) for x in names])
+    return [np.packbits(own[e - len(x):e]).tobytes() for e, x in zip(ends, names)]
+
+
+class Described:
+    """The sets of a run: name and size of every text, prefixes of the distinct sets."""
+
+    def __init__(self, row: dict, size: int, percent: int, rarity: np.ndarray):
+        self.ids, texts = R.opened(row)
+        self.of: list[tuple[bytes, int]] = []
+        self.place: dict[bytes, int] = {}
+        self.values, self.prefixes = [], []
+        for k, values in enumerate(sets_of(texts, size)):
+            name = name_of(values)
+            self.of.append((name, len(values)))
+            if len(values) and name not in self.place:
+                self.place[name] = k
+                self.values.append(values)
+                self.prefixes.append(prefix_of(values, rarity, percent))
+        self.names = list(self.place)
+        self.tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *self.prefixes])
+
+    def asked_names(self, n: int) -> Iterator[tuple[int, bytes]]:
+        """Names by bucket n .. 2n - 1, in their order in the run."""
+        for bucket, names in self._by_bucket(n).items():
+            yield n + bucket, b"N" + b"".join(self.names[k] for k in names)
+
+    def owned(self, n: int, answers: dict[int, bytes]) -> np.ndarray:
+        out = np.zeros(len(self.names), dtype=bool)
+        for bucket, names in self._by_bucket(n).items():
+            out[names] = np.unpackbits(np.frombuffer(answers[n + bucket], dtype=np.uint8),
+                                       count=len(names))
+        return out
+
+    def _by_bucket(self, n: int) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for k, name in enumerate(self.names):
+            found.setdefault(int.from_bytes(name[:6], "big") % n, []).append(k)
+        return found
+
+
+def number_of(run: int, place):
+    """A set's number: task, run of the task, place in the run."""
+    return ((run >> 32) << 36) + ((run & 0xFFFFFFFF) << 20) + place
+
+
+def described(table: DataFrame, kind: str, size: int, percent: int
+              ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, name) of rows; (name, set) of sets; postings (token, set, n, place, central).
+
+    A set has one number, given by the first run that holds it; sets and postings are those
+    with shingles that several sets have in their prefixes.
+    """
     spark = table.sparkSession
     rarity = spark.sparkContext.broadcast(rarities(table, size))  # of fixed size
     n = R.buckets(table)
 
-    def prefixes(row: dict) -> tuple[np.ndarray, list, dict]:
-        ids, texts = R.opened(row)
-        known: dict[bytes, tuple[int, np.ndarray]] = {}
-        of = []
-        for values in sets_of(texts, size):
-            name = name_of(values)
-            of.append((name, len(values)))
-            if name not in known and len(values):
-                known[name] = (len(values), prefix_of(values, rarity.value, percent))
-        return ids, of, known
+    def ask(row: dict) -> Iterator[pa.RecordBatch]:
+        own = Described(row, size, percent, rarity.value)
+        values = R.Values(own.tokens, n)
+        yield R.questions(row["run"], itertools.chain(values.asked(values.counts > 1),
+                                                      own.asked_names(n)))
 
-    def joined(known: dict) -> np.ndarray:
-        return np.concatenate([p for _, p in known.values()]) if known else np.zeros(0, np.uint64)
+    def answer(asked: list[bytes]) -> list[bytes]:
+        return first_runs(asked) if asked[0][:1] == b"N" else R.several(asked)
 
-    def ask(row: dict) -> Iterator[pa.RecordBatch]:
-        values = R.Values(joined(prefixes(row)[2]), n)
-        yield R.questions(row["run"], values.asked(values.counts > 1))
+    schema = "doc_id bigint, name binary, set bigint, token bigint, n int, place int, central int"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def batch(count: int, **columns) -> pa.RecordBatch:
+        kinds = {"name": pa.binary(), "n": pa.int32(), "place": pa.int32(),
+                 "central": pa.int32()}
+        return pa.RecordBatch.from_arrays(
+            [columns[c] if isinstance(columns.get(c), pa.Array)
+             else pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns
+             else pa.nulls(count, kinds.get(c, pa.int64())) for c in names], names=names)
 
     def post(row: dict) -> Iterator[pa.RecordBatch]:
-        ids, of, known = prefixes(row)
-        total = len(of)
-        names = ["doc_id", "n", "name", "run", "place", "token", "central"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=ids == R.NO_ID), pa.array([k for _, k in of], pa.int32()),
-             pa.array([s for s, _ in of], pa.binary()), pa.array([row["run"]] * total, pa.int64()),
-             pa.array(range(total), pa.int32()), pa.nulls(total, pa.int64()),
-             pa.nulls(total, pa.int32())], names=names)
-        tokens = joined(known)
-        told = R.Values(tokens, n).told(R.by_bucket(row["shared"]))
-        sizes = np.array([len(p) for _, p in known.values()], dtype=np.int64)
-        ends = np.cumsum(sizes)
+        own = Described(row, size, percent, rarity.value)
+        yield batch(len(own.of), doc_id=R.id_column(own.ids, pa.int64()),
+                    name=[s for s, _ in own.of], n=[k for _, k in own.of])
+        answers = R.by_bucket(row["shared"])
+        told = R.Values(own.tokens, n).told(answers)
+        sizes = np.array([len(p) for p in own.prefixes], dtype=np.int64)
         which = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
-        share = np.bincount(which, weights=told, minlength=len(sizes)) / np.maximum(sizes, 1)
-        keys, counts = list(known), np.array([k for k, _ in known.values()], dtype=np.int64)
-        k = np.flatnonzero(told)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        shared = np.bincount(which, weights=told, minlength=len(sizes))
+        central = (1000 * shared / np.maximum(sizes, 1)).astype(np.int32)
+        wanted = own.owned(n, answers) & (shared > 0)
+        numbers = number_of(row["run"], np.array([own.place[s] for s in own.names], dtype=np.int64))
+        counts = np.array([len(v) for v in own.values], dtype=np.int32)
+        k = np.flatnonzero(wanted)
+        yield batch(len(k), name=[own.names[x] for x in k.tolist()], set=numbers[k])
+        k = np.flatnonzero(told & wanted[which]) if len(which) else which
         if len(k):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(k), pa.int64()), pa.array(counts[which[k]], pa.int32()),
-                 pa.array([keys[x] for x in which[k].tolist()], pa.binary()),
-                 pa.nulls(len(k), pa.int64()), pa.array(place[k], pa.int32()),
-                 pa.array(tokens[k].view(np.int64), pa.int64()),
-                 pa.array((share[which[k]] * 1000).astype(np.int32), pa.int32())], names=names)
-
-    shared = R.staged(R.answered(R.mapped(table, ask, R.ASKED), R.several), "shared")
-    rows = R.staged(R.mapped(
-        R.returned(table, shared, "shared"), post,
-        "doc_id bigint, n int, name binary, run bigint, place int, token bigint, central int"),
-        "described")
-    docs = rows.where("token IS NULL").select(
-        F.col("doc_id").cast(kind).alias("doc_id"), "n", "name", "run", "place")
-    postings = rows.where("token IS NOT NULL").select("token", "name", "n", "place", "central")
-    return docs, postings.dropDuplicates(["token", "name"])
+            yield batch(len(k), set=numbers[which[k]], token=own.tokens[k].view(np.int64),
+                        n=counts[which[k]], place=place[k].astype(np.int32),
+                        central=central[which[k]])
+
+    shared = R.staged(R.answered(R.mapped(table, ask, R.ASKED), answer), "shared")
+    rows = R.staged(R.mapped(R.returned(table, shared, "shared"), post, schema), "described")
+    docs = rows.where("token IS NULL AND set IS NULL").select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "n", "name")
+    sets = rows.where("token IS NULL AND set IS NOT NULL").select("name", "set")
+    return docs, sets, rows.where("token IS NOT NULL").select(
+        "token", "set", "n", "place", "central")
 
 
 def may_link(n: Column, m: Column, overlap: Column, percent: int) -> Column:
@@ -157,49 +214,86 @@ def bounded(met: DataFrame, percent: int) -> DataFrame:
         may_link(F.col("n"), F.col("m"), F.col("most"), percent)).select("a", "b", "n", "m")
 
 
-def sets_for(table: DataFrame, docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(name, values) of all sets in pairs, read again from one place of each."""
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    places = docs.join(wanted, "name", "left_semi").groupBy("name").agg(
-        F.min(F.struct("run", "place")).alias("at"))
-    own = places.groupBy(F.col("at.run").alias("__run")).agg(F.collect_list("at.place").alias("wanted"))
+def values_of(table: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(set, values) of the sets with these numbers, read again from their runs.
+
+    Up to ``SENT`` numbers are sent to the tasks; beyond that the runs are shuffled to them.
+    """
+    ids = R.staged(ids.distinct(), "wanted")
+    run = F.shiftleft(F.shiftright("set", 36), 32) + F.shiftright("set", 20).bitwiseAND(0xFFFF)
+    own = ids.groupBy(run.alias("__run")).agg(F.collect_list("set").alias("wanted"))
+    if ids.count() <= SENT:
+        own = F.broadcast(own)
 
     def read(row: dict) -> Iterator[pa.RecordBatch]:
-        texts = R.opened(row)[1]
-        found = list(sets_of([texts[k] for k in row["wanted"]], size))
-        for a in range(0, len(found), 1000):
-            part = found[a:a + 1000]
+        texts, mask = R.opened(row)[1], (1 << 20) - 1
+        for a in range(0, len(row["wanted"]), 500):
+            part = row["wanted"][a:a + 500]
+            found = sets_of([texts[k & mask] for k in part], size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name_of(v) for v in part], pa.binary()),
-                 pa.array([v.tobytes() for v in part], pa.binary())], names=["name", "values"])
+                [pa.array(part, pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())],
+                names=["set", "values"])
 
     return R.mapped(table.join(own, table["run"] == own["__run"]).drop("__run"), read,
-                    "name binary, values binary")
+                    "set bigint, values binary")
+
+
+def _common(one: bytes, other: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(one, dtype=np.uint64),
+                              np.frombuffer(other, dtype=np.uint64), assume_unique=True))
 
 
-def overlaps(table: DataFrame, docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``pairs`` with the exact overlap; a's set meets b's in groups of bounded size."""
+OVERLAP = "a bigint, b bigint, n int, m int, overlap int"
+
+
+def overlaps(table: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """``pairs`` with the exact overlap; a's set meets b's in parts of bounded size."""
     pairs = R.staged(pairs, "pairs")
-    sets = R.staged(sets_for(table, docs, pairs, size), "sets")
+    sets = R.staged(values_of(table, pairs.select(F.col("a").alias("set")).union(
+        pairs.select("b")), size), "sets")
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     dealt = pairs.join(count, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    right = dealt.join(sets, dealt["b"] == sets["name"]).select("a", "part", "b", "n", "m", "values")
+    right = dealt.join(sets, F.col("b") == sets["set"]).select("a", "part", "b", "n", "m", "values")
     left = count.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(
-        sets, F.col("a") == sets["name"]).select(
+        sets, F.col("a") == sets["set"]).select(
         F.col("a").alias("one"), F.col("part").alias("its_part"), F.col("values").alias("own"))
 
     def meet(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        own = np.frombuffer(one["own"].iloc[0], dtype=np.uint64) if len(one) else None
-        shared = [len(np.intersect1d(own, np.frombuffer(v, dtype=np.uint64), assume_unique=True))
-                  for v in many["values"]]
+        shared = [_common(one["own"].iloc[0], v) for v in many["values"]]
         return many[["a", "b", "n", "m"]].assign(overlap=np.array(shared, dtype=np.int32))
 
-    return left.groupBy("one", "its_part").cogroup(right.groupBy("a", "part")).applyInPandas(
-        meet, "a binary, b binary, n int, m int, overlap int")
+    return R.staged(left.groupBy("one", "its_part").cogroup(
+        right.groupBy("a", "part")).applyInPandas(meet, OVERLAP), "overlaps")
+
+
+def grouped_overlaps(table: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """As ``overlaps``; sets that pairs connect travel once, to one task for the group.
+
+    Groups of more than ``GROUP`` sets go by pairs.
+    """
+    pairs = R.staged(pairs, "pairs")
+    label = components(pairs)
+    sizes = label.groupBy("component").agg(F.count("*").alias("sets"))
+    label = R.staged(label.join(sizes, "component"), "groups")
+    dealt = R.staged(pairs.join(label, F.col("a") == label["node"]).drop("node"), "dealt")
+    small = label.where(F.col("sets") <= GROUP).select(F.col("node").alias("set"), "component")
+    sets = values_of(table, small.select("set"), size).join(small, "set").select(
+        "set", "values", F.col("component").alias("group"))
+
+    def meet(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(own["set"], own["values"]))
+        shared = [_common(known[a], known[b]) for a, b in zip(asked["a"], asked["b"])]
+        return asked[["a", "b", "n", "m"]].assign(overlap=np.array(shared, dtype=np.int32))
+
+    found = R.staged(sets.groupBy("group").cogroup(
+        dealt.where(F.col("sets") <= GROUP).groupBy("component")).applyInPandas(meet, OVERLAP),
+        "overlaps")
+    large = dealt.where(F.col("sets") > GROUP).select("a", "b", "n", "m")
+    return found if large.isEmpty() else found.union(overlaps(table, large, size))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(name, component) of all nodes of the edges (a, b): the smallest name of the component.
+    """(node, component) of all nodes of the edges (a, b): the smallest node of the component.
 
     Alternating large-star and small-star contractions until nothing changes; each step is
     staged, and its rows never outnumber the edges.
@@ -222,24 +316,35 @@ def components(edges: DataFrame) -> DataFrame:
         if state == known:
             break
         known = state
-    return edges.select(F.col("u").alias("name"), F.col("v").alias("component")).union(
-        edges.select(F.col("v").alias("name"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4,
            percent: int = 85, pivots: int = 2, run_bytes: int = R.RUN_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     table = R.packed(docs, doc_id, text, run_bytes)
-    rows, postings = described(table, docs.schema[doc_id].dataType.simpleString(), size, percent)
-    postings = R.staged(postings, "postings")
-    links, open_ = None, postings.withColumn("component", F.col("name")).withColumn(
-        "low", F.lit(0)).withColumn("high", F.lit(1 << 30)).withColumn("passed", F.lit(False))
+    rows, sets, postings = described(table, docs.schema[doc_id].dataType.simpleString(), size,
+                                     percent)
+    # Any lists do for the pivots; a part of them, by hash of the shingle, finds most links.
+    some = R.staged(postings.where(F.pmod("token", F.lit(LISTS)) == 0), "some")
+    open_ = some.join(some.groupBy("set").agg(F.count("*").alias("lists")), "set").withColumn(
+        "component", F.col("set")).withColumn("passed", F.lit(False))
+    links = known = None
     for _ in range(pivots):
-        links, open_ = _round(table, rows, postings, open_, links, size, percent, star=True)
-    links, _ = _round(table, rows, postings, open_, links, size, percent, star=False)
-    label = components(links)
+        pairs, pivot = _pivot_pairs(open_, percent)
+        found = overlaps(table, pairs, size)
+        known = found if known is None else known.union(found)
+        new = found.where(_is_link(percent)).select("a", "b")
+        links = R.staged(new if links is None else links.union(new), "links")
+        label = R.staged(components(links), "labels")
+        open_ = _still_open(open_.drop("component"), pivot, label)
+    found = grouped_overlaps(table, _other_pairs(postings, label, known, percent), size)
+    links = links.union(found.where(_is_link(percent)).select("a", "b"))
+    label = components(links).withColumnRenamed("node", "set")
+    label = sets.select("name", "set").join(label, "set").select("name", "component")
     named = rows.where("n > 0").join(label, "name", "left").withColumn(
-        "component", F.coalesce("component", "name"))
+        "component", F.coalesce(F.col("component").cast("string"), F.hex("name")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -248,64 +353,76 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     return out.unionByName(alone)
 
 
-def _round(table: DataFrame, rows: DataFrame, postings: DataFrame, open_: DataFrame,
-           links: DataFrame | None, size: int, percent: int, star: bool
-           ) -> tuple[DataFrame, DataFrame]:
-    """Meet every open list's pivot (or all its pairs); (links so far, lists still open).
+def _is_link(percent: int) -> Column:
+    return may_link(F.col("n"), F.col("m"), F.col("overlap"), percent)
 
-    ``open_`` holds the postings of lists of several components, with bounds low and high of the
-    overlap with the list's last pivot; ``passed`` marks the components of its pivots.
+
+def _pivot_pairs(open_: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of every open list's pivot with its other sets, the pivots).
+
+    Sets that share less than half of their lists with the pivot are left to the last step.
     """
-    if star:
-        pivot = open_.where("NOT passed").groupBy("token").agg(F.max(F.struct("central", "name", "n", "place",
-                                                          "component")).alias("p"))
-        met = open_.join(pivot, "token").where("name <> p.name AND component <> p.component").select(
-            F.col("p.name").alias("a"), F.col("name").alias("b"), F.col("p.n").alias("n"),
-            F.col("n").alias("m"), F.col("p.place").alias("i"), F.col("place").alias("j"))
-    else:
-        # Size classes: sets that may link are in one class or in neighbouring ones.
-        classed = open_.withColumn("class", F.floor(F.log(F.col("n")) / np.log(100 / percent)))
-        other = classed.select(
-            "token", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"),
-            F.col("name").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"),
-            F.col("component").alias("component_b"), F.col("low").alias("low_b"),
-            F.col("high").alias("high_b"))
-        # Both overlaps with the pivot bound the overlap of the pair.
-        most = (F.least("high", "high_b")
-                + F.least(F.col("n") - F.col("low"), F.col("m") - F.col("low_b")))
-        most = F.least(most, F.col("n"), F.col("m"))
-        met = classed.join(other, ["token", "class"]).where(
-            (F.col("name") < F.col("b")) & (F.col("component") != F.col("component_b"))
-            & may_link(F.col("n"), F.col("m"), most, percent)).select(
-            F.col("name").alias("a"), "b", "n", "m", F.col("place").alias("i"), "j")
+    pivot = open_.where("NOT passed").groupBy("token").agg(F.max(F.struct(
+        "central", "set", "n", "lists", "component")).alias("p"))
+    met = open_.join(pivot, "token").where("set <> p.set AND component <> p.component").select(
+        F.col("p.set").alias("a"), F.col("set").alias("b"), F.col("p.n").alias("n"),
+        F.col("n").alias("m"), F.least("lists", "p.lists").alias("lists"))
     met = met.where(may_link(F.col("n"), F.col("m"), F.least("n", "m"), percent))
-    known = R.staged(overlaps(table, rows, bounded(met, percent), size), "overlaps")
-    new = known.where(may_link(F.col("n"), F.col("m"), F.col("overlap"), percent)).select("a", "b")
-    links = R.staged(new if links is None else links.union(new), "links")
-    if not star:
-        return links, open_
-    label = R.staged(components(links), "labels")
-    left = postings.join(label, "name", "left").withColumn(
-        "component", F.coalesce("component", "name"))
-    several = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    left = left.join(several.where("x <> y").select("token"), "token", "left_semi")
-    # Of each list: what is known of the overlap with its pivot; the pivot itself has all of it.
-    # The next pivot comes from the sets that did not join this one.
-    passed = open_.select("token", "name", F.col("passed").alias("before"))
-    pivot = pivot.select("token", F.col("p.name").alias("a"), F.col("p.n").alias("pn")).join(
-        label.select(F.col("name").alias("a"), F.col("component").alias("joined")), "a", "left")
-    pivot = pivot.withColumn("joined", F.coalesce("joined", "a"))
-    own = left.join(pivot, "token", "left").join(passed, ["token", "name"], "left")
-    own = own.join(known.select("a", F.col("b").alias("name"), "overlap"), ["a", "name"], "left")
-    itself = F.col("a") == F.col("name")
+    pairs = met.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"),
+                                      F.first("lists").alias("lists"), F.count("*").alias("c"))
+    return pairs.where("2 * c >= lists").select("a", "b", "n", "m"), pivot
+
+
+def _still_open(open_: DataFrame, pivot: DataFrame, label: DataFrame) -> DataFrame:
+    """Lists of several components; ``passed`` marks the components of their pivots.
+
+    These sets have met the pivot, so the next one comes from the others.
+    """
+    left = open_.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn(
+        "component", F.coalesce("component", "set"))
+    of_pivot = pivot.select("token", F.col("p.set").alias("node")).join(label, "node", "left").select(
+        "token", F.coalesce("component", "node").alias("joined"))
+    several = left.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    left = left.join(several.select("token"), "token", "left_semi").join(of_pivot, "token", "left")
+    passed = F.col("passed") | F.coalesce(F.col("component") == F.col("joined"), F.lit(False))
+    return R.staged(left.withColumn("passed", passed).drop("joined"), "open")
+
+
+def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a list and may link.
+
+    The most central set of a list is what the others are compared by: their known overlaps
+    with it bound the overlap with each other.
+    """
+    left = postings.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn(
+        "component", F.coalesce("component", "set"))
+    several = left.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"),
+        F.max(F.struct("central", "set", "n")).alias("p")).where("x <> y").select(
+        "token", F.col("p.set").alias("a"), F.col("p.n").alias("pn"))
+    own = left.join(several, "token").join(
+        known.groupBy("a", F.col("b").alias("set")).agg(F.max("overlap").alias("overlap")),
+        ["a", "set"], "left")
+    itself = F.col("a") == F.col("set")
     low = F.when(itself, F.col("n")).otherwise(F.coalesce("overlap", F.lit(1)))
-    high = F.when(itself, F.col("n")).when(F.col("overlap").isNotNull(), F.col("overlap")).otherwise(
-        F.least("n", F.coalesce("pn", "n")))
-    open_ = own.select("token", "name", "n", "place", "central", "component",
-                       low.cast("int").alias("low"), high.cast("int").alias("high"),
-                       (F.col("before") | F.coalesce(F.col("component") == F.col("joined"),
-                                                     F.lit(False))).alias("passed"))
-    return links, R.staged(open_, "open")
+    high = F.when(itself, F.col("n")).otherwise(F.coalesce("overlap", F.least("n", "pn")))
+    # Size classes: sets that may link are in one class or in neighbouring ones.
+    own = R.staged(own.select(
+        "token", "set", "n", "place", "component", low.alias("low"), high.alias("high"),
+        F.floor(F.log(F.col("n")) / np.log(100 / percent)).alias("class")), "open")
+    other = own.select(
+        "token", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"),
+        F.col("set").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"),
+        F.col("component").alias("component_b"), F.col("low").alias("low_b"),
+        F.col("high").alias("high_b"))
+    most = (F.least("high", "high_b")
+            + F.least(F.col("n") - F.col("low"), F.col("m") - F.col("low_b")))
+    met = own.join(other, ["token", "class"]).where(
+        (F.col("set") < F.col("b")) & (F.col("component") != F.col("component_b"))
+        & may_link(F.col("n"), F.col("m"), F.least(most, F.col("n"), F.col("m")), percent)).select(
+        F.col("set").alias("a"), "b", "n", "m", F.col("place").alias("i"), "j")
+    return bounded(met, percent)
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
