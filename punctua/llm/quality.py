@@ -191,9 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model(None, 1.0, 0.0, prior)
     rate = counts + smoothing
     ratio = np.log(rate[1] / rate[1].sum()) - np.log(rate[0] / rate[0].sum())
-    # Copies share a hash and are drawn once; the share follows from the class's rows.
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample_rows / int(n[1])))).otherwise(
-        F.lit(min(1.0, sample_rows / int(n[0]))))
+    # Copies share a hash and are drawn once; the share follows from the class's distinct texts.
+    texts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(
+        F.approx_count_distinct("h").alias("n")).collect()}
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample_rows / max(1, texts[1])))).otherwise(
+        F.lit(min(1.0, sample_rows / max(1, texts[0]))))
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
     sample = described(drawn.dropDuplicates(["h", "y"])).orderBy("h", "y").collect()
     found = [unpack(r["found"]) for r in sample]

@@ -54,6 +54,23 @@ def test_quality_defined_cases(spark):
     assert quality.accepted(docs, both).columns == docs.columns
 
 
+def test_quality_learns_from_a_class_of_copies(spark):
+    """Thousands of copies and 200 other texts: the copies take no place in the sample."""
+    good, bad = "the quiet river runs", "BUY $$$ NOW !!!"
+    rows = [(k, f"{bad} copied") for k in range(8000)]
+    rows += [(10_000 + k, f"{bad} {k * 7919 % 1000}") for k in range(200)]
+    rows += [(20_000 + k, f"{good} {k * 104729 % 10007}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 20_000).cast("int").alias("quality"))
+    model = quality.fit(docs, labels, sample_rows=250)
+    assert model.weights is not None
+    # The same texts, once each, are the same sample.
+    once = quality.fit(docs.where("doc_id = 0 OR doc_id >= 10000"), labels, sample_rows=250)
+    assert np.count_nonzero(model.weights) >= 0.9 * np.count_nonzero(once.weights)
+    got = {r.doc_id: r.score for r in quality.predict(docs.where("doc_id % 10 = 0"), model).collect()}
+    assert all((score >= 0.7) == (i >= 20_000) for i, score in got.items())
+
+
 def test_counts_of_the_classifier_are_whole(spark, monkeypatch):
     docs = frame(spark, [(k, f"text {k} abc") for k in range(30)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, quality int")
