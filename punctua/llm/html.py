@@ -1,12 +1,12 @@
 """Main text of web pages.
 
 The standard library's parser streams events into lines: a line ends where a block element
-begins or ends, and knows its text, its tags, its share of linked text and its enclosing
-elements. Each line's text-to-tag ratio is smoothed by a Gaussian over the neighbouring lines;
-lines above a threshold cluster into content, and the content region is the smallest element
-that holds most of it (an article or main element where the page has one). Of the region all
-lines stay, short ones too, without what elements, roles or class names mark as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments.
+begins or ends, and knows its text, its tags and its enclosing elements. Each line's text-to-tag ratio is smoothed by a Gaussian over the neighbouring lines;
+lines above a threshold cluster into content. The content region is the article elements, else
+the main element, where they hold at least 80 % of the content; on other pages it is the smallest
+element that holds all content and titles. Of the region all lines stay, short and linked ones
+too, without what elements, roles or class names mark as menus, headers, footers, sidebars,
+notices, adverts, forms or reader comments.
 
 Defined cases: null and empty pages give an empty text. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one line feed. Unclosed elements
@@ -54,11 +54,10 @@ WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "number", "dropped", "article", "link")
+    __slots__ = ("tag", "number", "dropped", "article")
 
-    def __init__(self, tag, number, dropped, article, link):
-        self.tag, self.number, self.dropped = tag, number, dropped
-        self.article, self.link = article, link
+    def __init__(self, tag, number, dropped, article):
+        self.tag, self.number, self.dropped, self.article = tag, number, dropped, article
 
 
 def _is_noise(tag: str, attrs: list, inside_article: bool) -> bool:
@@ -86,21 +85,21 @@ def _is_noise(tag: str, attrs: list, inside_article: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, linked characters, numbers of the enclosing elements)."""
+    """Collects lines: (text, tags, numbers of the enclosing elements)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.stack: list[_Element] = []
         self.kinds: list[str] = []  # tag of each element, by number
         self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.tags = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(e.number for e in self.stack)))
-        self.text, self.tags, self.linked = [], 0, 0
+            self.lines.append((text, self.tags, tuple(e.number for e in self.stack)))
+        self.text, self.tags = [], 0
 
     def _close_to(self, k: int) -> None:
         while len(self.stack) > k:
@@ -133,8 +132,7 @@ class Lines(HTMLParser):
         role = dict(attrs).get("role")
         if role == "main" and tag != "main":
             self.kinds[-1] = "main"
-        self.stack.append(_Element(tag, len(self.kinds) - 1, dropped, article or tag == "article",
-                                   tag == "a" or bool(top and top.link and tag in INLINE)))
+        self.stack.append(_Element(tag, len(self.kinds) - 1, dropped, article or tag == "article"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -157,8 +155,6 @@ class Lines(HTMLParser):
         if top and top.dropped:
             return
         self.text.append(data)
-        if top and top.link:
-            self.linked += len(data)
 
     def close(self):
         super().close()
@@ -184,26 +180,28 @@ def main_text(page: str | None, share: float = 0.8) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines], dtype=float)
+    ratios = np.array([len(t) / max(1, tags) for t, tags, _ in lines], dtype=float)
     level = smoothed(ratios)
     content = level >= min(level.std(), level.max())  # the cluster above the threshold
-    weight = np.array([len(t) for t, _, _, _ in lines]) * content
-    inside: dict[int, int] = {}
-    for k, (_, _, _, path) in enumerate(lines):
+    weight = np.array([len(t) for t, _, _ in lines]) * content
+    kinds = parser.kinds
+    inside: dict[int, int] = {}  # weight in each element
+    needed: dict[int, int] = {}  # content lines and titles in each element
+    for k, (_, _, path) in enumerate(lines):
+        need = bool(weight[k]) or any(kinds[p] == "h1" for p in path)
         for number in path:
             inside[number] = inside.get(number, 0) + int(weight[k])
-    kinds = parser.kinds
+            needed[number] = needed.get(number, 0) + need
+        needed[-1] = needed.get(-1, 0) + need  # of the page
     for wanted in ("article", "main"):
-        roots = {p for _, _, _, path in lines for p in path if kinds[p] == wanted and inside[p]}
-        if roots:
-            kept = [t for t, _, _, path in lines if roots.intersection(path)]
-            return "\n".join(kept)
-    need = share * weight.sum()
-    region = max((p for p, w in inside.items() if w >= need and kinds[p] in CONTAINERS),
-                 default=None)  # the innermost
-    kept = [t for t, _, linked, path in lines
-            if (region is None or region in path) and linked <= 0.6 * len(t)]
-    return "\n".join(kept)
+        roots = {p for _, _, path in lines for p in path if kinds[p] == wanted and inside[p]}
+        held = sum(int(weight[k]) for k, (_, _, path) in enumerate(lines)
+                   if roots.intersection(path))
+        if roots and held >= share * weight.sum():
+            return "\n".join(t for t, _, path in lines if roots.intersection(path))
+    region = max((p for p, n in needed.items()
+                  if p >= 0 and n == needed[-1] and kinds[p] in CONTAINERS), default=None)
+    return "\n".join(t for t, _, path in lines if region is None or region in path)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")

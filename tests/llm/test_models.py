@@ -104,6 +104,29 @@ def test_page_text(tag):
     assert html.main_text(PAGE % f"<{tag}>{BODY}</{tag}>") == TEXT
 
 
+def test_page_text_keeps_all_sections_without_an_article():
+    first, second = "long words of the text " * 40, "more words of it " * 12
+    page = (f"<body><nav>Menu</nav><div><h1>Title</h1><section><p>{first}</p></section>"
+            f"<section><p>{second}</p><p><a href='/x'>A line that is a link</a></p></section></div>"
+            "<footer>End</footer></body>")
+    want = ["Title", first.strip(), second.strip(), "A line that is a link"]
+    assert html.main_text(page).split("\n") == want
+    split = f"<body><div><p>{first}</p></div><div class='ad'>Buy</div><div><p>{second}</p></div>"
+    assert html.main_text(split).split("\n") == [first.strip(), second.strip()]
+
+
+@pytest.mark.parametrize("cards", [1, 6])
+def test_page_text_beside_teaser_articles(cards):
+    text, card = "long words of the text " * 40, "a card that leads to another page " * 5
+    teasers = f"<article><h2>Card</h2><p>{card}</p></article>" * cards
+    for page in (f"<body><div><h1>Title</h1><p>{text}</p></div>{teasers}</body>",
+                 f"<body>{teasers}<main><h1>Title</h1><p>{text}</p></main></body>"):
+        got = html.main_text(page).split("\n")
+        assert "Title" in got and text.strip() in got
+    whole = f"<body><article><h1>Title</h1><p>{text}</p></article><div><p>{card}</p></div></body>"
+    assert html.main_text(whole).split("\n") == ["Title", text.strip()]  # it holds most
+
+
 def test_page_defined_cases(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "v", "just text", None),
             (4, "w", "<p>a", "y"), (4, "w", "<p>a", "y"), (5, "z", "<nav>only a menu</nav>", "y"),
