@@ -8,6 +8,11 @@ element that holds all content and titles. Of the region all lines stay, short a
 too, without what elements, roles or class names mark as menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments.
 
+A class name marks noise as a whole: ``cookie-notice`` and ``site-footer`` do, ``has-sidebar`` and
+``search-results`` do not. It does not drop an element that holds a main element, most of the
+page's text, or an article where the element holds as much text as there is outside of marks.
+Beside an article or main element, adverts, reader comments and the like go however long.
+
 Defined cases: null and empty pages give an empty text. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one line feed. Unclosed elements
 end with their parent. Repeated rows give repeated results; other columns are not read.
@@ -43,6 +48,16 @@ NOISE = frozenset(
     "promoted promotion recommend recommended recommendations related replies reply respond "
     "responses search share sharing sidebar signin signup skip social sponsor sponsored "
     "subscribe subscription teaser toolbar topbar widget widgets".split())
+READERS = frozenset(
+    "comment comments commentlist discussion disqus replies reply respond responses".split())
+LOOSE = frozenset(  # also used for whole texts
+    "feedback header modal notice notices overlay search social widget widgets".split())
+# Words that may stand beside a noise word in a class name of noise.
+BESIDE = frozenset(
+    "site page post posts article articles entry story blog main primary secondary global top "
+    "bottom left right side inner outer wrapper wrap container box block area section panel bar "
+    "row col column list links link item items button buttons icon icons form thread unit slot "
+    "space text title js google sticky fixed mobile desktop".split())
 NEVER_NOISE = frozenset("html body main article".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 "
@@ -54,13 +69,15 @@ WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "number", "dropped", "article")
+    __slots__ = ("tag", "number", "hard", "marks", "reader", "article", "proper")
 
-    def __init__(self, tag, number, dropped, article):
-        self.tag, self.number, self.dropped, self.article = tag, number, dropped, article
+    def __init__(self, tag, number, hard, marks, reader, article, proper):
+        self.tag, self.number, self.hard, self.marks = tag, number, hard, marks
+        self.reader, self.article, self.proper = reader, article, proper
 
 
 def _is_noise(tag: str, attrs: list, inside_article: bool) -> bool:
+    """Whether the element goes by its tag, role or style."""
     if tag in DROPPED:
         return True
     if tag == "header":
@@ -75,24 +92,40 @@ def _is_noise(tag: str, attrs: list, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if tag in HEADINGS:
-                words -= {"header"}
-            if words & NOISE:
-                return True
     return False
 
 
+def _noise_words(tag: str, attrs: list) -> set[str]:
+    """Noise words of the class names and the id that mark noise as a whole."""
+    found = set()
+    for name, value in attrs:
+        if name in ("class", "id"):
+            for token in (value or "").split():
+                words = {w.lower() for w in WORD.findall(token) if not w.isdigit()}
+                if tag in HEADINGS:
+                    words -= {"header"}
+                if words <= NOISE | BESIDE:
+                    found |= words & NOISE
+    return found
+
+
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, numbers of the enclosing elements)."""
+    """Collects lines: (text, tags, numbers of the enclosing elements).
+
+    Elements in ``spared`` are not dropped for a class name.
+    """
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.stack: list[_Element] = []
         self.kinds: list[str] = []  # tag of each element, by number
         self.text: list[str] = []
+        self.spared = spared
+        self.marked: dict[int, int] = {}  # characters in each element marked by a class name
+        self.holds: dict[int, set[str]] = {}  # "main", "article", "sure" of each of them
+        self.readers: set[int] = set()  # those of reader comments
+        self.total = self.clean = self.proper = 0  # characters: all, unmarked, in an article or main
         self.tags = 0
 
     def flush(self) -> None:
@@ -127,12 +160,25 @@ class Lines(HTMLParser):
                     break
         top = self.stack[-1] if self.stack else None
         article = bool(top and top.article)
-        dropped = bool(top and top.dropped) or _is_noise(tag, attrs, article)
-        self.kinds.append(tag)
-        role = dict(attrs).get("role")
-        if role == "main" and tag != "main":
-            self.kinds[-1] = "main"
-        self.stack.append(_Element(tag, len(self.kinds) - 1, dropped, article or tag == "article"))
+        hard = bool(top and top.hard) or _is_noise(tag, attrs, article)
+        kind = "main" if dict(attrs).get("role") == "main" else tag
+        number, words = len(self.kinds), _noise_words(tag, attrs)
+        self.kinds.append(kind)
+        marks, reader = (top.marks, top.reader) if top else ((), False)
+        if words and tag not in NEVER_NOISE and number not in self.spared:
+            marks += (number,)
+            self.marked[number] = 0
+            self.holds[number] = {"sure"} if words - LOOSE else set()
+            reader = reader or bool(words & READERS)
+            if reader:
+                self.readers.add(number)
+        proper = bool(top and top.proper)
+        if kind == "main" or kind == "article" and not words:
+            proper = True
+            for mark in () if hard else marks:
+                self.holds[mark].add(kind)
+        self.stack.append(_Element(tag, number, hard, marks, reader, article or tag == "article",
+                                   proper))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -152,8 +198,17 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         top = self.stack[-1] if self.stack else None
-        if top and top.dropped:
+        if top and top.hard:
+            return
+        n = sum(map(len, data.split()))
+        self.total += n
+        if top and top.proper and not top.reader:
+            self.proper += n
+        if top and top.marks:
+            for mark in top.marks:
+                self.marked[mark] += n
             return
+        self.clean += n
         self.text.append(data)
 
     def close(self):
@@ -161,6 +216,20 @@ class Lines(HTMLParser):
         self.flush()
 
 
+def _spared(page: Lines) -> frozenset[int]:
+    """Marked elements that hold the main text after all."""
+    out = set()
+    for number, n in page.marked.items():
+        holds = page.holds[number]
+        if "main" in holds:
+            out.add(number)
+        elif "article" in holds and n >= page.clean and number not in page.readers:
+            out.add(number)
+        elif 2 * n > page.total and not ("sure" in holds and page.proper):
+            out.add(number)
+    return frozenset(out)
+
+
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines; at the ends over what there is."""
     reach = np.arange(-int(3 * sigma), int(3 * sigma) + 1)
@@ -177,6 +246,10 @@ def main_text(page: str | None, share: float = 0.8) -> str:
     parser = Lines()
     parser.feed(page)
     parser.close()
+    if spared := _spared(parser):
+        parser = Lines(spared)
+        parser.feed(page)
+        parser.close()
     lines = parser.lines
     if not lines:
         return ""

@@ -127,6 +127,33 @@ def test_page_text_beside_teaser_articles(cards):
     assert html.main_text(whole).split("\n") == ["Title", text.strip()]  # it holds most
 
 
+@pytest.mark.parametrize("mark", [
+    'class="layout has-sidebar"', 'id="content-with-sidebar"', 'class="search-results"',
+    'class="notice-of-change"', 'class="right-sidebar"', 'class="notice"', 'id="search"'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_page_text_in_a_wrapper_with_a_noise_word(mark, tag):
+    wrapped = f"<div {mark}><div class='widget sidebar'>Side</div><{tag}>{BODY}</{tag}></div>"
+    assert html.main_text(PAGE % wrapped) == TEXT
+    long = "<div id='comments'>" + "<p>A reader says this at length.</p>" * 50 + "</div>"
+    if tag != "div":  # long comments beside an article go
+        assert html.main_text(PAGE % (wrapped + long)) == TEXT
+
+
+def test_page_text_beside_a_long_advert():
+    advert = f"<div class='ad'>{'Buy this now. ' * 50}</div>"
+    assert html.main_text(PAGE % f"{advert}<article>{BODY}</article>") == TEXT
+    results = "Found at length here. " * 60
+    page = f"<section class='search'><p>{results}</p></section><article><p>Card</p></article>"
+    assert results.strip() in html.main_text(f"<body>{page}</body>").split("\n")
+
+
+@pytest.mark.parametrize("mark", ["cookie-notice", "site-footer", "relatedPosts", "comment-list",
+                                  "ad-slot-2", "post sidebar", "share"])
+def test_page_text_without_marked_noise(mark):
+    noise = f"<div class='{mark}'><article class='post'><p>Some other words.</p></article></div>"
+    assert html.main_text(PAGE % f"<div>{BODY}</div>{noise}") == TEXT
+
+
 def test_page_defined_cases(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "v", "just text", None),
             (4, "w", "<p>a", "y"), (4, "w", "<p>a", "y"), (5, "z", "<nav>only a menu</nav>", "y"),
