@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from punctua.operators import evaluate, features, integrity, learners, prepare, split, tune
@@ -87,20 +85,17 @@ def _learner(key, name, params):
     return run
 
 
-SMALL_BOOST = {
-    "xgboost": {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.8,
-                "colsample_bytree": 0.8},
-    "lightgbm": {"n_estimators": 5, "num_leaves": 15, "learning_rate": 0.1},
-    "catboost": {"n_estimators": 5, "depth": 4, "learning_rate": 0.1},
-}
-_learner("m1_random_forest", "random_forest", {"n_estimators": 20, "max_depth": 8})
-_learner("m2_extra_trees", "extra_trees", {"n_estimators": 20, "max_depth": 8})
-_learner("m3_boosting_depthwise", "xgboost", SMALL_BOOST["xgboost"])
-_learner("m4_boosting_leafwise", "lightgbm", SMALL_BOOST["lightgbm"])
-_learner("m5_boosting_symmetric", "catboost", SMALL_BOOST["catboost"])
-_learner("m8_mlp", "mlp", {"hidden_layer_sizes": [16], "max_iter": 40})
+# The published settings; a query with SQL has the folds that its SQL names.
+PUBLISHED = tune.Protocol()
+BASES = {n: {"params": learners.defaults(n), "iterations": 300} for n in learners.BOOSTING}
+_learner("m1_random_forest", "random_forest", learners.defaults("random_forest"))
+_learner("m2_extra_trees", "extra_trees", learners.defaults("extra_trees"))
+_learner("m3_boosting_depthwise", "xgboost", learners.defaults("xgboost"))
+_learner("m4_boosting_leafwise", "lightgbm", learners.defaults("lightgbm"))
+_learner("m5_boosting_symmetric", "catboost", learners.defaults("catboost"))
+_learner("m8_mlp", "mlp", learners.defaults("mlp"))
 _learner("m9_logistic_regression", "logistic_regression", {"C": 1.0})
-_learner("m10_calibrated_svm", "linear_svm", {"C": 1.0, "cv": 2})
+_learner("m10_calibrated_svm", "linear_svm", learners.defaults("linear_svm"))
 
 
 @query("m11_stack_oof_rows", w(folds_sql("stack42", 2), """
@@ -108,8 +103,7 @@ select unit_id, target, fold, 3::bigint as bases, true as in_range from folds"""
 def m11(spark, sf):
     train, _ = train_test(spark, sf)
     folded = u.stage(split.stratified_folds(train, 2, "stack42", "unit_id"), "folded")
-    specs = {n: {"params": p, "iterations": 3} for n, p in SMALL_BOOST.items()}
-    long = learners.out_of_fold(folded, specs, 2, 42, "unit_id")
+    long = learners.out_of_fold(folded, BASES, 2, 42, "unit_id")
     inside = F.col("probability").between(0.0, 1.0)
     return long.groupBy("unit_id", "target", "fold").agg(
         F.count_distinct("model").alias("bases"), F.bool_and(inside).alias("in_range"))
@@ -118,8 +112,7 @@ def m11(spark, sf):
 @query("m11_stacking")
 def m11_fit(spark, sf):
     train, test = train_test(spark, sf)
-    specs = {n: {"params": p, "iterations": 3} for n, p in SMALL_BOOST.items()}
-    model = learners.fit("stacking", train, {"folds": 2, "C": 1.0}, 42, specs=specs)
+    model = learners.fit("stacking", train, {"folds": PUBLISHED.stack_folds, "C": 1.0}, 42, specs=BASES)
     return model.score(test).select("unit_id", "target", "probability")
 
 
@@ -145,8 +138,8 @@ def m13(spark, sf):
 @query("m13_early_stopped_boosting")
 def m13_fit(spark, sf):
     train, test = train_test(spark, sf)
-    model = learners.early_stopped("xgboost", train, SMALL_BOOST["xgboost"], 42, "unit_id",
-                                   max_rounds=10, patience=3)
+    model = learners.early_stopped("xgboost", train, learners.defaults("xgboost"), 42, "unit_id",
+                                   PUBLISHED.max_rounds, PUBLISHED.patience)
     return model.score(test).select(
         "unit_id", "target", "probability", F.lit(model.info["best_iteration"]).alias("rounds"))
 
@@ -154,8 +147,7 @@ def m13_fit(spark, sf):
 @query("m14_refit_selected")
 def m14(spark, sf):
     train, test = train_test(spark, sf)
-    spec = {"params": {"depth": 3, "learning_rate": 0.1}, "iterations": 4}
-    model = tune.fit_spec("catboost", train, spec, {}, tune.SMOKE_RUN, 42)
+    model = tune.fit_spec("catboost", train, BASES["catboost"], {}, PUBLISHED, 42)
     return model.score(test).select("unit_id", "target", "probability")
 
 
@@ -259,40 +251,38 @@ def a5(spark, sf):
     return summary.select("model", *[F.round(c, 5).alias(c) for c in _SIX])
 
 
-GAUSS = replace(tune.SMOKE_RUN, names=("gaussian_nb",))
-
-
 @query("h7_nested_cv")
 def h7(spark, sf):
     train, _ = train_test(spark, sf)
-    return tune.nested_cv(train, GAUSS, u.work_path(spark, "checkpoints"))
+    return tune.nested_cv(train, PUBLISHED, u.work_path(spark, "checkpoints"))
 
 
 @query("h9_final_tuning_frozen_test")
 def h9(spark, sf):
     train, test = train_test(spark, sf)
     path = u.work_path(spark, "run")
-    specs = tune.final_tuning(train, GAUSS, path + "/checkpoints")
+    specs = tune.final_tuning(train, PUBLISHED, path + "/checkpoints")
     test_hash = integrity.ordered_hash(test, "unit_id").first()["sha256"]
     integrity.freeze(spark, path + "/freeze", specs, test_hash, False)
-    return tune.evaluate_frozen(train, test, specs, GAUSS, path + "/checkpoints",
+    return tune.evaluate_frozen(train, test, specs, PUBLISHED, path + "/checkpoints",
                                 path + "/predictions", path + "/freeze", False)
 
 
 @query("h3_inner_cv_boosting")
 def h3(spark, sf):
     train, _ = train_test(spark, sf)
-    folded = u.stage(split.stratified_folds(train, 2, "inner42", "unit_id"), "folded")
-    protocol = replace(tune.SMOKE_RUN, max_rounds=6, patience=3)
-    return tune.cross_validate("catboost", folded, [{"depth": 3, "learning_rate": 0.1}],
-                               protocol, 42)
+    folded = u.stage(split.stratified_folds(train, PUBLISHED.inner_folds, "inner42", "unit_id"),
+                     "folded")
+    params = tune.protocol_candidates(spark, "catboost", PUBLISHED, 42)
+    return tune.cross_validate("catboost", folded, params, PUBLISHED, 42)
 
 
 @query("h8_meta_search")
 def h8(spark, sf):
     train, _ = train_test(spark, sf)
-    folded = u.stage(split.stratified_folds(train, 2, "stack42", "unit_id"), "folded")
-    specs = {n: {"params": p, "iterations": 3} for n, p in SMALL_BOOST.items()}
-    long = learners.out_of_fold(folded, specs, 2, 42, "unit_id")
+    folds = PUBLISHED.stack_folds
+    folded = u.stage(split.stratified_folds(train, folds, "stack42", "unit_id"), "folded")
+    long = learners.out_of_fold(folded, BASES, folds, 42, "unit_id")
     oof = u.stage(learners.meta_features(long, ["unit_id", "target", "fold"]), "oof")
-    return tune.meta_search(oof, [{"C": 0.1}, {"C": 1.0}], 2)
+    params = tune.protocol_candidates(spark, "stacking", PUBLISHED, 42)
+    return tune.meta_search(oof, params, folds)
