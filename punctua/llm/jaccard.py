@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from punctua.llm import runs as R
 from punctua.llm import words as W
@@ -323,6 +324,12 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4,
            percent: int = 85, pivots: int = 2, run_bytes: int = R.RUN_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
+    return _named(docs, doc_id, text, size, percent, pivots, run_bytes).drop("name")
+
+
+def _named(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, pivots: int,
+           run_bytes: int) -> DataFrame:
+    """As ``linked``, with the name of every row's set."""
     table = R.packed(docs, doc_id, text, run_bytes)
     rows, sets, postings = described(table, docs.schema[doc_id].dataType.simpleString(), size,
                                      percent)
@@ -347,9 +354,9 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
         "component", F.coalesce(F.col("component").cast("string"), F.hex("name")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "name")
     alone = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
-                                       F.col("doc_id").alias("component_id"))
+                                       F.col("doc_id").alias("component_id"), "name")
     return out.unionByName(alone)
 
 
@@ -425,14 +432,38 @@ def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, percen
     return bounded(met, percent)
 
 
-def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component: that with the smallest id; equal ids stay together.
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4,
+              percent: int = 85, pivots: int = 2, run_bytes: int = R.RUN_BYTES) -> DataFrame:
+    """One id of each component: the smallest; its rows stay together.
 
-    Rows with a null id stay.
+    Rows are judged by their own text: where an id has several texts, only those go that are in
+    a component with a smaller id. Rows with a null id stay.
     """
-    own = linked(docs, doc_id, text, **options).where(
-        F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(own, docs[doc_id] == own["__id"], "left_anti")
+    rows = _named(docs, doc_id, text, size, percent, pivots, run_bytes).where("doc_id IS NOT NULL")
+    rows = R.staged(rows.select(F.col("doc_id").alias("__id"), F.col("name").alias("__name"), (
+        F.col("doc_id") != F.col("component_id")).alias("__goes")), "judged")
+    ids = rows.groupBy("__id").agg(F.bool_and("__goes").alias("all"), F.bool_or("__goes").alias("any"))
+    ids = R.staged(ids.where("any").select("__id", "all"), "dropped")
+    gone, mixed = ids.where("all").select("__id"), ids.where("NOT all").select("__id")
+    left = docs.join(gone, docs[doc_id] == gone["__id"], "left_anti")
+    if mixed.isEmpty():
+        return left
+    columns = docs.columns
+    some = left.join(mixed, left[doc_id] == mixed["__id"], "left_semi")
+    others = left.join(mixed, left[doc_id] == mixed["__id"], "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [name_of(v) for v in sets_of(W.as_bytes(batch.column(text)), size)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(names, pa.binary())], names=[*columns, "__own"])
+
+    some = some.mapInArrow(run, T.StructType([*docs.schema.fields,
+                                              T.StructField("__own", T.BinaryType())]))
+    goes = rows.where("__goes").select("__id", "__name").distinct()
+    some = some.join(goes, (some[doc_id] == goes["__id"]) & (some["__own"] == goes["__name"]),
+                     "left_anti")
+    return others.unionByName(some.select(columns))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,17 @@ def test_empty_table_and_kept_rows(spark):
     assert ordered((r.doc_id, r.text) for r in kept.collect()) == ordered(want)
 
 
+def test_two_texts_under_one_id(spark):
+    """A near copy of a smaller id goes; the other, unique text of its id stays."""
+    copied, own = " ".join(f"w{k}" for k in range(80)), " ".join(f"u{k}" for k in range(80))
+    rows = [(1, copied), (7, copied + " more"), (7, own), (7, None), (8, copied), (8, copied),
+            (9, own), (None, own)]
+    kept = jaccard.kept_rows(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert ordered((r.doc_id, r.text) for r in kept.collect()) == ordered(
+        [(1, copied), (7, own), (7, None), (None, own)])
+
+
 def test_components_of_a_long_chain(spark):
     names = list(range(60))
     rng = random.Random(1)
