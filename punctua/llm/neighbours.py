@@ -16,7 +16,9 @@ norms equal, which turns the largest inner product into the smallest angle.
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold
 null or non-finite components take no part. Fewer than k candidates give all of them. Ties go
 to the smaller vec_id; a query is no candidate of its own, a row with the same id neither.
-Null ids take no part.
+Null ids take no part. Repeated rows count once: equal queries (id and vector) have one answer,
+and equal rows are one candidate. Queries of one id with several vectors have one answer too: the
+best k of all of them, each candidate by its best score.
 """
 
 from __future__ import annotations
@@ -183,7 +185,8 @@ class Shard:
         rows = self.within(part, least + 1)
         rows = rows[self.ids[rows] != q_id]
         scores = self.x[rows] @ q
-        order = np.lexsort((self.ids[rows], -scores))[:k]
+        order = np.lexsort((self.ids[rows], -scores))
+        order = order[np.sort(np.unique(self.ids[rows][order], return_index=True)[1])[:k]]
         return self.ids[rows][order], scores[order]
 
 
@@ -201,7 +204,7 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id",
         return found.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     dim, n = sizes[0]["d"], sizes[0]["count"]
     shards = math.ceil(n / shard_rows)
-    queried = asked.where(F.col("d") == dim)
+    queried = asked.where(F.col("d") == dim).dropDuplicates(["vec_id", "v"])
     blocks = max(1, math.ceil(queried.count() / block_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
     # Rows go once to each query block and queries once to each shard: blocks against blocks.
@@ -216,15 +219,24 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id",
         out = []
         if len(own) and len(asking):
             own = own.sort_values("vec_id", kind="stable")
-            shard = Shard(code, own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()))
+            ids, x = own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy())
+            if len(np.unique(ids)) < len(ids):  # equal rows count once
+                first = np.sort(np.unique(np.column_stack([ids.view(np.float64), x]).view(
+                    f"V{8 * (dim + 1)}").ravel(), return_index=True)[1])
+                ids, x = ids[first], x[first]
+            shard = Shard(code, ids, x)
             q = np.stack(asking["v"].to_numpy())
             parts = code.signs(code.lifted(q))
             out = [shard.best(*one, k, rerank) for one in zip(asking["vec_id"], q, parts)]
         ids = np.concatenate([np.zeros(0, dtype=np.int64), *[i for i, _ in out]])
         scores = np.concatenate([np.zeros(0), *[s for _, s in out]])
         counts = [len(i) for i, _ in out]
-        return pd.DataFrame({"query_id": np.repeat(asking["vec_id"].to_numpy()[:len(out)], counts),
+        best = pd.DataFrame({"query_id": np.repeat(asking["vec_id"].to_numpy()[:len(out)], counts),
                              "vec_id": ids, "score": scores})
+        if asking["vec_id"].is_unique:
+            return best
+        return best.sort_values("score", ascending=False, kind="stable").drop_duplicates(
+            ["query_id", "vec_id"])
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
         run, schema)

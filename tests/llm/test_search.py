@@ -72,6 +72,22 @@ def test_neighbours_defined_cases(spark):
     assert neighbours.search(v, empty(v)).count() == 0
 
 
+def test_repeated_queries_and_rows_count_once(spark):
+    x = np.random.default_rng(3).standard_normal((60, 8))
+    few, many = vectors_of(spark, x), vectors_of(
+        spark, np.repeat(x, 3, 0), np.repeat(range(60), 3).tolist())
+    asked = vectors_of(spark, x[[0] * 20 + [5, 5, 7]], [0] * 20 + [5, 5, 7])
+    want = ordered(neighbours.search(few, few.where("vec_id IN (0, 5, 7)")).collect())
+    assert len(want) == 60
+    assert ordered(neighbours.search(few, asked).collect()) == want
+    once = neighbours.search(few, asked, rerank=30)
+    assert ordered(neighbours.search(many, asked, rerank=30).collect()) == ordered(once.collect())
+    two = vectors_of(spark, x[[0, 1]], [100, 100])  # one id, two vectors
+    got = [(r.vec_id, r.score) for r in neighbours.search(few, two).orderBy("rank").collect()]
+    best = np.maximum((x.astype(np.float32) @ x[0]), (x.astype(np.float32) @ x[1]))
+    assert [v for v, _ in got] == np.argsort(-best)[:20].tolist()
+
+
 def test_radius_search_returns_every_code_within():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((500, 16))
