@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark import cloudpickle
 
 from punctua.llm import (
-    decontaminate, html, jaccard, language, licences, lookups, neighbours, packing, quality,
-    recompression, runs, suffixes, trie, words,
+    decontaminate, html, jaccard, language, licences, lookups, negatives, neighbours, packing,
+    quality, recompression, runs, suffixes, trie, words,
 )
 
-for _module in (decontaminate, html, jaccard, language, licences, lookups, neighbours, packing,
-                quality, recompression, runs, suffixes, trie, words):
+for _module in (decontaminate, html, jaccard, language, licences, lookups, negatives, neighbours,
+                packing, quality, recompression, runs, suffixes, trie, words):
     # Task functions travel with the job, so that workers need no copy of this package.
     cloudpickle.register_pickle_by_value(_module)
 
@@ -26,10 +26,12 @@ QUERIES = {
     "op9_html": html.op9_html,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_trie": trie.op11_trie,
+    "op12_negatives": negatives.op12_negatives,
 }
 ORACLES = {
     "op2_jaccard": jaccard.ORACLE,
     "op4_licences": licences.oracle(),
     "op10_decontaminate": decontaminate.ORACLE,
     "op11_trie": trie.ORACLE,
+    "op12_negatives": negatives.ORACLE,
 }
