@@ -6,11 +6,11 @@ from pyspark import cloudpickle
 
 from punctua.llm import (
     decontaminate, html, jaccard, language, licences, lookups, negatives, neighbours, packing,
-    quality, recompression, runs, suffixes, trie, words,
+    quality, recompression, recurrent, runs, suffixes, trie, words,
 )
 
 for _module in (decontaminate, html, jaccard, language, licences, lookups, negatives, neighbours,
-                packing, quality, recompression, runs, suffixes, trie, words):
+                packing, quality, recompression, recurrent, runs, suffixes, trie, words):
     # Task functions travel with the job, so that workers need no copy of this package.
     cloudpickle.register_pickle_by_value(_module)
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_trie": trie.op11_trie,
     "op12_negatives": negatives.op12_negatives,
+    "op13_recurrent": recurrent.op13_recurrent,
 }
 ORACLES = {
     "op2_jaccard": jaccard.ORACLE,
