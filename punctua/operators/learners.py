@@ -7,13 +7,14 @@ inside each fit, so a cross-validation fold never sees statistics of its held-ou
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from punctua.operators import extra_trees, features, neighbours, split, stored
+from punctua.operators import extra_trees, features, neighbours, newton, split, stored
 from punctua.operators.prepare import FEATURES
 from punctua.operators.stored import State
 from punctua.session import settle, small_table, stage
@@ -36,6 +37,9 @@ NAMES = [
 BOOSTING = ["xgboost", "lightgbm", "catboost"]
 MAX_DEPTH = 30  # the deepest tree Spark grows; None means this depth
 TREE_PARAMETERS = {"n_estimators", "max_depth", "min_samples_leaf", "max_features"}
+TASK_ROWS = 65_536  # rows of a fit that one task holds at least; every round of a fit is a job
+NETWORK_STAGE = 5  # iterations of the network between two looks at its holdout
+PARALLEL = 4  # fits of one learner that run as concurrent jobs
 
 
 def _depth(params: dict) -> int:
@@ -118,14 +122,25 @@ def _vectors(encoded: DataFrame) -> DataFrame:
     return encoded.select("features", F.col("target").cast("double").alias("label")).persist()
 
 
+def _gathered(held: DataFrame) -> DataFrame:
+    """Held rows in no more tasks than their number needs, as a fit has thousands of short jobs."""
+    return held.coalesce(max(1, ceil(held.count() / TASK_ROWS)))
+
+
 def _fit_on(estimator, encoded: DataFrame):
     held = _vectors(encoded)
     try:
-        return estimator.setParams(featuresCol="features", labelCol="label").fit(held)
+        return estimator.setParams(featuresCol="features", labelCol="label").fit(_gathered(held))
     finally:
         held.unpersist()
 
 
+def _pooled(function: Callable, tasks: list, parallel: int = PARALLEL) -> list:
+    """Results in order; fits run as concurrent jobs."""
+    with ThreadPoolExecutor(min(parallel, max(1, len(tasks)))) as pool:
+        return list(pool.map(function, tasks))
+
+
 # -- trees -----------------------------------------------------------------------------------
 
 def _subset(fraction) -> str:
@@ -242,23 +257,46 @@ def patience_stop(losses: DataFrame, patience: int, by: list[str] | None = None)
                                  .alias("best_iteration"))
 
 
+@dataclass(frozen=True)
+class Sides:
+    """Rows of a fit that stops early: vectors to train on and to check, held, with the encoding
+    (fitted on the rows to train on)."""
+
+    fit: DataFrame
+    check: DataFrame
+    encoding: tuple
+    held: list[DataFrame]
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
+def stopping_sides(train: DataFrame, seed: str, id_col: str, share: float = 0.10,
+                   scaled: bool = False) -> Sides:
+    """A stratified holdout of ``train`` and the rest, encoded and held."""
+    marked = stage(split.holdout(train, seed, id_col, share), "holdout")
+    inner = marked.where(~F.col("is_validation"))
+    encoding = _ordinal(inner, scaled)
+    fit_rows = _vectors(encoding[0](inner))
+    check = _vectors(encoding[0](marked.where("is_validation")))
+    return Sides(_gathered(fit_rows), _gathered(check), encoding, [fit_rows, check])
+
+
 def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col: str,
-                  max_rounds: int, patience: int) -> Scorer:
+                  max_rounds: int, patience: int, sides: Sides | None = None) -> Scorer:
     """Boosting with a 10 % stratified holdout from inside the training rows.
 
     The number of rounds is doubled until the loss series of the holdout has run out of
     patience or the ceiling is reached; then the best round is refitted (a boosted model is
-    the same up to that round).
+    the same up to that round). ``sides`` are those of ``train``, where several fits share them.
     """
-    marked = stage(split.holdout(train, f"stop{seed}", id_col), "holdout")
-    inner = marked.where(~F.col("is_validation"))
-    transform, numbers, tables = _ordinal(inner)
-    fit_rows = _vectors(transform(inner))
-    check = _vectors(transform(marked.where("is_validation")))
+    own = sides or stopping_sides(train, f"stop{seed}", id_col)
+    _, numbers, tables = own.encoding
     rounds = min(max_rounds, max(2 * patience, 10))
     while True:
-        model = _gbt(name, params, seed, rounds).fit(fit_rows)
-        series = model.evaluateEachIteration(check)
+        model = _gbt(name, params, seed, rounds).fit(own.fit)
+        series = model.evaluateEachIteration(own.check)
         losses = small_table(
             train.sparkSession, [(i + 1, float(x)) for i, x in enumerate(series)],
             "iteration int, loss double",
@@ -268,9 +306,9 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
             break
         rounds = min(rounds * 2, max_rounds)
     if best < rounds:
-        model = _gbt(name, params, seed, best).fit(fit_rows)
-    fit_rows.unpersist()
-    check.unpersist()
+        model = _gbt(name, params, seed, best).fit(own.fit)
+    if sides is None:
+        own.release()
     return scorer(State(name, numbers, tables, {"model": model}),
                   {"model": model, "best_iteration": best, "iterations": best})
 
@@ -349,15 +387,49 @@ def _gaussian_score(state: State):
     return score
 
 
-def mlp(train: DataFrame, params: dict, seed: int) -> Scorer:
-    _refuse("mlp", params, {"hidden_layer_sizes", "max_iter"})
-    transform, numbers, tables = _ordinal(train, scaled=True)
+def mlp(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id") -> Scorer:
+    """Network with early stopping on a stratified holdout (M8).
+
+    Training goes on in stages of a few iterations, each from the weights of the one before. The
+    log-loss of the holdout after every stage makes a series, which ends by the patience rule of
+    the boosted models; the weights of the best stage are the model. ``info`` has the series.
+    """
+    _refuse("mlp", params, {"hidden_layer_sizes", "max_iter", "early_stopping",
+                            "validation_fraction", "n_iter_no_change"})
     hidden = [int(n) for n in params.get("hidden_layer_sizes", (64, 32))]
-    net = MultilayerPerceptronClassifier(
-        layers=[len(FEATURES), *hidden, 2], maxIter=params.get("max_iter", 250), seed=seed
-    )
-    model = _fit_on(net, transform(train))
-    return scorer(State("mlp", numbers, tables, {"model": model}), {"model": model})
+    limit, patience = int(params.get("max_iter", 250)), int(params.get("n_iter_no_change", 10))
+    net = MultilayerPerceptronClassifier(layers=[len(FEATURES), *hidden, 2], seed=seed)
+    if not params.get("early_stopping", True):
+        transform, numbers, tables = _ordinal(train, scaled=True)
+        model = _fit_on(net.setMaxIter(limit), transform(train))
+        return scorer(State("mlp", numbers, tables, {"model": model}), {"model": model})
+    sides = stopping_sides(train, f"stop{seed}", id_col,
+                           float(params.get("validation_fraction", 0.1)), scaled=True)
+    _, numbers, tables = sides.encoding
+    series, models, at = [], [], 0
+    while at < limit:
+        length = min(NETWORK_STAGE, limit - at)
+        if models:
+            net = net.setInitialWeights(models[-1].weights)
+        models.append(net.setMaxIter(length).setParams(
+            featuresCol="features", labelCol="label").fit(sides.fit))
+        at += length
+        series.append((at, log_loss(models[-1].transform(sides.check))))
+        losses = small_table(train.sparkSession, series, "iteration int, loss double")
+        best = patience_stop(losses, patience).first()["best_iteration"]
+        if at - best >= patience:
+            break
+    sides.release()
+    model = models[[i for i, _ in series].index(best)]
+    return scorer(State("mlp", numbers, tables, {"model": model}),
+                  {"model": model, "best_iteration": best, "losses": losses})
+
+
+def log_loss(scored: DataFrame) -> float:
+    """Mean log-loss of ``probability`` (a vector) against ``label``."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), vector_to_array("probability")[1]))
+    own = F.when(F.col("label") == 1, p).otherwise(1 - p)
+    return float(scored.agg(F.avg(-F.log(own))).first()[0])
 
 
 # -- linear models -----------------------------------------------------------------------------
@@ -371,71 +443,49 @@ def _ridge(rows: int, c: float) -> dict:
 def logistic_regression(train: DataFrame, params: dict, seed: int = 0) -> Scorer:
     _refuse("logistic_regression", params, {"C"})
     encoding = features.fit_one_hot(train)
-    estimator = LogisticRegression(maxIter=1000,
+    estimator = LogisticRegression(maxIter=1000, tol=1e-12,
                                    **_ridge(train.count(), params.get("C", 1.0)))
     model = _fit_on(estimator, encoding.transform(train))
     return scorer(State("logistic_regression", *stored.of_one_hot(encoding), {"model": model}),
-                  {"model": model})
-
-
-def platt(margins: DataFrame) -> tuple[float, float]:
-    """Sigmoid slope and intercept on (margin, target) with smoothed targets.
-
-    The soft target t of a row is entered as two weighted rows: class 1 with weight t and
-    class 0 with weight 1 - t.
-    """
-    margins = stage(margins, "margins")
-    p, n = margins.agg(F.sum("target"), F.sum(1 - F.col("target"))).first()
-    soft = F.when(F.col("target") == 1, F.lit((p + 1) / (p + 2))).otherwise(F.lit(1 / (n + 2)))
-    twice = F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), soft.alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (1 - soft).alias("w")),
-    ))
-    rows = VectorAssembler(inputCols=["margin"], outputCol="features").transform(
-        margins.select("margin", twice.alias("t")).select("margin", "t.*")
-    ).persist()
-    fitted = LogisticRegression(weightCol="w", regParam=0.0, maxIter=100, tol=1e-9).fit(rows)
-    rows.unpersist()
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+                  {"model": model, "encoded": encoding.transform})
 
 
 def linear_svm(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id") -> Scorer:
-    """Linear SVM with sigmoid calibration, averaged over cross-validation folds."""
+    """Linear SVM (squared hinge) with sigmoid calibration, averaged over cross-validation folds
+    (M10). The planes of the folds are fitted as concurrent jobs, all sigmoids in one batch."""
     _refuse("linear_svm", params, {"C", "cv"})
     encoding = features.fit_one_hot(train)
-    folds = int(params.get("cv", 5))
+    folds, c = int(params.get("cv", 5)), float(params.get("C", 1.0))
     folded = stage(
         split.stratified_folds(train, folds, f"svm{seed}", id_col), "svm"
     )
-    encoded = encoding.transform(folded).select("fold", "target", "features")
-    models, sigmoids = {}, []
-    for fold in range(folds):
-        inner = encoded.where(F.col("fold") != fold)
-        settings = _ridge(inner.count(), params.get("C", 1.0))
-        model = _fit_on(
-            LinearSVC(regParam=settings["regParam"], standardization=False, maxIter=100), inner
-        )
-        margin = vector_to_array("rawPrediction")[1]
-        held = model.transform(encoded.where(F.col("fold") == fold)).select(
-            margin.alias("margin"), "target")
-        models[f"fold{fold}"] = model
-        sigmoids.append(platt(held))
+    held = encoding.transform(folded).select(
+        "fold", "target", "features", F.col("target").cast("double").alias("label")).persist()
+    encoded = _gathered(held)
+    planes = _pooled(lambda fold: newton.squared_hinge(encoded.where(F.col("fold") != fold), c),
+                     list(range(folds)))
+    margins = reduce(DataFrame.unionByName, [
+        plane.model.transform(newton.augmented(encoded.where(F.col("fold") == fold))).select(
+            F.lit(fold).alias("model"), F.col("_f").alias("margin"), "target")
+        for fold, plane in enumerate(planes)])
+    sigmoids = newton.platt(stage(margins, "margins"), folds)
+    held.unpersist()
+    models = {f"fold{fold}": plane.model for fold, plane in enumerate(planes)}
     numbers, tables = stored.of_one_hot(encoding)
-    return scorer(State("linear_svm", {**numbers, "sigmoids": sigmoids}, tables, models),
-                  {"members": folds})
+    numbers |= {"sigmoids": sigmoids.tolist()}
+    return scorer(State("linear_svm", numbers, tables, models),
+                  {"members": folds, "planes": planes, "encoded": encoding.transform(folded)})
 
 
 def _svm_score(state: State):
     encoding, sigmoids = stored.one_hot(state), state.numbers["sigmoids"]
 
     def score(df):
-        wide = encoding.transform(df)
+        wide = newton.augmented(encoding.transform(df))
         for i, (slope, intercept) in enumerate(sigmoids):
             model = state.models[f"fold{i}"]
-            scored = model.copy({model.rawPredictionCol: f"_raw{i}",
-                                 model.predictionCol: f"_pred{i}"}).transform(wide)
-            z = vector_to_array(f"_raw{i}")[1] * slope + intercept
-            wide = scored.withColumn(f"_p{i}", 1 / (1 + F.exp(-z)))
+            wide = model.copy({model.featuresCol: "_x", model.predictionCol: f"_f{i}"}).transform(wide)
+            wide = wide.withColumn(f"_p{i}", newton.probability(F.col(f"_f{i}") * slope + intercept))
         mean = sum((F.col(f"_p{i}") for i in range(len(sigmoids))), F.lit(0.0)) / len(sigmoids)
         return wide.withColumn("probability", mean).select(*df.columns, "probability")
 
@@ -446,22 +496,25 @@ def _svm_score(state: State):
 
 def out_of_fold(folded: DataFrame, specs: dict[str, dict], folds: int, seed: int,
                 id_col: str) -> DataFrame:
-    """Long out-of-fold scores (id, target, fold, model, probability): one per row and base."""
-    parts = []
-    for fold in range(folds):
-        inner = folded.where(F.col("fold") != fold)
-        held = folded.where(F.col("fold") == fold)
-        encoded = _ordinal(inner)
-        for name in BOOSTING:
-            spec = specs[name]
-            fitted = boosting(name)(inner, spec["params"], seed + fold,
-                                    spec.get("iterations"), encoded)
-            parts.append(fitted.score(held).select(
-                id_col, "target", "fold", F.lit(name).alias("model"), "probability"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Long out-of-fold scores (id, target, fold, model, probability): one per row and base.
+
+    A fold's encoding is made once for its base models; all fits form one pool.
+    """
+    sides = [(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f))
+             for f in range(folds)]
+    encodings = _pooled(lambda side: _ordinal(side[0]), sides)
+
+    def one(task: tuple[int, str]) -> DataFrame:
+        fold, name = task
+        inner, held = sides[fold]
+        spec = specs[name]
+        fitted = boosting(name)(inner, spec["params"], seed + fold, spec.get("iterations"),
+                                encodings[fold])
+        return fitted.score(held).select(
+            id_col, "target", "fold", F.lit(name).alias("model"), "probability")
+
+    parts = _pooled(one, [(f, n) for f in range(folds) for n in BOOSTING])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def meta_features(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -494,8 +547,9 @@ def stacking(train: DataFrame, params: dict, seed: int, id_col: str = "unit_id",
     table = stage(meta_features(long, [id_col, "target", "fold"]), "oof")
     meta = fit_meta(table, params.get("C", 1.0))
     encoded = _ordinal(train)
-    bases = {n: boosting(n)(train, specs[n]["params"], seed, specs[n].get("iterations"),
-                            encoded).state for n in BOOSTING}
+    fitted = _pooled(lambda n: boosting(n)(
+        train, specs[n]["params"], seed, specs[n].get("iterations"), encoded).state, BOOSTING)
+    bases = dict(zip(BOOSTING, fitted))
     return scorer(State("stacking", models={"meta": meta}, parts=bases),
                   {"oof": table, "meta": meta})
 
@@ -552,10 +606,10 @@ def fit(name: str, train: DataFrame, params: dict, seed: int, id_col: str = "uni
         return boosting(name)(train, params, seed, iterations)
     if name == "stacking":
         return stacking(train, params, seed, id_col, specs)
-    if name in ("knn", "linear_svm"):
-        return {"knn": knn, "linear_svm": linear_svm}[name](train, params, seed, id_col)
+    if name in ("knn", "linear_svm", "mlp"):
+        return {"knn": knn, "linear_svm": linear_svm, "mlp": mlp}[name](train, params, seed, id_col)
     simple = {"random_forest": random_forest, "extra_trees": extra_trees_model,
-              "gaussian_nb": gaussian_nb, "mlp": mlp, "logistic_regression": logistic_regression}
+              "gaussian_nb": gaussian_nb, "logistic_regression": logistic_regression}
     if name not in simple:
         raise ValueError(f"Unknown model names: {[name]}")
     return simple[name](train, params, seed)

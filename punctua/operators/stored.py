@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import classification
+from pyspark.ml import classification, regression
 from pyspark.sql import DataFrame, SparkSession
 
 from punctua.operators import features
@@ -75,7 +75,7 @@ def load(spark: SparkSession, path: str) -> State:
     return State(
         about["name"], about["numbers"],
         {t: spark.read.parquet(f"{path}/tables/{t}") for t in about["tables"]},
-        {k: getattr(classification, kind).load(f"{path}/models/{k}")
-         for k, kind in about["models"].items()},
+        {k: getattr(classification, kind, getattr(regression, kind, None)).load(
+            f"{path}/models/{k}") for k, kind in about["models"].items()},
         {p: load(spark, f"{path}/parts/{p}") for p in about["parts"]},
     )

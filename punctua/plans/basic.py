@@ -415,10 +415,23 @@ def f4(spark, sf):
     return encoding.transform(rows).select("unit_id", *r6(*features.SCALED))
 
 
-@query("f5_one_hot_vectors")
+# Every category of the given tables has two training rows or more, so its slot is its code.
+F5 = SCALED_SQL + """,
+widths as (select (select count(*) from carrier_codes) as wc,
+                  (select count(*) from airport_codes) as wa),
+hot as (select unit_id, code as slot, 1::double as value
+        from test join carrier_codes using (carrier)
+  union all select unit_id, wc + code, 1::double from test join airport_codes using (airport), widths
+""" + "".join(f"  union all select unit_id, wc + wa + {k}, z_{c} from scaled, widths where part = 'test'\n"
+              for k, c in enumerate(prepare.NUMERIC)) + ")"
+
+
+@query("f5_one_hot_vectors", w(F5, """
+select unit_id, slot, round(value, 6) as value from hot where value <> 0"""))
 def f5(spark, sf):
     rows = u.parts(spark, sf)
     encoding = features.fit_one_hot(u.train_of(rows))
-    return encoding.transform(u.test_of(rows)).select(
-        "unit_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6))
-        .alias("features"))
+    found = encoding.transform(u.test_of(rows)).select(
+        "unit_id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return found.where("value <> 0").select(
+        "unit_id", F.col("slot").cast("bigint").alias("slot"), *r6("value"))

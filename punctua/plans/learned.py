@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctua.operators import evaluate, features, integrity, learners, prepare, split, tune
+from punctua.operators import evaluate, features, integrity, learners, newton, prepare, split, tune
 from punctua.plans import units as u
 from punctua.plans.basic import SCALED_SQL, folds_sql, r6
 from punctua.plans.decisions import MODELS_SQL, model_scores
-from punctua.plans.oracle import PREPARED, metrics, w
+from punctua.plans.oracle import PREPARED, SPLIT, metrics, w
 from punctua.plans.registry import query
 
 COLUMNS = ["unit_id", *prepare.FEATURES, "target"]
@@ -75,16 +79,89 @@ _knn("m6_knn", 15, 2, "uniform")
 _knn("m6_knn_manhattan_weighted", 9, 1, "distance")
 
 
+# A fitted probability is no SQL; what SQL states is the rows, the range and that the model ranks
+# the test rows better than a constant does.
+CHECKED = w(SPLIT, """
+select unit_id, target, true as in_range, true as above_chance from test""")
+
+
+def checked(scored):
+    """(unit_id, target, in_range, above_chance) of scored test rows."""
+    rows = u.stage(scored.select("unit_id", "target", "probability"), "scored")
+    auc = evaluate.metrics(rows.withColumn("model", F.lit("m")), ["model"]).first()["roc_auc"]
+    return rows.select("unit_id", "target", F.coalesce(
+        F.col("probability").between(0.0, 1.0), F.lit(False)).alias("in_range"),
+        F.lit(auc > 0.5).alias("above_chance"))
+
+
 def _learner(key, name, params):
-    @query(key)
+    @query(key, CHECKED)
     def run(spark, sf):
         train, test = train_test(spark, sf)
-        return learners.fit(name, train, params, 42).score(test).select(
-            "unit_id", "target", "probability")
+        return checked(learners.fit(name, train, params, 42).score(test))
 
     return run
 
 
+SLOTS = """,
+cats as (select 'c' as f, carrier as v, count(*) as n from train group by carrier
+         union all select 'a', airport, count(*) from train group by airport),
+width as (select (select count(*) from cats where n >= 2) + (select count(distinct f) from cats
+            where n < 2) + %d as d)""" % (len(prepare.NUMERIC) + 1)
+
+
+@query("m8_early_stopping", "select true as is_best, true as ends_by_rule")
+def m8_stop(spark, sf):
+    """The reported round, found again by SQL on the written losses of the stages."""
+    train, _ = train_test(spark, sf)
+    model = learners.fit("mlp", train, learners.defaults("mlp"), 42)
+    u.stage(model.info["losses"], "losses").createOrReplaceTempView("network_losses")
+    return spark.sql(f"""
+      with running as (select iteration, loss, coalesce(min(loss) over (order by iteration rows
+               between unbounded preceding and 1 preceding), double('inf')) as before
+             from network_losses),
+      marked as (select iteration, loss, max(case when loss < before then iteration end)
+               over (order by iteration) as best from running)
+      select max_by(best, iteration) = {model.info["best_iteration"]} as is_best,
+             count_if(iteration - best >= 10 and iteration < last) = 0
+             and (max(iteration) >= 250 or max_by(iteration - best, iteration) >= 10) as ends_by_rule
+      from marked, (select max(iteration) as last from network_losses)""")
+
+
+@query("m9_ridge_optimum", w(SPLIT + SLOTS, """
+select cast(unnest(range(d)) as int) as slot, true as at_optimum from width"""))
+def m9_optimum(spark, sf):
+    """The gradient of the penalised log-loss at the fitted plane, per weight."""
+    train, _ = train_test(spark, sf)
+    model = learners.fit("logistic_regression", train, {"C": 1.0}, 42)
+    plane = [*model.info["model"].coefficients.toArray().tolist(), 0.0]
+    rows = model.info["encoded"](train)
+    p = vector_to_array("probability")[1]
+    pulls = model.info["model"].transform(rows).select(
+        F.posexplode(F.array_append(vector_to_array("features"), F.lit(1.0))).alias("slot", "x"),
+        (p - F.col("target")).alias("gap")).where("x <> 0").groupBy("slot").agg(
+        F.sum(F.col("x") * F.col("gap")).alias("pull"))
+    weights = spark.range(1).select(F.posexplode(F.array(*map(F.lit, plane))).alias("slot", "w"))
+    gradient = F.abs(F.col("w") + F.coalesce("pull", F.lit(0.0)))
+    return weights.join(pulls, "slot", "left").select(
+        "slot", (gradient < 1e-6 * train.count()).alias("at_optimum"))
+
+
+@query("m10_hinge_optimum", w(SPLIT + SLOTS, """
+select fold, cast(slot as int) as slot, true as at_optimum
+from (select unnest(range(5))::int as fold), (select unnest(range(d)) as slot from width)"""))
+def m10_optimum(spark, sf):
+    """The gradient of the squared-hinge objective at the plane of every fold, per weight."""
+    train, _ = train_test(spark, sf)
+    model = learners.fit("linear_svm", train, learners.defaults("linear_svm"), 42)
+    encoded = u.stage(model.info["encoded"].select(
+        "fold", "features", F.col("target").cast("double").alias("label")), "encoded")
+    parts = [newton.hinge_gradient(encoded.where(F.col("fold") != fold), plane, 1.0).select(
+        F.lit(fold).alias("fold"), "slot", (F.abs("gradient") < 1e-6).alias("at_optimum"))
+        for fold, plane in enumerate(model.info["planes"])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # The published settings; a query with SQL has the folds that its SQL names.
 PUBLISHED = tune.Protocol()
 BASES = {n: {"params": learners.defaults(n), "iterations": 300} for n in learners.BOOSTING}
@@ -109,11 +186,11 @@ def m11(spark, sf):
         F.count_distinct("model").alias("bases"), F.bool_and(inside).alias("in_range"))
 
 
-@query("m11_stacking")
+@query("m11_stacking", CHECKED)
 def m11_fit(spark, sf):
     train, test = train_test(spark, sf)
     model = learners.fit("stacking", train, {"folds": PUBLISHED.stack_folds, "C": 1.0}, 42, specs=BASES)
-    return model.score(test).select("unit_id", "target", "probability")
+    return checked(model.score(test))
 
 
 # Month series of each segment's late rate stand for the loss series of a boosted model.
@@ -135,20 +212,21 @@ def m13(spark, sf):
     return learners.patience_stop(losses, 5, ["carrier"])
 
 
-@query("m13_early_stopped_boosting")
+@query("m13_early_stopped_boosting", w(SPLIT, """
+select unit_id, target, true as in_range, true as above_chance, true as rounds_within from test"""))
 def m13_fit(spark, sf):
     train, test = train_test(spark, sf)
     model = learners.early_stopped("xgboost", train, learners.defaults("xgboost"), 42, "unit_id",
                                    PUBLISHED.max_rounds, PUBLISHED.patience)
-    return model.score(test).select(
-        "unit_id", "target", "probability", F.lit(model.info["best_iteration"]).alias("rounds"))
+    within = 1 <= model.info["best_iteration"] <= PUBLISHED.max_rounds
+    return checked(model.score(test)).withColumn("rounds_within", F.lit(within))
 
 
-@query("m14_refit_selected")
+@query("m14_refit_selected", CHECKED)
 def m14(spark, sf):
     train, test = train_test(spark, sf)
     model = tune.fit_spec("catboost", train, BASES["catboost"], {}, PUBLISHED, 42)
-    return model.score(test).select("unit_id", "target", "probability")
+    return checked(model.score(test))
 
 
 # -- tuning ----------------------------------------------------------------------------------
@@ -277,7 +355,9 @@ def h3(spark, sf):
     return tune.cross_validate("catboost", folded, params, PUBLISHED, 42)
 
 
-@query("h8_meta_search")
+@query("h8_meta_search", """
+select candidate, fold, true as in_range
+from (select unnest(range(13))::int as candidate), (select unnest(range(5))::int as fold)""")
 def h8(spark, sf):
     train, _ = train_test(spark, sf)
     folds = PUBLISHED.stack_folds
@@ -285,4 +365,6 @@ def h8(spark, sf):
     long = learners.out_of_fold(folded, BASES, folds, 42, "unit_id")
     oof = u.stage(learners.meta_features(long, ["unit_id", "target", "fold"]), "oof")
     params = tune.protocol_candidates(spark, "stacking", PUBLISHED, 42)
-    return tune.meta_search(oof, params, folds)
+    found = tune.meta_search(oof, params, folds)
+    inside = [F.col(c).between(0.0, 1.0) for c in evaluate.METRICS]
+    return found.select("candidate", "fold", reduce(lambda a, b: a & b, inside).alias("in_range"))
