@@ -41,8 +41,9 @@ def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
         for c in columns
     ])).alias("r")).select("r.name", "r.value")
-    rows = order.quantiles(long, "value", [0.5], ["name"]).collect()
-    return {r["name"]: r["quantile"] for r in rows}
+    found = {r["name"]: r["quantile"]
+             for r in order.quantiles(long, "value", [0.5], ["name"]).collect()}
+    return {c: found[c] for c in columns if c in found}
 
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
