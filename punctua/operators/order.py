@@ -1,10 +1,12 @@
 """Order statistics, ranks and running sums without an unpartitioned window.
 
-A rank over a whole table, or inside a hot group, must not send all its rows to one task.
-Each operator here first takes a mergeable quantile sketch, counts rows between the sketched
-bounds, and sorts only inside a narrow slice. The sketch steers balance alone: counts are
-exact, so results are exact whatever the sketch error or the ties. There is one path for tables
-of every size.
+A rank over a whole table, or inside a hot group, must not send all its rows to one task. A k-th
+row is found by narrowing: a mergeable quantile sketch gives edges around it, one pass counts the
+rows between the edges, and so on inside the part that holds the row, until a part has at most
+``SLICE`` rows and is sorted. All groups and all k of a call are narrowed together, the edges and
+counts being small arrays in the driver: a table whose groups are that small takes two jobs, a
+larger one two more for every factor of 250. Counts are exact, so results are exact whatever the
+sketch error or the ties. Quotas, one row for each group and k, must fit the driver.
 
 Nulls: a null group key is a group of its own. A null value ranks as the lowest value there is
 (minus infinity for fractions), below all others but equal to these; quantiles leave nulls out.
@@ -13,7 +15,8 @@ A quota below 0 counts as 0, one above the group's rows as all of them.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from dataclasses import dataclass, field
+from math import ceil, log2, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +24,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from punctua.functions.columns import HASH_BITS, seeded_hash
-from punctua.session import settle, stage
+from punctua.session import settle, small_table, stage
 
 GRID = 1000
 ACCURACY = 10_000
-HASH_BUCKET_BITS = 12
-LAST_ID = 2**63 - 1
+SLICE = 200_000  # rows of one part that a task sorts
+BUCKETS = 1024  # points of the sketch that also tells the number of rows
 
 
 def bucket_count(rows: int) -> int:
@@ -85,100 +88,186 @@ def locate(df: DataFrame, bounds: str, value: str, out: str, size: int) -> DataF
     return df
 
 
-def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | None = None,
-               clamp: bool = False):
-    """The k-th smallest value per group, for every k asked for.
-
-    ``quotas`` is small with columns (by..., k). Returns (by..., k, cut_value, below, ties):
-    ``below`` rows are strictly smaller and ``ties`` rows are equal. Null values are left out. A
-    k below 1 gives no row, nor does one above n, unless ``clamp`` takes it as n. Three
-    column-pruned passes, no shuffle of the rows outside a slice of about n/GRID.
-    """
-    by = list(by or [])
-    keys = by or ["_one"]
-    rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    quotas = quotas.select(*by, F.col("k").cast("bigint").alias("k")).distinct()
-    grid = _grid([i / GRID for i in range(GRID + 1)])
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.expr(f"percentile_approx(_v, {grid}, {ACCURACY})").alias("_b"),
-    )
-    if not by:
-        sketch = settle(sketch.withColumn("_one", F.lit(0)))
-        quotas = settle(quotas.withColumn("_one", F.lit(0)))
-    at = F.floor(F.col("k") / F.col("_n") * GRID).cast("int")
-    asked = joined(quotas, sketch, keys)
-    if clamp:
-        asked = asked.withColumn("_asked", F.col("k")).withColumn("k", F.least("k", "_n"))
-    asked = asked.where((F.col("k") >= 1) & (F.col("k") <= F.col("_n")))
-    if clamp:
-        asked = settle(asked)
-    edges = settle(
-        asked.select(
-            *keys, "k",
-            F.get("_b", F.greatest(at - 2, F.lit(0))).alias("_lo"),
-            F.get("_b", F.least(at + 2, F.lit(GRID))).alias("_hi"),
-        ).groupBy(*keys).agg(
-            F.array_sort(
-                F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi"))))
-            ).alias("_e"),
-            F.collect_set("k").alias("_ks"),
-        )
-    )
-    width = edges.agg(F.max(F.size("_e"))).first()[0] or 1
-    zoned = locate(attach(rows, edges.select(*by, "_e"), by), "_e", "_v", "_z", width)
-    # Even zones are open intervals, odd zones hold the ties of one edge value.
-    on_edge = F.coalesce(F.get("_e", F.col("_z")) == F.col("_v"), F.lit(False))
-    zoned = zoned.select(*by, "_v", (F.col("_z") * 2 + on_edge.cast("int")).alias("_z"))
-    target = _slice_of(edges.select(*keys, F.explode("_ks").alias("k")), zoned, by)
-    inside = joined(zoned, target.select(*by, "_z").distinct(), [*by, "_z"])
-    cells = inside.groupBy(*by, "_z", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cells = cells.withColumn(
-        "_cb", F.sum("_c").over(W.partitionBy(*by, "_z").orderBy("_v")) - F.col("_c")
-    )
-    need = F.col("k") - F.col("_before")
-    found = (
-        joined(cells, target, [*by, "_z"])
-        .where((F.col("_cb") < need) & (need <= F.col("_cb") + F.col("_c")))
-        .select(
-            *by,
-            "k",
-            F.col("_v").alias("cut_value"),
-            (F.col("_before") + F.col("_cb")).cast("bigint").alias("below"),
-            F.col("_c").cast("bigint").alias("ties"),
-        )
-    )
-    if clamp:
-        asked = asked.select(*by, "k", "_asked").distinct()
-        found = joined(asked, found, [*by, "k"]).drop("k").withColumnRenamed("_asked", "k")
-    return settle(found)
-
+@dataclass
+class _Part:
+    """Rows of one group: all, those between two values, or those of one value, maybe between two
+    ids. ``asks`` are the (k, place within the part) that it holds."""
+
+    group: tuple
+    asks: list[tuple[int, int]]
+    size: int | None = None
+    tie: object = None
+    low: object = None
+    high: object = None
+    id_low: int | None = None
+    id_high: int | None = None
+    edges: list = field(default_factory=list)
+
+    def parts(self, zones: dict[int, int]) -> list[_Part]:
+        """The zones between ``edges`` that hold an ask; ``zones`` has the rows of each."""
+        out, before = [], 0
+        for z in sorted(zones):
+            rows = zones[z]
+            asks = [(k, at - before) for k, at in self.asks if before < at <= before + rows]
+            before += rows
+            if not asks:
+                continue
+            j = z // 2
+            below = self.edges[j - 1] if j else None
+            above = self.edges[j] if j < len(self.edges) else None
+            if self.tie is not None:
+                out.append(_Part(self.group, asks, rows, self.tie, id_low=self.id_low if below is None
+                                 else below, id_high=self.id_high if above is None else above))
+            elif z % 2:
+                out.append(_Part(self.group, asks, rows, above))
+            else:
+                out.append(_Part(self.group, asks, rows, low=self.low if below is None else below,
+                                 high=self.high if above is None else above))
+        return out
+
+
+def _in_parts(rows: DataFrame, parts: list[_Part], by: list[str]) -> DataFrame:
+    """(_i, _e, _want, _v, _id): the rows (by..., _v, _id) inside a part, with its number, its
+    edges and the places asked for."""
+    spark, kind = rows.sparkSession, rows.schema["_v"].dataType
+    own = T.StructType([
+        T.StructField("i", T.IntegerType()), T.StructField("tie", kind), T.StructField("low", kind),
+        T.StructField("high", kind), T.StructField("id_low", T.LongType()),
+        T.StructField("id_high", T.LongType()),
+        T.StructField("e", T.ArrayType(T.LongType() if parts and parts[0].tie is not None else kind)),
+        T.StructField("want", T.ArrayType(T.LongType()))])
+    groups: dict[tuple, list] = {}
+    for i, p in enumerate(parts):
+        groups.setdefault(p.group, []).append(dict(
+            i=i, tie=p.tie, low=p.low, high=p.high, id_low=p.id_low, id_high=p.id_high, e=p.edges,
+            want=[at for _, at in p.asks]))
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("_one", T.IntegerType()),
+                           T.StructField("_parts", T.ArrayType(own))])
+    table = small_table(spark, [(*g, 0, own) for g, own in groups.items()], schema)
+    if by:
+        tagged = joined(rows, table.drop("_one"), by)
+    else:
+        tagged = rows.withColumn("_one", F.lit(0)).join(F.broadcast(table), "_one")  # one row
+
+    def holds(p):
+        value = (p["low"].isNull() | (F.col("_v") > p["low"])) & (
+            p["high"].isNull() | (F.col("_v") < p["high"]))
+        tied = (F.col("_v") == p["tie"]) & (p["id_low"].isNull() | (F.col("_id") > p["id_low"])) & (
+            p["id_high"].isNull() | (F.col("_id") <= p["id_high"]))
+        return F.coalesce(F.when(p["tie"].isNull(), value).otherwise(tied), F.lit(False))
+
+    if len(parts) == len(groups) and all(
+            p.tie is p.low is p.high is None for p in parts):  # whole groups
+        found = tagged.withColumn("_p", F.get("_parts", F.lit(0)))
+    else:
+        found = tagged.withColumn("_p", F.explode(F.filter("_parts", holds)))
+    return found.select("_v", "_id", F.col("_p.i").alias("_i"), F.col("_p.e").alias("_e"),
+                        F.col("_p.want").alias("_want"))
 
-def _slice_of(quotas: DataFrame, zoned: DataFrame, by: list[str], clamp: bool = False
-              ) -> DataFrame:
-    """The zone ``_z`` that holds the k-th row, and the number of rows ``_before`` that zone.
 
-    A group has few zones by construction, so their running counts are one array per group.
+def _sketched(rows: DataFrame, parts: list[_Part], by: list[str], clamp: bool) -> None:
+    """Sets the size of every part, and edges around its asks if it is to be narrowed."""
+    grid = _grid([i / GRID for i in range(GRID + 1)])
+    value = "_id" if parts[0].tie is not None else "_v"
+    sketch = F.expr(f"percentile_approx({value}, {grid}, {ACCURACY})")
+    found = {r["_i"]: r for r in _in_parts(rows, parts, by).groupBy("_i").agg(
+        F.count(F.lit(1)).alias("n"), sketch.alias("b")).collect()}
+    for i, p in enumerate(parts):
+        row = found.get(i)
+        p.size, first = (row["n"] if row else 0), p.size is None
+        if first and clamp:
+            p.asks = [(k, min(k, p.size)) for k, _ in p.asks]
+        p.asks = [(k, at) for k, at in p.asks if 1 <= at <= p.size]
+        points = []
+        for _, at in p.asks:
+            near = at * GRID // p.size
+            points += [row["b"][max(near - 2, 0)], row["b"][min(near + 2, GRID)]]
+        p.edges = sorted(set(points))
+
+
+def _counted(rows: DataFrame, parts: list[_Part], by: list[str]) -> list[_Part]:
+    """The parts between the edges of ``parts`` that hold an ask, by one counting pass."""
+    ties = parts[0].tie is not None
+    inside = _in_parts(rows, parts, by)
+    zoned = locate(inside, "_e", "_id" if ties else "_v", "_z", max(len(p.edges) for p in parts))
+    # Even zones are open intervals, odd zones hold the rows of one edge value; between ids a zone
+    # holds its upper edge.
+    on_edge = F.lit(0) if ties else F.coalesce(
+        F.get("_e", F.col("_z")) == F.col("_v"), F.lit(False)).cast("int")
+    zones: dict[int, dict[int, int]] = {}
+    for r in zoned.groupBy("_i", (F.col("_z") * 2 + on_edge).alias("z")).count().collect():
+        zones.setdefault(r["_i"], {})[r["z"]] = r["count"]
+    return [child for i, p in enumerate(parts) for child in p.parts(zones.get(i, {}))]
+
+
+def _search(rows: DataFrame, asks: list[tuple[tuple, int]], by: list[str], clamp: bool,
+            with_id: bool) -> list[tuple]:
+    """(group, k, value, id) of the k-th row of each group in order of (_v, _id).
+
+    ``rows`` has (by..., _v, _id). Without ids the value alone is asked for, and a part of equal
+    values is never sorted.
     """
-    counts = zoned.groupBy(*by, "_z").agg(F.count(F.lit(1)).alias("_c"))
-    keys = by or ["_one"]
-    spans = counts if by else settle(counts.withColumn("_one", F.lit(0)))
-    spans = spans.withColumn(
-        "_before", F.sum("_c").over(W.partitionBy(*keys).orderBy("_z")) - F.col("_c")
-    ).groupBy(*keys).agg(F.collect_list(F.struct("_z", "_before", "_c")).alias("_s"))
-    inside = F.filter(
-        "_s", lambda s: (s["_before"] < F.col("k")) & (F.col("k") <= s["_before"] + s["_c"])
-    )
-    found = joined(quotas, spans, keys)
-    if clamp:
-        last = F.array_max("_s")
-        found = found.withColumn("k", F.least(F.col("k"), last["_before"] + last["_c"]))
-    found = found.withColumn("_hit", F.get(inside, F.lit(0)))
-    return settle(
-        found.where(F.col("_hit").isNotNull()).select(
-            *by, F.col("k").cast("bigint").alias("k"), "_hit._z", "_hit._before"
-        )
-    )
+    groups: dict[tuple, set] = {}
+    for group, k in asks:
+        groups.setdefault(group, set()).add(k)
+    waiting = [_Part(g, [(k, k) for k in sorted(ks)]) for g, ks in groups.items()]
+    small, out = [], []
+    while waiting:
+        for ties in (False, True):  # the two kinds of edges have types of their own
+            own = [p for p in waiting if (p.tie is not None) == ties]
+            if not own:
+                continue
+            _sketched(rows, own, by, clamp)
+            waiting = [p for p in waiting if p not in own]
+            own = [p for p in own if p.asks]
+            small += [p for p in own if p.size <= SLICE]
+            own = [p for p in own if p.size > SLICE]
+            for child in _counted(rows, own, by) if own else []:
+                if child.tie is not None and not with_id:
+                    out += [(child.group, k, child.tie, None) for k, _ in child.asks]
+                elif child.size <= SLICE or any(
+                        child.size == p.size and child.tie == p.tie for p in own):
+                    small.append(child)  # the latter: equal rows, which nothing can divide
+                else:
+                    waiting.append(child)
+    for part in small:
+        part.edges = []
+    for ties in (False, True):
+        own = [p for p in small if (p.tie is not None) == ties]
+        if own:
+            place = F.row_number().over(W.partitionBy("_i").orderBy("_v", "_id"))
+            hits = _in_parts(rows, own, by).withColumn("_r", place).where(
+                F.array_contains("_want", F.col("_r").cast("bigint")))
+            found = {(r["_i"], r["_r"]): r for r in hits.select("_i", "_r", "_v", "_id").collect()}
+            out += [(p.group, k, found[i, at]["_v"], found[i, at]["_id"])
+                    for i, p in enumerate(own) for k, at in p.asks]
+    return out
+
+
+def _asked(quotas: DataFrame, by: list[str]) -> list[tuple[tuple, int]]:
+    rows = quotas.select(*by, F.col("k").cast("bigint").alias("k")).distinct().collect()
+    return [(tuple(r[c] for c in by), r["k"]) for r in rows if r["k"] is not None]
+
+
+def _found(df: DataFrame, by: list[str], kind: T.DataType, rows: list[tuple], ids: bool) -> DataFrame:
+    fields = [*[df.schema[c] for c in by], T.StructField("k", T.LongType()),
+              T.StructField("cut_value", kind), *([T.StructField("cut_id", T.LongType())] if ids else [])]
+    return small_table(df.sparkSession, [(*g, k, v, *([i] if ids else [])) for g, k, v, i in rows],
+                       T.StructType(fields))
+
+
+def kth_values(df: DataFrame, value: str, quotas: DataFrame, by: list[str] | None = None
+               ) -> DataFrame:
+    """The k-th smallest value per group, for every k asked for: (by..., k, cut_value).
+
+    ``quotas`` is small with columns (by..., k). Null values are left out. A k below 1 or above
+    the group's rows gives no row.
+    """
+    by = list(by or [])
+    rows = df.select(*by, F.col(value).alias("_v"), F.lit(0).cast("bigint").alias("_id")).where(
+        F.col("_v").isNotNull())
+    hits = _search(rows, _asked(quotas, by), by, clamp=False, with_id=False)
+    return _found(df, by, rows.schema["_v"].dataType, hits, ids=False)
 
 
 def cut_points(df: DataFrame, value: str, id_col: str, quotas: DataFrame,
@@ -186,32 +275,12 @@ def cut_points(df: DataFrame, value: str, id_col: str, quotas: DataFrame,
     """The k-th row per group in ascending (value, id) order: (by..., k, cut_value, cut_id).
 
     Ids are unique and not null; null values come first, ``cut_value`` has them filled. A k
-    above the group's rows is all of them, one below 1 gives no cut. Ties on the value are
-    resolved by a second pass over the tied rows only, and only if some cut falls inside a tie.
+    above the group's rows is all of them, one below 1 gives no cut.
     """
     by = list(by or [])
-    df = filled(df.select(*by, value, id_col), value, "_filled").drop(value).withColumnRenamed(
-        "_filled", value)
-    hits = kth_values(df, value, quotas, by, clamp=True)
-    whole = F.col("below") + F.col("ties") <= F.col("k")
-    done = hits.where(whole).select(*by, "k", "cut_value", F.lit(LAST_ID).alias("cut_id"))
-    open_ = settle(hits.where(~whole).withColumn("_need", F.col("k") - F.col("below")))
-    if open_.isEmpty():
-        return settle(done)
-    cuts = open_.select(*by, F.col("cut_value").alias(value)).distinct()
-    # The joins are on the value, so ties of one value form one group of unique ids.
-    tied = joined(df.select(*by, value, id_col), cuts, [*by, value])
-    wanted = settle(
-        open_.select(*by, F.col("cut_value").alias(value), F.col("_need").alias("k")).distinct()
-    )
-    ids = kth_values(tied, id_col, wanted, [*by, value]).select(
-        *by, F.col(value).alias("cut_value"), F.col("k").alias("_need"),
-        F.col("cut_value").cast("bigint").alias("cut_id"),
-    )
-    broken = joined(open_, ids, [*by, "cut_value", "_need"]).select(
-        *by, "k", "cut_value", "cut_id"
-    )
-    return settle(done.unionByName(broken))
+    rows = filled(df, value, "_v").select(*by, "_v", F.col(id_col).cast("bigint").alias("_id"))
+    hits = _search(rows, _asked(quotas, by), by, clamp=True, with_id=True)
+    return _found(df, by, rows.schema["_v"].dataType, hits, ids=True)
 
 
 def up_to(value: str, id_col: str, cut_value: str = "cut_value", cut_id: str = "cut_id"):
@@ -274,31 +343,74 @@ def hash_cuts(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
               by: list[str] | None = None) -> DataFrame:
     """The k-th row per group in (seeded hash, id) order: (by..., k, cut_value, cut_id).
 
-    The hash is uniform, so its leading bits are balanced buckets known beforehand: one
-    map-side count, then a sort of the boundary bucket alone (n / 4096 rows).
+    The hash is uniform, so the k-th of n rows lies close to k / n of its range: one job counts the
+    rows below a narrow bracket and sorts those inside. A bracket that misses, as with many equal
+    ids, is replaced by the search of ``cut_points``. ``quotas`` may have the group's rows as ``n``;
+    else one more job counts them.
     """
     by = list(by or [])
-    keys = by or ["_one"]
-    shift = HASH_BITS - HASH_BUCKET_BITS
-    rows = df.select(*by, F.col(id_col).alias("_id"), seeded_hash(seed, id_col).alias("_h"))
-    rows = rows.withColumn("_z", F.shiftright("_h", shift).cast("int"))
-    asked = quotas.select(*by, "k") if by else settle(
-        quotas.select("k").withColumn("_one", F.lit(0))
-    )
-    target = _slice_of(asked.select(*keys, "k"), rows, by, clamp=True)
-    place = F.row_number().over(W.partitionBy(*by, "_z").orderBy("_h", "_id"))
-    inside = joined(rows, target.select(*by, "_z").distinct(), [*by, "_z"]).withColumn("_r", place)
-    return settle(
-        joined(inside, target, [*by, "_z"])
-        .where(F.col("_r") == F.col("k") - F.col("_before"))
-        .select(*by, "k", F.col("_h").alias("cut_value"), F.col("_id").alias("cut_id"))
-    )
-
-
-def _bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> DataFrame:
-    grid = _grid([i / buckets for i in range(1, buckets)])
-    sketch = F.expr(f"percentile_approx(`{value}`, {grid}, {ACCURACY})")
-    return settle(df.groupBy(*by).agg(sketch.alias("_b")), bound=500)
+    asks = _asked(quotas, by)
+    if "n" in quotas.columns:
+        sizes = {tuple(r[c] for c in by): r["n"] for r in quotas.select(*by, "n").distinct().collect()}
+    else:
+        sizes = {tuple(r[c] for c in by): r["count"] for r in df.groupBy(*by).count().collect()} \
+            if by else {(): df.count()}
+    rows = df.select(*by, seeded_hash(seed, id_col).alias("_v"),
+                     F.col(id_col).cast("bigint").alias("_id"))
+    top, parts = float(1 << HASH_BITS), []
+    for group, k in sorted(asks, key=repr):
+        n = sizes.get(group, 0)
+        at = min(k, n)
+        if at < 1:
+            continue
+        slack = 8.0 * sqrt(n) + 64.0
+        low, high = (at - slack) / n * top, (at + slack) / n * top
+        parts.append(_Part(group, [(k, at)], n, low=int(low) - 1 if low > 0 else None,
+                           high=int(high) + 1 if high < top else None))
+    if not parts:
+        return _found(df, by, T.LongType(), [], ids=True)
+    # A part here is everything below its bracket's end; rows below the bracket are counted only.
+    begins = [p.low for p in parts]
+    below = [_Part(p.group, p.asks, p.size, high=p.high) for p in parts]
+    starts = F.array(*[F.lit(b).cast("bigint") for b in begins])
+    inside = _in_parts(rows, below, by).withColumn("_b", F.get(starts, F.col("_i")))
+    near = F.col("_b").isNull() | (F.col("_v") > F.col("_b"))
+    place = F.element_at("_want", 1) - F.col("n")
+    found = {r["_i"]: r["hit"] for r in inside.groupBy("_i", "_want").agg(
+        F.count_if(~near).alias("n"),
+        F.sort_array(F.collect_list(F.when(near, F.struct("_v", "_id")))).alias("s")).select(
+        "_i", F.when(place >= 1, F.get("s", (place - 1).cast("int"))).alias("hit")).collect()}
+    hits = [(p.group, p.asks[0][0], found[i]["_v"], found[i]["_id"])
+            for i, p in enumerate(parts) if found.get(i)]
+    missed = [(p.group, p.asks[0][0]) for i, p in enumerate(parts) if not found.get(i)]
+    if missed:
+        hits += _search(rows, missed, by, clamp=True, with_id=True)
+    return _found(df, by, T.LongType(), hits, ids=True)
+
+
+def _spread(df: DataFrame, values: list[str], by: list[str], rows: int | None = None
+            ) -> tuple[int, DataFrame]:
+    """(number of buckets, settled table (by..., _b0, _b1, ...) of their bounds), in one job.
+
+    The bounds are quantiles of the values per group; a second job is run only where so many rows
+    need more buckets than the first sketch has points.
+    """
+    def sketched(points: int):
+        grid = _grid([i / points for i in range(1, points)])
+        return [F.expr(f"percentile_approx(`{v}`, {grid}, {ACCURACY})").alias(f"_b{j}")
+                for j, v in enumerate(values)]
+
+    points = BUCKETS if rows is None else bucket_count(rows)
+    table = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sketched(points)), bound=500)
+    if rows is not None:
+        return points, table.drop("_n")
+    buckets = bucket_count(table.agg(F.sum("_n")).first()[0] or 0)
+    if buckets > points:
+        return buckets, settle(df.groupBy(*by).agg(*sketched(buckets)), bound=500)
+    every = [F.lit(i) for i in range(points // buckets - 1, points - 1, points // buckets)]
+    picked = [F.when(F.col(f"_b{j}").isNotNull(), F.array(*[F.get(f"_b{j}", i) for i in every]))
+              .alias(f"_b{j}") for j in range(len(values))]
+    return buckets, table.select(*by, *picked)
 
 
 def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None,
@@ -311,14 +423,12 @@ def rank_all(df: DataFrame, value: str, id_col: str, by: list[str] | None = None
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    buckets = bucket_count(df.count() if rows is None else rows)
     full = filled(df, value, "_v")
-    bounded = attach(full, _bounds(full, "_v", by, buckets), by)
-    bounded = locate(bounded, "_b", "_v", "_z", buckets - 1)
-    tie = F.coalesce(F.get("_b", F.col("_z")) == F.col("_v"), F.lit(False))
-    bounded = bounded.withColumn("_z", F.col("_z") * 2 + tie.cast("int")).drop("_b")
-    ids = attach(bounded, _bounds(df, id_col, [], buckets), [])
-    ids = locate(ids, "_b", id_col, "_s", buckets - 1).drop("_b")
+    buckets, bounds = _spread(full, ["_v", id_col], by, rows)
+    bounded = locate(attach(full, bounds, by), "_b0", "_v", "_z", buckets - 1)
+    tie = F.coalesce(F.get("_b0", F.col("_z")) == F.col("_v"), F.lit(False))
+    bounded = bounded.withColumn("_z", F.col("_z") * 2 + tie.cast("int")).drop("_b0")
+    ids = locate(bounded, "_b1", id_col, "_s", buckets - 1).drop("_b1")
     split = ids.withColumn("_s", F.when(F.col("_z") % 2 == 1, F.col("_s")).otherwise(0))
     running = W.partitionBy(*by).orderBy(order("_z"), order("_s"))
     counts = settle(split.groupBy(*by, "_z", "_s").agg(F.count(F.lit(1)).alias("_c")))
@@ -342,11 +452,10 @@ def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | N
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    buckets = bucket_count(cells.count())
     keys = [] if shared_bounds else by
     full = filled(cells, value, "_v")
-    bounds = _bounds(full, "_v", keys, buckets)
-    rows = locate(attach(full, bounds, keys), "_b", "_v", "_z", buckets - 1).drop("_b")
+    buckets, bounds = _spread(full, ["_v"], keys)
+    rows = locate(attach(full, bounds, keys), "_b0", "_v", "_z", buckets - 1).drop("_b0")
     totals = settle(rows.groupBy(*by, "_z").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums]))
     running = W.partitionBy(*by).orderBy(order("_z"))
     totals = totals.select(
@@ -364,21 +473,24 @@ def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | N
 def dense_position(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """0-based position in the order of the unique key ``order``; nulls come first.
 
-    Rows are dealt by ranges of the key, which is unique, so no range is hot; the ranges are
-    staged, as a second evaluation could draw other bounds. Their counts give the offsets and
-    the sort runs inside ranges.
+    Rows are dealt by ranges of the key, which is unique, so no range is hot, and sorted inside;
+    they are staged once with a number that rises within a range. The ranges' counts, one number
+    each, turn that number into the position, so the result is a plain projection of a stored table.
     """
-    ranged = stage(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
-    counts = settle(ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")))
-    offsets = counts.withColumn(
-        "_before", F.sum("_c").over(W.orderBy("_p")) - F.col("_c")
-    ).drop("_c")
-    place = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return (
-        ranged.join(offsets, "_p")
-        .withColumn(out, (F.col("_before") + place - 1).cast("bigint"))
-        .drop("_p", "_before")
-    )
+    place = F.monotonically_increasing_id()
+    ranged = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_at", place), "ranged")
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r["p"]: (r["n"], r["first"]) for r in ranged.groupBy(part.alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).collect()}
+    shifts, before = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        n, first = sizes.get(p, (0, 0))
+        shifts.append(before - first)
+        before += n
+    shift = F.get(F.expr("array(" + ", ".join(f"{x}L" for x in shifts) + ")"), part) if shifts \
+        else F.lit(0)
+    return ranged.withColumn(out, (F.col("_at") + shift).cast("bigint")).drop("_at")
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None):
