@@ -39,16 +39,18 @@ from punctua.llm import runs as R
 from punctua.llm import words as W
 
 END = np.uint64(0x9E6C63D0676A9A99)  # stands for the end token among the hashes of words
-FREQUENT = 2048
-CLASS = 64
+FREQUENT = 1024
+CLASS = 32
 EMBED = 16
-HIDDEN = 32
+HIDDEN = 24
 LANES = 512  # documents scored side by side
-TRAIN_LANES = 128
+TRAIN_LANES = 256
 STEPS = 32  # steps of a window
+TOGETHER = 8_000_000  # tokens whose documents share the lanes
 PIECE = 2048  # longest stretch of tokens in a training lane
 ROUNDS = (1, 4, 16)  # a round ends with this sixteenth of the training documents
 CUT = 16_384  # weights in a slice
+CHUNK = 2048  # rows of a softmax at a time
 
 ENCODED = ("run long, ids binary, sizes binary, tokens binary, n_known binary, base binary, "
            "tail binary")
@@ -214,6 +216,13 @@ def encoded(table: DataFrame, answers: DataFrame, counts: Counts, n: int) -> Dat
 
 # --- The network -----------------------------------------------------------------------------
 
+def _sigmoids(x: np.ndarray) -> None:
+    """1 / (1 + exp(x)) in place; a large x gives 0."""
+    np.exp(x, out=x)
+    x += 1.0
+    np.reciprocal(x, out=x)
+
+
 class Network:
     """Weights as views of one vector, so that they can be averaged and sent."""
 
@@ -253,20 +262,33 @@ class Network:
 
     def steps(self, inputs: np.ndarray, state: np.ndarray, table: np.ndarray, keep: bool = False):
         """States after each step; ``inputs`` is steps x lanes, a start clears a lane's state."""
-        w, h = self.w, state
-        out = np.empty((*inputs.shape, HIDDEN), np.float32)
+        h, twice = state, 2 * HIDDEN
+        ug, uc = -self.w["ug"], -2.0 * self.w["uc"]
+        out = np.empty((*inputs.shape, HIDDEN), state.dtype)
         kept = []
-        for t in range(len(inputs)):
-            x = table[inputs[t]]
-            h = h * (inputs[t] != self.start)[:, None]
-            gates = 1.0 / (1.0 + np.exp(-(x[:, :2 * HIDDEN] + h @ w["ug"])))
+        clear = inputs == self.start
+        before = np.seterr(over="ignore")
+        for t, any_clear in enumerate(clear.any(axis=1).tolist()):
+            x = table.take(inputs[t], axis=0)
+            if any_clear:
+                h = h * ~clear[t][:, None]
+            gates = h @ ug
+            gates += x[:, :twice]
+            _sigmoids(gates)
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
             rh = r * h
-            c = np.tanh(x[:, 2 * HIDDEN:] + rh @ w["uc"])
+            c = rh @ uc
+            c += x[:, twice:]
+            _sigmoids(c)
+            c *= 2.0
+            c -= 1.0
             if keep:
                 kept.append((h, z, r, rh, c))
-            h = c + z * (h - c)
+            h = h - c
+            h *= z
+            h += c
             out[t] = h
+        np.seterr(**before)
         return out, h, kept
 
     def classed(self, targets: np.ndarray) -> np.ndarray:
@@ -279,42 +301,56 @@ class Network:
         ``states`` is returned too.
         """
         w, n = self.w, len(targets)
-        logits = states @ w["wc"] + w["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        classes, rows = self.classed(targets), np.arange(n)
-        out = logits[rows, classes] - np.log(total)
-        back = None
-        if slopes is not None:
-            d = e / total[:, None]
-            d[rows, classes] -= 1.0
-            d /= n
-            slopes["wc"] += states.T @ d
-            slopes["bc"] += d.sum(axis=0)
-            back = d @ w["wc"].T
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at, own = order[cuts[k]:cuts[k + 1]], slice(k * CLASS, (k + 1) * CLASS)
-            h = states[at]
-            logits = h @ w["ww"][own].T + w["bw"][own]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total, place, here = e.sum(axis=1), targets[at] - k * CLASS, np.arange(len(at))
-            out[at] += logits[here, place] - np.log(total)
-            if slopes is not None:
-                d = e / total[:, None]
-                d[here, place] -= 1.0
-                d /= n
-                slopes["ww"][own] += d.T @ h
-                slopes["bw"][own] += d.sum(axis=0)
-                back[at] += d @ w["ww"][own]
-        return out, back
+        classes = self.classed(targets)
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
+        classes, targets, states = classes[order], targets[order], states.take(order, axis=0)
+        found, back = np.zeros(n), None if slopes is None else np.empty_like(states)
+
+        def softmax(at: slice, weights: np.ndarray, bias: np.ndarray, own: np.ndarray):
+            """Adds the logs of ``own``; returns the gradient by the logits."""
+            logits = states[at] @ weights
+            logits += bias
+            rows = np.arange(len(own))
+            if not -50.0 < logits[rows, own].min() or not logits.max() < 50.0:
+                logits -= logits.max(axis=1, keepdims=True)
+            found[at] += logits[rows, own]
+            total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+            found[at] -= np.log(total)
+            if slopes is None:
+                return None
+            logits /= total[:, None]
+            logits[rows, own] -= 1.0
+            logits /= n
+            return logits
+
+        for a in range(0, n, CHUNK):  # pieces that stay in the cache
+            at = slice(a, min(n, a + CHUNK))
+            d = softmax(at, w["wc"], w["bc"], classes[at])
+            if d is not None:
+                slopes["wc"] += states[at].T @ d
+                slopes["bc"] += d.sum(axis=0)
+                back[at] = d @ w["wc"].T
+        cuts = np.searchsorted(classes, np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(k * CLASS, (k + 1) * CLASS)
+            for a in range(cuts[k], cuts[k + 1], CHUNK):
+                at = slice(a, min(cuts[k + 1], a + CHUNK))
+                d = softmax(at, w["ww"][own].T, w["bw"][own], targets[at] - k * CLASS)
+                if d is not None:
+                    slopes["ww"][own] += d.T @ states[at]
+                    slopes["bw"][own] += d.sum(axis=0)
+                    back[at] += d @ w["ww"][own]
+        out, inverse = np.empty(n), np.empty(n, np.int64)
+        out[order] = found
+        inverse[order] = np.arange(n)
+        return out, None if back is None else back.take(inverse, axis=0)
 
     def table(self) -> np.ndarray:
-        """What each token adds to the gates."""
-        return self.w["embed"] @ self.w["wx"] + self.w["bx"]
+        """What each token adds to the gates, scaled as ``steps`` takes it."""
+        x = self.w["embed"] @ self.w["wx"] + self.w["bx"]
+        x[:, :2 * HIDDEN] *= -1.0
+        x[:, 2 * HIDDEN:] *= -2.0
+        return x
 
     def slopes(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray):
         """(gradient, state): truncated backpropagation through one window; targets below 0 are
@@ -328,23 +364,37 @@ class Network:
         _, back[real] = self.logs(out[real], targets[real], g)
         dx = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
         dh = np.zeros_like(state)
+        ut, ct = np.ascontiguousarray(w["ug"].T), np.ascontiguousarray(w["uc"].T)
+        clear = inputs == self.start
         for t in range(len(inputs) - 1, -1, -1):
             h, z, r, rh, c = kept[t]
-            dh = dh + back[t]
-            dc = dh * (1.0 - z) * (1.0 - c * c)
-            drh = dc @ w["uc"].T
+            dh += back[t]
+            keep = dh * z
+            dc = np.subtract(dh, keep, out=dx[t, :, 2 * HIDDEN:])
+            dc *= 1.0 - c * c
+            drh = dc @ ct
             gates = dx[t, :, :2 * HIDDEN]
-            gates[:, :HIDDEN] = dh * (h - c) * z * (1.0 - z)
-            gates[:, HIDDEN:] = drh * h * r * (1.0 - r)
-            dx[t, :, 2 * HIDDEN:] = dc
-            dh = (dh * z + drh * r + gates @ w["ug"].T) * (inputs[t] != self.start)[:, None]
+            dz, dr = gates[:, :HIDDEN], gates[:, HIDDEN:]
+            np.subtract(h, c, out=dz)
+            dz *= keep
+            dz *= 1.0 - z
+            drh *= r
+            np.multiply(drh, h, out=dr)
+            dr *= 1.0 - r
+            dh = gates @ ut
+            dh += keep
+            dh += drh
+            if clear[t].any():
+                dh *= ~clear[t][:, None]
         flat_dx = dx.reshape(-1, 3 * HIDDEN)
         g["ug"] += np.concatenate([k[0] for k in kept]).T @ flat_dx[:, :2 * HIDDEN]
         g["uc"] += np.concatenate([k[3] for k in kept]).T @ flat_dx[:, 2 * HIDDEN:]
         tokens = inputs.ravel()
         g["bx"] += flat_dx.sum(axis=0)
         g["wx"] += w["embed"][tokens].T @ flat_dx
-        np.add.at(g["embed"], tokens, flat_dx @ w["wx"].T)
+        pulls = flat_dx @ w["wx"].T
+        for k in range(EMBED):
+            g["embed"][:, k] += np.bincount(tokens, weights=pulls[:, k], minlength=self.start + 1)
         return flat, last
 
 
@@ -469,26 +519,42 @@ def averaged(table: DataFrame, counts: Counts, flat: np.ndarray, begin: int, end
     return out
 
 
-def scored(table: DataFrame, counts: Counts, flat: np.ndarray, kind, parts: int, remainder: int
+def scored(table: DataFrame, counts: Counts, flat: np.ndarray, parts: int, remainder: int
            ) -> DataFrame:
+    """Scores of all documents. Runs of about ``TOGETHER`` tokens share their lanes, so that a long
+    document runs beside many others."""
     shared = table.sparkSession.sparkContext.broadcast((dict(counts.__dict__), flat))
 
-    def run(row: dict) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, weights = shared.value
         known = Counts(**fields)
-        ids, tokens, sizes = _unpacked(row)
-        n_known, base, tail = (np.frombuffer(row[c], t) for c, t in (
-            ("n_known", "<i8"), ("base", "<f8"), ("tail", "<f8")))
-        logs = likelihoods(Network(known, weights), tokens, sizes)
-        yield pa.RecordBatch.from_arrays(
-            [R.id_column(ids, kind), pa.array(left_out(ids, parts, remainder)), pa.array(sizes),
-             pa.array(n_known), pa.array(np.full(len(ids), known.n, np.int64)), pa.array(base),
-             pa.array(logs / np.log(10.0) + tail)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        network = Network(known, weights)
+        waiting: list[tuple] = []
+
+        def out():
+            ids, tokens, sizes, n_known, base, tail = (np.concatenate(c) for c in zip(*waiting))
+            logs = likelihoods(network, tokens, sizes)
+            return pa.RecordBatch.from_arrays(
+                [R.id_column(ids, pa.int64()), pa.array(left_out(ids, parts, remainder)),
+                 pa.array(sizes), pa.array(n_known), pa.array(np.full(len(ids), known.n, np.int64)),
+                 pa.array(base), pa.array(logs / np.log(10.0) + tail)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+                       "score"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                waiting.append((*_unpacked(row), *(np.frombuffer(row[c], t) for c, t in (
+                    ("n_known", "<i8"), ("base", "<f8"), ("tail", "<f8")))))
+                if sum(len(w[1]) for w in waiting) >= TOGETHER:
+                    yield out()
+                    waiting = []
+        if waiting:
+            yield out()
 
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")
-    return R.mapped(table, run, schema)
+    return table.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 5,
@@ -511,7 +577,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     flat, begin = Network(counts).flat, 0
     for end in ROUNDS:
         flat, begin = averaged(numbers, counts, flat, begin, end, parts, remainder), end
-    return scored(numbers, counts, flat, pa.int64(), parts, remainder)
+    return scored(numbers, counts, flat, parts, remainder)
 
 
 def op13_recurrent(spark, sf_dir: str) -> DataFrame:
