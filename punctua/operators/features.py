@@ -5,31 +5,42 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from punctua.operators import order
 from punctua.operators.prepare import CATEGORICAL, NUMERIC
-from punctua.session import settle
+from punctua.session import collected, settle
 
 ORDINAL = [f"x_{c}" for c in CATEGORICAL + NUMERIC]
 SCALED = [f"z_{c}" for c in CATEGORICAL + NUMERIC]
 
 
+def _numbered(dictionary: DataFrame, column: str, out: str) -> DataFrame:
+    """Positions in sorted order; a dictionary that fits the driver is sorted there."""
+    table = collected(dictionary)
+    if table is None:
+        return settle(order.dense_position(dictionary, [column], out))
+    table = table.sort_by(column)
+    table = table.append_column(out, pa.array(range(table.num_rows), pa.int64()))
+    schema = T.StructType([*dictionary.schema.fields, T.StructField(out, T.LongType())])
+    return dictionary.sparkSession.createDataFrame(table, schema=schema)
+
+
 def category_codes(train: DataFrame, column: str) -> DataFrame:
     """Sorted dictionary (column, rows, code): one row per category, codes from 0."""
-    counts = settle(train.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("rows")
-    ))
-    return settle(order.dense_position(counts, [column], "code"))
+    return _numbered(train.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.count(F.lit(1)).alias("rows")), column, "code")
 
 
 def category_slots(codes: DataFrame, column: str, min_rows: int = 2) -> DataFrame:
     """One-hot slots: frequent categories in sorted order, the rare ones share the last slot."""
     often = codes.where(F.col("rows") >= min_rows)
     rare = codes.where(F.col("rows") < min_rows)
-    ranked = order.dense_position(often, [column], "slot").select(column, "slot")
+    ranked = _numbered(often, column, "slot").select(column, "slot")
     return settle(
         ranked.unionByName(rare.select(column, F.lit(often.count()).cast("bigint").alias("slot")))
     )

@@ -16,7 +16,7 @@ A quota below 0 counts as 0, one above the group's rows as all of them.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import ceil, log2, sqrt
+from math import ceil, floor, log2, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from punctua.functions.columns import HASH_BITS, seeded_hash
-from punctua.session import settle, small_table, stage
+from punctua.session import collected, settle, small_table, stage
 
 GRID = 1000
 ACCURACY = 10_000
@@ -167,22 +167,31 @@ def _in_parts(rows: DataFrame, parts: list[_Part], by: list[str]) -> DataFrame:
 
 def _sketched(rows: DataFrame, parts: list[_Part], by: list[str], clamp: bool) -> None:
     """Sets the size of every part, and edges around its asks if it is to be narrowed."""
-    grid = _grid([i / GRID for i in range(GRID + 1)])
-    value = "_id" if parts[0].tie is not None else "_v"
-    sketch = F.expr(f"percentile_approx({value}, {grid}, {ACCURACY})")
     found = {r["_i"]: r for r in _in_parts(rows, parts, by).groupBy("_i").agg(
-        F.count(F.lit(1)).alias("n"), sketch.alias("b")).collect()}
+        *_sketch("_id" if parts[0].tie is not None else "_v")).collect()}
     for i, p in enumerate(parts):
         row = found.get(i)
-        p.size, first = (row["n"] if row else 0), p.size is None
-        if first and clamp:
+        p.size = row["n"] if row else 0
+        if clamp:
             p.asks = [(k, min(k, p.size)) for k, _ in p.asks]
-        p.asks = [(k, at) for k, at in p.asks if 1 <= at <= p.size]
-        points = []
-        for _, at in p.asks:
-            near = at * GRID // p.size
-            points += [row["b"][max(near - 2, 0)], row["b"][min(near + 2, GRID)]]
-        p.edges = sorted(set(points))
+        _edged(p, row["b"] if row else [])
+
+
+def _sketch(value: str) -> list[Column]:
+    """Aggregates of a part: its rows and the quantiles of ``value``."""
+    grid = _grid([i / GRID for i in range(GRID + 1)])
+    return [F.count(F.lit(1)).alias("n"),
+            F.expr(f"percentile_approx({value}, {grid}, {ACCURACY})").alias("b")]
+
+
+def _edged(part: _Part, quantiles: list) -> None:
+    """Edges around the asks of a part, which drops those that it does not hold."""
+    part.asks = [(k, at) for k, at in part.asks if 1 <= at <= part.size]
+    points = set()
+    for _, at in part.asks:
+        near = at * GRID // part.size
+        points |= {quantiles[max(near - 2, 0)], quantiles[min(near + 2, GRID)]}
+    part.edges = sorted(points)
 
 
 def _counted(rows: DataFrame, parts: list[_Part], by: list[str]) -> list[_Part]:
@@ -210,14 +219,22 @@ def _search(rows: DataFrame, asks: list[tuple[tuple, int]], by: list[str], clamp
     groups: dict[tuple, set] = {}
     for group, k in asks:
         groups.setdefault(group, set()).add(k)
-    waiting = [_Part(g, [(k, k) for k in sorted(ks)]) for g, ks in groups.items()]
-    small, out = [], []
+    parts = [_Part(g, [(k, k) for k in sorted(ks)]) for g, ks in groups.items()]
+    if parts:
+        _sketched(rows, parts, by, clamp)
+    return _narrowed(rows, parts, by, with_id)
+
+
+def _narrowed(rows: DataFrame, waiting: list[_Part], by: list[str], with_id: bool) -> list[tuple]:
+    """The search from parts that have their sizes and edges."""
+    small, out, fresh = [], [], False
     while waiting:
         for ties in (False, True):  # the two kinds of edges have types of their own
             own = [p for p in waiting if (p.tie is not None) == ties]
             if not own:
                 continue
-            _sketched(rows, own, by, clamp)
+            if fresh:
+                _sketched(rows, own, by, False)
             waiting = [p for p in waiting if p not in own]
             own = [p for p in own if p.asks]
             small += [p for p in own if p.size <= SLICE]
@@ -230,6 +247,7 @@ def _search(rows: DataFrame, asks: list[tuple[tuple, int]], by: list[str], clamp
                     small.append(child)  # the latter: equal rows, which nothing can divide
                 else:
                     waiting.append(child)
+        fresh = True
     for part in small:
         part.edges = []
     for ties in (False, True):
@@ -245,8 +263,8 @@ def _search(rows: DataFrame, asks: list[tuple[tuple, int]], by: list[str], clamp
 
 
 def _asked(quotas: DataFrame, by: list[str]) -> list[tuple[tuple, int]]:
-    rows = quotas.select(*by, F.col("k").cast("bigint").alias("k")).distinct().collect()
-    return [(tuple(r[c] for c in by), r["k"]) for r in rows if r["k"] is not None]
+    rows = quotas.select(*by, F.col("k").cast("bigint").alias("k")).collect()
+    return list({(tuple(r[c] for c in by), r["k"]) for r in rows if r["k"] is not None})
 
 
 def _found(df: DataFrame, by: list[str], kind: T.DataType, rows: list[tuple], ids: bool) -> DataFrame:
@@ -351,7 +369,7 @@ def hash_cuts(df: DataFrame, id_col: str, seed: str, quotas: DataFrame,
     by = list(by or [])
     asks = _asked(quotas, by)
     if "n" in quotas.columns:
-        sizes = {tuple(r[c] for c in by): r["n"] for r in quotas.select(*by, "n").distinct().collect()}
+        sizes = {tuple(r[c] for c in by): r["n"] for r in quotas.select(*by, "n").collect()}
     else:
         sizes = {tuple(r[c] for c in by): r["count"] for r in df.groupBy(*by).count().collect()} \
             if by else {(): df.count()}
@@ -447,13 +465,20 @@ def prefix_sums(cells: DataFrame, value: str, sums: list[str], by: list[str] | N
                 ascending: bool = True, shared_bounds: bool = False) -> DataFrame:
     """Running totals of ``sums`` up to and including each row, as ``cum_<name>``.
 
-    ``cells`` has one row per (group, value). ``shared_bounds`` takes one set of bucket bounds
-    for all groups, for groups that spread alike such as bootstrap replicates.
+    ``cells`` has one row per (group, value). If they fit the driver (``SMALL_ROWS``) they become
+    part of the plan; else they are staged, dealt to buckets by value, and summed inside these.
+    ``shared_bounds`` takes one set of bucket bounds for all groups, for groups that spread alike
+    such as bootstrap replicates.
     """
     by = list(by or [])
     order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     keys = [] if shared_bounds else by
-    full = filled(cells, value, "_v")
+    spark, table = cells.sparkSession, collected(cells)
+    if table is not None:  # few distinct values: their sums need no buckets
+        few = filled(spark.createDataFrame(table, schema=cells.schema), value, "_v")
+        whole = W.partitionBy(*by).orderBy(order("_v"))
+        return few.select(*cells.columns, *[F.sum(s).over(whole).alias(f"cum_{s}") for s in sums])
+    full = filled(stage(cells, "cells"), value, "_v")
     buckets, bounds = _spread(full, ["_v"], keys)
     rows = locate(attach(full, bounds, keys), "_b0", "_v", "_z", buckets - 1).drop("_b0")
     totals = settle(rows.groupBy(*by, "_z").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums]))
@@ -496,23 +521,27 @@ def dense_position(df: DataFrame, order: list[str], out: str) -> DataFrame:
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None):
     """Exact quantiles with linear interpolation per group: (by..., prob, quantile).
 
-    Nulls are left out; a group without values has no row.
+    Nulls are left out; a group without values has no row. Groups and probabilities are few.
     """
     by = list(by or [])
-    counts = settle(
-        df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    asked = counts.where("_n > 0").withColumn(
-        "prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    ).withColumn("_at", F.col("prob") * (F.col("_n") - 1))
-    asked = asked.withColumn("_lo", F.floor("_at") + 1).withColumn("_hi", F.ceil("_at") + 1)
-    ranks = asked.select(*by, F.explode(F.array("_lo", "_hi")).alias("k")).distinct()
-    found = kth_values(df, value, ranks, by).select(*by, "k", "cut_value")
-    low = found.withColumnsRenamed({"k": "_lo", "cut_value": "_vlo"})
-    high = found.withColumnsRenamed({"k": "_hi", "cut_value": "_vhi"})
-    weight = F.col("_at") - (F.col("_lo") - 1)
-    return (
-        joined(joined(asked, low, [*by, "_lo"]), high, [*by, "_hi"])
-        .select(*by, "prob",
-                (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * weight).alias("quantile"))
-    )
+    rows = df.select(*by, F.col(value).alias("_v"), F.lit(0).cast("bigint").alias("_id")).where(
+        F.col("_v").isNotNull())
+    parts, wanted = [], []
+    for r in rows.groupBy(*by).agg(*_sketch("_v")).collect():
+        if not r["n"]:
+            continue
+        group = tuple(r[c] for c in by)
+        places = [(float(p), p * (r["n"] - 1)) for p in probs]
+        ranks = {k for _, at in places for k in (floor(at) + 1, ceil(at) + 1)}
+        part = _Part(group, [(k, k) for k in sorted(ranks)], r["n"])
+        _edged(part, r["b"])
+        parts.append(part)
+        wanted += [(group, p, at) for p, at in places]
+    found = {(g, k): v for g, k, v, _ in _narrowed(rows, parts, by, with_id=False)}
+    out = []
+    for group, p, at in wanted:
+        low, high = float(found[group, floor(at) + 1]), float(found[group, ceil(at) + 1])
+        out.append((*group, p, low + (high - low) * (at - floor(at))))
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("prob", T.DoubleType()),
+                           T.StructField("quantile", T.DoubleType())])
+    return small_table(df.sparkSession, out, schema)

@@ -86,7 +86,7 @@ def mandatory_units(df: DataFrame, fraction: float, seed: str) -> DataFrame:
     if not 0 <= fraction <= 1:
         raise ValueError("The mandatory fraction must be in [0, 1].")
     n = df.count()
-    quota = small_table(df.sparkSession, [(floor(n * float(fraction)),)], "k bigint")
+    quota = small_table(df.sparkSession, [(floor(n * float(fraction)), n)], "k bigint, n bigint")
     return order.first_by_hash(df, ID, seed, quota, out="mandatory")
 
 

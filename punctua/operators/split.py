@@ -38,16 +38,18 @@ def largest_remainder(counts: dict, total: int) -> dict:
 def _quota_table(df: DataFrame, target: str, quotas: dict, counts: dict | None = None):
     kind = df.schema[target].dataType
     fields = [T.StructField(target, kind), T.StructField("k", T.LongType())]
-    return small_table(
-        df.sparkSession, [(c, int(k)) for c, k in quotas.items()], T.StructType(fields)
-    )
+    rows = [(c, int(k)) for c, k in quotas.items()]
+    if counts:  # the draw need not count the rows again
+        fields.append(T.StructField("n", T.LongType()))
+        rows = [(c, k, counts[c]) for c, k in rows]
+    return small_table(df.sparkSession, rows, T.StructType(fields))
 
 
 def stratified_draw(df: DataFrame, rows: int, seed: str, id_col: str, target: str = "target",
                     out: str = "drawn", counts: dict | None = None) -> DataFrame:
     """Mark exactly ``rows`` rows, spread over the classes by largest remainder."""
     counts = counts or _counts(df, target)
-    quotas = _quota_table(df, target, largest_remainder(counts, rows))
+    quotas = _quota_table(df, target, largest_remainder(counts, rows), counts)
     return order.first_by_hash(df, id_col, seed, quotas, [target], out)
 
 
@@ -81,7 +83,7 @@ def require_parts(df: DataFrame) -> None:
 def undersample(df: DataFrame, seed: str, id_col: str, target: str = "target") -> DataFrame:
     """Mark as many rows of each class as the smallest class has."""
     counts = _counts(df, target)
-    quotas = _quota_table(df, target, {c: min(counts.values()) for c in counts})
+    quotas = _quota_table(df, target, {c: min(counts.values()) for c in counts}, counts)
     return order.first_by_hash(df, id_col, seed, quotas, [target], "kept")
 
 
@@ -92,9 +94,9 @@ def balance(df: DataFrame, seed: str, id_col: str, target: str = "target") -> Da
     counts = {r[target]: r["n"] for r in sizes if r["part"] == "train"}
     kind = df.schema[target].dataType
     schema = T.StructType([T.StructField("part", T.StringType()), T.StructField(target, kind),
-                           T.StructField("k", T.LongType())])
+                           T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
     quotas = small_table(
-        df.sparkSession, [("train", c, min(counts.values())) for c in counts], schema
+        df.sparkSession, [("train", c, min(counts.values()), n) for c, n in counts.items()], schema
     )
     marked = order.first_by_hash(df, id_col, seed, quotas, ["part", target], "kept")
     return marked.withColumn("kept", F.col("kept") | ~train)
@@ -143,9 +145,10 @@ def holdout(df: DataFrame, seed: str, id_col: str, fraction: float = 0.10,
 def draw(df: DataFrame, seed: str, id_col: str, fraction: float | None = None,
          rows: int | None = None, out: str = "drawn") -> DataFrame:
     """Mark floor(n * fraction) or ``rows`` rows (all, if there are fewer), each once."""
+    n = df.count()
     if rows is None:
         if fraction is None or not 0 <= fraction <= 1:
             raise ValueError("The fraction lies in [0, 1].")
-        rows = floor(df.count() * float(fraction))
-    quotas = small_table(df.sparkSession, [(rows,)], "k bigint")
+        rows = floor(n * float(fraction))
+    quotas = small_table(df.sparkSession, [(rows, n)], "k bigint, n bigint")
     return order.first_by_hash(df, id_col, seed, quotas, [], out)

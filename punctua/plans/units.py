@@ -79,13 +79,12 @@ def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit table with ``unit_id``, the position in key order. Staged, so that the aggregate
-    runs once however many passes follow."""
+    """Unit table with ``unit_id``, the position in key order: a projection of a staged table,
+    so that the aggregate runs once however many passes follow."""
     if _PER_LINE.get():
         key = ["l_orderkey", "l_linenumber"]
-        return stage(order.dense_position(line_units(spark, sf_dir), key, "unit_id").drop(*key),
-                     "units")
-    return stage(order.dense_position(raw_units(spark, sf_dir), KEY, "unit_id"), "units")
+        return order.dense_position(line_units(spark, sf_dir), key, "unit_id").drop(*key)
+    return order.dense_position(raw_units(spark, sf_dir), KEY, "unit_id")
 
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.createDataFrame(table, schema=kind)
 
 
+def collected(df: DataFrame, bound: int = SMALL_ROWS) -> pa.Table | None:
+    """The rows of a table that is expected to be small; None if it has more than ``bound``."""
+    table = df.limit(bound + 1).toArrow()
+    return table if table.num_rows <= bound else None
+
+
 def settle(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     """Evaluate a table that is expected to be small (statistics per group, cut points).
 
@@ -85,8 +91,8 @@ def settle(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     broadcast it. A larger table is checkpointed and joined by shuffle instead.
     """
     spark = df.sparkSession
-    table = df.limit(bound + 1).toArrow()
-    if table.num_rows <= bound:
+    table = collected(df, bound)
+    if table is not None:
         return spark.createDataFrame(table, schema=df.schema)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(work_dir(spark))

@@ -108,8 +108,11 @@ def test_kth_values_many_ranks(spark, rows):
     assert got == {k: values[k - 1] for k in ranks}
 
 
+@pytest.mark.parametrize("fits", [True, False])
 @pytest.mark.parametrize("shared, ascending", [(True, False), (False, True)])
-def test_prefix_sums_equal_window(rows, shared, ascending):
+def test_prefix_sums_equal_window(monkeypatch, rows, shared, ascending, fits):
+    if not fits:
+        monkeypatch.setattr(order, "collected", lambda df: None)
     cells = rows.groupBy("grp", "score").agg(F.count("*").alias("c"))
     key = F.col("score") if ascending else F.col("score").desc()
     got = order.prefix_sums(cells, "score", ["c"], ["grp"], ascending, shared)
@@ -147,3 +150,28 @@ def test_settle_keeps_all_rows_beyond_its_bound(spark):
 
     assert settle(spark.range(100), bound=10).count() == 100
     assert settle(spark.range(10), bound=10).count() == 10
+
+
+@pytest.mark.parametrize("by", [[], ["grp"]])
+@pytest.mark.parametrize("slice_rows", [5, 400])
+def test_narrowing_equals_window(spark, monkeypatch, holes, by, slice_rows):
+    """Parts of few rows, so that values and ids of a hot tie are narrowed several times."""
+    monkeypatch.setattr(order, "SLICE", slice_rows)
+    monkeypatch.setattr(order, "GRID", 10)
+    monkeypatch.setattr(order, "ACCURACY", 50)
+    q = quotas(spark, holes, by, 0.37)
+    got = order.top_k(holes, "score", "id", q, by)
+    want = taken(spark, holes, by, False, lambda n: F.floor(n * 0.37))
+    assert {r.id for r in got.where("selected").collect()} == want
+    found = order.quantiles(holes.where("score IS NOT NULL"), "score", [0.1, 0.5, 0.9], by)
+    plain = {r[0] if by else None: r.q for r in holes.groupBy(*by).agg(
+        F.expr("percentile(score, array(0.1, 0.5, 0.9))").alias("q")).collect() if r.q}
+    for r in found.collect():
+        want = plain[r.grp if by else None][[0.1, 0.5, 0.9].index(r.prob)]
+        assert abs(r.quantile - want) < 1e-12
+
+
+def test_equal_ids_do_not_stop_a_draw(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).alias("id"))
+    q = spark.createDataFrame([(700,)], "k bigint")
+    assert order.first_by_hash(rows, "id", "s", q).where("drawn").count() == 1000
