@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from punctua.functions.columns import seeded_hash
 from punctua.operators import order
 from punctua.session import settle, small_table, stage
 
+BLOCK = 4096  # rows of a score table in one block
+DRAWS_PER_TASK = 10_000_000
 METRICS = ["roc_auc", "pr_auc", "f1", "brier", "accuracy", "precision", "recall"]
 
 
@@ -98,43 +101,73 @@ def confusion(scores: DataFrame, by: list[str], threshold: float = 0.5,
     )
 
 
-def bootstrap_cells(scores: DataFrame, id_col: str, replicates: tuple[int, int], seed: str,
-                    probability: str = "probability", target: str = "target") -> DataFrame:
+@dataclass(frozen=True)
+class DrawTable:
+    """The rows of a score table in order of (score, class), as blocks of ``BLOCK`` rows.
+
+    A block has the ends, starts, scores and positives of the cells that reach into it; a cell of
+    many equal scores reaches into several. So a row number leads to its cell by one look at the
+    block's number and a binary search in its ends.
+    """
+
+    blocks: DataFrame
+    rows: int
+    widest: int  # most cells in a block
+
+
+def draw_table(scores: DataFrame, probability: str = "probability", target: str = "target"
+               ) -> DrawTable:
+    cells = score_cells(scores, [], probability, target).withColumn("c", F.col("pos") + F.col("neg"))
+    ends = order.prefix_sums(cells, "p", ["c"]).withColumn("start", F.col("cum_c") - F.col("c"))
+    reach = F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(cum_c - 1) div {BLOCK}"))
+    entry = F.struct(F.col("cum_c").alias("end"), "start", "p", "pos")
+    blocks = stage(ends.select(F.explode(reach).alias("block"), entry.alias("e")).groupBy("block").agg(
+        F.sort_array(F.collect_list("e")).alias("e")).select(  # at most BLOCK cells
+        "block", *[F.col(f"e.{c}").alias(c) for c in ("end", "start", "p", "pos")]), "draws")
+    row = blocks.agg(F.max(F.array_max("end")), F.max(F.size("end"))).first()
+    return DrawTable(blocks, row[0] or 0, row[1] or 0)
+
+
+def bootstrap_cells(table: DrawTable, replicates: tuple[int, int], seed: str) -> DataFrame:
     """Score cells (replicate, p, pos, neg) of n-of-n draws with replacement.
 
-    Rows are numbered by id; draw d of replicate r takes the row number hash(r, d) mod n. The
-    draws are made from the rows themselves, joined once on the row number, and combined to
-    weights per distinct score before they are shuffled.
+    Draw d of replicate r takes the row number hash(r, d) mod n in order of (score, class). Draws
+    are numbers, not rows: they are located in the blocks, and combined to one row for each
+    replicate and cell before they are shuffled.
     """
-    n = scores.count()
-    slim = scores.select(id_col, F.col(probability).alias("probability"),
-                         F.col(target).alias("target"))
-    rows = stage(order.rank_all(slim, id_col, id_col, [], out="pos", rows=n), "numbered")
+    spark, n = table.blocks.sparkSession, table.rows
     first, last = replicates
-    draws = rows.select(
-        (F.col("pos") - 1).alias("draw"),
-        F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate"),
-    )
+    total = n * (last - first)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK))
+    draws = spark.range(n * first, n * last, 1, tasks).select(
+        F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("draw"))
     key = F.concat(F.col("replicate").cast("string"), F.lit("|"), F.col("draw").cast("string"))
-    taken = draws.select("replicate", (seeded_hash(seed, key) % F.lit(n) + 1).alias("pos"))
-    return score_cells(taken.join(rows, "pos"), ["replicate"])
-
-
-def bootstrap(scores: DataFrame, id_col: str, samples: int, seed: str,
-              threshold: float = 0.5, probability: str = "probability",
-              target: str = "target") -> DataFrame:
+    at = draws.select("replicate", (seeded_hash(seed, key) % F.lit(n)).alias("at")).withColumn(
+        "block", F.expr(f"at div {BLOCK}"))
+    # The cell is the first one that ends behind the row: ends up to the row lie before it.
+    found = order.locate(at.join(table.blocks, "block").withColumn("next", F.col("at") + 1), "end",
+                         "next", "_k", table.widest)
+    cell = found.select("replicate", F.get("p", F.col("_k")).alias("p"), (
+        F.col("at") - F.get("start", F.col("_k")) < F.get("pos", F.col("_k"))).alias("positive"))
+    return cell.groupBy("replicate", "p").agg(F.count_if("positive").alias("pos"),
+                                              F.count_if(~F.col("positive")).alias("neg"))
+
+
+def bootstrap(scores: DataFrame, id_col: str, samples: int, seed: str, threshold: float = 0.5,
+              probability: str = "probability", target: str = "target") -> DataFrame:
     """Metrics of ``samples`` two-class replicates.
 
     Single-class replicates are left out and later ones take their place, up to ten times the
-    asked number; then it is an error.
+    asked number; then it is an error. Rows of one score and class are alike in every metric, so
+    a draw needs only how many there are of each: ``id_col`` is not read.
     """
-    kept, start = None, 0
-    while start < samples * 10:
+    table, kept, start = draw_table(scores, probability, target), None, 0
+    while start < samples * 10 and table.rows:
         have = kept.count() if kept is not None else 0
         if have >= samples:
             break
         stop = min(start + max(samples - have, 1), samples * 10)
-        cells = bootstrap_cells(scores, id_col, (start, stop), seed, probability, target)
+        cells = bootstrap_cells(table, (start, stop), seed)
         found = settle(
             metrics_of_cells(cells, ["replicate"], threshold, shared_bounds=True)
             .where(F.col("roc_auc").isNotNull())

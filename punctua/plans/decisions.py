@@ -101,7 +101,7 @@ def w3(spark, sf):
 def boot_sql(samples: int) -> str:
     draw = h("boot42", "r || '|' || (pos - 1)")
     return SCORED + f""",
-numbered as (select *, row_number() over (order by unit_id) as pos from scored),
+numbered as (select *, row_number() over (order by probability, target desc) as pos from scored),
 size as (select count(*) as n from numbered),
 draws as (select r as replicate, {draw} % (select n from size) + 1 as pos
           from numbered, (select unnest(range({samples})) as r)),
@@ -116,15 +116,17 @@ def d7(spark, sf):
                         *r6(*evaluate.METRICS))
 
 
-_E8 = " union all ".join(f"""select '{m}' as metric, round(quantile_cont({m}, 0.025), 4) as ci_low,
-  round(quantile_cont({m}, 0.975), 4) as ci_high, cast(count(*) as int) as bootstrap_samples
-  from metrics""" for m in evaluate.METRICS)
+_E8 = " union all ".join(f"""select '{m}' as metric, round((select {m} from points), 6) as point,
+  round(quantile_cont({m}, 0.025), 4) as ci_low, round(quantile_cont({m}, 0.975), 4) as ci_high,
+  cast(count(*) as int) as bootstrap_samples from metrics""" for m in evaluate.METRICS)
+POINTS = metrics("(select 'all' as model, * from scored)").replace("metrics as", "points as").replace(
+    "cells", "pcells").replace("runs", "pruns").replace("sums", "psums").lstrip()
 
 
-@query("e8_bootstrap_intervals", w(boot_sql(100), _E8))
+@query("e8_bootstrap_intervals", w(boot_sql(100) + ",\n" + POINTS, _E8))
 def e8(spark, sf):
     table = evaluate.bootstrap_intervals(u.scored(spark, sf), "unit_id", 100, "boot42")
-    return table.select("metric", F.round("ci_low", 4).alias("ci_low"),
+    return table.select("metric", *r6("point"), F.round("ci_low", 4).alias("ci_low"),
                         F.round("ci_high", 4).alias("ci_high"), "bootstrap_samples")
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -54,6 +56,26 @@ def test_bootstrap_skips_single_class_replicates(spark):
         evaluate.bootstrap(one, "id", 1, "b")
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_draws_lead_to_the_rows_of_the_score_order(spark, monkeypatch, block):
+    """A hot score that reaches into many blocks, and draws against a plain lookup."""
+    monkeypatch.setattr(evaluate, "BLOCK", block)
+    scores = [(.5, i % 3 == 0) for i in range(60)] + [(i / 50, i % 2) for i in range(30)]
+    rows = frame(spark, {"m": [(p, int(y)) for p, y in scores]}).drop("model")
+    table = evaluate.draw_table(rows)
+    assert table.rows == 90
+    got = {(r.replicate, r.p): (r.pos, r.neg)
+           for r in evaluate.bootstrap_cells(table, (2, 5), "s").collect()}
+    ordered, want = sorted(scores, key=lambda r: (r[0], not r[1])), {}
+    for replicate in range(2, 5):
+        for draw in range(90):
+            digest = hashlib.md5(f"s|{replicate}|{draw}".encode()).hexdigest()
+            p, y = ordered[int(digest[:12], 16) % 90]
+            pos, neg = want.get((replicate, p), (0, 0))
+            want[replicate, p] = (pos + bool(y), neg + (not y))
+    assert got == want
+
+
 def test_calibration_keeps_ties_together(spark):
     rows = frame(spark, {"m": [(.5, i % 2) for i in range(20)] + [(.1, 0), (.9, 1)]})
     table = evaluate.calibration(rows, 4).orderBy("bin").collect()
