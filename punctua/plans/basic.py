@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import zipfile
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +19,16 @@ from punctua.session import work_path
 from punctua.sources import load_raw, manifest
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its task functions travel
+
+
 def r6(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _export(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+def _export(df: DataFrame, path: str, folders: list[str] | None = None) -> None:
+    writer = df.write.mode("errorifexists").option("header", True)
+    (writer.partitionBy(*folders) if folders else writer).csv(path)
 
 
 ALL6 = "year, month, carrier, airport, arr_flights, arr_del15"
@@ -66,11 +75,48 @@ def s5(spark, sf):
     return load_raw(spark, path)
 
 
-@query("s9_manifest")
+# One export file per carrier, its rows in the order of their ids.
+@query("s9_manifest", w(UNITS + """,
+files as (select carrier, 'unit_id,year,airport' || chr(10) || string_agg(
+    unit_id || ',' || year || ',' || airport, chr(10) order by unit_id) || chr(10) as content
+  from units group by carrier)""", """
+select strlen(content) as bytes, sha256(content) as sha256 from files"""))
 def s9(spark, sf):
     path = work_path(spark, "export")
-    _export(u.units(spark, sf), path)
-    return manifest(spark, path).where(F.col("file").endswith(".csv"))
+    rows = u.units(spark, sf).select("unit_id", "year", "airport", "carrier")
+    _export(rows.repartition("carrier").sortWithinPartitions("carrier", "unit_id"), path, ["carrier"])
+    return manifest(spark, path).where(F.col("file").endswith(".csv")).select("bytes", "sha256")
+
+
+def _archive(carrier: str, rows: list[tuple], path: str) -> None:
+    """One archive with two members whose headers differ."""
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    inside = f"{inside}/{carrier}.zip"
+    with system.open_output_stream(inside) as raw, zipfile.ZipFile(
+            raw, "w", zipfile.ZIP_DEFLATED) as archive:
+        for part, header in enumerate(("Unit ID,year,airport", "airport,Unit ID")):
+            lines = [header] + [f"{i},{y},{a}" if part == 0 else f"{a},{i}"
+                                for i, y, a in rows if i % 2 == part]
+            archive.writestr(f"part{part}.csv", "\n".join(lines) + "\n")
+
+
+@query("s3_zip_scan", w(UNITS, """
+select cast(unit_id as varchar) as unit_id,
+  case when unit_id % 2 = 0 then cast(year as varchar) end as year, airport from units"""))
+def s3(spark, sf):
+    path = work_path(spark, "archives")
+    rows = u.units(spark, sf).select("unit_id", "year", "airport", "carrier")
+    spark.createDataFrame([(1,)], "a int").write.parquet(path)  # makes the folder
+
+    def write(key, table):
+        columns = [table.column(c).to_pylist() for c in ("unit_id", "year", "airport")]
+        _archive(key[0].as_py(), list(zip(*columns)), path)
+        return pa.table({"rows": pa.array([table.num_rows], pa.int64())})
+
+    rows.groupBy("carrier").applyInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    return load_raw(spark, path)
 
 
 # -- cleaning --------------------------------------------------------------------------------

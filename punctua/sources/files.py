@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import json
 import re
-import sys
-import zipfile
+from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctua.functions.columns import NA_TOKENS, blank_to_null
-
-# Task functions travel with the job, so that workers need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from punctua.sources import streams
 
 # The 21 columns of the monthly carrier x airport table, in file order.
 CANONICAL = [
@@ -73,6 +66,14 @@ def normalize_schema(df: DataFrame) -> DataFrame:
     return numbered.select(*[F.col(f"_{i}").alias(c) for (i, _), c in zip(kept, names)])
 
 
+def header_lines(spark: SparkSession, files: list[str]) -> Iterator[Row]:
+    """(path, header): the first line of every file that is not blank, null if there is none.
+
+    A task opens a file, reads the line and stops, so the cost does not depend on the sizes.
+    """
+    return streams.scan(spark, streams.Headers, sorted(files)).orderBy("path").toLocalIterator()
+
+
 def read_csv(spark: SparkSession, files: list[str], multiline: bool = False) -> DataFrame:
     """All columns as text. Files are aligned by column name, not by position.
 
@@ -80,17 +81,10 @@ def read_csv(spark: SparkSession, files: list[str], multiline: bool = False) ->
     are grouped by their header line and each group is one scan: the number of scans is the
     number of different headers, not of files.
     """
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_line"),
-        "value",
-    )
-    first = lines.where((F.col("_start") == 0) & (F.trim("value") != ""))
-    headers = first.groupBy("path").agg(F.min_by("value", "_line").alias("header"))
     groups: dict[str, list[str]] = {}
-    for row in headers.orderBy("path").toLocalIterator():
-        groups.setdefault(row.header, []).append(unquote(row.path))
+    for row in header_lines(spark, files):
+        if row.header is not None:
+            groups.setdefault(row.header, []).append(row.path)
     if not groups:
         raise ValueError("The CSV files have no header line.")
     reader = spark.read.option("header", True).option("escape", '"')
@@ -98,45 +92,31 @@ def read_csv(spark: SparkSession, files: list[str], multiline: bool = False) ->
     return _align([normalize_schema(reader.csv(paths)) for paths in groups.values()])
 
 
-def read_zip(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Every ``.csv`` member of the archives; one task per archive, rows leave in batches."""
-
-    def members(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    names = sorted(n for n in archive.namelist() if n.lower().endswith(".csv"))
-                    if not names:
-                        raise ValueError(f"ZIP archive contains no CSV: {path}")
-                    for name in names:
-                        with archive.open(name) as raw:
-                            text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
-                            yield from _row_batches(csv.reader(text))
-
-    schema = T.StructType([T.StructField("row", T.MapType(T.StringType(), T.StringType()))])
-    blobs = spark.read.format("binaryFile").load(files).select("path", "content")
-    rows = blobs.repartition(max(1, len(files)), "path").mapInPandas(members, schema)
-    names = sorted(
-        r.name for r in rows.select(F.explode(F.map_keys("row")).alias("name")).distinct()
-        .toLocalIterator()
-    )
-    return normalize_schema(rows.select(*[F.col("row")[n].alias(n) for n in names]))
-
-
-def _row_batches(reader, size: int = 10_000):
-    header = next(reader, None)
-    if header is None:
-        return
+def _kept_names(header: list[str]) -> list[str]:
+    """Cleaned names of a member's columns; those without a name stay as _c<position>."""
     names = [clean_name(n) or f"_c{i}" for i, n in enumerate(header)]
-    batch = []
-    for values in reader:
-        if values:
-            batch.append({n: (v if v != "" else None) for n, v in zip(names, values)})
-        if len(batch) >= size:
-            yield pd.DataFrame({"row": batch})
-            batch = []
-    if batch:
-        yield pd.DataFrame({"row": batch})
+    twice = sorted({c for c in names if names.count(c) > 1})
+    if twice:
+        raise ValueError(f"Columns occur twice after cleaning: {twice}")
+    return names
+
+
+def read_zip(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Every ``.csv`` member of the archives as text, aligned by name.
+
+    The headers come from the archives' directories and first lines. Then each member is one
+    partition of one scan, which is decompressed as a stream and leaves in batches.
+    """
+    members, names = [], []
+    for r in streams.scan(spark, streams.Members, sorted(files)).orderBy("path", "member").collect():
+        if r.header is not None:
+            own = _kept_names(json.loads(r.header))
+            members.append([r.path, r.member, own])
+            names += [n for n in own if n not in names]
+    if not members:
+        raise ValueError("The CSV files have no header line.")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return normalize_schema(streams.scan(spark, streams.Zip, members, schema))
 
 
 def _align(frames: list[DataFrame]) -> DataFrame:
@@ -157,10 +137,7 @@ def load_raw(spark: SparkSession, path: str, na_tokens: list[str] | None = None)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and SHA-256 of every file (files below 2 GB)."""
+    """Name, length and SHA-256 of every file; files are read in chunks, whatever their size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        F.regexp_extract("path", r"[^/]+$", 0).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    names = [r.path for r in files.select("path").orderBy("path").toLocalIterator()]
+    return streams.scan(spark, streams.Digests, names)

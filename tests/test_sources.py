@@ -64,3 +64,80 @@ def test_source_errors(spark, tmp_path):
         archive.writestr("x.txt", "no")
     with pytest.raises(Exception, match="contains no CSV"):
         load_raw(spark, str(tmp_path)).collect()
+
+
+def test_headers_are_read_without_the_files(spark, tmp_path, monkeypatch):
+    from punctua.sources import streams
+    from punctua.sources.files import header_lines
+
+    (tmp_path / "a b.csv").write_bytes(b"\xef\xbb\xbf\n  \r\nyear,x\r\n" + b"1,2\r\n" * 400_000)
+    (tmp_path / "b.csv").write_bytes(b"old,mac\r1,2\r")
+    (tmp_path / "c.csv").write_bytes(b"")
+    files = [str(tmp_path / n) for n in ("c.csv", "a b.csv", "b.csv")]
+    assert [(r.path, r.header) for r in header_lines(spark, files)] == [
+        (files[1], "year,x"), (files[2], "old,mac"), (files[0], None)]
+    read = []
+
+    class Counted:
+        def __init__(self, raw):
+            self.raw = raw
+
+        def __getattr__(self, name):
+            return getattr(self.raw, name)
+
+        def read1(self, n):
+            out = self.raw.read1(n)
+            read.append(len(out))
+            return out
+
+    with open(tmp_path / "a b.csv", "rb") as raw:
+        assert streams.first_line(Counted(raw)) == "year,x"
+    assert 0 < sum(read) <= 1 << 16
+    with pytest.raises(ValueError, match="nosuch"):
+        streams.opened("nosuch://host/file")
+
+
+def test_zip_rows_are_streamed_in_batches(spark, tmp_path, monkeypatch):
+    from punctua.sources import streams
+
+    rows = [f"{k},{k % 7},,\"a, {k}\nb\"" for k in range(25_000)]
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("one.csv", "\n\nid,m,,Text\n" + "\n".join(rows) + "\n\n")
+        archive.writestr("two.csv", "text,id,extra\nt,-1\nu,-2,e,more\n")
+        archive.writestr("empty.csv", "")
+    got = load_raw(spark, str(tmp_path))
+    assert sorted(got.columns) == ["extra", "id", "m", "text"]
+    assert got.count() == 25_002 and got.where("id = '24999'").first().text == "a, 24999\nb"
+    assert [(r.text, r.extra) for r in got.where("id < 0").orderBy("id").collect()] == [
+        ("t", None), ("u", "e")]
+    assert got.rdd.getNumPartitions() == 2  # one per member
+    reader = streams.ZipReader([], ["id"])
+    sizes = [b.num_rows for b in reader.read(streams.Part(
+        [[str(tmp_path / "x.zip"), "one.csv", ["id", "m", "_c2", "text"]]]))]
+    assert sizes == [10_000, 10_000, 5_000]
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as archive:
+        archive.writestr("one.csv", "Id,id\n1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        load_raw(spark, str(tmp_path))
+
+
+def test_coded_headers_in_archives_keep_their_order(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as archive:
+        archive.writestr("a.csv", ",".join(f"x{i}" for i in range(21)) + "\n" + ",".join(
+            str(i) for i in range(21)) + "\n")
+    row = load_raw(spark, str(tmp_path)).first().asDict()
+    assert [row[c] for c in CANONICAL] == [str(i) for i in range(21)]
+
+
+def test_manifest_of_a_file_above_2_gb(spark, tmp_path):
+    import hashlib
+
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "big.csv", "wb") as out:
+        out.truncate(size)  # sparse: no disk is used
+    digest = hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(size & ((1 << 20) - 1)))
+    row = manifest(spark, str(tmp_path)).first()
+    assert (row.file, row.bytes, row.sha256) == ("big.csv", size, digest.hexdigest())
