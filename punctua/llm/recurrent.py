@@ -156,28 +156,42 @@ class Counts:
 
 
 def counts_of(answers: DataFrame) -> Counts:
-    """Totals and frequent words, merged from the buckets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals and frequent words, merged from the buckets.
+
+    The first pass adds the sums per octave; they tell which octaves hold the frequent words, and
+    the second pass sends the words of those alone.
+    """
+    stats = answers.where("run = -1").select("asked")
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((64, 2), dtype=np.int64)
         for batch in batches:
             for blob in batch.column("asked").to_pylist():
-                sums = np.frombuffer(blob, "<i8", count=128).reshape(64, 2)
-                n = (len(blob) - 1024) // 16
-                keys = np.frombuffer(blob, "<i8", offset=1024, count=n)
-                total = np.frombuffer(blob, "<i8", offset=1024 + 8 * n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[np.arange(64), np.full(n, -1)], pa.int32()),
-                     pa.array(np.r_[np.zeros(64, np.int64), keys], pa.int64()),
-                     pa.array(np.r_[sums[:, 0], np.ones(n, np.int64)], pa.int64()),
-                     pa.array(np.r_[sums[:, 1], total], pa.int64())],
-                    names=["octave", "word", "n", "total"])
-
-    rows = answers.where("run = -1").mapInArrow(run, "octave int, word long, n long, total long")
+                sums += np.frombuffer(blob, "<i8", count=128).reshape(64, 2)
+        at = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(sums[at, 0]), pa.array(sums[at, 1])],
+            names=["octave", "n", "total"])
+
     sums = np.zeros((64, 2), dtype=np.int64)
-    for r in rows.where("octave >= 0").groupBy("octave").agg(
+    for r in stats.mapInArrow(sums_of, "octave int, n long, total long").groupBy("octave").agg(
             F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
         sums[r["octave"]] = r["n"], r["total"]
-    top = rows.where("octave = -1 AND total > 1").orderBy(F.desc("total"), "word").limit(
-        FREQUENT).collect()
+    above = np.cumsum(sums[::-1, 0])[::-1]
+    least = 1 << max(1, int(np.flatnonzero(above >= FREQUENT).max(initial=0)))
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("asked").to_pylist():
+                n = (len(blob) - 1024) // 16
+                total = np.frombuffer(blob, "<i8", offset=1024 + 8 * n)
+                own = total >= least
+                keys = np.frombuffer(blob, "<i8", offset=1024, count=n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(total[own])],
+                                                 names=["word", "total"])
+
+    top = stats.mapInArrow(words_of, "word long, total long").orderBy(
+        F.desc("total"), "word").limit(FREQUENT).collect()
     counts = np.array([r["total"] for r in top], dtype=np.int64)
     rest = sums.copy()
     np.subtract.at(rest, octave(counts), np.stack([np.ones_like(counts), counts], axis=1))
