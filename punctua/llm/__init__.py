@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
+from punctua import session
 from punctua.llm import (
     decontaminate, html, jaccard, language, licences, lookups, negatives, neighbours, packing,
     quality, recompression, recurrent, runs, suffixes, trie, words,
 )
 
 for _module in (decontaminate, html, jaccard, language, licences, lookups, negatives, neighbours,
-                packing, quality, recompression, recurrent, runs, suffixes, trie, words):
+                packing, quality, recompression, recurrent, runs, session, suffixes, trie, words):
     # Task functions travel with the job, so that workers need no copy of this package.
     cloudpickle.register_pickle_by_value(_module)
 

@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from punctua.llm import runs as R
 from punctua.llm import words as W
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -129,16 +131,16 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
               share: float = 0.8, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every contained item."""
     kinds = docs.schema[doc_id].dataType, items.schema[item_id].dataType
-    to_arrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows_of = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = (f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, "
               "n_shared bigint, n_item bigint, containment double")
+    id_kind = to_arrow_type(kinds[1])
     out = None
     for rows in item_blocks(items, item_id, item_text, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(rows, size, share))
+        index = R.shared(docs.sparkSession, build_index(rows, size, share))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            id_kind = pa.array(known.ids).type if known.ids else pa.int64()
+            known = R.given(index)
             for batch in batches:
                 texts = W.as_bytes(batch.column("text"))
                 rows, items, shared, sizes = [], [], [], []
@@ -155,7 +157,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
                          pa.array(np.array(shared) / np.array(sizes), pa.float64())],
                         names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        found = to_arrow.mapInArrow(run, schema)
+        found = rows_of.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -165,12 +167,13 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
           block_bytes: int = 32 << 20) -> DataFrame:
     """The documents that contain no item, with all their columns."""
     for rows in item_blocks(items, item_id, item_text, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(rows, size, share))
+        index = R.shared(docs.sparkSession, build_index(rows, size, share))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            known = R.given(index)
             for batch in batches:
                 texts = W.as_bytes(batch.column(text))
-                keep = [not search(index.value, hashes, texts[k])
+                keep = [not search(known, hashes, texts[k])
                         for k, hashes in W.word_hashes(texts, lower=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,18 +146,16 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
                              T.StructField("position", T.IntegerType())])
     columns = [f.name for f in schema]
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(n), None if pd.isna(d) else d, int(s), None if pd.isna(x) else x,
-                 None if pd.isna(c) else c)
-                for n, d, s, x, c in zip(frame["n_words"], frame["doc_id"], frame["first_word"],
-                                         frame["source"], frame["cluster"])]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = list(zip(*[table.column(c).to_pylist() for c in (
+            "n_words", "doc_id", "first_word", "source", "cluster")]))
         placed = pack_shard(rows, capacity, one_source)
-        frame = frame.drop(columns="shard")
-        frame["bin_id"] = [(int(key[0]) << 32) + b for b, _ in placed]
-        frame["position"] = [p for _, p in placed]
-        return frame[columns]
+        shard = key[0].as_py() << 32
+        table = table.append_column("bin_id", pa.array([shard + b for b, _ in placed], pa.int64()))
+        table = table.append_column("position", pa.array([p for _, p in placed], pa.int32()))
+        return table.select(columns)  # ids keep their type, beside a null as well
 
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    return dealt.groupBy("shard").applyInArrow(run, schema)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

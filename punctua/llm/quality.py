@@ -212,11 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    sent = R.shared(docs.sparkSession, model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = R.given(sent)
         for batch in batches:
-            scores = [shared.value.score(indicators(t)) for t in W.as_bytes(batch.column("text"))]
+            scores = [known.score(indicators(t)) for t in W.as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -237,13 +238,14 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.7, doc_id: str
              text: str = "text") -> DataFrame:
     """The rows whose text scores at least ``least``, with all their columns."""
     model = fit(docs.where(~held_out(doc_id)), labels, doc_id=doc_id, text=text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = R.shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = R.given(sent)
         for batch in batches:
             texts = W.as_bytes(batch.column(text))
             yield batch.filter(pa.array(
-                [shared.value.score(indicators(t)) >= least for t in texts], pa.bool_()))
+                [known.score(indicators(t)) >= least for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctua.llm import words as W
@@ -33,6 +34,38 @@ RUN = "run bigint, ids binary, sizes binary, texts binary"
 ASKED = "run bigint, bucket int, asked binary"
 
 
+_scopes: list[list[str]] = []  # folders staged inside the open scopes
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the folders that are staged inside."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not own]
+
+
+def removed(spark: SparkSession, folders: list[str]) -> None:
+    """Removes staged folders whose tables are read no more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = hadoop.Path(folder).getParent()  # the folder that work_path made for it alone
+        path.getFileSystem(conf).delete(path, True)
+
+
+def shared(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a fitted object together with its class, as workers lack this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def given(sent: Broadcast):
+    return cloudpickle.loads(sent.value)
+
+
 def press(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -48,6 +81,8 @@ def staged(df: DataFrame, name: str, rows_of_mb: bool = False) -> DataFrame:
     is released, as Spark removes shuffle files only when the driver collects its garbage.
     """
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    for own in _scopes:
+        own.append(path)
     writer = df.write.option("compression", "zstd")
     if rows_of_mb:
         writer = (df.write.option("compression", "uncompressed")
