@@ -39,7 +39,7 @@ MAX_DEPTH = 30  # the deepest tree Spark grows; None means this depth
 TREE_PARAMETERS = {"n_estimators", "max_depth", "min_samples_leaf", "max_features"}
 TASK_ROWS = 65_536  # rows of a fit that one task holds at least; every round of a fit is a job
 NETWORK_STAGE = 5  # iterations of the network between two looks at its holdout
-PARALLEL = 4  # fits of one learner that run as concurrent jobs
+PARALLEL = 8  # fits of one learner that run as concurrent jobs
 
 
 def _depth(params: dict) -> int:
@@ -130,11 +130,19 @@ def _gathered(held: DataFrame) -> DataFrame:
 def _fit_on(estimator, encoded: DataFrame):
     held = _vectors(encoded)
     try:
-        return estimator.setParams(featuresCol="features", labelCol="label").fit(_gathered(held))
+        return _spread_out(estimator, _gathered(held))
     finally:
         held.unpersist()
 
 
+def _spread_out(estimator, rows: DataFrame):
+    """The fit of an estimator. Trees keep the nodes of rows in a cache only where the rows lie in
+    several tasks; for one task the cache costs more than it saves."""
+    if estimator.hasParam("cacheNodeIds"):
+        estimator.set(estimator.getParam("cacheNodeIds"), rows.rdd.getNumPartitions() > 1)
+    return estimator.setParams(featuresCol="features", labelCol="label").fit(rows)
+
+
 def _pooled(function: Callable, tasks: list, parallel: int = PARALLEL) -> list:
     """Results in order; fits run as concurrent jobs."""
     with ThreadPoolExecutor(min(parallel, max(1, len(tasks)))) as pool:
@@ -155,8 +163,7 @@ def random_forest(train: DataFrame, params: dict, seed: int) -> Scorer:
     forest = RandomForestClassifier(
         numTrees=params.get("n_estimators", 300), maxDepth=_depth(params),
         minInstancesPerNode=params.get("min_samples_leaf", 1),
-        featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
-        cacheNodeIds=True, seed=seed,
+        featureSubsetStrategy=_subset(params.get("max_features", "sqrt")), seed=seed,
     )
     model = _fit_on(forest, transform(train))
     return scorer(State("random_forest", numbers, tables, {"model": model}), {"model": model})
@@ -223,8 +230,7 @@ def boosting_settings(name: str, params: dict) -> dict:
 
 
 def _gbt(name: str, params: dict, seed: int, rounds: int) -> GBTClassifier:
-    return GBTClassifier(maxIter=rounds, seed=seed, cacheNodeIds=True,
-                         **boosting_settings(name, params))
+    return GBTClassifier(maxIter=rounds, seed=seed, **boosting_settings(name, params))
 
 
 def boosting(name: str) -> Callable:
@@ -295,7 +301,7 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
     _, numbers, tables = own.encoding
     rounds = min(max_rounds, max(2 * patience, 10))
     while True:
-        model = _gbt(name, params, seed, rounds).fit(own.fit)
+        model = _spread_out(_gbt(name, params, seed, rounds), own.fit)
         series = model.evaluateEachIteration(own.check)
         losses = small_table(
             train.sparkSession, [(i + 1, float(x)) for i, x in enumerate(series)],
@@ -306,7 +312,7 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
             break
         rounds = min(rounds * 2, max_rounds)
     if best < rounds:
-        model = _gbt(name, params, seed, best).fit(own.fit)
+        model = _spread_out(_gbt(name, params, seed, best), own.fit)
     if sides is None:
         own.release()
     return scorer(State(name, numbers, tables, {"model": model}),
