@@ -19,7 +19,7 @@ METRICS = ["roc_auc", "pr_auc", "f1", "brier", "accuracy", "precision", "recall"
 def require_probabilities(df: DataFrame, probability: str = "probability") -> None:
     bad = F.col(probability).isNull() | ~F.col(probability).between(0.0, 1.0)
     if df.agg(F.count_if(bad)).first()[0]:
-        raise ValueError("Probabilities must be in [0, 1].")
+        raise ValueError(f"Some values of {probability} are null or outside of 0 to 1.")
 
 
 def score_cells(scores: DataFrame, by: list[str], probability: str = "probability",
@@ -175,7 +175,7 @@ def bootstrap(scores: DataFrame, id_col: str, samples: int, seed: str, threshold
         kept = found if kept is None else kept.unionByName(found)
         start = stop
     if kept is None or kept.count() < samples:
-        raise RuntimeError("Could not draw enough two-class bootstrap samples.")
+        raise RuntimeError(f"Of {samples * 10} draws fewer than {samples} hold both classes.")
     return kept
 
 

@@ -598,7 +598,7 @@ FULL = {"xgboost": {"n_estimators": 300, "max_depth": 6, "learning_rate": 0.05,
 
 def defaults(name: str, fast: bool = False) -> dict:
     if name not in NAMES:
-        raise ValueError(f"Unknown model names: {[name]}")
+        raise ValueError(f"Unknown model {name!r}: known are {NAMES}.")
     profile = FAST if fast else FULL
     if name == "stacking":
         return {"base": {n: profile.get(n, {}) for n in BOOSTING}}
@@ -617,5 +617,5 @@ def fit(name: str, train: DataFrame, params: dict, seed: int, id_col: str = "uni
     simple = {"random_forest": random_forest, "extra_trees": extra_trees_model,
               "gaussian_nb": gaussian_nb, "logistic_regression": logistic_regression}
     if name not in simple:
-        raise ValueError(f"Unknown model names: {[name]}")
+        raise ValueError(f"Unknown model {name!r}: known are {NAMES}.")
     return simple[name](train, params, seed)

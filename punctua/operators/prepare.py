@@ -118,11 +118,11 @@ def check(df: DataFrame, rules: Rules) -> None:
         F.count_if(kept).alias("kept"),
     ).first()
     if rules.missing == "zero" and found["conflicts"]:
-        raise ValueError("Blank arr_del15 conflicts with positive delay evidence.")
+        raise ValueError("A missing arr_del15 conflicts with delays reported in the same row.")
     if found["months"]:
         raise ValueError("Months outside 1-12.")
     if not found["kept"]:
-        raise ValueError("No rows remain after schema, validity and date filtering.")
+        raise ValueError("No rows are left: all are incomplete, without flights or out of the period.")
 
 
 def prepare(df: DataFrame, rules: Rules) -> DataFrame:

@@ -24,14 +24,14 @@ OPTIMA = ["capacity_only_milp", "structural_milp"]
 def commercial_values(df: DataFrame, low: int, high: int, seed: str) -> DataFrame:
     """Seeded uniform whole-number ``value`` in [low, high] (O1)."""
     if low > high:
-        raise ValueError("Commercial value lower bound exceeds upper bound.")
+        raise ValueError(f"Values cannot be drawn between {low} and {high}: the range is empty.")
     drawn = seeded_hash(seed, ID) % F.lit(high - low + 1) + F.lit(low)
     return df.withColumn("value", drawn.cast("double"))
 
 
 def capacity_count(size: int, capacity: float) -> int:
     if not 0 < capacity <= 1:
-        raise ValueError("Capacity must be in (0, 1].")
+        raise ValueError(f"A capacity of {capacity} is no share above 0 and up to 1.")
     return floor(size * float(capacity))
 
 
@@ -43,13 +43,30 @@ def _one_quota(df: DataFrame, n: int, k: int) -> DataFrame:
     return small_table(df.sparkSession, [(n, k)], "n bigint, k bigint")
 
 
+def _bad_risk(risk: str = "probability") -> Column:
+    """Counts the rows whose risk is no probability; NaN is above every number."""
+    return F.count_if(~F.coalesce(F.col(risk).between(0.0, 1.0), F.lit(False))).alias("_bad")
+
+
+def _refuse(bad: int | None) -> None:
+    if bad:
+        raise ValueError(f"{bad} units have a risk that is null or outside of 0 to 1.")
+
+
+def _counted(df: DataFrame) -> int:
+    """Number of candidate units, which all need a probability."""
+    n, bad = df.agg(F.count(F.lit(1)), _bad_risk()).first()
+    _refuse(bad)
+    return n
+
+
 def policies(df: DataFrame, penalty: float, capacity: float, seed: str) -> DataFrame:
     """Five ranking policies in long form (O3): the rows with ``strategy`` and ``selected``.
 
     Every policy is one descending order on (score, tie). The ascending ones negate both
     columns, so one call marks all five without a sort of the whole table.
     """
-    n = df.count()
+    n = _counted(df)
     k = capacity_count(n, capacity)
 
     def entry(name: str, score: Column, flip: bool = False):
@@ -74,8 +91,9 @@ def policies(df: DataFrame, penalty: float, capacity: float, seed: str) -> DataF
 def capacity_optimum(df: DataFrame, penalty: float, capacity: float) -> DataFrame:
     """Cost optimum under the capacity alone (O4): best net scores, and only positive ones."""
     scored = df.withColumn("_net", net_score(penalty))
-    sizes = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_net") > 0).alias("p"))
-    n, positive = sizes.first()
+    n, positive, bad = scored.agg(F.count(F.lit(1)), F.count_if(F.col("_net") > 0),
+                                  _bad_risk()).first()
+    _refuse(bad)
     k = min(capacity_count(n, capacity), positive)
     marked = order.top_k(scored, "_net", ID, _one_quota(df, n, k))
     return marked.drop("_net").withColumn("strategy", F.lit("capacity_only_milp"))
@@ -93,7 +111,7 @@ def mandatory_units(df: DataFrame, fraction: float, seed: str) -> DataFrame:
 def require_known(df: DataFrame, wanted: DataFrame) -> None:
     """Mandatory ids given as a table must be in the candidate set."""
     if not wanted.join(df.select(ID), ID, "left_anti").isEmpty():
-        raise ValueError("Mandatory index is outside the candidate set.")
+        raise ValueError("Some mandatory units lie outside the table of candidates.")
 
 
 def structural_optimum(df: DataFrame, penalty: float, capacity: float, group: str,
@@ -104,23 +122,25 @@ def structural_optimum(df: DataFrame, penalty: float, capacity: float, group: st
     at negative net; then the best positive net scores overall within what is left.
     """
     if not 0 <= fraction <= 1:
-        raise ValueError("Group minimum fraction must be in [0, 1].")
+        raise ValueError(f"A group minimum of {fraction} is no share from 0 to 1.")
     scored = df.withColumn("_net", net_score(penalty))
     groups = settle(scored.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("mandatory").alias("_m")
+        F.count(F.lit(1)).alias("_n"), F.count_if("mandatory").alias("_m"), _bad_risk()
     ))
     minimum = F.ceil(F.col("_n") * F.lit(float(fraction)))
     quotas = settle(groups.select(
         group, (F.col("_n") - F.col("_m")).alias("n"),
         F.greatest(minimum - F.col("_m"), F.lit(0)).cast("bigint").alias("k"),
     ))
-    total, fixed = groups.agg(F.sum("_n"), F.sum("_m")).first()
+    total, fixed, bad = groups.agg(F.sum("_n"), F.sum("_m"), F.sum("_bad")).first()
+    _refuse(bad)
     needed = quotas.agg(F.sum("k")).first()[0]
     cap = capacity_count(total, capacity)
     if fixed > cap:
-        raise ValueError("Mandatory units exceed capacity.")
+        raise ValueError(f"Mandatory units ({fixed}) are more than the capacity ({cap}) holds.")
     if fixed + needed > cap:
-        raise RuntimeError("No optimal solution: Infeasible")
+        raise RuntimeError(
+            f"Infeasible: {fixed} mandatory units and {needed} for group minima exceed {cap}.")
     forced = scored.where("mandatory").withColumn("selected", F.lit(True))
     second = order.top_k(scored.where("not mandatory"), "_net", ID, quotas, [group], out="_own")
     rest = second.where(~F.col("_own")).drop("_own")
@@ -167,7 +187,7 @@ def scenarios(df: DataFrame, penalties: list[float], capacities: list[float]) ->
     The order depends on the penalty alone, so units are multiplied by the penalties only. All
     capacities are conditional sums of one aggregate per penalty.
     """
-    n = df.count()
+    n = _counted(df)
     counts = [capacity_count(n, c) for c in capacities]
     long = df.withColumn(
         "penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties]))

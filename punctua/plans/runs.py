@@ -110,7 +110,7 @@ def run(spark: SparkSession, raw: DataFrame, settings: Settings, out: str) -> st
     """Benchmark of all models, calibration, selection and the temporal arm, below ``out``."""
     unknown = sorted(set(settings.names) - set(learners.NAMES))
     if unknown:
-        raise ValueError(f"Unknown model names: {unknown}")
+        raise ValueError(f"Unknown models {unknown}: known are {learners.NAMES}.")
     if settings.selected not in settings.names:
         raise ValueError("The selected model must be one of the fitted ones.")
     with integrity.RunRecord(spark, f"{out}/runs", "run", settings.as_dict()) as record:

@@ -34,15 +34,15 @@ def discover(spark: SparkSession, path: str) -> list[str]:
     try:
         listed = _listing(spark, path)
     except AnalysisException as error:
-        raise FileNotFoundError(f"Input path does not exist: {path}") from error
+        raise FileNotFoundError(f"There is nothing at {path}.") from error
     for suffix in (".csv", ".zip"):
         found = listed.where(F.col("_p").endswith(suffix)).select("path").orderBy("path")
         names = [row.path for row in found.toLocalIterator()]
         if names:
             return names
     if listed.where(F.col("path").endswith(path.rstrip("/"))).limit(1).count():
-        raise ValueError(f"Expected a CSV or ZIP file: {path}")
-    raise FileNotFoundError(f"No CSV or ZIP files under: {path}")
+        raise ValueError(f"{path} is neither a CSV or ZIP file nor a folder of them.")
+    raise FileNotFoundError(f"{path} has no file that ends in .csv or .zip.")
 
 
 def clean_name(name: str) -> str:

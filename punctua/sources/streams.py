@@ -62,7 +62,7 @@ def members_of(archive: zipfile.ZipFile, path: str) -> list[str]:
     """CSV members from the central directory, sorted."""
     names = sorted(n for n in archive.namelist() if n.lower().endswith(".csv"))
     if not names:
-        raise ValueError(f"ZIP archive contains no CSV: {path}")
+        raise ValueError(f"{path} contains no CSV member.")
     return names
 
 

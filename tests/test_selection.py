@@ -95,3 +95,17 @@ def test_metrics_of_no_unit(spark):
         "selected", F.lit(False))
     row = selection.decision_metrics(df, 10).first()
     assert (row.total_cost, row.operated, row.average_probability) == (12.0, 0, None)
+
+
+@pytest.mark.parametrize("bad", [None, -0.1, 1.1, float("nan")])
+def test_optima_refuse_what_is_no_probability(spark, bad):
+    rows = [(i, "g", 100.0, 0.5 if i else bad, 0, False) for i in range(9)]
+    df = spark.createDataFrame(rows, "unit_id long, grp string, value double, probability double, "
+                                     "target int, mandatory boolean")
+    for call in (lambda: selection.capacity_optimum(df, 10.0, 0.5),
+                 lambda: selection.structural_optimum(df, 10.0, 0.5, "grp", 0.1),
+                 lambda: selection.policies(df, 10.0, 0.5, "s"),
+                 lambda: selection.scenarios(df, [10.0], [0.5])):
+        with pytest.raises(ValueError, match="1 units"):
+            call()
+    assert selection.capacity_optimum(df.where("unit_id > 0"), 10.0, 0.5).count() == 8
