@@ -119,12 +119,40 @@ def _node_boxes(nodes: list, boxes: pd.DataFrame, columns: list[str]):
         at = leaf_at[row.cell]
         low[at] = [getattr(row, f"lo_{c}") for c in columns]
         high[at] = [getattr(row, f"hi_{c}") for c in columns]
+    count = np.zeros(len(nodes), dtype=np.int64)
+    for row in boxes.itertuples(index=False):
+        count[leaf_at[row.cell]] = row.rows
     for at in reversed(range(len(nodes))):
         axis, _, left, right = nodes[at]
         if axis >= 0:
             low[at] = np.minimum(low[left], low[right])
             high[at] = np.maximum(high[left], high[right])
-    return low, high
+            count[at] = count[left] + count[right]
+    return low, high, count
+
+
+def _far_sides(nodes: list, low: np.ndarray, high: np.ndarray, count: np.ndarray,
+               points: np.ndarray, k: int, scale: np.ndarray, p: int) -> np.ndarray:
+    """A bound of the k-th distance of each point: the far side of the smallest box on its way
+    down the tree that holds at least k training points."""
+    out = np.zeros(len(points))
+    todo = [(0, np.arange(len(points)))]
+    while todo:
+        at, rows = todo.pop()
+        if not len(rows):
+            continue
+        axis, cut, left, right = nodes[at]
+        stay = np.ones(len(rows), dtype=bool)
+        if axis >= 0:
+            down = points[rows, axis] <= cut
+            for child, own in ((left, down), (right, ~down)):
+                if count[child] >= k:
+                    todo.append((child, rows[own]))
+                    stay &= ~own
+        rows = rows[stay]
+        gap = np.maximum(np.abs(points[rows] - low[at]), np.abs(points[rows] - high[at])) / scale
+        out[rows] = (gap.sum(axis=1) if p == 1 else (gap * gap).sum(axis=1)) + SLACK
+    return out
 
 
 def _best(queries: pd.DataFrame, block: pd.DataFrame, columns, scale, k: int, p: int):
@@ -178,10 +206,10 @@ def knn_probability(train: DataFrame, test: DataFrame, columns: list[str], scale
         *[F.min(c).alias(f"lo_{c}") for c in columns],
         *[F.max(c).alias(f"hi_{c}") for c in columns],
     ))
-    low, high = _node_boxes(nodes, boxes.toPandas(), columns)
+    low, high, count = _node_boxes(nodes, boxes.toPandas(), columns)
 
-    # Pass one: the k-th distance inside the own cell bounds the true one. Cells with fewer
-    # than k points give no bound and reach everywhere.
+    # Pass one: the k-th distance inside the own cell bounds the true one. Where a cell has fewer
+    # than k points, the far side of a larger box does.
     bound_schema = T.StructType(
         [T.StructField(c, T.DoubleType()) for c in [*columns, "reach"]]
     )
@@ -197,8 +225,10 @@ def knn_probability(train: DataFrame, test: DataFrame, columns: list[str], scale
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def cells_near(frame: pd.DataFrame, reach: pd.Series) -> pd.Series:
-        return pd.Series(_box_hits(nodes, low, high, frame.to_numpy(float),
-                                   reach.to_numpy(float), np.asarray(scale), p))
+        asked, limit = frame.to_numpy(float), reach.to_numpy(float).copy()
+        open_ = np.isinf(limit)
+        limit[open_] = _far_sides(nodes, low, high, count, asked[open_], k, np.asarray(scale), p)
+        return pd.Series(_box_hits(nodes, low, high, asked, limit, np.asarray(scale), p))
 
     visits = stage(
         bounded.withColumn("cell", F.explode(cells_near(struct, "reach"))).drop("reach"), "visits"

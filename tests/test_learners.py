@@ -152,6 +152,29 @@ def test_knn_equals_brute_force(spark, monkeypatch, p, weights):
         assert got[i] == pytest.approx(want), i
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_queries_of_a_sparse_corner_visit_few_cells(p):
+    """A cell of fewer than k points takes the far side of a larger box, not every cell."""
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(4000, 2)), [[40, 40], [41, 40], [40, 42]]])
+    scale, k = np.array([1.0, 2.0]), 5
+    nodes = neighbours._tree(points, 256)
+    frame = pd.DataFrame(points, columns=["a", "b"]).assign(cell=neighbours._descend(nodes, points))
+    grouped = frame.groupby("cell")
+    boxes = grouped.agg(rows=("a", "size"), lo_a=("a", "min"), lo_b=("b", "min"), hi_a=("a", "max"),
+                        hi_b=("b", "max")).reset_index()
+    low, high, count = neighbours._node_boxes(nodes, boxes, ["a", "b"])
+    assert count[0] == len(points)
+    asked = np.vstack([points[::50], [[45, 45], [-9, -9], [40, 40.0]]])
+    bound = neighbours._far_sides(nodes, low, high, count, asked, k, scale, p)
+    gap = np.abs(asked[:, None, :] - points[None]) / scale
+    d = np.sort(gap.sum(axis=2) if p == 1 else (gap * gap).sum(axis=2), axis=1)
+    assert np.isfinite(bound).all() and (bound >= d[:, k - 1]).all()
+    inner = neighbours._box_hits(nodes, low, high, asked[:-3], bound[:-3], scale, p)
+    assert np.mean([len(h) for h in inner]) < 0.25 * len(boxes)
+
+
 def test_extra_trees_leaf_values_are_class_shares(units):
     encoded = features.fit_ordinal(units).transform(units)
     model = extra_trees.fit(encoded, features.ORDINAL, "target", trees=2, max_depth=3, min_leaf=5)
