@@ -12,6 +12,7 @@ the values fits a task.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -97,6 +98,22 @@ def staged(df: DataFrame, name: str, rows_of_mb: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(table: DataFrame, name: str) -> DataFrame:
+    """Rows of some MB, written in buckets of their run: a join on the run moves the other side
+    alone. The table's name is needed for the write only and is dropped; its files stay."""
+    spark, path = table.sparkSession, work_path(table.sparkSession, name)
+    for own in _scopes:
+        own.append(path)
+    called = f"punctua_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (table.write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20)
+     .option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 4)
+     .option("path", path).bucketBy(parts, "run").saveAsTable(called, format="parquet"))
+    out = spark.table(called)
+    spark.sql(f"DROP TABLE {called}")
+    return out
+
+
 def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Staged runs of ``docs``: ids, sizes in bytes and texts; a null text is empty."""
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -125,7 +142,7 @@ def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES)
         if texts:
             yield row()
 
-    return staged(table.mapInArrow(run, RUN), "runs", rows_of_mb=True)
+    return bucketed(table.mapInArrow(run, RUN), "runs")
 
 
 def opened(row: dict) -> tuple[np.ndarray, list[bytes]]:
