@@ -115,6 +115,30 @@ def test_patience(spark):
     assert learners.patience_stop(df, 4).first()[0] == 8
 
 
+def test_network_stops_on_its_holdout(units):
+    """The series ends ten iterations after its best one, whose weights are the model."""
+    model = learners.fit("mlp", units, {"hidden_layer_sizes": (8,), "max_iter": 60}, 7)
+    series = [(r.iteration, r.loss) for r in model.info["losses"].orderBy("iteration").collect()]
+    best = model.info["best_iteration"]
+    assert [i for i, _ in series] == list(range(5, 5 * len(series) + 1, 5))
+    assert best == min(series, key=lambda r: (r[1], r[0]))[0]
+    assert series[-1][0] == 60 or series[-1][0] - best == 10
+    plain = learners.fit("mlp", units, {"hidden_layer_sizes": (8,), "max_iter": 5,
+                                        "early_stopping": False}, 7)
+    assert "losses" not in plain.info and auc(plain.score(units).collect()) > 0.5
+
+
+def test_svm_planes_are_optimal_in_every_fold(units):
+    from punctua.operators import newton
+    model = learners.fit("linear_svm", units, {"cv": 2, "C": 0.5}, 7)
+    encoded = stage(model.info["encoded"].select(
+        "fold", "features", F.col("target").cast("double").alias("label")))
+    assert len(model.info["planes"]) == len(model.state.numbers["sigmoids"]) == 2
+    for fold, plane in enumerate(model.info["planes"]):
+        gradient = newton.hinge_gradient(encoded.where(F.col("fold") != fold), plane, 0.5)
+        assert gradient.agg(F.max(F.abs("gradient"))).first()[0] < 1e-6
+
+
 def test_early_stopping_reports_a_round(units):
     model = learners.early_stopped("xgboost", units, {"max_depth": 3, "learning_rate": 0.5},
                                    7, "unit_id", 6, 2)
