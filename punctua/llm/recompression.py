@@ -248,7 +248,7 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35,
           run_bytes: int = R.RUN_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every document."""
-    table = R.packed(docs, doc_id, text, run_bytes)
+    table = R.packed(docs, doc_id, text, run_bytes, in_buckets=True)
     n = R.buckets(docs)
     kind = docs.schema[doc_id].dataType
     id_kind = pa.int64() if kind.simpleString() == "bigint" else pa.int32()

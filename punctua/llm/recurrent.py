@@ -575,7 +575,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     remainder: int = 1) -> DataFrame:
     """Base and model log10-likelihood of every document; learned from documents whose crc32 of
     the id's text does not leave ``remainder`` in a division by ``parts``."""
-    table, n = R.packed(docs, doc_id, text), R.buckets(docs)
+    table, n = R.packed(docs, doc_id, text, in_buckets=True), R.buckets(docs)
 
     def ask(row: dict) -> Iterator[pa.RecordBatch]:
         ids, texts = R.opened(row)

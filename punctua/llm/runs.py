@@ -114,8 +114,12 @@ def bucketed(table: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Staged runs of ``docs``: ids, sizes in bytes and texts; a null text is empty."""
+def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES,
+           in_buckets: bool = False) -> DataFrame:
+    """Staged runs of ``docs``: ids, sizes in bytes and texts; a null text is empty.
+
+    ``in_buckets`` writes them so that answers move to the runs and not runs to answers.
+    """
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,8 @@ def packed(docs: DataFrame, doc_id: str, text: str, run_bytes: int = RUN_BYTES)
         if texts:
             yield row()
 
-    return bucketed(table.mapInArrow(run, RUN), "runs")
+    rows = table.mapInArrow(run, RUN)
+    return bucketed(rows, "runs") if in_buckets else staged(rows, "runs", rows_of_mb=True)
 
 
 def opened(row: dict) -> tuple[np.ndarray, list[bytes]]:
