@@ -13,7 +13,10 @@ A first exchange drops postings that one set alone has. A list is then read in s
   these overlaps are computed; a second pivot is taken from the sets that did not join the first.
   Then all lists are read: sets of one component need no further answer, for the others the
   overlap with the pivot bounds the overlap with each other, and pairs that cannot link are
-  skipped. What is left meets pairwise.
+  skipped. What is left meets pairwise;
+* by sketches: a set's sketch has the parity of its shingles per bit of their hash. Two sketches
+  differ in no more bits than their sets differ in shingles, so pairs whose sketches differ in more
+  than linked sets may do are skipped before their sets are read.
 
 So a list costs its length per pivot, not its square, and the pairs computed are exact. Overlaps
 are counted on whole sets of 64-bit shingle hashes.
@@ -48,6 +51,7 @@ SLOTS = 1 << 18  # counters of shingle frequencies
 GROUP = 256  # sets that meet a pivot in one task
 LISTS = 8  # one list of so many has pivots
 SENT = 1_000_000  # numbers of 8 bytes that may be broadcast
+SKETCH = [f"s{k}" for k in range(8)]  # words of a sketch, 64 bits each
 
 
 def sets_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -72,11 +76,25 @@ def prefix_of(values: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarra
     return values[order[:n - -(-percent * n // 100) + 1]]
 
 
+def sketch_of(values: np.ndarray) -> np.ndarray:
+    """Parities of the shingles per bit, as 64-bit words."""
+    bits = np.bincount((values & U(64 * len(SKETCH) - 1)).astype(np.int64),
+                       minlength=64 * len(SKETCH)) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def rarities(table: DataFrame, size: int) -> np.ndarray:
     """Of each counter the power of two of its shingles' occurrences, over all documents."""
     def add(row: dict, counts: np.ndarray) -> None:
+        waiting, held = [], 0
         for values in sets_of(R.opened(row)[1], size):
-            counts += np.bincount((values >> U(46)).astype(np.int64), minlength=SLOTS)
+            waiting.append(values >> U(46))
+            held += len(values)
+            if held >= 4 * SLOTS:  # counters are added once for many texts
+                counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SLOTS)
+                waiting, held = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SLOTS)
 
     counts = R.summed(table, SLOTS, add)
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
@@ -136,7 +154,8 @@ def number_of(run: int, place):
 
 def described(table: DataFrame, kind: str, size: int, percent: int
               ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, name) of rows; (name, set) of sets; postings (token, set, n, place, central).
+    """(doc_id, n, name) of rows; (name, set, sketch) of sets; postings (token, set, n, place,
+    central).
 
     A set has one number, given by the first run that holds it; sets and postings are those
     with shingles that several sets have in their prefixes.
@@ -154,7 +173,8 @@ def described(table: DataFrame, kind: str, size: int, percent: int
     def answer(asked: list[bytes]) -> list[bytes]:
         return first_runs(asked) if asked[0][:1] == b"N" else R.several(asked)
 
-    schema = "doc_id bigint, name binary, set bigint, token bigint, n int, place int, central int"
+    schema = ("doc_id bigint, name binary, set bigint, token bigint, n int, place int, central int, "
+              + ", ".join(f"{c} bigint" for c in SKETCH))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def batch(count: int, **columns) -> pa.RecordBatch:
@@ -180,7 +200,10 @@ def described(table: DataFrame, kind: str, size: int, percent: int
         numbers = number_of(row["run"], np.array([own.place[s] for s in own.names], dtype=np.int64))
         counts = np.array([len(v) for v in own.values], dtype=np.int32)
         k = np.flatnonzero(wanted)
-        yield batch(len(k), name=[own.names[x] for x in k.tolist()], set=numbers[k])
+        sketches = np.array([sketch_of(own.values[x]) for x in k.tolist()],
+                            dtype=np.int64).reshape(len(k), len(SKETCH))
+        yield batch(len(k), name=[own.names[x] for x in k.tolist()], set=numbers[k],
+                    **dict(zip(SKETCH, np.ascontiguousarray(sketches.T))))
         k = np.flatnonzero(told & wanted[which]) if len(which) else which
         if len(k):
             yield batch(len(k), set=numbers[which[k]], token=own.tokens[k].view(np.int64),
@@ -191,7 +214,7 @@ def described(table: DataFrame, kind: str, size: int, percent: int
     rows = R.staged(R.mapped(R.returned(table, shared, "shared"), post, schema), "described")
     docs = rows.where("token IS NULL AND set IS NULL").select(
         F.col("doc_id").cast(kind).alias("doc_id"), "n", "name")
-    sets = rows.where("token IS NULL AND set IS NOT NULL").select("name", "set")
+    sets = rows.where("token IS NULL AND set IS NOT NULL").select("name", "set", *SKETCH)
     return docs, sets, rows.where("token IS NOT NULL").select(
         "token", "set", "n", "place", "central")
 
@@ -200,6 +223,19 @@ def may_link(n: Column, m: Column, overlap: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
+def near(n: Column, m: Column, percent: int, other: str = "_b") -> Column:
+    """Whether the sketches allow a link: they differ in at most n + m - 2 * overlap bits."""
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + other))) for c in SKETCH), F.lit(0))
+    return (100 + percent) * (n + m - differing) >= 2 * percent * (n + m)
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n, m) whose sketches allow a link."""
+    other = sketches.select(F.col("set").alias("b"), *[F.col(c).alias(c + "_b") for c in SKETCH])
+    met = pairs.join(sketches.withColumnRenamed("set", "a"), "a").join(other, "b")
+    return met.where(near(F.col("n"), F.col("m"), percent)).select("a", "b", "n", "m")
+
+
 def bounded(met: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n, m) whose shared prefix shingles allow enough overlap.
 
@@ -337,16 +373,18 @@ def _named(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, piv
     some = R.staged(postings.where(F.pmod("token", F.lit(LISTS)) == 0), "some")
     open_ = some.join(some.groupBy("set").agg(F.count("*").alias("lists")), "set").withColumn(
         "component", F.col("set")).withColumn("passed", F.lit(False))
+    sketches = sets.select("set", *SKETCH)
     links = known = None
     for _ in range(pivots):
         pairs, pivot = _pivot_pairs(open_, percent)
-        found = overlaps(table, pairs, size)
+        found = overlaps(table, sketched(pairs, sketches, percent), size)
         known = found if known is None else known.union(found)
         new = found.where(_is_link(percent)).select("a", "b")
         links = R.staged(new if links is None else links.union(new), "links")
         label = R.staged(components(links), "labels")
         open_ = _still_open(open_.drop("component"), pivot, label)
-    found = grouped_overlaps(table, _other_pairs(postings, label, known, percent), size)
+    found = grouped_overlaps(table, _other_pairs(postings, label, known, sketches, percent),
+                             size)
     links = links.union(found.where(_is_link(percent)).select("a", "b"))
     label = components(links).withColumnRenamed("node", "set")
     label = sets.select("name", "set").join(label, "set").select("name", "component")
@@ -396,11 +434,12 @@ def _still_open(open_: DataFrame, pivot: DataFrame, label: DataFrame) -> DataFra
     return R.staged(left.withColumn("passed", passed).drop("joined"), "open")
 
 
-def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, sketches: DataFrame,
+                 percent: int) -> DataFrame:
     """All pairs of different components that share a list and may link.
 
     The most central set of a list is what the others are compared by: their known overlaps
-    with it bound the overlap with each other.
+    with it bound the overlap with each other, as their sketches do.
     """
     left = postings.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.coalesce("component", "set"))
@@ -410,24 +449,28 @@ def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, percen
         "token", F.col("p.set").alias("a"), F.col("p.n").alias("pn"))
     own = left.join(several, "token").join(
         known.groupBy("a", F.col("b").alias("set")).agg(F.max("overlap").alias("overlap")),
-        ["a", "set"], "left")
+        ["a", "set"], "left").join(sketches, "set")
     itself = F.col("a") == F.col("set")
     low = F.when(itself, F.col("n")).otherwise(F.coalesce("overlap", F.lit(1)))
     high = F.when(itself, F.col("n")).otherwise(F.coalesce("overlap", F.least("n", "pn")))
-    # Size classes: sets that may link are in one class or in neighbouring ones.
+    # Size classes: sets that may link are in one class or in neighbouring ones, and the set of the
+    # smaller class is then b.
     own = R.staged(own.select(
         "token", "set", "n", "place", "component", low.alias("low"), high.alias("high"),
-        F.floor(F.log(F.col("n")) / np.log(100 / percent)).alias("class")), "open")
+        F.floor(F.log(F.col("n")) / np.log(100 / percent)).alias("class"), *SKETCH), "open")
     other = own.select(
-        "token", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"),
+        "token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"),
+        F.col("class").alias("class_b"),
         F.col("set").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"),
         F.col("component").alias("component_b"), F.col("low").alias("low_b"),
-        F.col("high").alias("high_b"))
+        F.col("high").alias("high_b"), *[F.col(c).alias(c + "_b") for c in SKETCH])
     most = (F.least("high", "high_b")
             + F.least(F.col("n") - F.col("low"), F.col("m") - F.col("low_b")))
     met = own.join(other, ["token", "class"]).where(
-        (F.col("set") < F.col("b")) & (F.col("component") != F.col("component_b"))
-        & may_link(F.col("n"), F.col("m"), F.least(most, F.col("n"), F.col("m")), percent)).select(
+        ((F.col("set") < F.col("b")) | (F.col("class_b") < F.col("class")))
+        & (F.col("component") != F.col("component_b"))
+        & may_link(F.col("n"), F.col("m"), F.least(most, F.col("n"), F.col("m")), percent)
+        & near(F.col("n"), F.col("m"), percent)).select(
         F.col("set").alias("a"), "b", "n", "m", F.col("place").alias("i"), "j")
     return bounded(met, percent)
 

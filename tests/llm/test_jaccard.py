@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from llm_brute import empty, frame, linked, ordered, some_rows
 from punctua.llm import jaccard
@@ -57,3 +58,29 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame(list(zip(names[:-1], names[1:])), "a bigint, b bigint")
     label = {r["node"]: r["component"] for r in jaccard.components(edges).collect()}
     assert set(label) == set(names) and set(label.values()) == {min(names)}
+
+
+def test_texts_of_common_sentences_are_skipped(spark, monkeypatch):
+    """Texts that share many sentences and yet do not link are not compared pair by pair."""
+    rng = random.Random(3)
+    pool = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(12)) for _ in range(40)]
+    rows = [(i, " ".join(rng.sample(pool, 30))) for i in range(80)]
+    rows += [(100 + i, t + " more") for i, t in rows[:10]]
+    compared = []
+    for name in ("overlaps", "grouped_overlaps"):
+        plain = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda table, pairs, size, plain=plain: (
+            compared.append(pairs.count()), plain(table, pairs, size))[1])
+    got = jaccard.linked(frame(spark, rows)).collect()
+    assert ordered(got) == ordered(linked(rows))
+    assert sum(compared) < 100
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 3000):
+        one = rng.integers(0, 1 << 63, size=n, dtype=np.uint64)
+        other = np.concatenate([one[:n // 2], rng.integers(0, 1 << 63, size=n, dtype=np.uint64)])
+        bits = np.bitwise_count(jaccard.sketch_of(one) ^ jaccard.sketch_of(other)).sum()
+        assert bits <= len(np.setxor1d(one, other))
+        assert not (jaccard.sketch_of(one) ^ jaccard.sketch_of(one[::-1])).any()
