@@ -9,11 +9,11 @@ A first exchange drops postings that one set alone has. A list is then read in s
 
 * by size and position: from the places of a pair's shared prefix shingles follows the largest
   overlap it can have; lists are cut into size classes, and only neighbouring ones meet;
-* by answers: some lists, one of LISTS by hash, first meet a pivot, their most central set, and
-  these overlaps are computed; a second pivot is taken from the sets that did not join the first.
-  Then all lists are read: sets of one component need no further answer, for the others the
-  overlap with the pivot bounds the overlap with each other, and pairs that cannot link are
-  skipped. What is left meets pairwise;
+* by answers: some lists, one of LISTS by hash and more of short sets, first meet a pivot, their
+  most central set, and these overlaps are computed; a second pivot is taken from the sets that
+  did not join the first. Then all lists are read: sets of one component need no further answer,
+  for the others the overlap with the pivot bounds the overlap with each other, and pairs that
+  cannot link are skipped. What is left meets pairwise;
 * by sketches: a set's sketch has the parity of its shingles per bit of their hash. Two sketches
   differ in no more bits than their sets differ in shingles, so pairs whose sketches differ in more
   than linked sets may do are skipped before their sets are read.
@@ -49,7 +49,8 @@ from punctua.llm import words as W
 U = np.uint64
 SLOTS = 1 << 18  # counters of shingle frequencies
 GROUP = 256  # sets that meet a pivot in one task
-LISTS = 8  # one list of so many has pivots
+LISTS = 8  # one list of so many has pivots; a power of two
+LEAST_LISTS = 6  # lists with pivots that a set has by expectation, if it has so many
 SENT = 1_000_000  # numbers of 8 bytes that may be broadcast
 SKETCH = [f"s{k}" for k in range(8)]  # words of a sketch, 64 bits each
 
@@ -210,8 +211,10 @@ def described(table: DataFrame, kind: str, size: int, percent: int
                         n=counts[which[k]], place=place[k].astype(np.int32),
                         central=central[which[k]])
 
-    shared = R.staged(R.answered(R.mapped(table, ask, R.ASKED), answer), "shared")
-    rows = R.staged(R.mapped(R.returned(table, shared, "shared"), post, schema), "described")
+    with R.scope() as folders:
+        shared = R.staged(R.answered(R.mapped(table, ask, R.ASKED), answer), "shared")
+        rows = R.staged(R.mapped(R.returned(table, shared, "shared"), post, schema), "described")
+    R.removed(spark, folders[:-1])
     docs = rows.where("token IS NULL AND set IS NULL").select(
         F.col("doc_id").cast(kind).alias("doc_id"), "n", "name")
     sets = rows.where("token IS NULL AND set IS NOT NULL").select("name", "set", *SKETCH)
@@ -223,9 +226,9 @@ def may_link(n: Column, m: Column, overlap: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def near(n: Column, m: Column, percent: int, other: str = "_b") -> Column:
+def near(n: Column, m: Column, percent: int, words: list[str] = SKETCH) -> Column:
     """Whether the sketches allow a link: they differ in at most n + m - 2 * overlap bits."""
-    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + other))) for c in SKETCH), F.lit(0))
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_b"))) for c in words), F.lit(0))
     return (100 + percent) * (n + m - differing) >= 2 * percent * (n + m)
 
 
@@ -285,7 +288,13 @@ OVERLAP = "a bigint, b bigint, n int, m int, overlap int"
 
 def overlaps(table: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """``pairs`` with the exact overlap; a's set meets b's in parts of bounded size."""
-    pairs = R.staged(pairs, "pairs")
+    with R.scope() as folders:
+        found = _overlaps(table, R.staged(pairs, "pairs"), size)
+    R.removed(table.sparkSession, folders[:-1])
+    return found
+
+
+def _overlaps(table: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     sets = R.staged(values_of(table, pairs.select(F.col("a").alias("set")).union(
         pairs.select("b")), size), "sets")
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
@@ -308,7 +317,17 @@ def grouped_overlaps(table: DataFrame, pairs: DataFrame, size: int) -> DataFrame
 
     Groups of more than ``GROUP`` sets go by pairs.
     """
-    pairs = R.staged(pairs, "pairs")
+    with R.scope() as folders:
+        pairs = R.staged(pairs, "pairs")
+        found, large = _grouped(table, pairs, size)
+    if large is not None:
+        found = found.union(overlaps(table, large, size))
+    R.removed(table.sparkSession, folders[:-1])
+    return found
+
+
+def _grouped(table: DataFrame, pairs: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """(overlaps of pairs in small groups, pairs in large ones if there are any)."""
     label = components(pairs)
     sizes = label.groupBy("component").agg(F.count("*").alias("sets"))
     label = R.staged(label.join(sizes, "component"), "groups")
@@ -326,7 +345,7 @@ def grouped_overlaps(table: DataFrame, pairs: DataFrame, size: int) -> DataFrame
         dealt.where(F.col("sets") <= GROUP).groupBy("component")).applyInPandas(meet, OVERLAP),
         "overlaps")
     large = dealt.where(F.col("sets") > GROUP).select("a", "b", "n", "m")
-    return found if large.isEmpty() else found.union(overlaps(table, large, size))
+    return found, None if large.isEmpty() else large
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -336,7 +355,15 @@ def components(edges: DataFrame) -> DataFrame:
     staged, and its rows never outnumber the edges.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges, known = R.staged(edges.distinct(), "edges"), None
+    with R.scope() as folders:
+        edges = _contracted(R.staged(edges.distinct(), "edges"), folders)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _contracted(edges: DataFrame, folders: list[str]) -> DataFrame:
+    """Edges (u, v) of each node u to its component's smallest, v; earlier steps are removed."""
+    known = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least"))
@@ -348,13 +375,13 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.where("v <> x").select(F.col("v").alias("u"), F.col("x").alias("v")).union(
             least.select("u", F.col("x").alias("v")))
         edges = R.staged(small.distinct(), "edges")
+        R.removed(edges.sparkSession, folders[:-1])
+        del folders[:-1]
         # A sum of hashes tells whether the edges changed.
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == known:
-            break
+            return edges
         known = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4,
@@ -370,7 +397,7 @@ def _named(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, piv
     rows, sets, postings = described(table, docs.schema[doc_id].dataType.simpleString(), size,
                                      percent)
     # Any lists do for the pivots; a part of them, by hash of the shingle, finds most links.
-    some = R.staged(postings.where(F.pmod("token", F.lit(LISTS)) == 0), "some")
+    some = R.staged(postings.where(_has_pivot(percent)), "some")
     open_ = some.join(some.groupBy("set").agg(F.count("*").alias("lists")), "set").withColumn(
         "component", F.col("set")).withColumn("passed", F.lit(False))
     sketches = sets.select("set", *SKETCH)
@@ -383,8 +410,11 @@ def _named(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, piv
         links = R.staged(new if links is None else links.union(new), "links")
         label = R.staged(components(links), "labels")
         open_ = _still_open(open_.drop("component"), pivot, label)
-    found = grouped_overlaps(table, _other_pairs(postings, label, known, sketches, percent),
-                             size)
+    with R.scope() as folders:
+        pairs = R.staged(sketched(_other_pairs(postings, label, known, sketches, percent),
+                                  sketches, percent), "pairs")
+    R.removed(docs.sparkSession, folders[:-1])
+    found = grouped_overlaps(table, pairs, size)
     links = links.union(found.where(_is_link(percent)).select("a", "b"))
     label = components(links).withColumnRenamed("node", "set")
     label = sets.select("name", "set").join(label, "set").select("name", "component")
@@ -402,6 +432,15 @@ def _is_link(percent: int) -> Column:
     return may_link(F.col("n"), F.col("m"), F.col("overlap"), percent)
 
 
+def _has_pivot(percent: int) -> Column:
+    """Whether a posting is in a list with pivots: of sets with short prefixes more lists are."""
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    share = F.lit(1)
+    for k in range(1, LISTS.bit_length()):
+        share = F.when(prefix >= LEAST_LISTS << k, F.lit(1 << k)).otherwise(share)
+    return F.pmod(F.col("token"), share) == 0
+
+
 def _pivot_pairs(open_: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs of every open list's pivot with its other sets, the pivots).
 
@@ -441,6 +480,8 @@ def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, sketch
     The most central set of a list is what the others are compared by: their known overlaps
     with it bound the overlap with each other, as their sketches do.
     """
+    half = len(SKETCH) // 2  # sketches travel folded, and meet whole where two sets are left
+    folded = [F.col(c).bitwiseXOR(F.col(d)).alias(c) for c, d in zip(SKETCH[:half], SKETCH[half:])]
     left = postings.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.coalesce("component", "set"))
     several = left.groupBy("token").agg(
@@ -449,7 +490,8 @@ def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, sketch
         "token", F.col("p.set").alias("a"), F.col("p.n").alias("pn"))
     own = left.join(several, "token").join(
         known.groupBy("a", F.col("b").alias("set")).agg(F.max("overlap").alias("overlap")),
-        ["a", "set"], "left").join(sketches, "set")
+        ["a", "set"], "left").join(sketches.select("set", *folded), "set")
+    words = SKETCH[:len(folded)]
     itself = F.col("a") == F.col("set")
     low = F.when(itself, F.col("n")).otherwise(F.coalesce("overlap", F.lit(1)))
     high = F.when(itself, F.col("n")).otherwise(F.coalesce("overlap", F.least("n", "pn")))
@@ -457,20 +499,20 @@ def _other_pairs(postings: DataFrame, label: DataFrame, known: DataFrame, sketch
     # smaller class is then b.
     own = R.staged(own.select(
         "token", "set", "n", "place", "component", low.alias("low"), high.alias("high"),
-        F.floor(F.log(F.col("n")) / np.log(100 / percent)).alias("class"), *SKETCH), "open")
+        F.floor(F.log(F.col("n")) / np.log(100 / percent)).alias("class"), *words), "open")
     other = own.select(
         "token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"),
         F.col("class").alias("class_b"),
         F.col("set").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"),
         F.col("component").alias("component_b"), F.col("low").alias("low_b"),
-        F.col("high").alias("high_b"), *[F.col(c).alias(c + "_b") for c in SKETCH])
+        F.col("high").alias("high_b"), *[F.col(c).alias(c + "_b") for c in words])
     most = (F.least("high", "high_b")
             + F.least(F.col("n") - F.col("low"), F.col("m") - F.col("low_b")))
     met = own.join(other, ["token", "class"]).where(
         ((F.col("set") < F.col("b")) | (F.col("class_b") < F.col("class")))
         & (F.col("component") != F.col("component_b"))
         & may_link(F.col("n"), F.col("m"), F.least(most, F.col("n"), F.col("m")), percent)
-        & near(F.col("n"), F.col("m"), percent)).select(
+        & near(F.col("n"), F.col("m"), percent, words)).select(
         F.col("set").alias("a"), "b", "n", "m", F.col("place").alias("i"), "j")
     return bounded(met, percent)
 

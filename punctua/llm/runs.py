@@ -58,6 +58,12 @@ def removed(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared(spark: SparkSession, value) -> Broadcast:
     """A broadcast of a fitted object together with its class, as workers lack this package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -93,8 +99,7 @@ def staged(df: DataFrame, name: str, rows_of_mb: bool = False) -> DataFrame:
     writer.parquet(path)
     schema = df.schema
     del df, writer
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    released(spark)
     return spark.read.schema(schema).parquet(path)
 
 

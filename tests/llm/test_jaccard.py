@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from llm_brute import empty, frame, linked, ordered, some_rows
-from punctua.llm import jaccard
+from punctua.llm import jaccard, runs
 
 
 @pytest.mark.parametrize("seed,size,percent", [(1, 4, 85), (5, 5, 80)])
@@ -84,3 +84,22 @@ def test_sketches_bound_the_difference():
         bits = np.bitwise_count(jaccard.sketch_of(one) ^ jaccard.sketch_of(other)).sum()
         assert bits <= len(np.setxor1d(one, other))
         assert not (jaccard.sketch_of(one) ^ jaccard.sketch_of(one[::-1])).any()
+
+
+def test_short_sets_have_lists_with_pivots(spark):
+    """Sets of few prefix shingles would else meet no pivot, and their groups pair by pair."""
+    rows = spark.createDataFrame([(t, 30 if t % 2 else 2000) for t in range(64)], "token bigint, n int")
+    got = rows.where(jaccard._has_pivot(85)).collect()
+    assert sum(r.n == 30 for r in got) == 32 and sum(r.n == 2000 for r in got) == 8
+
+
+def test_staged_tables_are_removed(spark):
+    """Of a chain of contractions only the last edges stay on disk."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a bigint, b bigint")
+    with runs.scope() as folders:
+        label = jaccard.components(edges)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [hadoop.Path(f) for f in folders]
+    assert len(paths) > 2 and sum(p.getFileSystem(conf).exists(p) for p in paths) == 1
+    assert {r["component"] for r in label.collect()} == {0}
