@@ -23,11 +23,12 @@ _left: dict[str, list[str]] = {}  # folders that the last stage of an applicatio
 
 
 def _alone(function: Callable) -> Callable:
-    """A stage that begins by removing what the stage before it staged."""
+    """A stage that begins by removing what the stage before it staged and shuffled."""
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         key = spark.sparkContext.applicationId
         runs.removed(spark, _left.pop(key, []))
+        runs.released(spark)
         with runs.scope() as folders:
             out = function(spark, docs, sf_dir)
         _left[key] = folders
