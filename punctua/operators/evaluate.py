@@ -142,8 +142,10 @@ def bootstrap_cells(table: DrawTable, replicates: tuple[int, int], seed: str) ->
     draws = spark.range(n * first, n * last, 1, tasks).select(
         F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("draw"))
     key = F.concat(F.col("replicate").cast("string"), F.lit("|"), F.col("draw").cast("string"))
-    at = draws.select("replicate", (seeded_hash(seed, key) % F.lit(n)).alias("at")).withColumn(
-        "block", F.expr(f"at div {BLOCK}"))
+    # No hash is null. Where Spark knows it, the join filters no nulls and each hash is taken once.
+    row = F.coalesce(seeded_hash(seed, key) % F.lit(n), F.lit(0).cast("bigint"))
+    at = draws.select("replicate", row.alias("at")).withColumn(
+        "block", F.coalesce(F.expr(f"at div {BLOCK}"), F.lit(0).cast("bigint")))
     # The cell is the first one that ends behind the row: ends up to the row lie before it.
     found = order.locate(at.join(table.blocks, "block").withColumn("next", F.col("at") + 1), "end",
                          "next", "_k", table.widest)

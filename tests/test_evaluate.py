@@ -76,6 +76,13 @@ def test_draws_lead_to_the_rows_of_the_score_order(spark, monkeypatch, block):
     assert got == want
 
 
+def test_a_draw_is_hashed_once(spark, capsys):
+    """No filter of the join takes the hash a second time."""
+    rows = frame(spark, {"m": [(i / 30, i % 2) for i in range(30)]}).drop("model")
+    evaluate.bootstrap_cells(evaluate.draw_table(rows), (0, 2), "s").explain()
+    assert capsys.readouterr().out.count("md5(") == 1
+
+
 def test_calibration_keeps_ties_together(spark):
     rows = frame(spark, {"m": [(.5, i % 2) for i in range(20)] + [(.1, 0), (.9, 1)]})
     table = evaluate.calibration(rows, 4).orderBy("bin").collect()
