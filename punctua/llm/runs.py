@@ -65,12 +65,15 @@ def released(spark: SparkSession) -> None:
 
 
 def shared(spark: SparkSession, value) -> Broadcast:
-    """A broadcast of a fitted object together with its class, as workers lack this package."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    """A broadcast of a fitted object together with its class, as workers lack this package.
+
+    Each executor and the driver keep it in a file, so it is compressed: fitted weights are mostly
+    zeros."""
+    return spark.sparkContext.broadcast(press(cloudpickle.dumps(value)))
 
 
 def given(sent: Broadcast):
-    return cloudpickle.loads(sent.value)
+    return cloudpickle.loads(unpress(sent.value))
 
 
 def press(data: bytes) -> bytes:

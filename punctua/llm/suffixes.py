@@ -403,11 +403,14 @@ def op1_suffixes(spark, sf_dir: str) -> DataFrame:
 def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts; rows left without words go.
 
-    Rows that lose nothing stay as they are, null and empty texts too.
+    Rows that lose nothing stay as they are, null and empty texts too. What is cut is staged, so
+    that the runs and what they shuffled are gone before ``docs`` are shuffled.
     """
-    cut = dedup(docs, doc_id, text, **options).where("n_removed > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"),
-        F.col("kept").alias("__kept")).dropDuplicates(["__id", "__md5"])
+    with R.scope() as folders:
+        cut = R.staged(dedup(docs, doc_id, text, **options).where("n_removed > 0").select(
+            F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"),
+            F.col("kept").alias("__kept")).dropDuplicates(["__id", "__md5"]), "cut")
+    R.removed(docs.sparkSession, folders[:-1])
     joined = docs.join(cut, docs[doc_id].eqNullSafe(F.col("__id"))
                        & (F.md5(docs[text]) == F.col("__md5")), "left")
     whole = F.col("__md5").isNull()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from llm_brute import empty, frame
 from punctua.llm import html, language, quality
+from punctua.llm import runs as R
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -170,3 +171,12 @@ def test_smoothing_keeps_level_and_spreads_peaks():
     assert np.allclose(html.smoothed(np.full(9, 5.0)), 5.0)
     peak = html.smoothed(np.array([0, 0, 0, 0, 9.0, 0, 0, 0, 0]))
     assert peak.argmax() == 4 and peak[3] == peak[5] > peak[2] > 0
+
+
+def test_shared_weights_travel_compressed(spark):
+    """Every executor keeps a file of what is shared; weights are mostly zeros."""
+    weights = np.zeros(1 << 20)
+    weights[::1000] = 0.5
+    sent = R.shared(spark, quality.Model(weights, 1.0, 0.0, 0.5))
+    assert len(sent.value) < weights.nbytes // 20
+    assert (R.given(sent).weights == weights).all()

@@ -1,9 +1,12 @@
 """Suffix and recompression dedup against plain versions."""
 
+import os
+
 import numpy as np
 import pytest
 from llm_brute import empty, frame, ordered, removed_bytes, removed_words, some_rows
 from punctua.llm import recompression, suffixes
+from punctua.llm import runs as R
 
 ONE = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 FIVE = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -83,3 +86,14 @@ def test_cut_texts_keep_columns_and_untouched_rows(spark):
     assert all(x in left for x in whole)
     gone = sum(1 for k, (i, t) in enumerate(rows) if 0 < len((t or "").encode()) == plain[i, t][2])
     assert cut.count() <= len(rows) - gone
+
+
+def test_cut_texts_leave_no_runs_behind(spark, capsys):
+    """The join with the documents reads what is cut; runs and answers are removed before it."""
+    docs = frame(spark, some_rows(4))
+    with R.scope() as folders:
+        cut = suffixes.cut_texts(docs)
+    cut.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    assert [os.path.exists(f.removeprefix("file:")) for f in folders] == [False] * (
+        len(folders) - 1) + [True]
