@@ -77,7 +77,11 @@ class Words:
     """Distinct tokens of a run and their places in buckets."""
 
     def __init__(self, hashes: np.ndarray, n: int):
-        self.keys, self.inverse = np.unique(hashes, return_inverse=True)
+        place, found = pd.factorize(hashes)
+        order = np.argsort(found)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, self.inverse = found[order], rank[place]
         bucket = (self.keys % np.uint64(n)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[self.order], prepend=-1))
@@ -253,6 +257,7 @@ class Network:
         self.flat = np.zeros(self.size, np.float32) if fresh else flat.astype(np.float32)
         self.w, at = self.views(self.flat, shapes), 0
         self.shapes = shapes
+        self.rooms: dict[str, np.ndarray] = {}
         if fresh:
             rng = np.random.Generator(np.random.PCG64(11))
             for name in ("embed", "wx", "ug", "uc"):
@@ -274,36 +279,49 @@ class Network:
             at += size
         return out
 
-    def steps(self, inputs: np.ndarray, state: np.ndarray, table: np.ndarray, keep: bool = False):
-        """States after each step; ``inputs`` is steps x lanes, a start clears a lane's state."""
-        h, twice = state, 2 * HIDDEN
-        ug, uc = -self.w["ug"], -2.0 * self.w["uc"]
-        out = np.empty((*inputs.shape, HIDDEN), state.dtype)
-        kept = []
+    def room(self, name: str, shape: tuple, dtype) -> np.ndarray:
+        """An array for one window, whose memory the next window takes again: to get fresh memory
+        for each costs a fifth of the training."""
+        size, own = int(np.prod(shape)), self.rooms.get(name)
+        if own is None or own.size < size or own.dtype != dtype:
+            own = self.rooms[name] = np.empty(size, dtype)
+        return own[:size].reshape(shape)
+
+    def steps(self, inputs: np.ndarray, state: np.ndarray, table: list[np.ndarray],
+              keep: bool = False):
+        """States after each step; ``inputs`` is steps x lanes, a start clears a lane's state.
+
+        Gates lie in arrays of their own, kept for the gradient. What is returned but the last
+        state holds until the next call."""
+        h, (of_z, of_r, of_c) = state, table
+        uz, ur = (np.ascontiguousarray(-u) for u in np.split(self.w["ug"], 2, axis=1))
+        out = self.room("out", (*inputs.shape, HIDDEN), state.dtype)
+        held = self.room("held", (5, len(inputs) if keep else 1, *state.shape), state.dtype)
         clear = inputs == self.start
         before = np.seterr(over="ignore")
         for t, any_clear in enumerate(clear.any(axis=1).tolist()):
-            x = table.take(inputs[t], axis=0)
+            own = inputs[t]
             if any_clear:
-                h = h * ~clear[t][:, None]
-            gates = h @ ug
-            gates += x[:, :twice]
-            _sigmoids(gates)
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            rh = r * h
-            c = rh @ uc
-            c += x[:, twice:]
-            _sigmoids(c)
-            c *= 2.0
-            c -= 1.0
+                h = h.copy()
+                h[clear[t]] = 0.0
+            was, z, r, rh, c = held[:, t if keep else 0]
             if keep:
-                kept.append((h, z, r, rh, c))
-            h = h - c
+                was[:] = h
+            np.matmul(h, uz, out=z)
+            z += of_z.take(own, axis=0)
+            _sigmoids(z)
+            np.matmul(h, ur, out=r)
+            r += of_r.take(own, axis=0)
+            _sigmoids(r)
+            np.multiply(r, h, out=rh)
+            np.matmul(rh, self.w["uc"], out=c)
+            c += of_c.take(own, axis=0)
+            np.tanh(c, out=c)
+            h = np.subtract(h, c, out=out[t])
             h *= z
             h += c
-            out[t] = h
         np.seterr(**before)
-        return out, h, kept
+        return out, h.copy(), held
 
     def classed(self, targets: np.ndarray) -> np.ndarray:
         return np.where(targets < self.words, targets // CLASS, targets - self.words + self.classes)
@@ -324,17 +342,18 @@ class Network:
             """Adds the logs of ``own``; returns the gradient by the logits."""
             logits = states[at] @ weights
             logits += bias
-            rows = np.arange(len(own))
-            if not -50.0 < logits[rows, own].min() or not logits.max() < 50.0:
+            cells = np.arange(0, logits.size, logits.shape[1]) + own
+            mine = logits.take(cells)
+            if not -50.0 < mine.min() or not logits.max() < 50.0:
                 logits -= logits.max(axis=1, keepdims=True)
-            found[at] += logits[rows, own]
+                mine = logits.take(cells)
             total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
-            found[at] -= np.log(total)
+            found[at] += mine - np.log(total)
             if slopes is None:
                 return None
-            logits /= total[:, None]
-            logits[rows, own] -= 1.0
-            logits /= n
+            total *= n
+            logits *= np.reciprocal(total, out=total)[:, None]
+            logits.reshape(-1)[cells] -= 1.0 / n
             return logits
 
         for a in range(0, n, CHUNK):  # pieces that stay in the cache
@@ -359,12 +378,11 @@ class Network:
         inverse[order] = np.arange(n)
         return out, None if back is None else back.take(inverse, axis=0)
 
-    def table(self) -> np.ndarray:
-        """What each token adds to the gates, scaled as ``steps`` takes it."""
+    def table(self) -> list[np.ndarray]:
+        """What each token adds to each gate, with the sign that ``steps`` takes."""
         x = self.w["embed"] @ self.w["wx"] + self.w["bx"]
         x[:, :2 * HIDDEN] *= -1.0
-        x[:, 2 * HIDDEN:] *= -2.0
-        return x
+        return [np.ascontiguousarray(part) for part in np.split(x, 3, axis=1)]
 
     def slopes(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray):
         """(gradient, state): truncated backpropagation through one window; targets below 0 are
@@ -372,41 +390,48 @@ class Network:
         w = self.w
         flat = np.zeros(self.size, np.float32)
         g = self.views(flat, self.shapes)
-        out, last, kept = self.steps(inputs, state, self.table(), keep=True)
+        out, last, held = self.steps(inputs, state, self.table(), keep=True)
         real = targets >= 0
-        back = np.zeros_like(out)
+        back = self.room("back", out.shape, out.dtype)
+        back[:] = 0.0
         _, back[real] = self.logs(out[real], targets[real], g)
-        dx = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
+        dx = self.room("dx", (3, *out.shape), out.dtype)  # by what each gate adds up
         dh = np.zeros_like(state)
-        ut, ct = np.ascontiguousarray(w["ug"].T), np.ascontiguousarray(w["uc"].T)
+        uzt, urt, uct = (np.ascontiguousarray(u.T) for u in (
+            *np.split(w["ug"], 2, axis=1), w["uc"]))
         clear = inputs == self.start
+        any_clear = clear.any(axis=1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
-            h, z, r, rh, c = kept[t]
+            h, z, r, rh, c = held[:, t]
+            dz, dr, dc = dx[:, t]
             dh += back[t]
             keep = dh * z
-            dc = np.subtract(dh, keep, out=dx[t, :, 2 * HIDDEN:])
-            dc *= 1.0 - c * c
-            drh = dc @ ct
-            gates = dx[t, :, :2 * HIDDEN]
-            dz, dr = gates[:, :HIDDEN], gates[:, HIDDEN:]
+            np.subtract(dh, keep, out=dc)
             np.subtract(h, c, out=dz)
+            c *= c
+            dc *= np.subtract(1.0, c, out=c)
+            drh = dc @ uct
             dz *= keep
-            dz *= 1.0 - z
+            dz *= np.subtract(1.0, z, out=z)
             drh *= r
             np.multiply(drh, h, out=dr)
-            dr *= 1.0 - r
-            dh = gates @ ut
+            dr *= np.subtract(1.0, r, out=r)
+            dh = np.matmul(dz, uzt, out=dh)
+            dh += dr @ urt
             dh += keep
             dh += drh
-            if clear[t].any():
-                dh *= ~clear[t][:, None]
-        flat_dx = dx.reshape(-1, 3 * HIDDEN)
-        g["ug"] += np.concatenate([k[0] for k in kept]).T @ flat_dx[:, :2 * HIDDEN]
-        g["uc"] += np.concatenate([k[3] for k in kept]).T @ flat_dx[:, 2 * HIDDEN:]
+            if any_clear[t]:
+                dh[clear[t]] = 0.0
+        was, _, _, rh, _ = held.reshape(5, -1, HIDDEN)
         tokens = inputs.ravel()
-        g["bx"] += flat_dx.sum(axis=0)
-        g["wx"] += w["embed"][tokens].T @ flat_dx
-        pulls = flat_dx @ w["wx"].T
+        read, ones = w["embed"][tokens].T, np.ones(len(tokens), out.dtype)
+        pulls = np.zeros((len(tokens), EMBED), out.dtype)
+        for k, part in enumerate(dx.reshape(3, -1, HIDDEN)):
+            own = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            (g["uc"] if k == 2 else g["ug"][:, own])[:] += (rh if k == 2 else was).T @ part
+            g["bx"][own] += ones @ part
+            g["wx"][:, own] += read @ part
+            pulls += part @ w["wx"][:, own].T
         for k in range(EMBED):
             g["embed"][:, k] += np.bincount(tokens, weights=pulls[:, k], minlength=self.start + 1)
         return flat, last
@@ -446,7 +471,7 @@ def windows(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray, lanes: int
 
 def trained(network: Network, tokens: np.ndarray, sizes: np.ndarray, moments: dict,
             rate: float = 0.01) -> int:
-    """Adam steps over the documents of a run; returns the number of tokens."""
+    """Adam steps over documents; returns the number of tokens."""
     first = np.cumsum(sizes) - sizes
     pieces = [(a + s, min(PIECE, n - s)) for a, n in zip(first.tolist(), sizes.tolist())
               for s in range(0, n, PIECE)]
@@ -492,7 +517,10 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def averaged(table: DataFrame, counts: Counts, flat: np.ndarray, begin: int, end: int, parts: int,
              remainder: int) -> np.ndarray:
     """Weights after a round: each task trains from ``flat`` on its documents of the sixteenths
-    from ``begin`` to ``end``; the mean by tokens is taken per slice, so the driver gets one set."""
+    from ``begin`` to ``end``; the mean by tokens is taken per slice, so the driver gets one set.
+
+    As in scoring, runs share their lanes: a run's few documents of a small round would leave most
+    lanes empty beside the longest."""
     shared = table.sparkSession.sparkContext.broadcast((dict(counts.__dict__), flat))
     schema = "slice int, tokens double, weights binary"
 
@@ -505,13 +533,19 @@ def averaged(table: DataFrame, counts: Counts, flat: np.ndarray, begin: int, end
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, weights = shared.value
         network, seen = Network(Counts(**fields), weights), 0
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         moments = {"n": 0, "m": np.zeros(network.size, np.float32), "v": np.zeros(network.size, np.float32)}
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, tokens, sizes = _unpacked(batch.slice(k, 1).to_pylist()[0])
                 part = np.array([zlib.crc32(b"%d" % i) // parts % 16 for i in ids.tolist()])
                 own = (part >= begin) & (part < end) & ~left_out(ids, parts, remainder)
-                seen += trained(network, tokens[np.repeat(own, sizes)], sizes[own], moments)
+                waiting.append((tokens[np.repeat(own, sizes)], sizes[own]))
+                if sum(len(t) for t, _ in waiting) >= TOGETHER:
+                    seen += trained(network, *map(np.concatenate, zip(*waiting)), moments)
+                    waiting = []
+        if waiting:
+            seen += trained(network, *map(np.concatenate, zip(*waiting)), moments)
         if seen:
             yield batch_of({k: (float(seen), network.flat[c:c + CUT])
                             for k, c in enumerate(range(0, network.size, CUT))})

@@ -140,3 +140,45 @@ def test_lanes_take_every_piece_once():
     assert sorted(i for own in lanes for i in own) == list(range(6))
     assert [sum(sizes[i] for i in own) for own in lanes] == [30, 10, 9]
     assert R.NO_ID not in sizes
+
+
+def test_runs_of_a_task_share_their_lanes(spark):
+    """A round's weights follow from the documents of a task, not from their runs."""
+    counts, rng, begin = counts_for(), np.random.default_rng(6), 0
+    ids = np.arange(400)
+    sizes = rng.integers(1, 60, len(ids))
+    tokens = rng.integers(0, 102, sizes.sum())
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+
+    def table(cuts):
+        rows = [(ids[a:b].tobytes(), sizes[a:b].tobytes(),
+                 R.press(tokens[ends[a]:ends[b]].astype("<u2").tobytes()))
+                for a, b in zip(cuts, cuts[1:])]
+        return spark.createDataFrame(rows, "ids binary, sizes binary, tokens binary").coalesce(1)
+
+    flat = recurrent.Network(counts).flat
+    whole, cut = (recurrent.averaged(table(c), counts, flat, begin, 4, 5, 1)
+                  for c in ([0, 400], [0, 90, 91, 250, 400]))
+    assert not np.array_equal(whole, flat)
+    assert np.array_equal(whole, cut)
+
+
+def test_words_are_distinct_and_in_order():
+    rng = np.random.default_rng(7)
+    hashes = rng.integers(0, 1 << 63, 50, dtype=np.uint64)[rng.integers(0, 50, 300)] * np.uint64(2)
+    words = recurrent.Words(hashes, 8)
+    keys, inverse = np.unique(hashes, return_inverse=True)
+    assert np.array_equal(words.keys, keys) and np.array_equal(words.inverse, inverse)
+    assert recurrent.Words(hashes[:0], 8).parts == []
+
+
+def test_a_state_outlives_the_next_window():
+    network = recurrent.Network(counts_for())
+    inputs = np.random.default_rng(8).integers(0, 102, (4, 6))
+    state = np.zeros((6, recurrent.HIDDEN), np.float32)
+    _, first = network.slopes(inputs, inputs, state)
+    kept = first.copy()
+    again, _ = network.slopes(inputs[::-1], inputs, first)
+    assert np.array_equal(first, kept)
+    fresh, _ = recurrent.Network(counts_for()).slopes(inputs[::-1], inputs, kept)
+    assert np.array_equal(again, fresh)
