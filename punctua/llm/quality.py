@@ -18,7 +18,7 @@ id each count once per document row. Repeated rows give repeated results.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,14 +112,21 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "y int, h bigint, found binary")
 
 
-def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(texts per class, indicators per class) over all rows of (y, found)."""
+def class_counts(rows: DataFrame, column: str = "found", numbers: Callable = unpack
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """(texts per class, indicators per class) over all rows; ``numbers`` tells the indicators
+    of a value of ``column``.
+
+    So texts are described and counted by one function: two in a chain would be two workers for
+    each task, and idle workers keep their memory in the stages that follow.
+    """
     def add(row: dict, counts: np.ndarray) -> None:
         base = row["y"] * (SIZE + 1)
-        counts[base + unpack(row["found"])] += 1
+        counts[base + numbers(row["value"] or b"")] += 1
         counts[base + SIZE] += 1
 
-    counts = R.summed(labelled.select("y", "found"), 2 * (SIZE + 1), add).reshape(2, -1)
+    values = rows.select("y", F.col(column).cast("binary").alias("value"))
+    counts = R.summed(values, 2 * (SIZE + 1), add).reshape(2, -1)
     return counts[:, SIZE], counts[:, :SIZE]
 
 
@@ -184,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         smoothing: float = 1.0) -> Model:
     """Fit on the rows of ``docs`` that have a label; ``sample_rows`` per class at most."""
     rows = labelled(docs, labels, doc_id, text, label)
-    n, counts = class_counts(described(rows))
+    n, counts = class_counts(rows, "text", indicators)
     total = n.sum()
     prior = float(n[1] / total) if total else 0.5
     if not n.all():

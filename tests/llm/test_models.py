@@ -87,6 +87,25 @@ def test_counts_of_the_classifier_are_whole(spark, monkeypatch):
     assert (counts[1] == want).all()
 
 
+def test_texts_are_described_and_counted_by_one_worker(spark, monkeypatch):
+    docs = frame(spark, [*((k, f"text {k} abc") for k in range(30)), (30, None), (31, "")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(32)], "doc_id bigint, quality int")
+    rows = quality.labelled(docs, labels, "doc_id", "text", "quality")
+    plain = quality.class_counts(quality.described(rows))
+    one = quality.class_counts(rows, "text", quality.indicators)
+    assert all((a == b).all() for a, b in zip(one, plain)) and one[0].tolist() == [16, 16]
+    chained, summed = [], R.summed
+
+    def seen(table, *rest):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        chained.append(plan.count("InArrow") + plan.count("InPandas"))
+        return summed(table, *rest)
+
+    monkeypatch.setattr(R, "summed", seen)
+    quality.fit(docs, labels)
+    assert chained == [0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script>
 </head><body class="has-sidebar"><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
