@@ -3,9 +3,10 @@
 A document's set is its distinct word shingles. Two documents link when their sets' Jaccard
 similarity is at least ``percent`` / 100. Equal sets are one set with one name.
 
-Index: every set is ordered rarest shingle first (by a fixed-size count of all documents'
-shingles, then by hash), and its prefix is posted: linked sets share a shingle of their prefixes.
-A first exchange drops postings that one set alone has. A list is then read in skips:
+Index: every set is ordered rarest shingle first (by the power of two of its number of sets, then by
+hash), and its prefix is posted: linked sets share a shingle of their prefixes. A first exchange
+counts every shingle, so a list stays as short as its shingle is rare however many documents there
+are, and shingles that one set alone has are not posted. A list is then read in skips:
 
 * by size and position: from the places of a pair's shared prefix shingles follows the largest
   overlap it can have; lists are cut into size classes, and only neighbouring ones meet;
@@ -47,7 +48,6 @@ from punctua.llm import runs as R
 from punctua.llm import words as W
 
 U = np.uint64
-SLOTS = 1 << 18  # counters of shingle frequencies
 GROUP = 256  # sets that meet a pivot in one task
 LISTS = 8  # one list of so many has pivots; a power of two
 LEAST_LISTS = 6  # lists with pivots that a set has by expectation, if it has so many
@@ -68,13 +68,10 @@ def name_of(values: np.ndarray) -> bytes:
     return int(first).to_bytes(8, "big") + int(second).to_bytes(8, "big")
 
 
-def prefix_of(values: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles, of which linked sets share one, in order."""
-    n = len(values)
-    if not n:
-        return values
-    order = np.lexsort((values, rarity[(values >> U(46)).astype(np.int64)]))
-    return values[order[:n - -(-percent * n // 100) + 1]]
+def prefix_of(rarity: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the rarest shingles of a sorted set, of which linked sets share one, in order."""
+    n = len(rarity)
+    return np.argsort(rarity, kind="stable")[:n - -(-percent * n // 100) + 1 if n else 0]
 
 
 def sketch_of(values: np.ndarray) -> np.ndarray:
@@ -84,23 +81,6 @@ def sketch_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool)).view(np.int64)
 
 
-def rarities(table: DataFrame, size: int) -> np.ndarray:
-    """Of each counter the power of two of its shingles' occurrences, over all documents."""
-    def add(row: dict, counts: np.ndarray) -> None:
-        waiting, held = [], 0
-        for values in sets_of(R.opened(row)[1], size):
-            waiting.append(values >> U(46))
-            held += len(values)
-            if held >= 4 * SLOTS:  # counters are added once for many texts
-                counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SLOTS)
-                waiting, held = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SLOTS)
-
-    counts = R.summed(table, SLOTS, add)
-    return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
-
-
 def first_runs(asked: list[bytes]) -> list[bytes]:
     """Answer of a bucket of names: whether the run is the first that holds the set."""
     names = [np.frombuffer(b, dtype="V16", offset=1) for b in asked]
@@ -112,22 +92,21 @@ def first_runs(asked: list[bytes]) -> list[bytes]:
 
 
 class Described:
-    """The sets of a run: name and size of every text, prefixes of the distinct sets."""
+    """The sets of a run: name and size of every text, values of the distinct sets."""
 
-    def __init__(self, row: dict, size: int, percent: int, rarity: np.ndarray):
+    def __init__(self, row: dict, size: int, n: int):
         self.ids, texts = R.opened(row)
         self.of: list[tuple[bytes, int]] = []
         self.place: dict[bytes, int] = {}
-        self.values, self.prefixes = [], []
+        self.values: list[np.ndarray] = []
         for k, values in enumerate(sets_of(texts, size)):
             name = name_of(values)
             self.of.append((name, len(values)))
             if len(values) and name not in self.place:
                 self.place[name] = k
                 self.values.append(values)
-                self.prefixes.append(prefix_of(values, rarity, percent))
         self.names = list(self.place)
-        self.tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *self.prefixes])
+        self.counted = R.Counted(np.concatenate([np.zeros(0, dtype=np.uint64), *self.values]), n)
 
     def asked_names(self, n: int) -> Iterator[tuple[int, bytes]]:
         """Names by bucket n .. 2n - 1, in their order in the run."""
@@ -162,17 +141,14 @@ def described(table: DataFrame, kind: str, size: int, percent: int
     with shingles that several sets have in their prefixes.
     """
     spark = table.sparkSession
-    rarity = spark.sparkContext.broadcast(rarities(table, size))  # of fixed size
     n = R.buckets(table)
 
     def ask(row: dict) -> Iterator[pa.RecordBatch]:
-        own = Described(row, size, percent, rarity.value)
-        values = R.Values(own.tokens, n)
-        yield R.questions(row["run"], itertools.chain(values.asked(values.counts > 1),
-                                                      own.asked_names(n)))
+        own = Described(row, size, n)
+        yield R.questions(row["run"], itertools.chain(own.counted.asked(), own.asked_names(n)))
 
     def answer(asked: list[bytes]) -> list[bytes]:
-        return first_runs(asked) if asked[0][:1] == b"N" else R.several(asked)
+        return first_runs(asked) if asked[0][:1] == b"N" else R.powers(asked)
 
     schema = ("doc_id bigint, name binary, set bigint, token bigint, n int, place int, central int, "
               + ", ".join(f"{c} bigint" for c in SKETCH))
@@ -187,12 +163,19 @@ def described(table: DataFrame, kind: str, size: int, percent: int
              else pa.nulls(count, kinds.get(c, pa.int64())) for c in names], names=names)
 
     def post(row: dict) -> Iterator[pa.RecordBatch]:
-        own = Described(row, size, percent, rarity.value)
+        own = Described(row, size, n)
         yield batch(len(own.of), doc_id=R.id_column(own.ids, pa.int64()),
                     name=[s for s, _ in own.of], n=[k for _, k in own.of])
         answers = R.by_bucket(row["shared"])
-        told = R.Values(own.tokens, n).told(answers)
-        sizes = np.array([len(p) for p in own.prefixes], dtype=np.int64)
+        power = own.counted.told(answers)
+        tokens, several = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=bool)]
+        for values in own.values:
+            rarity = power[own.counted.places(values)]
+            prefix = prefix_of(rarity, percent)
+            tokens.append(values[prefix])
+            several.append(rarity[prefix] > 1)  # two sets or more
+        sizes = np.array([len(p) for p in tokens[1:]], dtype=np.int64)
+        tokens, told = np.concatenate(tokens), np.concatenate(several)
         which = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         shared = np.bincount(which, weights=told, minlength=len(sizes))
@@ -207,7 +190,7 @@ def described(table: DataFrame, kind: str, size: int, percent: int
                     **dict(zip(SKETCH, np.ascontiguousarray(sketches.T))))
         k = np.flatnonzero(told & wanted[which]) if len(which) else which
         if len(k):
-            yield batch(len(k), set=numbers[which[k]], token=own.tokens[k].view(np.int64),
+            yield batch(len(k), set=numbers[which[k]], token=tokens[k].view(np.int64),
                         n=counts[which[k]], place=place[k].astype(np.int32),
                         central=central[which[k]])
 

@@ -303,3 +303,63 @@ def several(asked: list[bytes]) -> list[bytes]:
     told = total[inverse] >= 2
     ends = np.cumsum([len(x) for x in lows])
     return [np.packbits(told[e - len(x):e]).tobytes() for e, x in zip(ends, lows)]
+
+
+# --- How often values occur -----------------------------------------------------------------
+
+class Counted:
+    """Distinct 64-bit values of a run and their counts, by bucket; of each 32 more bits are sent.
+
+    Values that coincide in bucket and 32 bits have one count, the same in every run.
+    """
+
+    def __init__(self, values: np.ndarray, n: int):
+        self.n = np.uint64(n)
+        key = np.sort(self._key(values))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        self.keys, self.counts = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
+        bucket = (self.keys >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        self.parts = [(int(bucket[a]), a, b)
+                      for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
+
+    def _key(self, values: np.ndarray) -> np.ndarray:
+        return ((values % self.n) << np.uint64(32)) | (values >> np.uint64(32))
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        """Per bucket the values, as differences, and their counts."""
+        for bucket, a, b in self.parts:
+            low = (self.keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield bucket, press(_planes(np.diff(low, prepend=np.uint32(0)))
+                                + _planes(self.counts[a:b]))
+
+    def told(self, answers: dict[int, bytes]) -> np.ndarray:
+        """For each of ``keys`` the power of two of its count over all runs."""
+        out = np.zeros(len(self.keys), dtype=np.uint8)
+        for bucket, a, b in self.parts:
+            out[a:b] = np.frombuffer(unpress(answers[bucket]), dtype=np.uint8)
+        return out
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Where values given to the constructor are in ``keys``."""
+        return np.searchsorted(self.keys, self._key(values))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, all lowest bytes first: the others are mostly zero and compress."""
+    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def powers(asked: list[bytes]) -> list[bytes]:
+    """Answer of a bucket: per value the power of two of its count; 1 stands for a single one."""
+    lows, counts = [], []
+    for blob in map(unpress, asked):
+        both = np.frombuffer(blob, dtype=np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)
+        low, count = np.ascontiguousarray(both).view(np.uint32)[:, :, 0]
+        lows.append(np.cumsum(low, dtype=np.uint32))
+        counts.append(count)
+    _, inverse = np.unique(np.concatenate(lows), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(counts))
+    power = np.frexp(total)[1].astype(np.uint8)[inverse]
+    ends = np.cumsum([len(x) for x in lows])
+    return [press(power[e - len(x):e].tobytes()) for e, x in zip(ends, lows)]

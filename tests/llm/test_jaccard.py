@@ -103,3 +103,32 @@ def test_staged_tables_are_removed(spark):
     paths = [hadoop.Path(f) for f in folders]
     assert len(paths) > 2 and sum(p.getFileSystem(conf).exists(p) for p in paths) == 1
     assert {r["component"] for r in label.collect()} == {0}
+
+
+def test_counts_are_those_of_all_runs():
+    """Runs ask with their counts; every value gets the power of two of the sum."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, size=3000, dtype=np.uint64)
+    texts = [rng.choice(pool, size=k) for k in (5000, 1, 700, 0)]
+    own = [runs.Counted(t, 7) for t in texts]
+    answers = [{} for _ in texts]
+    for bucket in range(7):
+        asked = [(k, dict(c.asked())[bucket]) for k, c in enumerate(own) if bucket in dict(c.asked())]
+        for (k, _), told in zip(asked, runs.powers([b for _, b in asked])):
+            answers[k][bucket] = told
+    values, counts = np.unique(np.concatenate(texts), return_counts=True)
+    want = dict(zip(values.tolist(), np.frexp(counts)[1].tolist()))
+    for t, c, a in zip(texts, own, answers):
+        assert c.told(a)[c.places(t)].tolist() == [want[v] for v in t.tolist()]
+
+
+def test_lists_stay_short_among_many_texts(spark):
+    """Passages of three texts are not in prefixes, however many shingles other texts have."""
+    rows = []
+    for i in range(1500):
+        words = [f"u{i}x{k}" for k in range(600)]
+        words[i % 500:i % 500] = [f"p{i // 3}x{k}" for k in range(30)]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    _, _, postings = jaccard.described(runs.packed(docs, "doc_id", "text"), "bigint", 4, 85)
+    assert postings.count() == 0
