@@ -3,10 +3,11 @@
 A document's set is its distinct word shingles. Two documents link when their sets' Jaccard
 similarity is at least ``percent`` / 100. Equal sets are one set with one name.
 
-Index: every set is ordered rarest shingle first (by the power of two of its number of sets, then by
-hash), and its prefix is posted: linked sets share a shingle of their prefixes. A first exchange
-counts every shingle, so a list stays as short as its shingle is rare however many documents there
-are, and shingles that one set alone has are not posted. A list is then read in skips:
+Index: every set is ordered rarest shingle first (by the power of two of its count, then by hash), and
+its prefix is posted: linked sets share a shingle of their prefixes. A first exchange counts every
+shingle, by the distinct sets of each run, so lists are as short as their shingles are rare however
+many documents there are, and shingles with a count of one are not posted. A list is then read in
+skips:
 
 * by size and position: from the places of a pair's shared prefix shingles follows the largest
   overlap it can have; lists are cut into size classes, and only neighbouring ones meet;
@@ -137,8 +138,8 @@ def described(table: DataFrame, kind: str, size: int, percent: int
     """(doc_id, n, name) of rows; (name, set, sketch) of sets; postings (token, set, n, place,
     central).
 
-    A set has one number, given by the first run that holds it; sets and postings are those
-    with shingles that several sets have in their prefixes.
+    A set has one number, given by the first run that holds it; postings are the shingles of its
+    prefix with a count of two or more, sets are those that have postings.
     """
     spark = table.sparkSession
     n = R.buckets(table)

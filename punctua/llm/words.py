@@ -22,7 +22,15 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+class Kept(dict):
+    """What a process has computed: task functions travel with this module, but without that."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_powers: dict[tuple[int, bool], np.ndarray] = Kept()
 
 
 def powers(n: int, lane: int = 0, inverse: bool = False) -> np.ndarray:

@@ -4,9 +4,12 @@ import os
 import subprocess
 import sys
 
+from pyspark import cloudpickle
+
 import punctua
 from punctua.llm import packing
 from punctua.llm import runs as R
+from punctua.llm import words as W
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(punctua.__file__)))
 SCRIPT = f"""
@@ -62,3 +65,12 @@ def test_staged_folders_can_be_removed(spark):
     assert len(folders) == 1 and os.path.exists(folders[0].removeprefix("file:"))
     R.removed(spark, folders)
     assert not os.path.exists(os.path.dirname(folders[0].removeprefix("file:")))
+
+
+def test_task_functions_travel_without_what_the_driver_computed():
+    def task(text):
+        return [hashes.tolist() for _, hashes in W.word_hashes([text], lower=True)]
+
+    here = task(b"a B c")  # leaves tables of some MB in this process
+    sent = cloudpickle.dumps(task)
+    assert len(sent) < 1 << 18 and cloudpickle.loads(sent)(b"a B c") == here
