@@ -609,11 +609,23 @@ def out_of_fold(folded: DataFrame, specs: dict[str, dict], folds: int, seed: int
                 id_col: str) -> DataFrame:
     """Long out-of-fold scores (id, target, fold, model, probability): one per row and base.
 
-    A fold's encoding is made once for its base models; all fits form one pool.
+    A fold's encoding is made once for its base models; all fits form one pool, on few rows the
+    tasks of one job.
     """
     sides = [(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f))
              for f in range(folds)]
     encodings = _pooled(lambda side: _ordinal(side[0]), sides)
+    columns = [id_col, "target", "fold"]
+    found = _pooled(lambda f: few(encodings[f][0](folded), *columns), list(range(folds)))
+    if all(found):
+        parts = [_apart(*rows, f) for f, rows in enumerate(found)]
+        fits = [Fit(n, f, boosting_settings(n, specs[n]["params"]),
+                    _rounds(specs[n]["params"], specs[n].get("iterations")), seed + f)
+                for f in range(folds) for n in BOOSTING]
+        scores = held_scores(folded.sparkSession, fits, T.StructField("model", T.StringType()),
+                             [grown.table(*inner) for inner, _ in parts],
+                             [held for _, held in parts], [folded.schema[c] for c in columns])
+        return scores.select(*columns, "model", "probability")
 
     def one(task: tuple[int, str]) -> DataFrame:
         fold, name = task
