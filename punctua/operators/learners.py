@@ -402,12 +402,18 @@ def early_stopped(name: str, train: DataFrame, params: dict, seed: int, id_col:
                   max_rounds: int, patience: int, sides: Sides | None = None) -> Scorer:
     """Boosting with a 10 % stratified holdout from inside the training rows.
 
-    The number of rounds is doubled until the loss series of the holdout has run out of
-    patience or the ceiling is reached; then the best round is refitted (a boosted model is
-    the same up to that round). ``sides`` are those of ``train``, where several fits share them.
+    A fit inside one task ends as soon as the loss series of the holdout has run out of patience,
+    or at the ceiling, and keeps the trees up to the best round. Otherwise the number of rounds is
+    doubled until then, and the best round is refitted (a boosted model is the same up to that
+    round). ``sides`` are those of ``train``, where several fits share them.
     """
-    own = sides or stopping_sides(train, f"stop{seed}", id_col)
+    own = sides or stopping_sides(train, f"stop{seed}", id_col, trees=True)
     _, numbers, tables = own.encoding
+    if own.table is not None:
+        trees, best = _in_task(train.sparkSession, own.table, boosting_settings(name, params),
+                               max_rounds, seed, patience)
+        return _of_trees(train.sparkSession, name, numbers, tables, trees,
+                         {"best_iteration": best, "iterations": best})
     rounds = min(max_rounds, max(2 * patience, 10))
     while True:
         model = _spread_out(_gbt(name, params, seed, rounds), own.fit)
